@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,7 +41,7 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
     """Cut a record batch so that each piece holds about `most` bytes of one column, a row at least."""
     column, start, size = batch.column(batch.schema.get_field_index(text)), 0, 0
-    lengths = pa.compute.binary_length(column).fill_null(0).to_pylist()
+    lengths = pc.binary_length(column).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and size + n > most:
             yield batch.slice(start, i - start)
