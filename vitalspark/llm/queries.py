@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, sstable
+from .common import materialise, shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,8 +20,16 @@ def op3_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op7_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "shards")
+    docs = table(spark, sf_dir, "documents")
+    manifest = materialise(sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), folder), "manifest")
+    return sstable.positions(spark, folder, manifest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
+    "op7_sstable_shards": op7_sstable_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {}
