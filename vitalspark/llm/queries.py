@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import byte_bpe, sstable
+from . import byte_bpe, simhash, sstable
 from .common import materialise, shared_path
 
 
@@ -27,8 +28,14 @@ def op7_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sstable.positions(spark, folder, manifest)
 
 
+def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
+    "op6_simhash_trie": op6_simhash_trie,
     "op7_sstable_shards": op7_sstable_shards,
 }
 
