@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, simhash, sstable
+from . import byte_bpe, langid, simhash, sstable, toxicity
 from .common import materialise, shared_path
 
 
@@ -16,6 +16,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket(key: str = "doc_id"):
+    """crc32 of the identifier as text, modulo 5: the folds that the queries hold out."""
+    return F.crc32(F.col(key).cast("string")) % 5
+
+
+def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(bucket() != 0))
+    scored = toxicity.score(docs.select("doc_id", "text"), model, drop=("text",))
+    return scored.select("doc_id", F.coalesce(bucket() == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = langid.fit_text(table(spark, sf_dir, "documents").select("text", "lang"))
+    return langid.identify_pages(table(spark, sf_dir, "pages"), model)
+
+
 def op3_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -34,6 +51,8 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
+    "op5_language_fusion": op5_language_fusion,
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_sstable_shards": op7_sstable_shards,
