@@ -38,17 +38,23 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
+def cut(batch: pa.RecordBatch, column: pa.Array, most: int = SLICE_BYTES):
     """Cut a record batch so that each piece holds about `most` bytes of one column, a row at least."""
-    column, start, size = batch.column(batch.schema.get_field_index(text)), 0, 0
+    start, size = 0, 0
     lengths = pc.binary_length(column).fill_null(0).to_pylist()
     for i, n in enumerate(lengths):
         if i > start and size + n > most:
-            yield batch.slice(start, i - start)
+            yield batch.slice(start, i - start), column.slice(start, i - start)
             start, size = i, 0
         size += n
     if len(lengths) > start:
-        yield batch.slice(start)
+        yield batch.slice(start), column.slice(start)
+
+
+def slices(batch: pa.RecordBatch, text: str):
+    """Pieces of a record batch of a bounded number of bytes of text."""
+    for piece, _ in cut(batch, batch.column(batch.schema.get_field_index(text))):
+        yield piece
 
 
 def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
@@ -57,7 +63,7 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
 
 
 def append_columns(df: DataFrame, text: str, fields: list[T.StructField], start, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add columns computed from one text column, in Arrow batches.
+    """Add columns computed from one text column, in Arrow batches; text may be a field, as in row.text.
 
     start() gives, once a task, a function from texts to one list or array a field. An existing
     column named as a new one is replaced; columns in `drop` stay behind.
@@ -65,16 +71,22 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], start,
     new = {f.name for f in fields}
     keep = [c for c in df.columns if c not in new and c not in drop]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
-    source = "__text"
-    given = df.select(*keep, F.col(text).alias(source))
+    first, _, inner = text.partition(".")
+    if first in keep:
+        given, place = df.select(*keep), keep.index(first)
+    else:
+        given, place = df.select(*keep, F.col(text).alias("__text")), len(keep)
+        inner = ""
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kernel, arrow = start(), to_arrow_schema(schema)
         for batch in batches:
-            for part in slices(batch, source):
-                made = kernel(texts_of(part, source))
+            column = batch.column(place)
+            column = pc.struct_field(column, inner) if inner else column
+            for part, texts in cut(batch, column):
+                made = kernel([x or "" for x in texts.to_pylist()])
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(arrow.field(i).name, columns[i].type) for i in range(len(columns))]))

@@ -222,8 +222,7 @@ def filter_documents(docs: DataFrame, model: TextModel, text: str = "text", decl
     )
     light = packed.select("declared", "host", "domain", "suffix", F.col(f"row.{text}").alias("body"))
     tables = prior_tables(materialise(with_text_evidence(light, model, "body", drop=("body",)), "evidence"), model.languages)
-    heavy = packed.select("row", "declared", "host", "domain", "suffix", F.col(f"row.{text}").alias("body"))
-    fused = fuse(with_text_evidence(heavy, model, "body", drop=("body",)), tables, model.languages)
+    fused = fuse(with_text_evidence(packed, model, f"row.{text}"), tables, model.languages)
     names = F.array(*map(F.lit, model.languages))
     place = F.array_position(names, F.col("declared")).cast("int")
     kept = F.col("declared").isNull() | (place == 0) | (F.element_at("posterior", F.greatest(place, F.lit(1))) >= least)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, langid, simhash, sstable, toxicity
+from . import byte_bpe, decontaminate, langid, simhash, sstable, toxicity
 from .common import materialise, shared_path
 
 
@@ -50,12 +50,19 @@ def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op5_language_fusion": op5_language_fusion,
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_sstable_shards": op7_sstable_shards,
+    "op8_latent_decontamination": op8_latent_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -235,9 +235,32 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     null. An empty table gives an empty one.
     """
     marked = materialise(fingerprints(df.select(F.col(key), F.col(text)), text, width, seed, "fingerprint", drop=(text,)), "fingerprints")
+    return marked.join(_names(marked, key, budget), "fingerprint", "left").select(key, "fingerprint", "component_id")
+
+
+def _names(marked: DataFrame, key: str, budget: int) -> DataFrame:
+    """fingerprint and component_id, the least key of its component, of every fingerprint."""
     words = materialise(marked.groupBy("fingerprint").agg(F.min(key).alias("least")), "words")
     found = components(trie_links(words, "fingerprint", budget))
     named = words.join(found, words["fingerprint"] == found["node"], "left").select("fingerprint", "least", F.coalesce("component", "fingerprint").alias("root"))
-    roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = materialise(named.join(roots, "root").select("fingerprint", "component_id"), "names")
-    return marked.join(names, "fingerprint", "left").select(key, "fingerprint", "component_id")
+    roots = named.groupBy("root").agg(F.min("least").alias("component_id"), F.min("fingerprint").alias("component"))
+    return materialise(named.join(roots, "root").select("fingerprint", "component_id", "component"), "names")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 4, seed: int = 42, budget: int = BUDGET) -> DataFrame:
+    """One document of each component, as it was: that of the least key, then text hash; null keys last.
+
+    The survivors are found among (key, text hash) pairs; rows that agree in both are equal texts
+    of one key, of which any one stays.
+    """
+    light = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("body"))
+    marked = materialise(fingerprints(light, "body", width, seed, "fingerprint", drop=("body",)), "fingerprints")
+    named = marked.join(_names(marked, "key", budget), "fingerprint")
+    order = F.struct(F.col("key").isNull().alias("last"), "key", "tie")
+    first = named.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
+    times = marked.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("times"))
+    survivors = materialise(first.join(times, first["key"].eqNullSafe(times["key"]) & (first["tie"] == times["tie"])).select(first["key"], first["tie"], "times"), "survivors")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(key).cast("long").alias("k"), F.xxhash64(text).alias("t"))
+    kept = rows.join(survivors, F.col("k").eqNullSafe(F.col("key")) & (F.col("t") == F.col("tie")))
+    repeated = kept.where("times > 1").dropDuplicates(["k", "t"])
+    return kept.where("times = 1").unionByName(repeated).select("row.*")

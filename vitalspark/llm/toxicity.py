@@ -189,3 +189,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
         return lambda texts: [[rate(x) for x in texts]]
 
     return append_columns(docs, text, [T.StructField(name, T.DoubleType())], start, drop)
+
+
+def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold, as they were."""
+    rows = score(docs.select(F.struct(*docs.columns).alias("row")), model, f"row.{text}")
+    return rows.where(F.col("score") < threshold).select("row.*")
