@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +23,17 @@ def build_session(name: str = "vitalspark", master: str | None = None, extra: di
     session = builder.config(map=settings).getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+def ship(session: SparkSession) -> None:
+    """Send this package to the executors, once a session, for clusters that don't have it installed."""
+    context = session.sparkContext
+    if getattr(context, "_vitalspark_shipped", False):
+        return
+    context._vitalspark_shipped = True
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="vitalspark-code-")) / "vitalspark.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(root.rglob("*.py")):
+            archive.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(target))
