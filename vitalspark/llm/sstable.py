@@ -18,8 +18,10 @@ from __future__ import annotations
 import bisect
 import os
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,11 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, SHARD_BYTES, BITS_A_KEY, HASHES = 32 << 10, 32 << 20, 10, 7
 #: Words that a worker's cache holds at most, in each of its two generations.
 CACHE = 200_000
+#: ASCII marks that may follow a word of letters and never belong to it.
+MARKS = b",.!?;:|%&$*#()"
+#: The byte-level scheme: printable bytes stand for themselves, the others for characters from 256 on.
+_PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
 def encode_key(identifier: int | None, copy: int = 0) -> bytes:
@@ -179,8 +186,8 @@ class Table:
 class WordCache:
     """Encodes texts by the runs between ASCII white space, each run once.
 
-    Right for tokenizers whose normaliser and pre-tokenizer never look or match across white space
-    and drop it, as those with word ends do.
+    Right for tokenizers that lower-case, put into NFC, drop white space, part letters from other
+    marks and spell bytes as the byte-level scheme does.
     """
 
     def __init__(self, definition: str, width: int, end_id: int):
@@ -188,8 +195,11 @@ class WordCache:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.kind = "<u2" if width == 2 else "<u4"
-        self.end = np.array([end_id], dtype=self.kind).tobytes()
+        self.code = "H" if width == 2 else "I"
+        self.end = self._pack([end_id])
+        self.model = self.tokenizer.model
+        self.words: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
@@ -207,18 +217,41 @@ class WordCache:
         if len(young) + len(missing) > CACHE and young:
             self.old, self.young = young, {}
             young, missing = self.young, list(set(row))
-        new = []
         for x in missing:
-            if (known := self.old.get(x)) is not None:
-                young[x] = known
-            else:
-                new.append(x)
-        if new:
-            made = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-            for x, e in zip(new, made, strict=True):
-                young[x] = np.array(e.ids, dtype=self.kind).tobytes()
+            known = self.old.get(x)
+            young[x] = self._run(x) if known is None else known
         return b"".join(map(young.__getitem__, row)) + self.end
 
+    def _pack(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _run(self, run: bytes) -> bytes:
+        """Ids of a run. A word of letters and the marks behind it are pieces of their own, so each
+        is looked up alone; in such a word nothing is left to normalise, and it goes to the model."""
+        lower = run.lower()
+        word = lower.rstrip(MARKS)
+        made = self.words.get(word)
+        if made is None:
+            text = word.decode()
+            if not (text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text))):
+                return self._whole(run)
+            spelt = text if text.isascii() else word.decode("latin-1").translate(BYTE_LEVEL)
+            made = self._pack([t.id for t in self.model.tokenize(spelt)])
+            if len(self.words) >= 2 * CACHE:
+                self.words.clear()
+            self.words[word] = made
+        if len(word) == len(lower):
+            return made
+        marks = lower[len(word) :]
+        if (tail := self.tails.get(marks)) is None:
+            tail = self._whole(marks)
+            if len(self.tails) < 10_000:
+                self.tails[marks] = tail
+        return made + tail
+
+    def _whole(self, run: bytes) -> bytes:
+        return self._pack(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids)
+
 
 def write_shards(df: DataFrame, tokenizer_path: str, folder: str, key: str = "doc_id", text: str = "text", end_id: int = 2, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Tokenize every text and write shards under `folder`, a URI that all executors reach.
