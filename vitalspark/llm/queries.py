@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, simhash, sstable, toxicity
+from . import byte_bpe, decontaminate, langid, lattice, simhash, sstable, toxicity
 from .common import materialise, shared_path
 
 
@@ -21,6 +21,14 @@ def bucket(key: str = "doc_id"):
     return F.crc32(F.col(key).cast("string")) % 5
 
 
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(bucket() == 1, F.lit(False))
+    pieces = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
+    scored = lattice.score_documents(docs, pieces, ~held_out)
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(bucket() != 0))
@@ -57,6 +65,7 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lattice_likelihood": op1_lattice_likelihood,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op5_language_fusion": op5_language_fusion,
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
