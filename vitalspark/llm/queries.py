@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, langid, lattice, simhash, sstable, toxicity
+from . import byte_bpe, chat, decontaminate, hilbert, langid, lattice, simhash, sstable, toxicity
 from .common import materialise, shared_path
 
 
@@ -64,10 +64,25 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    bytes_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", (bytes_of + 16).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), "lang", "source", "n_chars")
+    dimensions = {"lang": hilbert.ordered_number(F.col("lang")), "source": hilbert.ordered_number(F.col("source")), "n_chars": F.col("n_chars")}
+    made = hilbert.shard(rows, dimensions, 40, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
+    return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_likelihood": op1_lattice_likelihood,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
     "op5_language_fusion": op5_language_fusion,
+    "op4_hilbert_shards": op4_hilbert_shards,
+    "op9_perspective_rotation": op9_perspective_rotation,
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_sstable_shards": op7_sstable_shards,
