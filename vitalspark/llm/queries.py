@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, hilbert, langid, lattice, simhash, sstable, toxicity
+from . import byte_bpe, chat, decontaminate, hilbert, langid, lattice, simhash, spherical, sstable, toxicity
 from .common import materialise, shared_path
 
 
@@ -77,6 +77,10 @@ def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
+def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spherical.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_likelihood": op1_lattice_likelihood,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe_tree": op3_byte_bpe_tree,
     "op6_simhash_trie": op6_simhash_trie,
     "op7_sstable_shards": op7_sstable_shards,
+    "op10_spherical_caps": op10_spherical_caps,
     "op8_latent_decontamination": op8_latent_decontamination,
 }
 
