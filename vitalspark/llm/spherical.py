@@ -43,23 +43,22 @@ class Code:
     def of(dimensions: int, n: int, seed: int = 11) -> Code:
         """A code for n vectors: about MEMBERS a filter, about PASSED filters a vector.
 
-        For a random direction the product is nearly normal with deviation 1/sqrt(d), which gives
-        the threshold; the number of codewords follows from how many filters are to be passed.
+        The threshold is a quantile of products of seeded random vectors and filters, and the
+        number of codewords follows from how many filters are to be passed.
         """
         rng = np.random.default_rng(seed)
         rotation = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0]
-        blocks = min(BLOCKS, dimensions)
-        share = min(MOST_SHARE, max(LEAST_SHARE, MEMBERS / max(1, n)))
-        low, high = 0.0, 8.0
-        for _ in range(60):
-            middle = (low + high) / 2
-            low, high = (middle, high) if 0.5 * math.erfc(middle / math.sqrt(2)) > share else (low, middle)
+        # In a few dimensions blocks of codewords would leave gaps: one block of wide caps instead.
+        blocks = BLOCKS if dimensions >= 8 * BLOCKS else 1
+        share = MOST_SHARE if blocks == 1 else min(MOST_SHARE, max(LEAST_SHARE, MEMBERS / max(1, n)))
         each = max(2, math.ceil((PASSED / share) ** (1 / blocks)))
         words = []
         for part in np.array_split(np.arange(dimensions), blocks):
             w = rng.standard_normal((each, len(part)))
             words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(1 / blocks))
-        return Code(rotation, words, low / math.sqrt(dimensions))
+        trial = np.concatenate([w[rng.integers(0, each, 256)] for w in words], axis=1)
+        threshold = np.quantile(unit(rng.standard_normal((4096, dimensions))) @ trial.T, 1 - share)
+        return Code(rotation, words, float(threshold) - 1e-12)
 
     def passed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and filter numbers of all filters that unit vectors exceed."""
