@@ -52,7 +52,7 @@ def spectral_quality(x: np.ndarray, fps: float, low: float = LOW, high: float =
     offset = np.zeros(len(x))
     if refine:
         ok = (peak > bins[0]) & (peak < bins[-1])
-        a, b, c = (np.log(np.maximum(power[rows, np.clip(peak + k, 0, power.shape[1] - 1)], 1e-12)) for k in (-1, 0, 1))
+        a, b, c = (np.log(power[rows, np.clip(peak + k, 0, power.shape[1] - 1)] + 1e-20) for k in (-1, 0, 1))
         curve = a - 2 * b + c
         with np.errstate(divide="ignore", invalid="ignore"):
             shift = 0.5 * (a - c) / curve
@@ -252,7 +252,57 @@ def respiration_quality(x: np.ndarray, fps: float, low: float = 0.10, high: floa
     return float(60 * fps / lags[best]), float(np.clip(values[best], 0, 1))
 
 
+def _z(x: np.ndarray) -> np.ndarray:
+    d = x.std(axis=1, keepdims=True)
+    return np.where(d < 1e-8, 0.0, (x - x.mean(axis=1, keepdims=True)) / np.where(d < 1e-8, 1.0, d))
+
+
+def _projections(rgb: np.ndarray, pad: float) -> tuple[np.ndarray, np.ndarray]:
+    """POS and CHROM of colour (rows, frames, 3) normalised by its means; pad is added to the divisor of alpha."""
+    c = rgb / (rgb.mean(axis=1, keepdims=True) + 1e-8)
+    r, g, b = c[..., 0], c[..., 1], c[..., 2]
+    out = []
+    for first, second, sign in ((g - b, g + b - 2 * r, 1.0), (3 * r - 2 * g, 1.5 * r + g - 1.5 * b, -1.0)):
+        d = second.std(axis=1, keepdims=True)
+        alpha = first.std(axis=1, keepdims=True) / np.where(d < 1e-8, 1.0, d + pad)
+        out.append(np.where(d < 1e-8, first, first + sign * alpha * second))
+    return out[0], out[1]
+
+
+def live_signals(rois: np.ndarray) -> dict[str, np.ndarray]:
+    """GREEN, POS and CHROM of colour (rows, regions, frames, 3): regions are combined before projection."""
+    colour = rois.mean(axis=1)
+    pos, chrom = _projections(colour, 0.0)
+    return {"green": _z(colour[..., 1]), "pos": _z(pos), "chrom": _z(chrom)}
+
+
+def training_signals(rois: np.ndarray, fps: float, order: int = 4) -> dict[str, np.ndarray]:
+    """The same of each region by itself, then averaged over regions and band-passed."""
+    each = [_projections(rois[:, k], 1e-8) for k in range(rois.shape[1])]
+    green = rois[..., 1] / (rois[..., 1].mean(axis=2, keepdims=True) + 1e-8)
+    raw = {"green": green.mean(axis=1), "pos": np.mean([p for p, _ in each], axis=0), "chrom": np.mean([c for _, c in each], axis=0)}
+    return {name: _z(bandpass(x, fps, order=order)) for name, x in raw.items()}
+
+
 # Arrow functions.
+def pulse_signals(r: Column, g: Column, b: Column, regions: int, kernel=live_signals, *options) -> Column:
+    """Struct of green, pos and chrom arrays from colours, each the frames of all regions one after another."""
+
+    @F.pandas_udf("green array<double>, pos array<double>, chrom array<double>")
+    def run(red: pd.Series, green: pd.Series, blue: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({c: pd.Series([None] * len(red), dtype=object) for c in ("green", "pos", "chrom")})
+        for rows, x in _matrices(red):
+            parts = [x, *(np.stack(c.iloc[rows].to_numpy()).astype(float) for c in (green, blue))]
+            cube = np.stack([p.reshape(len(rows), regions, -1) for p in parts], axis=-1)
+            for name, signal in kernel(cube, *options).items():
+                out[name] = out[name].astype(object)
+                for k, row in zip(rows, signal, strict=True):
+                    out.at[k, name] = None if np.isnan(row).any() else row.tolist()
+        return out
+
+    return run(r, g, b)
+
+
 def _matrices(signals: pd.Series):
     """Rows of one length at a time: (row numbers, matrix)."""
     lengths = signals.map(lambda x: -1 if x is None else len(x)).to_numpy()

@@ -12,6 +12,10 @@ def doubles(signal: Column) -> Column:
     return F.transform(signal, lambda x: x.cast("double"))
 
 
+def scaled(signal: Column, factor: float, offset: float) -> Column:
+    return F.transform(signal, lambda x: offset + factor * x)
+
+
 def total(signal: Column) -> Column:
     return F.aggregate(signal, F.lit(0.0), lambda a, x: a + x)
 
@@ -101,14 +105,14 @@ def root_error(a: Column, b: Column) -> Column:
     return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / F.size(a))
 
 
-def autocorrelation(signal: Column, lag: Column | int) -> Column:
-    """Autocorrelation of the demeaned signal at a lag, over that at 0; null when flat."""
-    m = mean(signal)
+def autocorrelation_quality(signal: Column, bpm: Column, fps: float) -> Column:
+    """Autocorrelation at the lag of one beat, in 0 to 1: null without a rate or for too short a signal, 0 when flat."""
+    lag, n, m = F.bround(F.lit(60.0 * fps) / bpm).cast("int"), F.size(signal), mean(signal)
     c = F.transform(signal, lambda x: x - m)
-    n = F.size(signal)
-    early, late = F.slice(c, F.lit(1), n - lag), F.slice(c, F.lit(1) + lag, n - lag)
     zero = total(F.transform(c, lambda x: x * x))
-    return F.when(zero > 1e-12, total(F.zip_with(early, late, lambda x, y: x * y)) / zero)
+    late = total(F.zip_with(F.slice(c, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(c, lag + 1, F.greatest(n - lag, F.lit(0))), lambda x, y: x * y)) / zero
+    usable = (bpm > 0) & ~F.isnan(bpm) & (lag < n)
+    return F.when(usable, F.when(zero < 1e-10, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(late, F.lit(1.0)))))
 
 
 def rotated(signal: Column, by: int) -> Column:
@@ -162,3 +166,14 @@ def validity(signal: Column) -> Column:
     """Why a channel window is unusable: missing, nan or flat; null when it is usable."""
     bad = F.exists(signal, lambda x: x.isNull() | F.isnan(x))
     return F.when(signal.isNull() | (F.size(signal) == 0), "missing").when(bad, "nan").when(deviation(signal) < 1e-6, "flat")
+
+
+def simulated_frames(start: Column, end: Column, fps: Column, rate: float) -> Column:
+    """Frames that sampling at a lower rate would see between two frames, as distinct numbers in order."""
+    a, b, step = start / fps, end / fps, 1.0 / rate
+    count = F.ceil((b - a) / step).cast("int")
+    last = a + (count - 1) * step
+    times = F.transform(F.sequence(F.lit(0), F.greatest(count - 1, F.lit(0))), lambda k: a + k * step)
+    tail = (count < 2) | (last < b - 0.75 / rate)
+    every = F.when(tail, F.concat(times, F.array(b - 1.0 / fps))).otherwise(times)
+    return F.array_sort(F.array_distinct(F.transform(every, lambda t: F.greatest(start, F.least(F.bround(t * fps).cast("int"), end - 1)))))

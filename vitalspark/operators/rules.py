@@ -18,7 +18,7 @@ def first_failure(checks: dict[str, Column], otherwise: str = "ok") -> Column:
 
 def stability(range_bpm: Column) -> Column:
     """Bucket of the range of a window's labels."""
-    return F.when(range_bpm.isNull(), "unknown").when(range_bpm < 10, "stable_lt_10").when(range_bpm < 25, "moderate_10_25").when(range_bpm < 50, "wide_25_50").otherwise("very_wide_ge_50")
+    return F.when(range_bpm.isNull(), "unknown").when(range_bpm < 10, "stable_lt_10_bpm").when(range_bpm < 25, "moderate_10_25_bpm").when(range_bpm < 50, "unstable_25_50_bpm").otherwise("highly_unstable_ge_50_bpm")
 
 
 def window_policy(dataset: Column, split: Column, target: Column, missing: Column, signal_problem: Column, training: list[str], reserved: list[str]) -> Column:
@@ -74,14 +74,18 @@ def middle(values: Column) -> Column:
     return F.when(n > 0, (F.try_element_at(ordered, F.floor((n - 1) / 2).cast("int") + 1) + F.try_element_at(ordered, F.floor(n / 2).cast("int") + 1)) / 2)
 
 
-def image_quality(mean: Column, spread: Column, bright_share: Column, dark_share: Column) -> dict[str, Column]:
-    """Status of a region's pixels and all reasons: rejections first, then warnings."""
-    rejected = {"too_dark": mean < 40, "too_bright": mean > 225, "saturated": bright_share > 0.25, "mostly_dark": dark_share > 0.5}
-    warned = {"dim": mean < 70, "bright": mean > 200, "some_saturation": bright_share > 0.05, "flat": spread < 3}
-    bad = reduce(lambda a, b: a | b, rejected.values())
-    odd = reduce(lambda a, b: a | b, warned.values())
-    reasons = F.array_compact(F.array(*[F.when(c, n) for n, c in {**rejected, **warned}.items()]))
-    return {"status": F.when(bad, "rejected").when(odd, "warning").otherwise("ok"), "reasons": F.array_join(reasons, ";")}
+def image_quality(saturated: Column, red_saturated: Column, green_saturated: Column, dark: Column, green_mean: Column, channel_range: Column) -> dict[str, Column]:
+    """Status of a region's pixels and its reasons; warnings are looked at only when nothing rejects.
+
+    Shares of pixels with a channel of at least 250 or at most 10, the mean of green, and the
+    range of the channel means. Thresholds are fixed values.
+    """
+    rejects = {"saturated": saturated >= 0.10, "red_saturated": red_saturated >= 0.30, "green_saturated": green_saturated >= 0.20, "dark": dark >= 0.20, "green_very_low": green_mean < 20}
+    warns = {"some_saturated": saturated >= 0.02, "red_risk": red_saturated >= 0.05, "green_low": green_mean < 40, "green_high": green_mean > 220, "some_dark": dark >= 0.05, "imbalance": channel_range > 120}
+    listed = lambda checks: F.array_compact(F.array(*[F.when(c, n) for n, c in checks.items()]))
+    bad, odd = listed(rejects), listed(warns)
+    reasons = F.when(F.size(bad) > 0, bad).otherwise(odd)
+    return {"status": F.when(F.size(bad) > 0, "reject").when(F.size(odd) > 0, "warning").otherwise("ok"), "reasons": F.array_join(reasons, ";")}
 
 
 def readiness(samples: Column, fps: Column, accepted: Column, model: Column, spectral: Column) -> Column:
