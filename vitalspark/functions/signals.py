@@ -21,13 +21,14 @@ def total(signal: Column) -> Column:
 
 
 def mean(signal: Column) -> Column:
-    return total(signal) / F.size(signal)
+    """Mean of a signal; null when it is empty."""
+    return F.try_divide(total(signal), F.size(signal))
 
 
 def deviation(signal: Column) -> Column:
     """Population standard deviation."""
     m = mean(signal)
-    return F.sqrt(F.aggregate(signal, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.size(signal))
+    return F.sqrt(F.try_divide(F.aggregate(signal, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(signal)))
 
 
 def zscore(signal: Column, variant: str = "plain") -> Column:
@@ -93,21 +94,21 @@ def correlation(a: Column, b: Column) -> Column:
     """Pearson's correlation; null when either is flat."""
     ma, mb = mean(a), mean(b)
     sa, sb = deviation(a), deviation(b)
-    shared = total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))) / F.size(a)
+    shared = F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))), F.size(a))
     return F.when((sa >= EPSILON) & (sb >= EPSILON), shared / (sa * sb))
 
 
 def mean_error(a: Column, b: Column) -> Column:
-    return total(F.zip_with(a, b, lambda x, y: F.abs(x - y))) / F.size(a)
+    return F.try_divide(total(F.zip_with(a, b, lambda x, y: F.abs(x - y))), F.size(a))
 
 
 def root_error(a: Column, b: Column) -> Column:
-    return F.sqrt(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))) / F.size(a))
+    return F.sqrt(F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))), F.size(a)))
 
 
 def autocorrelation_quality(signal: Column, bpm: Column, fps: float) -> Column:
     """Autocorrelation at the lag of one beat, in 0 to 1: null without a rate or for too short a signal, 0 when flat."""
-    lag, n, m = F.bround(F.lit(60.0 * fps) / bpm).cast("int"), F.size(signal), mean(signal)
+    lag, n, m = F.bround(F.try_divide(F.lit(60.0 * fps), bpm)).cast("int"), F.size(signal), mean(signal)
     c = F.transform(signal, lambda x: x - m)
     zero = total(F.transform(c, lambda x: x * x))
     late = total(F.zip_with(F.slice(c, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(c, lag + 1, F.greatest(n - lag, F.lit(0))), lambda x, y: x * y)) / zero
@@ -157,6 +158,11 @@ def finite(value: Column) -> Column:
     return F.when(~F.isnan(value) & (F.abs(value) < float("inf")), value)
 
 
+def clamped(value: Column, low: float, high: float) -> Column:
+    """A number kept inside bounds; null stays null."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+
+
 def from_sentinel(value: Column, *sentinels: float) -> Column:
     """Null for the numbers that stand for a missing value."""
     return F.when(~value.isin(list(sentinels)), value)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import signals as S
+
 #: Thresholds of the error flags, in bpm.
 HIGH_HR, TACHY, SEVERE = 100.0, 120.0, 10.0
 
@@ -99,8 +101,8 @@ def tracking(errors: DataFrame, keys: list[str]) -> DataFrame:
     t, p = F.col("target"), F.col("pred")
     found = centred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
-        (F.covar_pop(p, t) / F.var_pop(t)).alias("slope"),
-        (F.stddev_pop(p) / F.stddev_pop(t)).alias("spread_ratio"),
+        F.try_divide(F.covar_pop(p, t), F.var_pop(t)).alias("slope"),
+        F.try_divide(F.stddev_pop(p), F.stddev_pop(t)).alias("spread_ratio"),
         F.avg("abs_error").alias("mae"),
         F.avg(F.abs(t - F.col("mean_target"))).alias("baseline_mae"),
     )
@@ -130,7 +132,7 @@ def full_evaluation(errors: DataFrame, keys: list[str], ddof: int = 0) -> DataFr
         F.sqrt(F.avg(s * s)).alias("rmse"),
         (F.avg(F.when(t != 0, F.col("abs_error") / F.abs(t))) * 100).alias("mape"),
         F.corr("pred", "target").alias("r"),
-        (1 - F.avg(s * s) / F.var_pop(t)).alias("r2"),
+        (1 - F.try_divide(F.avg(s * s), F.var_pop(t))).alias("r2"),
         F.avg(s).alias("bias"),
         deviation.alias("sd"),
     )
@@ -168,7 +170,7 @@ def bin_counts(rows: DataFrame, keys: list[str], label: Column, labels: list[str
     groups = rows.select(*keys).distinct()
     every = groups.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in labels], "bin string")))
     filled = every.join(counted, [*keys, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return filled.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    return filled.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*keys))))
 
 
 def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -188,7 +190,7 @@ def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 def clamp_collapse(rows: DataFrame, keys: list[str], low: float = 40.0, high: float = 180.0) -> DataFrame:
     """How often a prediction clamped to the plausible range sits on either end."""
-    clamped = F.greatest(F.lit(low), F.least(F.lit(high), F.col("pred")))
+    clamped = S.clamped(F.col("pred"), low, high)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), rate(clamped <= low).alias("floor_rate"), rate(clamped >= high).alias("ceiling_rate"), F.avg(clamped).alias("clamped_mean"))
 
 

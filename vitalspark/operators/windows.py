@@ -69,7 +69,7 @@ def heart_rate_variability(beats: DataFrame, keys: list[str], rr: str, order: li
 
 def steadiness(value: Column) -> Column:
     """1 less the coefficient of variation, at least 0: the quality index of a reference signal."""
-    return 1 - F.least(F.stddev_pop(value) / F.abs(F.avg(value)), F.lit(1.0))
+    return 1 - F.least(F.try_divide(F.stddev_pop(value), F.abs(F.avg(value))), F.lit(1.0))
 
 
 def crop(samples: DataFrame, clock: DataFrame, keys: list[str], time: str, least_seconds: float) -> DataFrame:

@@ -28,11 +28,11 @@ def sampling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.sampling_rate(samples(spark, sf_dir), ["rec"], "t"))
 
 
-@registry.add(f"""WITH {SAMPLES}, l AS (SELECT *, max(t) OVER (PARTITION BY rec) AS m FROM e) SELECT rec, count(*) AS n, {R('min(t)', 3)} AS first_t, {R('max(t)', 3)} AS last_t, {R('avg(x)')} AS mean_x FROM l WHERE t >= m - 86400 GROUP BY rec""")
+@registry.add(f"""WITH {SAMPLES}, l AS (SELECT *, max(t) OVER (PARTITION BY rec) AS m FROM e) SELECT rec, count(*) AS n, {R('min(t)', 3)} AS first_t, {R('max(t)', 3)} AS last_t, {R('avg(x)', 9)} AS mean_x FROM l WHERE t >= m - 86400 GROUP BY rec""")
 def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = windows.trailing(samples(spark, sf_dir), ["rec"], "t", 86400.0)
     found = kept.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.avg("x").alias("mean_x"))
-    return found.select("rec", "n", (F.round("first_t", 3) + 0.0).alias("first_t"), (F.round("last_t", 3) + 0.0).alias("last_t"), (F.round("mean_x", 6) + 0.0).alias("mean_x"))
+    return found.select("rec", "n", (F.round("first_t", 3) + 0.0).alias("first_t"), (F.round("last_t", 3) + 0.0).alias("last_t"), (F.round("mean_x", 9) + 0.0).alias("mean_x"))
 
 
 @registry.add(f"""WITH {SAMPLES}, b AS (SELECT rec, event_id, t, x * 4 AS rr FROM e WHERE x * 4 > 300 AND x * 4 < 2000), d AS (SELECT *, abs(rr - lag(rr) OVER (PARTITION BY rec ORDER BY t, event_id)) AS d FROM b)
@@ -73,11 +73,11 @@ def differences_and_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(f"""WITH {SAMPLES}, c AS (SELECT rec, min(t) AS t0, max(t) AS t1 FROM e WHERE channel = 'click' GROUP BY rec), i AS (SELECT e.*, max(t) OVER (PARTITION BY rec) - min(t) OVER (PARTITION BY rec) AS l FROM e JOIN c USING (rec) WHERE channel <> 'click' AND t BETWEEN t0 AND t1)
- SELECT rec, count(*) AS n, {R('avg(x)')} AS mean_x FROM i WHERE l >= 5 GROUP BY rec""")
+ SELECT rec, count(*) AS n, {R('avg(x)', 9)} AS mean_x FROM i WHERE l >= 5 GROUP BY rec""")
 def cropped_to_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
     inside = windows.crop(rows.where("channel <> 'click'"), rows.where("channel = 'click'"), ["rec"], "t", 5.0)
-    return rounded(inside.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x")))
+    return rounded(inside.groupBy("rec").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x")), 9)
 
 
 @registry.add(f"""WITH {SAMPLES}, a AS (SELECT rec, event_id, t FROM e WHERE channel <> 'purchase'), b AS (SELECT rec, t, x FROM e WHERE channel = 'purchase')
@@ -88,10 +88,10 @@ def latest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(windows.as_of(rows.where("channel <> 'purchase'").select("rec", "event_id", "t"), beats, ["rec"], "t", "hr").select("rec", "event_id", "hr"))
 
 
-@registry.add(f"""WITH {SAMPLES} SELECT rec, floor(t / 900)::bigint AS measurement, count(*) AS n, count(*) >= 2 AS usable, {R('avg(x)')} AS mean_x FROM e GROUP BY ALL""")
+@registry.add(f"""WITH {SAMPLES} SELECT rec, floor(t / 900)::bigint AS measurement, count(*) AS n, count(*) >= 2 AS usable, {R('avg(x)', 9)} AS mean_x FROM e GROUP BY ALL""")
 def fixed_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir).withColumn("measurement", F.floor(F.col("t") / 900))
-    return rounded(rows.groupBy("rec", "measurement").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 2).alias("usable"), F.avg("x").alias("mean_x")))
+    return rounded(rows.groupBy("rec", "measurement").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) >= 2).alias("usable"), F.avg("x").alias("mean_x")), 9)
 
 
 @registry.add(f"""WITH {SAMPLES} SELECT channel, count(*) AS n, count(try_cast(json_extract_string(props, '$.k') AS int)) AS parsed, sum(try_cast(json_extract_string(props, '$.k') AS int))::bigint AS total FROM e GROUP BY channel""")
@@ -103,7 +103,7 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"""WITH {SAMPLES}, c AS (SELECT rec, event_id, t, x * 4 AS rr, sum(x * 4) OVER (PARTITION BY rec ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) / 1000 AS beat FROM e),
  b AS (SELECT rec, beat, rr, lag(rr) OVER w AS r0, lag(beat) OVER w AS b0 FROM c WINDOW w AS (PARTITION BY rec ORDER BY t, event_id)),
  g AS (SELECT rec, b0, beat, r0, rr, unnest(generate_series(ceil(b0 * 4)::bigint, ceil(beat * 4)::bigint - 1)) AS k FROM b WHERE b0 IS NOT NULL)
- SELECT rec, k, {R('r0 + (rr - r0) * (k / 4.0::double - b0) / (beat - b0)', 4)} AS rr FROM g""")
+ SELECT rec, k, {R('r0 + (rr - r0) * (k / 4.0::double - b0) / (beat - b0)', 7)} AS rr FROM g""")
 def rsa_tachogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beat intervals on an even grid of 4 Hz: each pair of beats fills the grid between them, without a range join."""
     w = Window.partitionBy("rec").orderBy("t", "event_id")
@@ -113,7 +113,7 @@ def rsa_tachogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     low, high = F.ceil(F.col("a0") * 4), F.ceil(F.col("at") * 4) - 1
     grid = pairs.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))
     value = F.col("r0") + (F.col("rr") - F.col("r0")) * (F.col("k") / 4.0 - F.col("a0")) / (F.col("at") - F.col("a0"))
-    return rounded(grid.select("rec", "k", value.alias("rr")), 4)
+    return rounded(grid.select("rec", "k", value.alias("rr")), 7)
 
 
 # Manifest rows from orders.
