@@ -16,6 +16,12 @@ def scaled(signal: Column, factor: float, offset: float) -> Column:
     return F.transform(signal, lambda x: offset + factor * x)
 
 
+def let(body, **values: Column) -> Column:
+    """`body` of named values, each computed once a row: expressions inside an array lambda would run for every element."""
+    bound = F.array(F.struct(*[v.alias(k) for k, v in values.items()]))
+    return F.get(F.transform(bound, lambda s: body(*[s[k] for k in values])), 0)
+
+
 def total(signal: Column) -> Column:
     return F.aggregate(signal, F.lit(0.0), lambda a, x: a + x)
 
@@ -27,8 +33,11 @@ def mean(signal: Column) -> Column:
 
 def deviation(signal: Column) -> Column:
     """Population standard deviation."""
-    m = mean(signal)
-    return F.sqrt(F.try_divide(F.aggregate(signal, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)), F.size(signal)))
+
+    def spread(x: Column, m: Column) -> Column:
+        return F.sqrt(F.try_divide(F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)), F.size(x)))
+
+    return let(lambda x: let(spread, x=x, m=mean(x)), x=signal)
 
 
 def zscore(signal: Column, variant: str = "plain") -> Column:
@@ -37,17 +46,19 @@ def zscore(signal: Column, variant: str = "plain") -> Column:
     plain: by sigma, zeros when flat; padded: by sigma + 1e-8, zeros when flat; open: by
     sigma + 1e-8 without a guard.
     """
-    m, s = mean(signal), deviation(signal)
-    if variant == "open":
-        return F.transform(signal, lambda x: (x - m) / (s + EPSILON))
-    divisor = s + EPSILON if variant == "padded" else s
-    return F.when(s < EPSILON, F.transform(signal, lambda x: F.lit(0.0))).otherwise(F.transform(signal, lambda x: (x - m) / divisor))
+
+    def scale(x: Column, m: Column, d: Column) -> Column:
+        if variant == "open":
+            return F.transform(x, lambda v: (v - m) / (d + EPSILON))
+        divisor = d + EPSILON if variant == "padded" else d
+        return F.when(d < EPSILON, F.transform(x, lambda v: F.lit(0.0))).otherwise(F.transform(x, lambda v: (v - m) / divisor))
+
+    return let(lambda x: let(scale, x=x, m=mean(x), d=deviation(x)), x=signal)
 
 
 def by_mean(signal: Column) -> Column:
     """A colour channel over its own mean."""
-    m = mean(signal)
-    return F.transform(signal, lambda x: x / (m + EPSILON))
+    return let(lambda x: let(lambda y, m: F.transform(y, lambda v: v / (m + EPSILON)), y=x, m=mean(x)), x=signal)
 
 
 def mean_of(signals: list[Column]) -> Column:
@@ -73,29 +84,38 @@ def rgb_parts(kind: str, r: Column, g: Column, b: Column) -> tuple[Column, Colum
 
 def projected(first: Column, second: Column, sign: float) -> Column:
     """first + sign * alpha * second with alpha the ratio of deviations; first alone when the second is flat."""
-    s1, s2 = deviation(first), deviation(second)
-    return F.when(s2 < EPSILON, first).otherwise(combine(first, second, 1.0, sign * s1 / s2))
+
+    def mix(a: Column, b: Column, s1: Column, s2: Column) -> Column:
+        return F.when(s2 < EPSILON, a).otherwise(combine(a, b, 1.0, sign * s1 / s2))
+
+    return let(lambda a, b: let(mix, a=a, b=b, s1=deviation(a), s2=deviation(b)), a=first, b=second)
 
 
 def resampled(signal: Column, length: int) -> Column:
     """Linear resampling onto `length` points from the first to the last; null for under two points."""
-    n = F.size(signal)
 
-    def at(j: Column) -> Column:
-        place = j * (n - 1) / (length - 1)
-        low = F.least(F.floor(place), n - 2).cast("int")
-        a, b = F.element_at(signal, low + 1), F.element_at(signal, low + 2)
-        return a + (b - a) * (place - low)
+    def stretch(x: Column) -> Column:
+        n = F.size(x)
+
+        def at(j: Column) -> Column:
+            place = j * (n - 1) / (length - 1)
+            low = F.least(F.floor(place), n - 2).cast("int")
+            a, b = F.element_at(x, low + 1), F.element_at(x, low + 2)
+            return a + (b - a) * (place - low)
 
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
+        return F.when(n >= 2, F.transform(F.sequence(F.lit(0), F.lit(length - 1)), at))
+
+    return let(stretch, x=signal)
 
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson's correlation; null when either is flat."""
-    ma, mb = mean(a), mean(b)
-    sa, sb = deviation(a), deviation(b)
-    shared = F.try_divide(total(F.zip_with(a, b, lambda x, y: (x - ma) * (y - mb))), F.size(a))
-    return F.when((sa >= EPSILON) & (sb >= EPSILON), shared / (sa * sb))
+
+    def pearson(x: Column, y: Column, mx: Column, my: Column, sx: Column, sy: Column) -> Column:
+        shared = F.try_divide(total(F.zip_with(x, y, lambda u, v: (u - mx) * (v - my))), F.size(x))
+        return F.when((sx >= EPSILON) & (sy >= EPSILON), shared / (sx * sy))
+
+    return let(lambda x, y: let(pearson, x=x, y=y, mx=mean(x), my=mean(y), sx=deviation(x), sy=deviation(y)), x=a, y=b)
 
 
 def mean_error(a: Column, b: Column) -> Column:
@@ -108,12 +128,17 @@ def root_error(a: Column, b: Column) -> Column:
 
 def autocorrelation_quality(signal: Column, bpm: Column, fps: float) -> Column:
     """Autocorrelation at the lag of one beat, in 0 to 1: null without a rate or for too short a signal, 0 when flat."""
-    lag, n, m = F.bround(F.try_divide(F.lit(60.0 * fps), bpm)).cast("int"), F.size(signal), mean(signal)
-    c = F.transform(signal, lambda x: x - m)
-    zero = total(F.transform(c, lambda x: x * x))
-    late = total(F.zip_with(F.slice(c, F.lit(1), F.greatest(n - lag, F.lit(0))), F.slice(c, lag + 1, F.greatest(n - lag, F.lit(0))), lambda x, y: x * y)) / zero
+    lag, n = F.bround(F.try_divide(F.lit(60.0 * fps), bpm)).cast("int"), F.size(signal)
+
+    def share(c: Column) -> Column:
+        zero = total(F.transform(c, lambda x: x * x))
+        rest = F.greatest(n - lag, F.lit(0))
+        late = total(F.zip_with(F.slice(c, F.lit(1), rest), F.slice(c, lag + 1, rest), lambda x, y: x * y)) / zero
+        return F.when(zero < 1e-10, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(late, F.lit(1.0))))
+
+    centred = let(lambda x, m: F.transform(x, lambda v: v - m), x=signal, m=mean(signal))
     usable = (bpm > 0) & ~F.isnan(bpm) & (lag < n)
-    return F.when(usable, F.when(zero < 1e-10, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(late, F.lit(1.0)))))
+    return F.when(usable, let(share, c=centred))
 
 
 def rotated(signal: Column, by: int) -> Column:
