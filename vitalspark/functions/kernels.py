@@ -252,6 +252,23 @@ def respiration_quality(x: np.ndarray, fps: float, low: float = 0.10, high: floa
     return float(60 * fps / lags[best]), float(np.clip(values[best], 0, 1))
 
 
+def signal_to_noise(x: np.ndarray, bpm: np.ndarray, fps: float, low: float = LOW, high: float = HIGH, reach_bpm: float = 8.0) -> np.ndarray:
+    """Decibels, within 30 either way, of the band's power near the true rate and its double over the rest of the band."""
+    power, freqs = hann_power(x, window=False), np.fft.rfftfreq(x.shape[-1], 1 / fps)
+    band = band_mask(freqs, low, high)
+    rate = np.clip(np.asarray(bpm, dtype=float) / 60, low + 0.05, high - 0.05)[:, None]
+    near = ((np.abs(freqs - rate) <= reach_bpm / 60) | (np.abs(freqs - 2 * rate) <= reach_bpm / 60)) & band
+    signal, noise = (power * near).sum(axis=1) + 1e-8, (power * (band & ~near)).sum(axis=1) + 1e-8
+    return np.clip(10 * np.log10(signal / noise), -30, 30)
+
+
+def frequency_loss(a: np.ndarray, b: np.ndarray, fps: float, low: float = LOW, high: float = HIGH) -> np.ndarray:
+    """Sum of squared differences of the two spectra, each normalised over the band."""
+    band = band_mask(np.fft.rfftfreq(a.shape[-1], 1 / fps), low, high)
+    shares = [p / (p.sum(axis=1, keepdims=True) + 1e-8) for p in (hann_power(x, window=False)[:, band] for x in (a, b))]
+    return ((shares[0] - shares[1]) ** 2).sum(axis=1)
+
+
 def _z(x: np.ndarray) -> np.ndarray:
     d = x.std(axis=1, keepdims=True)
     return np.where(d < 1e-8, 0.0, (x - x.mean(axis=1, keepdims=True)) / np.where(d < 1e-8, 1.0, d))
@@ -325,6 +342,33 @@ def quality(signal: Column, fps: float, **options) -> Column:
     return run(signal)
 
 
+def snr(signal: Column, bpm: Column, fps: float) -> Column:
+    """signal_to_noise of equally long signals; null for nulls."""
+
+    @F.pandas_udf("double")
+    def run(signals: pd.Series, rates: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=signals.index)
+        for rows, x in _matrices(signals):
+            out.iloc[rows] = signal_to_noise(x, rates.to_numpy(dtype=float)[rows], fps)
+        return out.where(rates.notna() & out.notna(), None)
+
+    return run(signal, bpm)
+
+
+def spectral_distance(a: Column, b: Column, fps: float) -> Column:
+    """frequency_loss of pairs of equally long signals; null where either is null or the lengths differ."""
+
+    @F.pandas_udf("double")
+    def run(first: pd.Series, second: pd.Series) -> pd.Series:
+        out = pd.Series(np.nan, index=first.index)
+        fits = pd.Series([x is not None and y is not None and len(x) == len(y) for x, y in zip(first, second, strict=True)], index=first.index)
+        for rows, x in _matrices(first.where(fits, None)):
+            out.iloc[rows] = frequency_loss(x, np.stack([second.iloc[r] for r in rows]).astype(float), fps)
+        return out.where(out.notna(), None)
+
+    return run(a, b)
+
+
 def mapped(kernel, *options) -> object:
     """An Arrow function from array<double> to array<double> by a kernel over matrices."""
 

@@ -118,6 +118,16 @@ def correlation(a: Column, b: Column) -> Column:
     return let(lambda x, y: let(pearson, x=x, y=y, mx=mean(x), my=mean(y), sx=deviation(x), sy=deviation(y)), x=a, y=b)
 
 
+def pearson_loss(a: Column, b: Column) -> Column:
+    """One less the correlation, with a small floor under the spreads."""
+
+    def loss(x: Column, y: Column, mx: Column, my: Column) -> Column:
+        pairs = F.zip_with(x, y, lambda u, v: F.struct(((u - mx) * (v - my)).alias("uv"), ((u - mx) * (u - mx)).alias("uu"), ((v - my) * (v - my)).alias("vv")))
+        return let(lambda p: 1 - total(F.transform(p, lambda r: r["uv"])) / F.sqrt(total(F.transform(p, lambda r: r["uu"])) * total(F.transform(p, lambda r: r["vv"])) + 1e-8), p=pairs)
+
+    return let(loss, x=a, y=b, mx=mean(a), my=mean(b))
+
+
 def mean_error(a: Column, b: Column) -> Column:
     return F.try_divide(total(F.zip_with(a, b, lambda x, y: F.abs(x - y))), F.size(a))
 

@@ -12,6 +12,9 @@ from ..functions import signals as S
 #: Thresholds of the error flags, in bpm.
 HIGH_HR, TACHY, SEVERE = 100.0, 120.0, 10.0
 
+#: Buckets that a replica's rows are dealt to when they are ranked at random.
+RANK_BUCKETS = 1024
+
 
 def rate(condition: Column) -> Column:
     """Share of rows for which a condition holds; rows where it is unknown don't count."""
@@ -97,7 +100,9 @@ def calibration(errors: DataFrame, keys: list[str]) -> DataFrame:
 
 def tracking(errors: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: slope, ratio of spreads, MAE, the MAE of always saying the mean, and whether it is beaten."""
-    centred = errors.withColumn("mean_target", F.avg("target").over(Window.partitionBy(*keys)))
+    means = errors.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.avg("target").alias("mean_target"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    centred = errors.join(means, same) if keys else errors.crossJoin(means)
     t, p = F.col("target"), F.col("pred")
     found = centred.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
@@ -173,15 +178,18 @@ def bin_counts(rows: DataFrame, keys: list[str], label: Column, labels: list[str
     return filled.withColumn("share", F.try_divide(F.col("n"), F.sum("n").over(Window.partitionBy(*keys))))
 
 
-def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """MAE, shares within 2 and 3, Pearson's and Spearman's correlation (ties share their mean rank)."""
+def with_mean_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Add a value's rank within its group, ties sharing their mean rank: counted by distinct value, then joined back."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = counts.withColumn(name, upto - (F.col("__n") - 1) / 2).drop("__n")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(value) == F.col("__v")]
+    return rows.join(ranks, same, "left").drop(*[f"__{k}" for k in keys], "__v")
 
-    def rank(c: str) -> Column:
-        order = Window.partitionBy(*keys).orderBy(c)
-        ties = Window.partitionBy(*keys, c)
-        return F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2
 
-    ranked = rows.withColumns({"rank_t": rank("target"), "rank_p": rank("pred")})
+def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """MAE, shares within 2 and 3, Pearson's and Spearman's correlation (ties share their mean rank)."""
+    ranked = with_mean_rank(with_mean_rank(rows, keys, "target", "rank_t"), keys, "pred", "rank_p")
     error = F.abs(F.col("pred") - F.col("target"))
     return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(error).alias("mae"), rate(error <= 2).alias("within_2"), rate(error <= 3).alias("within_3"), F.corr("pred", "target").alias("pearson"), F.corr("rank_p", "rank_t").alias("spearman")
@@ -208,16 +216,29 @@ def validation_score(errors: DataFrame, reference_p90: float, reference_rate: fl
     return found.withColumn("score", F.col("mae") + weight_p90 * worse_p90 + weight_rate * worse_rate)
 
 
-def permutation_test(rows: DataFrame, replicas: int, statistic=None, seed: int = 1) -> DataFrame:
+def shuffled_rank(rows: DataFrame, seed: int, name: str = "k") -> DataFrame:
+    """A random place, 1 to n, of every row within its replica: rows with replica and id get `name`.
+
+    Rows are dealt to buckets by a seeded hash; a place is the sizes of the buckets before plus the
+    row number within the bucket, so that no replica has to be sorted in one task.
+    """
+    spread = rows.withColumn("__h", F.xxhash64("id", "replica", F.lit(seed))).withColumn("__b", F.pmod("__h", F.lit(RANK_BUCKETS)))
+    sizes = spread.groupBy("replica", "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy("replica").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("replica", "__b", F.coalesce(before, F.lit(0)).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("replica", "__b").orderBy("__h", "id"))
+    return spread.withColumn(name, within).join(offsets, ["replica", "__b"]).withColumn(name, F.col(name) + F.col("__before")).drop("__h", "__b", "__n", "__before")
+
+
+def permutation_test(rows: DataFrame, replicas: int, seed: int = 1) -> DataFrame:
     """Null distribution of the correlation of two columns under shuffled pairs, and its p-value.
 
-    A replica deals the second column out in the order of a seeded hash; pairs meet by rank.
+    A replica deals both columns out in the orders of two seeded hashes; pairs meet by rank.
     rows: a unique id, target, pred.
     """
-    spark = rows.sparkSession
-    copies = rows.crossJoin(F.broadcast(spark.range(replicas).withColumnRenamed("id", "replica")))
-    left = copies.select("replica", "target", F.row_number().over(Window.partitionBy("replica").orderBy("id")).alias("k"))
-    right = copies.select("replica", "pred", F.row_number().over(Window.partitionBy("replica").orderBy(F.xxhash64("id", "replica", F.lit(seed)), "id")).alias("k"))
+    copies = rows.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
+    left = shuffled_rank(copies.select("replica", "id", "target"), seed).select("replica", "k", "target")
+    right = shuffled_rank(copies.select("replica", "id", "pred"), seed + 1).select("replica", "k", "pred")
     null = left.join(right, ["replica", "k"]).groupBy("replica").agg(F.corr("pred", "target").alias("null_r"))
     real = rows.agg(F.corr("pred", "target").alias("r"))
     return null.crossJoin(F.broadcast(real)).agg(

@@ -39,15 +39,17 @@ def shuffled_split(rows: DataFrame, key: str, seed: int = 42, generator: str = "
     return rows.join(F.broadcast(table), key)
 
 
-def balanced_weight(group: str) -> Column:
-    """One over the rows of a group."""
-    return 1 / F.count(F.lit(1)).over(Window.partitionBy(group))
+def with_sampling_weights(rows: DataFrame, group: str, target: Column, power: float, high: float, tachy: float, favoured: Column, factor: float) -> DataFrame:
+    """Add `balanced`, one over the rows of the group, and `weight`, by group size to a power, high targets and a favoured group.
 
-
-def sampling_weight(group: str, target: Column, power: float, high: float, tachy: float, favoured: Column, factor: float) -> Column:
-    """Weight by group size to a power, high targets and a favoured group."""
-    base = F.pow(F.count(F.lit(1)).over(Window.partitionBy()) / F.count(F.lit(1)).over(Window.partitionBy(group)), F.lit(power))
-    return base * F.when(target >= 100, high).otherwise(1.0) * F.when(target >= 120, tachy).otherwise(1.0) * F.when(favoured, factor).otherwise(1.0)
+    Sizes are counted once and joined back, so that a large group stays spread over tasks.
+    """
+    sizes = rows.groupBy(F.col(group).alias("__group")).agg(F.count(F.lit(1)).alias("__m"))
+    known = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("__m").alias("__n"))))
+    base = F.pow(F.col("__n") / F.col("__m"), F.lit(power))
+    weight = base * F.when(target >= 100, high).otherwise(1.0) * F.when(target >= 120, tachy).otherwise(1.0) * F.when(favoured, factor).otherwise(1.0)
+    joined = rows.join(known, F.col(group).eqNullSafe(F.col("__group")))
+    return joined.withColumns({"balanced": 1 / F.col("__m"), "weight": weight}).drop("__group", "__m", "__n")
 
 
 def seeded_sample(rows: DataFrame, groups: list[str], key: list[str], n: int, seed: int = 42) -> DataFrame:

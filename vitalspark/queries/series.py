@@ -170,9 +170,9 @@ def split_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"""WITH {MANIFEST}, c AS (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY dataset) AS m FROM p), w AS (SELECT *, 1 / m AS balanced, power(n / m, 0.5::double) * CASE WHEN hr >= 100 THEN 2.0::double ELSE 1 END * CASE WHEN hr >= 120 THEN 1.5::double ELSE 1 END * CASE WHEN dataset = 'F' THEN 1.2::double ELSE 1 END AS weight FROM c)
  SELECT dataset, count(*) AS rows, {R('sum(balanced)')} AS balanced, {R('sum(weight)', 4)} AS weight, {R('sum(weight) / sum(sum(weight)) OVER ()')} AS share FROM w GROUP BY dataset""")
 def sampling_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = manifest(spark, sf_dir).withColumns({"b": splits.balanced_weight("dataset"), "w": splits.sampling_weight("dataset", F.col("hr"), 0.5, 2.0, 1.5, F.col("dataset") == "F", 1.2)})
-    found = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("b").alias("balanced"), F.sum("w").alias("weight"))
-    found = found.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
+    rows = splits.with_sampling_weights(manifest(spark, sf_dir), "dataset", F.col("hr"), 0.5, 2.0, 1.5, F.col("dataset") == "F", 1.2)
+    found = rows.groupBy("dataset").agg(F.count(F.lit(1)).alias("rows"), F.sum("balanced").alias("balanced"), F.sum("weight").alias("weight"))
+    found = found.crossJoin(F.broadcast(found.agg(F.sum("weight").alias("whole")))).withColumn("share", F.col("weight") / F.col("whole")).drop("whole")
     return found.withColumns({c: F.round(c, n) + 0.0 for c, n in (("balanced", 6), ("weight", 4), ("share", 6))})
 
 
