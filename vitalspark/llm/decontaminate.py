@@ -11,6 +11,10 @@
 4. A candidate has to share a longest common subsequence with the passage. Above `SURE` that is
    enough; between `LEAST` and `SURE` it is a paraphrase, and the passage's answer, its closing
    words, has to be there too.
+
+Terms of many documents tell nothing in the latent space, so passages that have little weight
+beside them are candidates by their words instead: a region has to hold `LEAST` of them, which a
+common subsequence of that length implies.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ BITS, HALF, BLOCK, BLOCKS = 18, 32, 256, 8
 COSINE, LEAST, SURE = 0.12, 0.6, 0.8
 #: Terms in more than this share of documents tell nothing; energy that a basis keeps; answer words.
 COMMON, ENERGY, ANSWER = 0.2, 0.98, 4
+#: Times the least cosine that a passage reaches in a window of uncommon words, or it is searched for by its words.
+PLAIN = 2.0
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SPACE = np.zeros(256, dtype=bool)
@@ -201,12 +207,55 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
+class PlainWords:
+    """Passages of a block whose rare terms weigh under `plain` together, searched for by all their words."""
+
+    def __init__(self, passages: list[Passage], rare: np.ndarray, plain: float, least: float, tokens: Tokens):
+        counted = [(p, *np.unique(tokens([b" ".join(p.words).decode(errors="replace")])[0], return_counts=True)) for p in passages]
+        kept = [x for x in counted if ((x[2] * rare[x[1]]) ** 2).sum() < plain]
+        self.passages = [x[0] for x in kept]
+        known = np.unique(np.concatenate([x[1] for x in kept])) if kept else np.zeros(0, dtype=np.int64)
+        self.column = np.full(1 << BITS, -1, dtype=np.int32) if kept else None
+        self.counts = np.zeros((len(known), len(kept)), dtype=np.float32)
+        for i, (_, terms, n) in enumerate(kept):
+            self.counts[np.searchsorted(known, terms), i] = n
+        if kept:
+            self.column[known] = np.arange(len(known))
+        self.need = np.array([least * len(p.words) for p in self.passages], dtype=np.float32) - np.float32(1e-3)
+
+    def candidates(self, terms: np.ndarray, half_of: np.ndarray, half_owner: np.ndarray):
+        """Half windows, and passages of which the region around them, as in _verify, holds enough words."""
+        if not self.passages:
+            return
+        column = self.column[terms]
+        inside = np.flatnonzero(column >= 0)
+        place, n = half_of[inside], len(half_owner)
+        held = np.bincount(place, minlength=n)
+        around = [(np.clip(np.arange(n) + k, 0, n - 1), k) for k in (-1, 0, 1, 2)]
+        near = [(other, (half_owner[other] == half_owner) & (other == np.arange(n) + k)) for other, k in around]
+        some = np.flatnonzero(sum(np.where(ok, held[other], 0) for other, ok in near) >= self.need.min())
+        step = max(16, (1 << 21) // len(self.counts))
+        for at in range(0, len(some), step):
+            part = some[at : at + step]
+            present = np.zeros((len(part), len(self.counts)), dtype=np.float32)
+            for other, ok in near:
+                rows = np.flatnonzero(ok[part])
+                halves = other[part[rows]]
+                low, high = np.searchsorted(place, halves), np.searchsorted(place, halves, side="right")
+                sizes = high - low
+                flat = np.repeat(low - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes) + np.arange(sizes.sum())
+                present[np.repeat(rows, sizes), column[inside[flat]]] = 1
+            for w, p in np.argwhere(present @ self.counts >= self.need):
+                yield part[w], self.passages[p]
+
+
 class Search:
     """Finds benchmark passages in whole texts."""
 
-    def __init__(self, bases: list[Basis], idf: np.ndarray, cosine: float, least: float, sure: float):
+    def __init__(self, bases: list[Basis], idf: np.ndarray, rare: np.ndarray, plain: float, cosine: float, least: float, sure: float):
         self.bases, self.square, self.tokens = bases, (idf**2).astype(np.float32), Tokens()
         self.cosine, self.least, self.sure = cosine, least, sure
+        self.plain = [PlainWords(b.passages, rare, plain, least, self.tokens) for b in bases]
 
     def __call__(self, texts: list[str]) -> list[dict]:
         """For each text its items: {item: (share, cosine)}."""
@@ -223,7 +272,9 @@ class Search:
         follows = np.append(half_owner[1:] == half_owner[:-1], False)
         half_of = np.cumsum(place % HALF == 0) - 1
         norm = np.sqrt(square + np.where(follows, np.append(square[1:], 0), 0)) + 1e-9
-        for basis in self.bases:
+        for basis, plain in zip(self.bases, self.plain, strict=True):
+            for w, p in plain.candidates(terms, half_of, half_owner):
+                self._verify(found, p, 0.0, fresh[w], owner, starts, ends, data)
             row = basis.row[terms]
             inside = np.flatnonzero(row >= 0)
             if not len(inside) or not basis.latent.shape[1]:
@@ -305,11 +356,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
     idf = np.where(frequency > COMMON * n, 0.0, np.log((n + 1) / (frequency + 1.0)))
     # Common terms count for the length of a window by their own small weight.
     weight = np.log((n + 1) / (frequency + 1.0))
+    uncommon = (frequency > 0) & (idf > 0)
+    energy = float((frequency[uncommon] * idf[uncommon] ** 2).sum() / frequency[uncommon].sum()) if uncommon.any() else np.inf
+    plain = (PLAIN * cosine) ** 2 * 2 * HALF * energy
     groups = bases_of(benchmark, idf) or [[]]
     kind = "array<struct<item_id:bigint,share:double,cosine:double>>"
     out = docs
     for g, group in enumerate(groups):
-        shared = spark.sparkContext.broadcast((group, weight))  # BLOCKS bases of BLOCK passages at most
+        shared = spark.sparkContext.broadcast((group, weight, idf, plain))  # BLOCKS bases of BLOCK passages at most
 
         def start(shared=shared):
             search = Search(*shared.value, cosine, least, sure)
