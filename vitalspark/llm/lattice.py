@@ -3,10 +3,11 @@
 A given piece vocabulary spans a lattice over each word: every way to spell the word in pieces is
 a path, and the forward recursion, in log space, sums the probabilities of all paths. The pieces'
 scores start from the order of the vocabulary and are fitted to the corpus's words by expectation
-maximisation over the same lattices. Whole words seen in training are entries too, with
-discounted relative frequencies; what the discount leaves goes to the lattice of pieces. A
-document's probability is the product over its words and an end, marginal over the groups
-(languages) of the training documents.
+maximisation over the same lattices. A word seen in training has two more arcs from the start of
+its lattice to its end: its discounted frequency in the group and in all groups. What the discounts
+leave is the weight of the arcs into the pieces, so the forward sum over all paths is the word's
+probability; it stays in logs. A document's probability is the product over its words and an end,
+marginal over the groups (languages) of the training documents.
 
 Counts are of the whole corpus. A document meets the frequent words' scores, a table of fixed
 size, where it is read; its rarer words go through a join on the word.
@@ -14,6 +15,7 @@ size, where it is read; its rarer words go through a join on the word.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 
 from .common import materialise, slices, texts_of
 
-#: Frequent words whose scores are broadcast; groups of the mixture; words counted before a flush.
-FREQUENT, GROUPS, FLUSH = 1 << 16, 8, 400_000
+#: Frequent words whose scores are broadcast; groups of the mixture; words and bytes of text counted before a flush.
+FREQUENT, GROUPS, FLUSH, FLUSH_BYTES = 1 << 16, 8, 400_000, 64 << 20
 #: Discount of counts where the counts of counts give none, weight of a vocabulary's own order in piece scores, log of a fallback byte.
 DISCOUNT, PRIOR, BYTE = 0.6, 1.0, float(np.log(1e-4 / 256))
-#: Longest piece, longest word that goes through the vectorised lattice, "no path".
-LONGEST, VECTOR, NONE = 16, 48, -1e30
+LN10 = math.log(10.0)
+#: Longest word that goes through the vectorised lattice, "no path".
+VECTOR, NONE = 48, -1e30
 START = "▁"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -53,7 +56,8 @@ class Pieces:
     """A piece vocabulary in hash tables: substring hash to piece number."""
 
     def __init__(self, pieces: list[str]):
-        self.pieces = [p for p in dict.fromkeys(pieces) if 0 < len(p) <= LONGEST]
+        self.pieces = [p for p in dict.fromkeys(pieces) if p]
+        self.longest = max(map(len, self.pieces), default=1)
         self.first = np.array([p.startswith(START) for p in self.pieces], dtype=bool)
         self.number = {p: i for i, p in enumerate(self.pieces)}
         keys = np.zeros(len(self.pieces), dtype=np.uint64)
@@ -115,7 +119,7 @@ class Lattice:
         prefix, powers = _hashes(text)
         width = text.shape[1]
         size = 1 + (text > 0x7F).astype(np.int64) + (text > 0x7FF) + (text > 0xFFFF)
-        found = {l: self.pieces.find(prefix[:, l:] - prefix[:, :-l] * powers[l]) for l in range(1, min(LONGEST, width) + 1)}
+        found = {l: self.pieces.find(prefix[:, l:] - prefix[:, :-l] * powers[l]) for l in range(1, min(self.pieces.longest, width) + 1)}
         return width, {l: ids for l, ids in found.items() if l == 1 or (ids >= 0).any()}, BYTE * size
 
     @staticmethod
@@ -134,19 +138,29 @@ class Lattice:
             alpha[:, i] = top + np.log(np.exp(paths - top).sum(axis=0))
         return alpha
 
-    def one(self, word: str, scores: Scores) -> float:
-        """The same recursion for one long word, place by place."""
+    def long(self, word: str, scores: Scores, back: bool = False) -> list[float]:
+        """The same recursion for one long word, place by place: sums over the paths to each place, or from it on."""
         text, number, score = START + word, self.pieces.number, scores.piece
-        alpha = [0.0]
-        for i in range(1, len(text) + 1):
-            paths = [alpha[i - 1] + BYTE * len(text[i - 1].encode())]
-            for l in range(1, min(i, LONGEST) + 1):
-                k = number.get(text[i - l : i])
+        end, ways = len(text), [0.0] * (len(text) + 1)
+        for i in range(end - 1, -1, -1) if back else range(1, end + 1):
+            paths = [ways[i + 1] + BYTE * len(text[i].encode())] if back else [ways[i - 1] + BYTE * len(text[i - 1].encode())]
+            for l in range(1, min(end - i if back else i, self.pieces.longest) + 1):
+                k = number.get(text[i : i + l] if back else text[i - l : i])
                 if k is not None:
-                    paths.append(alpha[i - l] + score[k])
+                    paths.append(ways[i + l if back else i - l] + score[k])
             top = max(paths)
-            alpha.append(top + float(np.log(sum(np.exp(p - top) for p in paths))))
-        return alpha[-1] + scores.stop
+            ways[i] = top + math.log(sum(math.exp(p - top) for p in paths))
+        return ways
+
+    def long_expected(self, word: str, scores: Scores, total: np.ndarray) -> None:
+        """Add the expected uses of each piece over the spellings of one long word."""
+        text, number, score = START + word, self.pieces.number, scores.piece
+        alpha, beta = self.long(word, scores), self.long(word, scores, back=True)
+        for i in range(len(text)):
+            for l in range(1, min(len(text) - i, self.pieces.longest) + 1):
+                k = number.get(text[i : i + l])
+                if k is not None:
+                    total[k] += math.exp(alpha[i] + score[k] + beta[i + l] - alpha[-1])
 
     def likelihoods(self, words: list[str]) -> np.ndarray:
         """Natural-log probability of each word under each group, over all its spellings."""
@@ -155,7 +169,7 @@ class Lattice:
             some = [words[i] for i in rows]
             if len(some[0]) > VECTOR:
                 for g, scores in enumerate(self.scores):
-                    out[g, rows] = [self.one(w, scores) for w in some]
+                    out[g, rows] = [self.long(w, scores)[-1] + scores.stop for w in some]
             else:
                 width, ids, fallback = self._arcs(some)
                 for g, scores in enumerate(self.scores):
@@ -163,11 +177,13 @@ class Lattice:
         return out
 
     def expected(self, words: list[str], group: int) -> np.ndarray:
-        """Expected uses of each piece over the words' spellings; very long words teach nothing about pieces."""
+        """Expected uses of each piece over the words' spellings."""
         scores = self.scores[group]
         total = np.zeros(len(self.pieces.pieces))
         for rows in _by_length(words):
             if len(words[rows[0]]) > VECTOR:
+                for i in rows:
+                    self.long_expected(words[i], scores, total)
                 continue
             width, ids, fallback = self._arcs([words[i] for i in rows])
             logs = self._logs(ids, fallback, scores)
@@ -217,12 +233,15 @@ def count_words(docs: DataFrame, groups: list[str | None]) -> DataFrame:
             for c in found:
                 c.clear()
 
+        held = 0
         for batch in batches:
             for part in slices(batch, "text"):
+                held += part.column(0).nbytes
                 for text, train, group in zip(texts_of(part, "text"), part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     found[place.get(group, width - 1) if train else width].update(words_of(text))
-                if sum(map(len, found)) > FLUSH:
+                if sum(map(len, found)) > FLUSH or held > FLUSH_BYTES:
                     yield from flush()
+                    held = 0
         yield from flush()
 
     rows = docs.select("text", "train", "group").mapInArrow(run, schema)
@@ -287,7 +306,7 @@ def word_scores(counts: DataFrame, pieces: Pieces, scores: list[Scores], totals:
         for batch in batches:
             for at in range(0, batch.num_rows, 20_000):
                 part = batch.slice(at, 20_000)
-                spelt = np.exp(lattice.likelihoods(_strings(part)))
+                spelt = lattice.likelihoods(_strings(part))
                 c = np.stack([part.column(1 + i).to_numpy(zero_copy_only=False) for i in range(width)]).astype(float)
                 logs = group_scores(c, spelt, totals)
                 n = c.sum(axis=0)
@@ -299,16 +318,22 @@ def word_scores(counts: DataFrame, pieces: Pieces, scores: list[Scores], totals:
 
 
 def group_scores(c: np.ndarray, spelt: np.ndarray, totals: Totals) -> np.ndarray:
-    """log10 probability of words under each group: discounted counts of the group, then of all, then its spelling."""
+    """log10 probability of words under each group: the forward sum over the arc of the group, that of all, and the pieces.
+
+    c: counts, a row a group; spelt: natural logs of the spellings' probabilities. Stays in logs,
+    so words of any length keep their probability.
+    """
     n, cut = totals.n, totals.discount
-    common = np.maximum(c.sum(axis=0) - cut, 0) / n if n else 0.0
-    left = cut * totals.all_kinds / n if n else 1.0
+    log = lambda x: np.log(np.maximum(x, 0.0))
     out = []
-    for row, tokens, own, spelling in zip(c, totals.tokens, totals.kinds, spelt, strict=True):
-        p = common + left * spelling
-        if tokens:
-            p = np.maximum(row - cut, 0) / tokens + cut * own / tokens * p
-        out.append(np.log10(np.maximum(p, 1e-300)))
+    with np.errstate(divide="ignore"):
+        common = log((c.sum(axis=0) - cut) / n) if n else np.full(c.shape[1], -np.inf)
+        left = log(cut * totals.all_kinds / n) if n else 0.0
+        for row, tokens, own, spelling in zip(c, totals.tokens, totals.kinds, spelt, strict=True):
+            p = np.logaddexp(common, left + spelling)
+            if tokens:
+                p = np.logaddexp(log((row - cut) / tokens), log(cut * own / tokens) + p)
+            out.append(p / LN10)
     return np.array(out)
 
 
@@ -363,7 +388,7 @@ def score_documents(docs: DataFrame, pieces_of: list[str], train: Column, key: s
     top = frequent_words(words).toPandas()  # FREQUENT rows at most
     frequent = spark.sparkContext.broadcast((top["word"].tolist(), top[names].to_numpy()))
     n_end = np.array([[float(d)] for d in documents])
-    end_logs = group_scores(n_end, np.full((width, 1), 1e-12), totals)[:, 0].tolist()
+    end_logs = group_scores(n_end, np.full((width, 1), math.log(1e-12)), totals)[:, 0].tolist()
     end_base = float(np.log10((sum(documents) + 0.5) / (totals.n + 0.5 * (totals.all_kinds + 1))))
     end_known = int(sum(documents) > 0)
 
@@ -371,34 +396,39 @@ def score_documents(docs: DataFrame, pieces_of: list[str], train: Column, key: s
         listed, table = frequent.value
         place = {bytes(w): i for i, w in enumerate(listed)}
         table = np.vstack([table, np.zeros((1, table.shape[1]))])
-        missing = len(listed)
+        missing, number = len(listed), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                keys, ties = part.column(0), part.column(1)
-                plain, rare, owner, times = [], [], [], []
+                word, times, owner, plain = [], [], [], []
                 for i, x in enumerate(texts_of(part, "text")):
                     own = words_of(x)
                     at = np.array([place.get(w, missing) for w in own], dtype=np.int64)
                     rest = Counter(own[k] for k in np.flatnonzero(at == missing))
                     sums = table[at].sum(axis=0)
-                    plain.append([len(own) + 1, int((at < missing).sum()) + end_known, *(sums + [end_base, *end_logs]).tolist()])
-                    rare += rest.keys()
-                    times += rest.values()
-                    owner += [i] * len(rest)
+                    plain.append([1.0, len(own) + 1.0, float((at < missing).sum()) + end_known, *(sums + [end_base, *end_logs]).tolist()])
+                    # A text's own row has a word that no text has, another for each row, so that these rows spread in the join.
+                    word.append(b" %d" % number)
+                    number += 1
+                    word += rest.keys()
+                    times += [1, *rest.values()]
+                    owner += [i] * (len(rest) + 1)
+                rows = [None] * len(owner)
+                for k, w in enumerate(np.searchsorted(np.array(owner), np.arange(len(plain))).tolist()):
+                    rows[w] = plain[k]
                 take = pa.array(owner, pa.int64())
-                yield _rows(keys, ties, None, None, plain, names)
-                yield _rows(keys.take(take), ties.take(take), rare, times, None, names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(take), part.column(1).take(take), pa.array(word, pa.binary()), pa.array(times, pa.int64()), pa.array(rows, pa.list_(pa.float64()))], names=["key", "tie", "word", "times", "plain"])
 
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, tie long, word binary, times long, n_tokens long, n_known long, " + ", ".join(f"{c} double" for c in names)
-    parts = materialise(rows.select("key", F.xxhash64("text").alias("tie"), "text").mapInArrow(look, schema), "parts")
-    scored = words.select("word", F.col("n").alias("seen"), *[F.col(c).alias(f"w_{c}") for c in names])
-    rare = parts.where("word is not null").select("key", "tie", "word", "times").join(scored, "word")
-    tails = rare.select("key", "tie", F.lit(0).cast("long").alias("copies"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("seen") > 0, F.col("times")).otherwise(0).alias("n_known"), *[(F.col("times") * F.col(f"w_{c}")).alias(c) for c in names])
-    heads = parts.where("word is null").select("key", "tie", F.lit(1).cast("long").alias("copies"), "n_tokens", "n_known", *names)
-    summed = heads.unionByName(tails).groupBy("key", "tie").agg(*[F.sum(c).alias(c) for c in ["copies", "n_tokens", "n_known", *names]])
+    parts = rows.select("key", F.xxhash64("text").alias("tie"), "text").mapInArrow(look, f"key {kind}, tie long, word binary, times long, plain array<double>")
+    scored = words.select("word", F.col("n").alias("seen"), F.array(*names).alias("logs"))
+    # A text's own row brings its sums, a rarer word's row its share of them.
+    met = parts.join(scored, "word", "left")
+    own = F.col("plain").isNotNull()
+    named = ["copies", "n_tokens", "n_known", *names]
+    values = {"copies": F.lit(0.0), "n_tokens": F.lit(0.0), "n_known": F.when(F.col("seen") > 0, F.col("times")).otherwise(0).cast("double")} | {c: F.col("times") * F.col("logs")[i] for i, c in enumerate(names)}
+    summed = met.groupBy("key", "tie").agg(*[F.sum(F.when(own, F.col("plain")[i]).otherwise(values[c])).alias(c) for i, c in enumerate(named)])
     # Rows that agree in key and text were added up; each gets its share back.
-    each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    each = summed.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))))
     shares = [d / max(1, sum(documents)) for d in documents] if sum(documents) else [1.0 / width] * width
     logs = [F.col(f"s{i}") / F.col("copies") + F.lit(float(np.log10(p))) for i, p in enumerate(shares) if p > 0]
     peak = F.greatest(*logs) if len(logs) > 1 else logs[0]
@@ -413,15 +443,6 @@ def score_documents(docs: DataFrame, pieces_of: list[str], train: Column, key: s
     )
 
 
-def _rows(keys, ties, words, times, plain, names) -> pa.RecordBatch:
-    n = len(keys)
-    columns = [keys, ties, pa.array(words if words is not None else [None] * n, pa.binary()), pa.array(times if times is not None else [None] * n, pa.int64())]
-    for k in range(len(names) + 2):
-        kind = pa.int64() if k < 2 else pa.float64()
-        columns.append(pa.array([p[k] for p in plain] if plain is not None else [None] * n, kind))
-    return pa.RecordBatch.from_arrays(columns, names=["key", "tie", "word", "times", "n_tokens", "n_known", *names])
-
-
 def vocabulary(model_file: str) -> list[str]:
     """Pieces of a sentencepiece model in the order of its scores; control and byte pieces are left out."""
     import sentencepiece
