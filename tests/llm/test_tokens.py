@@ -70,7 +70,7 @@ def test_shards(spark, awkward, nothing):
     folder = shared_path(spark, "shards")
     manifest = materialise(sstable.write_shards(awkward, WORDS, folder, shard_bytes=1 << 12), "manifest")
     assert manifest.agg({"documents": "sum"}).first()[0] == awkward.count()
-    rows = sstable.positions(spark, folder, manifest).orderBy("start").collect()
+    rows = sstable.positions(spark, folder).orderBy("start").collect()
     library = Tokenizer.from_file(WORDS)
     assert [r["doc_id"] for r in rows] == sorted((r["doc_id"] for r in rows), key=lambda x: (x is not None, x or 0))
     at = 0
@@ -85,6 +85,10 @@ def test_shards(spark, awkward, nothing):
     assert sstable.lookup(spark, folder, [99]).count() == 0
     empty = shared_path(spark, "shards")
     assert materialise(sstable.write_shards(nothing, WORDS, empty), "manifest").count() == 0
+    assert sstable.positions(spark, empty).count() == 0 and sstable.lookup(spark, empty, [1]).count() == 0
+
+
+FOOTER = sstable.FOOTER.size
 
 
 def test_a_table_finds_what_was_written(tmp_path):
@@ -101,5 +105,8 @@ def test_a_table_finds_what_was_written(tmp_path):
     assert sum(table.may_hold(i * 3 + 1 - 5000) for i in range(2000)) < 100
     broken = bytearray(path.read_bytes())
     broken[100] ^= 1
+    with pytest.raises(ValueError):
+        list(sstable.Table(bytes(broken)).scan())
+    broken[-FOOTER - 5] ^= 1
     with pytest.raises(ValueError):
         sstable.Table(bytes(broken))

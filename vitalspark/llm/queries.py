@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat, decontaminate, hilbert, langid, lattice, simhash, spherical, sstable, toxicity
-from .common import materialise, shared_path
+from .common import shared_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,8 +49,8 @@ def op3_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_path(spark, "shards")
     docs = table(spark, sf_dir, "documents")
-    manifest = materialise(sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), folder), "manifest")
-    return sstable.positions(spark, folder, manifest)
+    sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), folder).write.format("noop").mode("overwrite").save()
+    return sstable.positions(spark, folder)
 
 
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,19 +3,21 @@
 A shard holds documents in ascending order of their keys. Layout, little-endian but for keys:
 
     block*   entries: varint shared prefix, varint suffix length, varint value length, suffix, value
-    index    for each block: varint key length, first key, u64 offset, u32 length
+    index    for each block: varint key length, first key, u64 offset, u32 length, u32 crc32; then the last key
     bloom    u32 hash count, then the bits
     footer   FOOTER below, of a fixed size, at the very end
 
 A key is a null marker, the identifier as a big-endian integer with its sign bit flipped, and a
 number that tells repeated identifiers apart, so byte order is identifier order. A value is the
-ids in the footer's width. A lookup asks the Bloom filter, searches the sparse index by bisection
-and walks one block.
+ids in the footer's width. A lookup reads footer, index and filter, leaves shards whose range or
+Bloom filter excludes the key, searches the sparse index by bisection and reads one block. A scan
+reads runs of blocks. So neither holds a whole file.
 """
 
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import unicodedata
@@ -32,14 +34,27 @@ from pyspark.sql import types as T
 
 from .common import slices, texts_of
 
-MAGIC = b"VSSTABL1"
-#: index offset and length, bloom offset and length, documents, ids, bytes an id, crc32 of all before, magic
+MAGIC = b"VSSTABL2"
+#: index offset and length, bloom offset and length, documents, ids, bytes an id, crc32 of index and bloom, magic
 FOOTER = struct.Struct("<QQQQQQII8s")
 BLOCK_BYTES, SHARD_BYTES, BITS_A_KEY, HASHES = 32 << 10, 32 << 20, 10, 7
-#: Words that a worker's cache holds at most, in each of its two generations.
-CACHE = 200_000
+#: Bytes of neighbouring blocks that a scan reads at a time.
+READ_BYTES = 1 << 20
+#: Runs that a worker's cache holds at most, in each of its two generations.
+CACHE = 300_000
 #: ASCII marks that may follow a word of letters and never belong to it.
 MARKS = b",.!?;:|%&$*#()"
+#: Normalisation and parting for which runs between ASCII white space can be encoded apart.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 #: The byte-level scheme: printable bytes stand for themselves, the others for characters from 256 on.
 _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LEVEL = {b: b for b in _PLAIN} | {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PLAIN)}
@@ -85,19 +100,18 @@ class Writer:
     """One shard, written block by block; only its index and key hashes stay in memory."""
 
     def __init__(self, stream, width: int):
-        self.stream, self.width, self.at, self.crc = stream, width, 0, 0
+        self.stream, self.width, self.at = stream, width, 0
         self.block, self.last, self.index, self.hashes = bytearray(), b"", [], []
         self.documents = self.ids = 0
         self.first = b""
 
     def _put(self, data: bytes) -> None:
         self.stream.write(data)
-        self.crc = zlib.crc32(data, self.crc)
         self.at += len(data)
 
     def add(self, key: bytes, value: bytes) -> None:
         if not self.block:
-            self.index.append([key, self.at, 0])
+            self.index.append([key, self.at, 0, 0])
             self.last = b""
             self.first = self.first or key
         shared = len(os.path.commonprefix((key, self.last)))
@@ -111,71 +125,92 @@ class Writer:
 
     def flush(self) -> None:
         if self.block:
-            self.index[-1][2] = len(self.block)
+            self.index[-1][2:] = len(self.block), zlib.crc32(self.block)
             self._put(bytes(self.block))
             self.block = bytearray()
 
     def finish(self) -> None:
         self.flush()
-        index = b"".join(_varint(len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index)
+        index = b"".join(_varint(len(k)) + k + struct.pack("<QII", at, n, crc) for k, at, n, crc in self.index) + self.last
         index_at = self.at
         self._put(index)
         size = max(64, len(self.hashes) * BITS_A_KEY)
         bits = np.zeros((size + 7) // 8 * 8, dtype=np.uint8)
         if self.hashes:
             bits[_bloom_bits(np.array(self.hashes, dtype=np.uint64), bits.size).ravel()] = 1
-        bloom_at = self.at
-        self._put(struct.pack("<I", HASHES) + np.packbits(bits, bitorder="little").tobytes())
-        self.stream.write(FOOTER.pack(index_at, len(index), bloom_at, self.at - bloom_at, self.documents, self.ids, self.width, self.crc, MAGIC))
+        bloom_at, bloom = self.at, struct.pack("<I", HASHES) + np.packbits(bits, bitorder="little").tobytes()
+        self._put(bloom)
+        self.stream.write(FOOTER.pack(index_at, len(index), bloom_at, len(bloom), self.documents, self.ids, self.width, zlib.crc32(bloom, zlib.crc32(index)), MAGIC))
 
 
 class Table:
-    """A shard's bytes, read through footer, index and filter."""
-
-    def __init__(self, data: bytes):
-        self.data = memoryview(data).cast("B")
-        foot = FOOTER.unpack(self.data[-FOOTER.size :])
-        index_at, index_size, self.bloom_at, self.bloom_size, self.documents, self.ids, self.width, self.crc, magic = foot
-        if magic != MAGIC or zlib.crc32(self.data[: -FOOTER.size]) != self.crc:
+    """A shard read in ranges, from a file that Arrow opened or from bytes: at first footer, index and filter alone."""
+
+    def __init__(self, source):
+        self.source = pa.BufferReader(source) if isinstance(source, bytes) else source
+        end = self.source.size()
+        foot = FOOTER.unpack(self._read(end - FOOTER.size, FOOTER.size)) if end >= FOOTER.size else (0,) * 8 + (b"",)
+        index_at, index_size, _, bloom_size, self.documents, self.ids, self.width, crc, magic = foot
+        tail = self._read(index_at, index_size + bloom_size) if magic == MAGIC else b""
+        if magic != MAGIC or zlib.crc32(tail) != crc:
             raise ValueError("not a whole shard")
-        self.keys, self.blocks, at = [], [], index_at
-        while at < index_at + index_size:
-            n, at = _read_varint(self.data, at)
-            self.keys.append(bytes(self.data[at : at + n]))
-            self.blocks.append(struct.unpack_from("<QI", self.data, at + n))
-            at += n + 12
-
-    def _entries(self, block: int):
-        at, size = self.blocks[block]
-        end, key = at + size, b""
-        while at < end:
-            shared, at = _read_varint(self.data, at)
-            n, at = _read_varint(self.data, at)
-            length, at = _read_varint(self.data, at)
-            key = key[:shared] + bytes(self.data[at : at + n])
-            at += n
-            yield key, self.data[at : at + length]
-            at += length
+        self.keys, self.blocks, at = [], [], 0
+        self.bloom = tail[index_size + 4 :]
+        size = len(encode_key(None))
+        while at < index_size - size:
+            n, at = _read_varint(tail, at)
+            self.keys.append(tail[at : at + n])
+            self.blocks.append(struct.unpack_from("<QII", tail, at + n))
+            at += n + 16
+        self.last = tail[at:index_size]
+
+    def _read(self, at: int, size: int) -> bytes:
+        self.source.seek(at)
+        return self.source.read(size)
+
+    def _entries(self, first: int, stop: int):
+        """Keys and values of neighbouring blocks, read at once."""
+        start = self.blocks[first][0]
+        data = memoryview(self._read(start, self.blocks[stop - 1][0] + self.blocks[stop - 1][1] - start))
+        for place, size, crc in self.blocks[first:stop]:
+            at, key = place - start, b""
+            end = at + size
+            if zlib.crc32(data[at:end]) != crc:
+                raise ValueError("a broken block")
+            while at < end:
+                shared, at = _read_varint(data, at)
+                n, at = _read_varint(data, at)
+                length, at = _read_varint(data, at)
+                key = key[:shared] + bytes(data[at : at + n])
+                at += n
+                yield key, data[at : at + length]
+                at += length
 
     def scan(self):
-        for block in range(len(self.blocks)):
-            yield from self._entries(block)
+        first = 0
+        while first < len(self.blocks):
+            stop, size = first + 1, self.blocks[first][1]
+            while stop < len(self.blocks) and size + self.blocks[stop][1] <= READ_BYTES:
+                size += self.blocks[stop][1]
+                stop += 1
+            yield from self._entries(first, stop)
+            first = stop
 
     def may_hold(self, identifier: int | None) -> bool:
-        size = (self.bloom_size - 4) * 8
-        for bit in _bloom_bits(np.array([xxhash.xxh64_intdigest(encode_key(identifier)[:9])], dtype=np.uint64), size)[0].tolist():
-            if not self.data[self.bloom_at + 4 + bit // 8] >> bit % 8 & 1:
-                return False
-        return True
+        wanted = encode_key(identifier)[:9]
+        if not self.keys or not self.keys[0][:9] <= wanted <= self.last[:9]:
+            return False
+        bits = _bloom_bits(np.array([xxhash.xxh64_intdigest(wanted)], dtype=np.uint64), len(self.bloom) * 8)[0]
+        return all(self.bloom[b // 8] >> b % 8 & 1 for b in bits.tolist())
 
     def get(self, identifier: int | None) -> list[np.ndarray]:
         """The ids of every document of that identifier."""
-        if not self.documents or not self.may_hold(identifier):
+        if not self.may_hold(identifier):
             return []
         wanted, found = encode_key(identifier)[:9], []
         block = max(0, bisect.bisect_left(self.keys, wanted) - 1)
         while block < len(self.keys) and self.keys[block][:9] <= wanted:
-            found += [self.unpack(value) for key, value in self._entries(block) if key[:9] == wanted]
+            found += [self.unpack(value) for key, value in self._entries(block, block + 1) if key[:9] == wanted]
             block += 1
         return found
 
@@ -183,11 +218,27 @@ class Table:
         return np.frombuffer(value, dtype="<u2" if self.width == 2 else "<u4").astype("<u4")
 
 
+class Runs(dict):
+    """Ids of runs of characters, made when first asked for; the last CACHE before the present ones are kept too."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        if (made := self.old.get(run)) is None:
+            made = self.make(run)
+        self[run] = made
+        return made
+
+
 class WordCache:
     """Encodes texts by the runs between ASCII white space, each run once.
 
-    Right for tokenizers that lower-case, put into NFC, drop white space, part letters from other
-    marks and spell bytes as the byte-level scheme does.
+    Where the definition isn't known to part texts there (APART), whole texts go to the library.
     """
 
     def __init__(self, definition: str, width: int, end_id: int):
@@ -198,29 +249,16 @@ class WordCache:
         self.code = "H" if width == 2 else "I"
         self.end = self._pack([end_id])
         self.model = self.tokenizer.model
-        self.words: dict[bytes, bytes] = {}
+        stated = json.loads(definition)
+        self.apart = all(stated.get(k) == v for k, v in APART.items()) and stated["model"]["type"] == "BPE" and not stated["model"].get("dropout") and not stated.get("truncation")
+        self.runs = Runs(self._run)
         self.tails: dict[bytes, bytes] = {}
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        runs = [x.encode().split() for x in texts]
-        return [self._joined(row) for row in runs]
-
-    def _joined(self, row: list[bytes]) -> bytes:
-        young = self.young
-        try:
-            return b"".join(map(young.__getitem__, row)) + self.end
-        except KeyError:
-            pass
-        missing = [x for x in set(row) if x not in young]
-        if len(young) + len(missing) > CACHE and young:
-            self.old, self.young = young, {}
-            young, missing = self.young, list(set(row))
-        for x in missing:
-            known = self.old.get(x)
-            young[x] = self._run(x) if known is None else known
-        return b"".join(map(young.__getitem__, row)) + self.end
+        if not self.apart:
+            return [self._pack(x.ids) + self.end for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.runs.__getitem__
+        return [b"".join(map(found, x.encode().split())) + self.end for x in texts]
 
     def _pack(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
@@ -230,24 +268,21 @@ class WordCache:
         is looked up alone; in such a word nothing is left to normalise, and it goes to the model."""
         lower = run.lower()
         word = lower.rstrip(MARKS)
-        made = self.words.get(word)
-        if made is None:
-            text = word.decode()
-            if not (text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text))):
-                return self._whole(run)
-            spelt = text if text.isascii() else word.decode("latin-1").translate(BYTE_LEVEL)
-            made = self._pack([t.id for t in self.model.tokenize(spelt)])
-            if len(self.words) >= 2 * CACHE:
-                self.words.clear()
-            self.words[word] = made
-        if len(word) == len(lower):
-            return made
-        marks = lower[len(word) :]
-        if (tail := self.tails.get(marks)) is None:
-            tail = self._whole(marks)
-            if len(self.tails) < 10_000:
-                self.tails[marks] = tail
-        return made + tail
+        text = word.decode()
+        if not (text.isalpha() and (text.isascii() or text == text.lower() and unicodedata.is_normalized("NFC", text))):
+            return self._whole(run)
+        if word != run:
+            made = self.runs[word]
+            if len(word) == len(lower):
+                return made
+            marks = lower[len(word) :]
+            if (tail := self.tails.get(marks)) is None:
+                tail = self._whole(marks)
+                if len(self.tails) < 10_000:
+                    self.tails[marks] = tail
+            return made + tail
+        spelt = text if text.isascii() else word.decode("latin-1").translate(BYTE_LEVEL)
+        return self._pack([t.id for t in self.model.tokenize(spelt)])
 
     def _whole(self, run: bytes) -> bytes:
         return self._pack(self.tokenizer.encode(run.decode(), add_special_tokens=False).ids)
@@ -309,14 +344,48 @@ def write_shards(df: DataFrame, tokenizer_path: str, folder: str, key: str = "do
     return rows.mapInArrow(run, "path string, first_key binary, documents long, ids long")
 
 
+def shard_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Name and bytes of every shard under `folder`; no content is read."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    store.create_dir(root)  # a table without rows wrote none
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("path"), F.col("length").alias("bytes"))
+
+
+def _opened(folder: str):
+    """A function from the name of a shard to its table, for use in a task."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(folder)
+    return lambda name: Table(store.open_input_file(f"{root}/{name}"))
+
+
+def manifest_of(spark: SparkSession, folder: str) -> DataFrame:
+    """path, first_key, documents and ids of every shard, from its footer and index; an empty folder gives no rows."""
+
+    def run(batches):
+        table_of = _opened(folder)
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                table = table_of(path)
+                yield pa.RecordBatch.from_pylist([{"path": path, "first_key": table.keys[0], "documents": table.documents, "ids": table.ids}])
+
+    return shard_files(spark, folder).select("path").mapInArrow(run, "path string, first_key binary, documents long, ids long")
+
+
 def read_shards(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document of the shards: path, first_key, place, doc_id, before (ids of the same shard before it), ids."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("path"), "content")
+    """Every document of the shards: path, first_key, place, doc_id, before (ids of the same shard before it), ids.
+
+    An empty folder gives no rows.
+    """
 
     def run(batches):
+        table_of = _opened(folder)
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                table = Table(content.as_buffer())
+            for path in batch.column(0).to_pylist():
+                table = table_of(path)
                 rows, place, before, held = [], 0, 0, 0
                 for key, value in table.scan():
                     ids = table.unpack(value)
@@ -328,7 +397,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return files.mapInArrow(run, _READ)
+    return shard_files(spark, folder).select("path").mapInArrow(run, _READ)
 
 
 _READ = "path string, first_key binary, place long, doc_id long, before long, ids binary"
@@ -341,26 +410,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def lookup(spark: SparkSession, folder: str, identifiers: list[int]) -> DataFrame:
-    """doc_id and ids of the documents of a few identifiers, by filter and bisection in each shard."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sst").load(folder).select("content")
+    """doc_id and ids of the documents of a few identifiers, by range, filter and bisection in each shard.
+
+    Unknown identifiers and an empty folder give no rows.
+    """
 
     def run(batches):
+        table_of = _opened(folder)
         for batch in batches:
-            for content in batch.column(0):
-                table = Table(content.as_buffer())
+            for path in batch.column(0).to_pylist():
+                table = table_of(path)
                 found = [(i, x.tobytes()) for i in identifiers for x in table.get(i)]
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([x for _, x in found], pa.binary())], names=["doc_id", "ids"])
 
-    return files.mapInArrow(run, "doc_id long, ids binary")
+    return shard_files(spark, folder).select("path").mapInArrow(run, "doc_id long, ids binary")
 
 
-def positions(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
+def positions(spark: SparkSession, folder: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the shards.
 
-    The running sum over shards is over the manifest, a row for some 32 MB of ids.
+    The running sum over shards is over their footers, a row for some 32 MB of ids.
     """
     rank = Window.orderBy("first_key").rowsBetween(Window.unboundedPreceding, -1)
-    starts = manifest.select("path", F.coalesce(F.sum("ids").over(rank), F.lit(0)).alias("shard_start"))
+    starts = manifest_of(spark, folder).select("path", F.coalesce(F.sum("ids").over(rank), F.lit(0)).alias("shard_start"))
     docs = read_shards(spark, folder).select("path", "doc_id", "before", F.length("ids").alias("bytes"), F.crc32("ids").alias("ids_crc32"))
     return docs.join(starts, "path").select(
         "doc_id", (F.col("shard_start") + F.col("before")).alias("start"), (F.col("bytes") / 4).cast(T.LongType()).alias("n_tokens"), "ids_crc32"
