@@ -69,7 +69,7 @@ def test_shards_are_even_and_gapless(spark, awkward, nothing):
     rnd = random.Random(3)
     rows = [(i, rnd.choice(["en"] * 8 + ["de", None]), f"src{rnd.randrange(5)}", rnd.randrange(1000)) for i in range(997)] + [(None, None, None, None)] * 3
     df = spark.createDataFrame(rows, "doc_id long, lang string, source string, n_chars long").withColumn("slot", F.lit("old"))
-    dimensions = {"lang": hilbert.ordered_number(F.col("lang")), "source": hilbert.ordered_number(F.col("source")), "n_chars": F.col("n_chars")}
+    dimensions = {name: F.col(name) for name in ("lang", "source", "n_chars")}
     made = hilbert.shard(df, dimensions, 40, [F.col("doc_id")]).collect()
     shards = defaultdict(list)
     for r in made:
@@ -83,11 +83,19 @@ def test_shards_are_even_and_gapless(spark, awkward, nothing):
     assert hilbert.shard(df.where("false"), dimensions, 40, [F.col("doc_id")]).count() == 0
 
 
-def test_string_numbers_keep_the_order(spark):
-    words = ["", "a", "ab", "b", "src1", "src10", "src2", "é", "zzzzzzzzz1", "zzzzzzzzz2"]
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", hilbert.ordered_number(F.col("w")).alias("n")).collect()
-    by = sorted(rows, key=lambda r: r["w"].encode())
-    assert all(a["n"] <= b["n"] for a, b in zip(by, by[1:]))
+def test_strings_are_cut_in_their_own_order(spark):
+    rnd = random.Random(5)
+    words = [f"https://example.org/{rnd.randrange(40):02d}" for _ in range(900)] + ["", "é"] * 20 + [None] * 60
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    listed = sorted(w.encode() for w in words if w is not None)
+    cuts = hilbert.text_cuts(df, F.col("w"), 8)
+    for i in range(1, 8):  # each cut is the least value at which the counts reach i eighths
+        assert listed[-(-len(listed) * i // 8) - 1].decode() in cuts
+    made = hilbert.quantised(df, {"w": F.col("w")}, 3).collect()
+    assert len({r["q_w"] for r in made}) == 8
+    by = sorted((r for r in made if r["w"] is not None), key=lambda r: r["w"].encode())
+    assert all(a["q_w"] <= b["q_w"] for a, b in zip(by, by[1:])) and {r["q_w"] for r in made if r["w"] is None} == {0}
+    assert hilbert.text_cuts(df.where("false"), F.col("w"), 8) == []
 
 
 # Perspective rotation.

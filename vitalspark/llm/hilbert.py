@@ -11,11 +11,10 @@ bucket, and running sums over the counts of cells and buckets give each bucket's
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
-
 #: Bits a dimension; buckets that a partition's share of rows is split into.
 BITS, SPLIT = 4, 4
 
@@ -57,22 +56,37 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return F.aggregate(planes, start, step, lambda s: s["h"])
 
 
-def ordered_number(value: Column) -> Column:
-    """A long that keeps the order of strings by their first seven bytes."""
-    first = F.substring(F.encode(F.coalesce(value.cast("string"), F.lit("")), "UTF-8"), 1, 7)
-    return F.conv(F.rpad(F.hex(first), 14, "0"), 16, 10).cast("long")
+def text_cuts(df: DataFrame, value: Column, parts: int) -> list[str]:
+    """Strings that cut a column into `parts` of near equal counts, by the order of its distinct values.
+
+    Distinct values are counted and range-partitioned; running sums within a partition and over the
+    partitions' totals place them, and only the first value of each part comes to the driver.
+    """
+    counts = df.select(value.cast("string").alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = counts.repartitionByRange("v").withColumn("p", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)  # the numbers of partitions have to stay
+    sums = ranged.groupBy("p").agg(F.sum("n").alias("n"))
+    order = Window.orderBy("p")
+    before = sums.select("p", (F.sum("n").over(order) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
+    upto = F.sum("n").over(Window.partitionBy("p").orderBy("v"))
+    level = F.floor((upto + F.col("before")) * parts / F.col("total")).cast("int")
+    found = ranged.join(F.broadcast(before), "p").select("v", level.alias("level")).groupBy("level").agg(F.min("v").alias("v")).collect()  # parts + 1 rows at most
+    ranged.unpersist()
+    return sorted({min(r["v"] for r in found if r["level"] >= i) for i in range(1, parts) if any(r["level"] >= i for r in found)})
 
 
 def quantised(df: DataFrame, dimensions: dict[str, Column], bits: int = BITS) -> DataFrame:
     """Add each dimension as `q_<name>`, its quantile from 0 to 2^bits - 1; nulls are 0.
 
-    The cuts, 2^bits - 1 numbers a dimension, are all that comes to the driver.
+    Strings are cut in their own order, other types as numbers. The cuts, 2^bits - 1 values a
+    dimension, are all that comes to the driver.
     """
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    row = df.agg(*[F.percentile_approx(c, shares, 10_000).alias(name) for name, c in dimensions.items()]).first()
+    kinds = {name: df.select(c).dtypes[0][1] for name, c in dimensions.items()}
+    numbers = [F.percentile_approx(c, shares, 10_000).alias(name) for name, c in dimensions.items() if kinds[name] != "string"]
+    row = df.agg(*numbers).first() if numbers else None
     made = {}
     for name, c in dimensions.items():
-        cuts = sorted(set(row[name] or []))
+        cuts = text_cuts(df, c, 1 << bits) if kinds[name] == "string" else sorted(set(row[name] or []))
         made[f"q_{name}"] = F.coalesce(sum(((c > x).cast("int") for x in cuts), F.lit(0)), F.lit(0))
     return df.withColumns(made)
 
@@ -100,12 +114,12 @@ def shard(df: DataFrame, dimensions: dict[str, Column], shards: int, order: list
 
     Null dimensions count as the least. Ties on the curve follow a hash of `order` and then `order`;
     rows that agree in all of it are alike and may take each other's places. An empty table gives
-    an empty one. Columns of the new names are replaced. Every column of df is written once to the
-    shared folder, so give the light ones alone.
+    an empty one. Columns of the new names are replaced. Every column of df is kept once on the
+    executors' disks, and made again from df where an executor is lost, so give the light ones alone.
     """
     placed = quantised(df, dimensions, bits)
     placed = placed.withColumn("curve", hilbert_index([F.col(f"q_{name}") for name in dimensions], bits)).drop(*[f"q_{name}" for name in dimensions])
-    placed = materialise(placed, "placed")
+    placed = placed.persist(StorageLevel.DISK_ONLY)
     total = placed.count()
     small, extra = divmod(total, shards)
     cut = extra * (small + 1)

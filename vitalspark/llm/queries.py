@@ -67,8 +67,8 @@ def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     bytes_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    rows = docs.select("doc_id", (bytes_of + 16).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"), "lang", "source", "n_chars")
-    dimensions = {"lang": hilbert.ordered_number(F.col("lang")), "source": hilbert.ordered_number(F.col("source")), "n_chars": F.col("n_chars")}
+    rows = docs.select("doc_id", (bytes_of + 16).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "n_chars")
+    dimensions = {name: F.col(name) for name in ("lang", "source", "n_chars")}
     made = hilbert.shard(rows, dimensions, 40, [F.col("doc_id"), F.col("text_crc32"), F.col("size")])
     return made.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
