@@ -199,3 +199,20 @@ def test_rounding_never_hides_a_link():
     exact = u @ v.T
     a, b = spherical.meetings(list(range(40)), spherical.rounded(u), list(range(100, 140)), spherical.rounded(v), 0.93)
     assert {(i, j + 100) for i, j in zip(*np.nonzero(exact >= 0.93))} <= set(zip(a.tolist(), b.tolist()))
+
+
+def test_a_key_of_two_labels_joins_nothing(spark):
+    near = lambda k: [1.0, 0.01 * k] + [0.5] * 30
+    far = [-1.0] * 32
+    rows = [(5, far, 0), (5, near(0), 1), (6, near(1), 1), (3, near(2), 1), (7, far, 0), (None, near(3), 1), (None, far, 2)]
+    got = sorted((r["vec_id"] is not None, r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in spherical.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    assert got == [(False, 0, 0, None, True), (False, 0, 3, 3, False), (True, 3, 3, 3, True), (True, 5, 1, 5, True), (True, 5, 3, 3, False), (True, 6, 3, 3, False), (True, 7, 1, 5, False)]
+
+
+def test_the_threshold_is_the_stated_share():
+    rng = np.random.default_rng(2)
+    for dimensions, n in ((64, 3000), (20, 100_000)):
+        code = spherical.Code.of(dimensions, n)
+        share = max(spherical.LEAST_SHARE, min(spherical.MOST_SHARE, spherical.MEMBERS / n))
+        rows, _ = code.passed(spherical.unit(rng.standard_normal((400, dimensions))))
+        assert len(rows) / 400 == pytest.approx(spherical.PASSED, rel=0.15), share

@@ -37,7 +37,7 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = langid.fit_text(table(spark, sf_dir, "documents").select("text", "lang"))
+    model = langid.fit_text(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return langid.identify_pages(table(spark, sf_dir, "pages"), model)
 
 
@@ -94,4 +94,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_latent_decontamination": op8_latent_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op9_perspective_rotation": """
+WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations),
+ people AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
+ seen AS (SELECT t.conv_id, participant, turn, role AS speaker, text AS content, CASE WHEN role = 'system' THEN 'system' WHEN role = participant THEN 'assistant' ELSE 'user' END AS chat_role FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
+ made AS (SELECT *, '<|im_start|>' || CASE WHEN chat_role = 'user' THEN 'user name=' || speaker ELSE chat_role END || chr(10) || content || '<|im_end|>' || chr(10) AS rendered FROM seen),
+ placed AS (SELECT *, row_number() OVER w - 1 AS place, sum(length(rendered)) OVER w AS upto FROM made WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn, speaker, content ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, participant, place::BIGINT AS "position", turn, speaker, chat_role, CASE WHEN chat_role = 'user' THEN speaker END AS name, content, rendered, (upto - length(rendered))::BIGINT AS "start", upto::BIGINT AS "end", (chat_role = 'assistant')::INT AS learn FROM placed""",
+    "op10_spherical_caps": """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ usable AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+ links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+ reached(x, y) AS (SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+ degrees AS (SELECT x, count(*) AS n FROM links GROUP BY x),
+ roots AS (SELECT x, min(y) AS y FROM reached GROUP BY x),
+ named AS (SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id FROM embeddings LEFT JOIN degrees ON vec_id = degrees.x LEFT JOIN roots ON vec_id = roots.x)
+SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM named""",
+}

@@ -28,7 +28,9 @@ from .common import components, materialise
 #: Blocks of the product code; filters that a vector passes on average; members of a filter compared in one task.
 BLOCKS, PASSED, PART = 2, 32, 256
 #: Vectors of a filter aimed at; least and greatest share of filters that a vector passes.
-MEMBERS, MOST_SHARE, LEAST_SHARE = 16, 0.05, 1e-4
+MEMBERS, MOST_SHARE, LEAST_SHARE = 16, 0.05, 1e-7
+#: Numbers that the listing of filters holds at a time.
+STEP = 1 << 22
 
 
 @dataclass
@@ -43,8 +45,8 @@ class Code:
     def of(dimensions: int, n: int, seed: int = 11) -> Code:
         """A code for n vectors: about MEMBERS a filter, about PASSED filters a vector.
 
-        The threshold is a quantile of products of seeded random vectors and filters, and the
-        number of codewords follows from how many filters are to be passed.
+        The threshold is a quantile of the products of random unit vectors, and the number of
+        codewords follows from how many filters are to be passed: it grows with the root of n.
         """
         rng = np.random.default_rng(seed)
         rotation = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0]
@@ -56,12 +58,24 @@ class Code:
         for part in np.array_split(np.arange(dimensions), blocks):
             w = rng.standard_normal((each, len(part)))
             words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(1 / blocks))
-        trial = np.concatenate([w[rng.integers(0, each, 256)] for w in words], axis=1)
-        threshold = np.quantile(unit(rng.standard_normal((4096, dimensions))) @ trial.T, 1 - share)
+        if dimensions < 4:
+            trial = np.concatenate([w[rng.integers(0, each, 256)] for w in words], axis=1)
+            threshold = np.quantile(unit(rng.standard_normal((4096, dimensions))) @ trial.T, 1 - share)
+        else:  # a product of unit vectors has the density (1 - x^2)^((d - 3) / 2)
+            x = np.linspace(-1, 1, 400_001)
+            tail = np.cumsum(((1 - x * x) ** ((dimensions - 3) / 2))[::-1])[::-1]
+            threshold = x[np.searchsorted(-tail, -share * tail[0])]
         return Code(rotation, words, float(threshold) - 1e-12)
 
     def passed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Row numbers and filter numbers of all filters that unit vectors exceed."""
+        most = max(w.shape[0] for w in self.words)
+        step = max(1, STEP // most)
+        made = [self._passed(vectors[at : at + step]) for at in range(0, len(vectors), step)]
+        rows = [r + i * step for i, (r, _) in enumerate(made)]
+        return (np.concatenate(rows), np.concatenate([f for _, f in made])) if made else (np.zeros(0, dtype=np.int64),) * 2
+
+    def _passed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         turned = vectors @ self.rotation
         cuts = np.cumsum([0] + [w.shape[1] for w in self.words])
         products = [turned[:, a:b] @ w.T for a, b, w in zip(cuts[:-1], cuts[1:], self.words, strict=True)]
@@ -70,9 +84,14 @@ class Code:
             ahead[:, k] = ahead[:, k + 1] + products[k].max(axis=1)
         rows, filters, sums = np.arange(len(vectors)), np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
         for k, product in enumerate(products):
-            found = sums[:, None] + product[rows]
-            keep, word = np.nonzero(found + ahead[rows, k + 1][:, None] >= self.threshold)
-            rows, filters, sums = rows[keep], filters[keep] * product.shape[1] + word, found[keep, word]
+            kept = []
+            step = max(1, STEP // product.shape[1])
+            for at in range(0, len(rows), step):
+                r, before = rows[at : at + step], sums[at : at + step]
+                found = before[:, None] + product[r]
+                keep, word = np.nonzero(found + ahead[r, k + 1][:, None] >= self.threshold)
+                kept.append((r[keep], filters[at : at + step][keep] * product.shape[1] + word, found[keep, word]))
+            rows, filters, sums = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (rows, filters, sums)
         return rows, filters
 
 
@@ -86,7 +105,7 @@ def classes(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFra
     usable = F.col(label).isNotNull() & F.col(embedding).isNotNull() & (F.size(embedding) > 0)
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(usable).select(F.col(label).alias("label"), doubles.alias("vector"), F.col(key).alias("key")).where(finite & F.exists("vector", lambda x: x != 0))
-    return rows.groupBy("label", "vector").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size"), F.count("key").alias("named"))
+    return rows.groupBy("label", "vector").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("size"))
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -111,9 +130,9 @@ def restored(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data[:, 8:]).view(np.int8).astype(np.float32) * head[:, :1], head[:, 1].astype(float)
 
 
-def filtered(rows: DataFrame, code: Code) -> DataFrame:
-    """(label, filter, class, rough) of every filter that a class passes. rows: label, class, vector."""
-    shared = rows.sparkSession.sparkContext.broadcast(code)  # codewords, a few hundred a block
+def filtered(rows: DataFrame, codes: dict[int, Code]) -> DataFrame:
+    """(label, filter, class, rough) of every filter that a class passes, by the code of its level. rows: label, class, vector, level."""
+    shared = rows.sparkSession.sparkContext.broadcast(codes)  # codewords: the root of a label's vectors, a code a level
     kind = rows.schema["label"].dataType.simpleString()
 
     def run(batches):
@@ -121,12 +140,15 @@ def filtered(rows: DataFrame, code: Code) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                matrix = unit(np.array(part.column(2).to_pylist()))
-                which, filters = own.passed(matrix)
-                take = pa.array(which)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(filters), part.column(1).take(take), pa.array(rounded(matrix), pa.binary()).take(take)], names=["label", "filter", "class", "rough"])
+                matrix, levels = unit(np.array(part.column(2).to_pylist())), part.column(3).to_numpy()
+                roughs = pa.array(rounded(matrix), pa.binary())
+                for level in np.unique(levels).tolist():
+                    some = np.flatnonzero(levels == level)
+                    which, filters = own[level].passed(matrix[some])
+                    take = pa.array(some[which])
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(filters), part.column(1).take(take), roughs.take(take)], names=["label", "filter", "class", "rough"])
 
-    return rows.select("label", "class", "vector").mapInArrow(run, f"label {kind}, filter long, class long, rough binary")
+    return rows.select("label", "class", "vector", "level").mapInArrow(run, f"label {kind}, filter long, class long, rough binary")
 
 
 def meetings(a: list[int], rough_a: list[bytes], b: list[int], rough_b: list[bytes], bound: float) -> tuple[np.ndarray, np.ndarray]:
@@ -193,14 +215,18 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, key: str = "
     a component but its own, and is kept only if it links with nothing. An empty table gives an
     empty one.
     """
-    found = materialise(classes(vectors, key, embedding, label), "classes")
-    numbered = materialise(found.withColumn("class", F.coalesce("least", F.xxhash64("label", "vector"))).withColumn("width", F.size("vector")), "numbered")
-    widths = [(r["width"], r["n"]) for r in numbered.groupBy("width").agg(F.count(F.lit(1)).alias("n")).orderBy("width").collect()]
-    labels = max(1, numbered.select("label").distinct().count())
+    # Classes are numbered, not named by a key, which repeated keys would share.
+    found = classes(vectors, key, embedding, label).withColumns({"class": F.monotonically_increasing_id(), "width": F.size("vector")})
+    found = materialise(found, "classes")
+    # A label's code depends on how many classes it has, by powers of four.
+    sizes = found.groupBy(F.col("label").alias("l"), F.col("width").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    level = F.floor(F.log2(F.col("n").cast("double")) / 2).cast("int")
+    numbered = found.join(sizes.select("l", "w", level.alias("level")), (F.col("label") == F.col("l")) & (F.col("width") == F.col("w"))).drop("l", "w")
+    levels = sizes.groupBy("w", level.alias("level")).agg(F.count(F.lit(1))).collect()  # a row a width and power of four
     links = None
-    for width, n in widths:
+    for width in sorted({r["w"] for r in levels}):
         rows = numbered.where(F.col("width") == width)
-        members = materialise(filtered(rows, Code.of(width, max(1, n // labels))), "filters")
+        members = materialise(filtered(rows, {r["level"]: Code.of(width, 4 ** r["level"] * 2) for r in levels if r["w"] == width}), "filters")
         own = verified(rows, members, least_cosine)
         links = own if links is None else links.unionByName(own)
     if links is None:
