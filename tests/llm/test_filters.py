@@ -60,7 +60,7 @@ def test_toxicity_edges(spark, labelled, awkward, nothing):
 def text_model(spark):
     words = {"xx": ["oneth", "thear", "ingth"], "yy": ["einsch", "ungch", "schein"]}
     rows = [(s, k) for k, w in words.items() for s in sentences(40, 5, w)]
-    return langid.fit_text(spark.createDataFrame(rows, "text string, lang string"))
+    return langid.fit_text(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string"))
 
 
 def test_evidence_is_fused(spark, text_model):

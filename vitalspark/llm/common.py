@@ -16,9 +16,11 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares; one of our own only where the session names none."""
+    """The folder that the cluster shares; where the session names none, one of our own, but in local mode alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="vitalspark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -38,6 +40,13 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(batch: pa.RecordBatch, column: pa.Array, most: int = SLICE_BYTES):
     """Cut a record batch so that each piece holds about `most` bytes of one column, a row at least."""
     start, size = 0, 0
@@ -99,7 +108,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternates large-star and small-star steps on canonical edges (a > b). Each is one grouped
     minimum joined back, so a hub is pre-aggregated on the map side and split by adaptive
-    skew joins. Every round is written to the shared folder.
+    skew joins. Every round is written to the shared folder, and the one before removed. Null ends
+    link nothing; a table without edges gives no rows.
     """
     kind = edges.schema["a"].dataType
     current = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
@@ -116,6 +126,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = starred.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
         found = step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        discard(edges.sparkSession, current)
         current = step
         if found == signature:
             break

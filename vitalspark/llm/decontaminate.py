@@ -124,12 +124,12 @@ class Basis:
 
 
 def passages_of(item, text: str | None) -> list[Passage]:
-    """Passages of at most two half windows; the closing words of the last are the answer."""
+    """Passages of at most two half windows, each with its closing words as the answer."""
     words = (text or "").encode().lower().split()
     cuts = [words[i : i + 2 * HALF] for i in range(0, len(words), 2 * HALF)]
     if len(cuts) > 1 and len(cuts[-1]) < HALF:
         cuts[-1] = words[-2 * HALF :]
-    return [Passage(item, c, words[-ANSWER:] if c is cuts[-1] else []) for c in cuts if len(c) >= 4]
+    return [Passage(item, c, c[-ANSWER:]) for c in cuts if len(c) >= ANSWER]
 
 
 def tfidf(words: list[bytes], idf: np.ndarray, tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:

@@ -6,7 +6,7 @@ Four kinds of evidence are multiplied for each language:
   `EVIDENCE` independent trigrams at most (neighbouring trigrams say much the same);
 * the likelihood of the declared markup language;
 * the likelihood of the address suffix;
-* a prior of the host, smoothed towards its domain, that towards its suffix, that towards all.
+* a prior of the host, smoothed towards its domain, that towards all rows.
 
 The last three are tables of soft counts: a grouped sum of the text's own posteriors. A row's own
 count is taken off before it is judged, so no row is evidence for itself.
@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 
 from .common import append_columns, materialise, texts_of
 
-#: Labelled rows that fitting reads at most; trigrams that a text counts for at most; table size.
-SAMPLE, EVIDENCE, BUCKETS = 8_000, 40, 1 << 16
+#: Labelled rows and languages that fitting reads at most; trigrams that a text counts for at most; table size.
+SAMPLE, LANGUAGES, EVIDENCE, BUCKETS = 8_000, 64, 40, 1 << 16
 #: Weight of each level's parent in a host's prior, and of the uniform in the likelihood tables.
 KAPPA, ALPHA = 4.0, 1.0
 
@@ -63,17 +63,22 @@ class TextModel:
         return out
 
 
-def fit_text(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> TextModel:
-    """Trigram models of each language of a labelled table, from at most `sample` rows of it.
+def fit_text(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample: int = SAMPLE, most: int = LANGUAGES) -> TextModel:
+    """Trigram models of the `most` most frequent languages of a labelled table, from at most `sample` rows of it.
 
-    The rows are those of the smallest text hashes. Null labels teach nothing. Only the counts, a
-    row a language and place, come to the driver. Without labels there is one language, "und".
+    The rows are those of the smallest hashes of key and text, so that copies count as often as
+    they are; rows that agree in both come together. Null labels and texts teach nothing. Only the counts, a row a language and place, come to
+    the driver. Without labels there is one language, "und".
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    # The bound is met by a cut of the hash, from the number of rows.
-    total = rows.count()
-    share = min(1.0, sample / max(1, total))
-    kept = rows.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    sizes = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(most).collect()
+    rows = rows.where(F.col(lang).isin([r[lang] for r in sizes]))
+    # A cut of the hash, from the number of rows, leaves about twice the sample; among those the exact bound is found.
+    share = min(1.0, 2 * sample / max(1, sum(r["n"] for r in sizes)))
+    place = F.pmod(F.xxhash64(key, text), F.lit(1 << 40))
+    near = rows.where(place <= int(share * (1 << 40)))
+    last = near.select(place.alias("place")).orderBy("place").limit(sample).agg(F.max("place")).first()[0]
+    kept = near.where(place <= F.lit(last)).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def count(batches):
         for batch in batches:
@@ -155,7 +160,7 @@ def fuse(df: DataFrame, tables: dict, languages: list[str]) -> DataFrame:
     joined = joined.withColumn("g", everything)
     size = lambda c: F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
     joined = joined.withColumn("prior", F.transform("g", lambda c: (c + 1.0) / (size(F.col("g")) + n)))
-    for name in ("suffix", "domain", "host"):
+    for name in ("domain", "host"):  # the suffix is evidence of its own, below
         joined = joined.withColumn("c", without(name))
         joined = joined.withColumn("prior", _zip(F.col("c"), F.col("prior"), lambda c, p: (c + KAPPA * p) / (size(F.col("c")) + KAPPA)))
     # P(seen | language): how often rows of a language carry this declaration or this suffix.

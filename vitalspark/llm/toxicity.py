@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -136,15 +136,23 @@ def fit_rows(rows: list[tuple[int, list[int], list[list[int]]]], n: int, fairnes
     return w[:n], float(bias)
 
 
+def below(rows: DataFrame, key: Column, most: int) -> DataFrame:
+    """Rows of the smaller hashes of a key, about twice `most` of them, so that an exact limit has little to sort."""
+    share = 2 * most / max(1, rows.count())
+    return rows if share >= 1 else rows.where(F.pmod(F.xxhash64(key, F.lit(0)), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", sample: int = SAMPLE, features: int = FEATURES, fairness: float = 10.0) -> Model:
     """Fit on at most `sample` rows of labels (key, label), chosen by the hash of the key.
 
-    Rows whose key or label is null teach nothing; null texts count as empty. Without labels the
-    model has no weights and scores every text alike, below one half.
+    Rows whose key or label is null teach nothing; null texts count as empty; of the rows of a
+    repeated key the least (label, text) teaches. Without labels the model has no weights and scores every text alike, below one half.
     """
-    chosen = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64(key), key, "y").limit(sample)
-    train = materialise(docs.select(key, text).join(F.broadcast(chosen), key).select("y", F.coalesce(F.col(text), F.lit("")).alias("text")), "sample")
+    usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
+    smallest = [F.xxhash64(F.col(key), F.lit(0)), F.col(key), F.col("y")]
+    chosen = below(usable, F.col(key), sample).orderBy(*smallest).limit(sample)
+    joined = docs.select(key, text).join(F.broadcast(chosen), key).select(key, F.struct("y", F.coalesce(F.col(text), F.lit("")).alias("text")).alias("row"))
+    train = materialise(joined.groupBy(key).agg(F.min("row").alias("row")).select("row.*"), "sample")  # a row a key
     size = {r["y"]: r["n"] for r in train.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     negative, positive = size.get(0, 0), size.get(1, 0)
     if not negative or not positive:
