@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from vitalspark import schemas
@@ -127,8 +128,8 @@ def test_gate_and_comparisons(spark):
     got = {r["id"]: r for r in df.select("id", *[c.alias(k) for k, c in gate.items()]).collect()}
     assert [got[i]["confidence"] for i in (1, 2, 3, 4)] == ["good", "rejected", "moderate", "rejected"]
     assert got[3]["consensus_bpm"] == 71.0 and got[2]["reasons"] == "channels_disagree" and got[4]["reasons"] == "few_supported_channels"
-    with pytest.raises(ValueError):
-        compare.assert_unique(df.union(df), ["id"])
+    with pytest.raises(PySparkException):
+        compare.assert_unique(df.union(df), ["id"]).collect()
     assert compare.unfinished(df, df.where("id > 2"), ["id"]).count() == 2
     assert compare.misaligned(df, df.where("id > 1"), ["id"], "pos").count() == 1
     pairs = spark.range(60).select("id", F.col("id").cast("double").alias("target"), (F.col("id") + F.pmod(F.xxhash64("id"), F.lit(5))).cast("double").alias("pred"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +14,12 @@ def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:
-    """The table itself, once its keys are known to be unique."""
-    if repeated_keys(df, keys).limit(1).count():
-        raise ValueError(f"keys {keys} are repeated")
-    return df
+    """The table itself; when it is computed, a repeated key is an error. The keys are counted in one shuffle."""
+    named = F.concat_ws(", ", *[F.coalesce(F.col(f"__{k}").cast("string"), F.lit("null")) for k in keys])
+    counted = df.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.count(F.lit(1)).alias("__n"))
+    checked = counted.withColumn("__n", F.when(F.col("__n") == 1, F.col("__n")).otherwise(F.raise_error(F.concat(F.lit("repeated key: "), named)).cast("bigint")))
+    on = reduce(lambda a, k: a & F.col(k).eqNullSafe(F.col(f"__{k}")), keys, F.lit(True))
+    return df.join(checked, on).where("__n = 1").drop("__n", *[f"__{k}" for k in keys])
 
 
 def outer_compare(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -40,9 +44,10 @@ def expected_counts(expected: DataFrame, actual: DataFrame, keys: list[str]) ->
     return joined.withColumn("actual", F.coalesce("actual", F.lit(0))).withColumn("match", F.col("actual") == F.col("expected"))
 
 
-def common_windows(rows: DataFrame, keys: list[str], mode: str, modes: int) -> DataFrame:
-    """Rows whose window is there in every mode."""
-    whole = rows.groupBy(*keys).agg(F.count_distinct(mode).alias("n")).where(F.col("n") == modes).select(*keys)
+def common_windows(rows: DataFrame, keys: list[str], mode: str) -> DataFrame:
+    """Rows whose window is there in every mode that the table has."""
+    modes = rows.agg(F.count_distinct(mode).alias("modes"))
+    whole = rows.groupBy(*keys).agg(F.count_distinct(mode).alias("n")).crossJoin(F.broadcast(modes)).where("n = modes").select(*keys)
     return rows.join(whole, keys, "left_semi")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
+from .quantiles import mean_ranks, with_quantiles
 
 #: Thresholds of the error flags, in bpm.
 HIGH_HR, TACHY, SEVERE = 100.0, 120.0, 10.0
@@ -21,11 +22,6 @@ def rate(condition: Column) -> Column:
     return F.avg(condition.cast("double"))
 
 
-def quantile(value: Column, p: float) -> Column:
-    """Exact quantile with linear interpolation."""
-    return F.percentile(value, F.lit(p))
-
-
 def with_errors(df: DataFrame, target: str = "target", pred: str = "pred") -> DataFrame:
     """Add signed_error, abs_error and the flags high_hr, tachy and severe_under."""
     t, p = F.col(target), F.col(pred)
@@ -35,45 +31,46 @@ def with_errors(df: DataFrame, target: str = "target", pred: str = "pred") -> Da
 def error_summary(errors: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: rows, means, median, p90, p95 and maximum of the absolute error, mean signed error, severe rate."""
     e = F.col("abs_error")
-    return errors.groupBy(*keys).agg(
+    found = errors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg("target").alias("target_mean"),
         F.avg("pred").alias("pred_mean"),
         F.avg(e).alias("mae"),
-        F.median(e).alias("mae_median"),
-        quantile(e, 0.9).alias("mae_p90"),
-        quantile(e, 0.95).alias("mae_p95"),
         F.max(e).alias("mae_max"),
         F.avg("signed_error").alias("bias"),
         rate(F.col("severe_under")).alias("severe_rate"),
     )
+    return with_quantiles(found, errors, keys, {"mae_median": (e, 0.5), "mae_p90": (e, 0.9), "mae_p95": (e, 0.95)})
 
 
 def bias_summary(errors: DataFrame, keys: list[str]) -> DataFrame:
     """Per group: the distribution of the signed error and the rates of under- and overprediction."""
     s = F.col("signed_error")
-    return errors.groupBy(*keys).agg(
+    found = errors.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("rows"),
         F.avg(s).alias("signed_mean"),
-        F.median(s).alias("signed_median"),
-        quantile(s, 0.1).alias("signed_p10"),
-        quantile(s, 0.9).alias("signed_p90"),
         rate(s < 0).alias("under_rate"),
         rate(s <= -SEVERE).alias("severe_under_rate"),
         rate(s >= SEVERE).alias("severe_over_rate"),
     )
+    return with_quantiles(found, errors, keys, {"signed_median": (s, 0.5), "signed_p10": (s, 0.1), "signed_p90": (s, 0.9)})
 
 
 def status_summary(rows: DataFrame, keys: list[str], status: str, metrics: list[str]) -> DataFrame:
     """Per group, null keys included: rows, ok and failed rows, and mean, median and p90 of metrics without nulls."""
     found = [F.count(F.lit(1)).alias("rows"), F.count_if(F.col(status) == "ok").alias("ok_rows"), F.count_if(F.col(status) != "ok").alias("failed_rows")]
+    wanted = {}
     for m in metrics:
-        found += [F.avg(m).alias(f"{m}_mean"), F.median(m).alias(f"{m}_median"), quantile(F.col(m), 0.9).alias(f"{m}_p90")]
-    return rows.groupBy(*keys).agg(*found)
+        found.append(F.avg(m).alias(f"{m}_mean"))
+        wanted |= {f"{m}_median": (F.col(m), 0.5), f"{m}_p90": (F.col(m), 0.9)}
+    return with_quantiles(rows.groupBy(*keys).agg(*found), rows, keys, wanted)
 
 
 def slice_summary(errors: DataFrame, slices: dict[str, Column]) -> DataFrame:
-    """One row a named slice, in one pass; slices may overlap, and an empty one has null metrics."""
+    """One row a named slice; slices may overlap, and an empty one has null metrics.
+
+    A row counts once for each slice that it is in; the copies are summed up where they are made.
+    """
     spark = errors.sparkSession
     tags = F.array_compact(F.array(*[F.when(condition, F.lit(name)) for name, condition in slices.items()]))
     tagged = errors.withColumn("slice", F.explode(tags))
@@ -122,9 +119,10 @@ def fit_and_apply(errors: DataFrame, fit_on: Column, split: str) -> DataFrame:
     made = F.explode(F.array(*[F.struct(F.lit(k).alias("correction"), c.alias("corrected")) for k, c in kinds.items()]))
     rows = errors.crossJoin(F.broadcast(fit)).select(split, "target", made.alias("m")).select(split, "target", "m.*")
     error = F.col("corrected") - F.col("target")
-    return rows.groupBy(split, "correction").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias"), quantile(F.abs(error), 0.9).alias("p90"), F.regr_slope("corrected", "target").alias("slope")
+    found = rows.groupBy(split, "correction").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg(F.abs(error)).alias("mae"), F.avg(error).alias("bias"), F.regr_slope("corrected", "target").alias("slope")
     )
+    return with_quantiles(found, rows, [split, "correction"], {"p90": (F.abs(error), 0.9)})
 
 
 def full_evaluation(errors: DataFrame, keys: list[str], ddof: int = 0) -> DataFrame:
@@ -179,12 +177,11 @@ def bin_counts(rows: DataFrame, keys: list[str], label: Column, labels: list[str
 
 
 def with_mean_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Add a value's rank within its group, ties sharing their mean rank: counted by distinct value, then joined back."""
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    upto = F.sum("__n").over(Window.partitionBy(*[f"__{k}" for k in keys]).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
-    ranks = counts.withColumn(name, upto - (F.col("__n") - 1) / 2).drop("__n")
-    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(value) == F.col("__v")]
-    return rows.join(ranks, same, "left").drop(*[f"__{k}" for k in keys], "__v")
+    """Add a value's rank within its group, ties sharing their mean rank: found by distinct value, then joined back."""
+    ranks = mean_ranks(rows, keys, value, name)
+    named = ranks.select(*[F.col(k).alias(f"__{k}") for k in keys], "v", name)
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(value).cast("double") == F.col("v")]
+    return rows.join(named, on, "left").drop(*[f"__{k}" for k in keys], "v")
 
 
 def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -204,14 +201,13 @@ def clamp_collapse(rows: DataFrame, keys: list[str], low: float = 40.0, high: fl
 
 def hr_distribution(rows: DataFrame, keys: list[str]) -> DataFrame:
     t = F.col("target")
-    return rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("rows"), F.avg(t).alias("mean"), F.median(t).alias("median"), quantile(t, 0.1).alias("p10"), quantile(t, 0.9).alias("p90"), F.min(t).alias("min"), F.max(t).alias("max"), rate(t >= HIGH_HR).alias("high_share"), rate(t >= TACHY).alias("tachy_share")
-    )
+    found = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.avg(t).alias("mean"), F.min(t).alias("min"), F.max(t).alias("max"), rate(t >= HIGH_HR).alias("high_share"), rate(t >= TACHY).alias("tachy_share"))
+    return with_quantiles(found, rows, keys, {"median": (t, 0.5), "p10": (t, 0.1), "p90": (t, 0.9)})
 
 
 def validation_score(errors: DataFrame, reference_p90: float, reference_rate: float, weight_p90: float, weight_rate: float) -> DataFrame:
     """Validation MAE plus weighted worsening of its p90 and of the severe rate, one row."""
-    found = errors.agg(F.avg("abs_error").alias("mae"), quantile(F.col("abs_error"), 0.9).alias("p90"), rate(F.col("severe_under")).alias("severe_rate"))
+    found = with_quantiles(errors.agg(F.avg("abs_error").alias("mae"), rate(F.col("severe_under")).alias("severe_rate")), errors, [], {"p90": (F.col("abs_error"), 0.9)})
     worse_p90, worse_rate = F.greatest(F.lit(0.0), F.col("p90") - reference_p90), F.greatest(F.lit(0.0), F.col("severe_rate") - reference_rate)
     return found.withColumn("score", F.col("mae") + weight_p90 * worse_p90 + weight_rate * worse_rate)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evaluate import full_evaluation, quantile, rate
+from .evaluate import full_evaluation, rate
+from .quantiles import quantiles, with_quantiles
 from .rules import first_failure
 
 #: Gates of a recording. Seconds, signal ranges, quality, bpm, percent of frames without a face.
@@ -82,7 +83,7 @@ def linear_trend(samples: DataFrame, keys: list[str], minutes: Column, value: Co
 
 def aperture_dynamics(frames: DataFrame, keys: list[str], aperture: str, least: int = 30) -> DataFrame:
     """Spread, mean and p90 - p10 of the lip aperture, and the share of frames with a face; null under `least` hits."""
-    found = frames.groupBy(*keys).agg(F.count(aperture).alias("hits"), rate(F.col(aperture).isNotNull()).alias("detected"), F.stddev_pop(aperture).alias("sd"), F.avg(aperture).alias("mean"), (quantile(F.col(aperture), 0.9) - quantile(F.col(aperture), 0.1)).alias("range"))
+    found = frames.groupBy(*keys).agg(F.count(aperture).alias("hits"), rate(F.col(aperture).isNotNull()).alias("detected"), F.stddev_pop(aperture).alias("sd"), F.avg(aperture).alias("mean"), (F.percentile(aperture, F.lit(0.9)) - F.percentile(aperture, F.lit(0.1))).alias("range"))
     return found.withColumns({c: F.when(F.col("hits") >= least, F.col(c)) for c in ("sd", "mean", "range")})
 
 
@@ -109,9 +110,9 @@ def split_balance(rows: DataFrame, subject: str, candidates: int, wanted: tuple[
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(subject).cast("string"), F.col("candidate").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     role = F.when(u < shares[0], "train").when(u < shares[1], "val").otherwise("test")
     t = F.col("target")
-    parts = spread.withColumn("role", role).groupBy("candidate", "role").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_distinct(subject).alias("subjects"), F.avg(t).alias("mean"), quantile(t, 0.9).alias("p90"), rate(t >= 100).alias("high"), rate(t >= 120).alias("tachy")
-    )
+    dealt = spread.withColumn("role", role)
+    parts = dealt.groupBy("candidate", "role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(subject).alias("subjects"), F.avg(t).alias("mean"), rate(t >= 100).alias("high"), rate(t >= 120).alias("tachy"))
+    parts = with_quantiles(parts, dealt, ["candidate", "role"], {"p90": (t, 0.9)})
     measures = ["rows", "subjects", "mean", "p90", "high", "tachy"]
     wide = parts.groupBy("candidate").agg(*[F.max(F.when(F.col("role") == r, F.col(m))).alias(f"{r}_{m}") for r in ("train", "val", "test") for m in measures])
     gap = lambda r, m: F.abs(F.col(f"{r}_{m}") - F.col(f"train_{m}"))
@@ -131,5 +132,5 @@ def baseline_report(rows: DataFrame, keys: list[str], train: Column) -> DataFram
 
 def median_ranks(rows: DataFrame, group: str, measure: str, value: str) -> DataFrame:
     """Rank of each group by its median of a value, within a measure."""
-    medians = rows.groupBy(measure, group).agg(F.median(value).alias("median"))
+    medians = quantiles(rows, [measure, group], F.col(value), {"median": 0.5})
     return medians.withColumn("rank", F.rank().over(Window.partitionBy(measure).orderBy("median")))

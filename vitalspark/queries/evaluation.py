@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import compare, evaluate
+from ..operators.quantiles import with_quantiles
 from . import Registry, rounded, table
 
 registry = Registry()
@@ -119,12 +120,11 @@ def hr_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.full_evaluation(rows, ["dataset", "hr_bin"]))
 
 
-@registry.add(f"""WITH {PRED}, f AS (SELECT dataset, role, {BIN_SQL} AS bin FROM pred WHERE target < 100 OR dataset <> 'A'), b AS (SELECT unnest({BINS}) AS bin), g AS (SELECT DISTINCT dataset, role FROM f),
+@registry.add(f"""WITH {PRED}, f AS (SELECT dataset, role, {BIN_SQL} AS bin FROM pred), b AS (SELECT unnest({BINS}) AS bin), g AS (SELECT DISTINCT dataset, role FROM f),
  c AS (SELECT g.dataset, g.role, b.bin, count(f.bin) AS n FROM g CROSS JOIN b LEFT JOIN f ON f.dataset = g.dataset AND f.role = g.role AND f.bin = b.bin GROUP BY ALL)
  SELECT dataset, role, bin, n, {R('n / sum(n) OVER (PARTITION BY dataset, role)')} AS share FROM c""")
 def hr_bin_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).where("target < 100 or dataset <> 'A'")
-    return rounded(evaluate.bin_counts(rows, ["dataset", "role"], evaluate.cut(F.col("target"), EDGES, BINS), BINS))
+    return rounded(evaluate.bin_counts(predictions(spark, sf_dir), ["dataset", "role"], evaluate.cut(F.col("target"), EDGES, BINS), BINS))
 
 
 @registry.add(f"""WITH {PRED} SELECT dataset, role, count(*) AS rows, {R('avg(target)')} AS mean, {R('median(target)')} AS median, {R('quantile_cont(target, 0.1)')} AS p10, {R('quantile_cont(target, 0.9)')} AS p90, {R('min(target)')} AS min, {R('max(target)')} AS max,
@@ -185,12 +185,13 @@ def summary_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.deltas(candidate, baseline, ["dataset", "role"], ["mae", "mae_p90"]))
 
 
-@registry.add(f"""WITH {PRED}, a AS (SELECT dataset, role, subject % 10 AS part, avg(abs_error) AS v FROM pred WHERE mode = 2 AND subject % 10 < 7 GROUP BY ALL), b AS (SELECT dataset, role, subject % 10 AS part, avg(abs_error) AS v FROM pred WHERE mode = 1 AND subject % 10 > 2 GROUP BY ALL)
- SELECT dataset, role, part, {R('a.v')} AS left_value, {R('b.v')} AS right_value, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side, {R('a.v - b.v')} AS difference FROM a FULL JOIN b USING (dataset, role, part)""")
+@registry.add(f"""WITH {PRED}, a AS (SELECT dataset, role, subject, floor(target / 5)::int AS part, avg(abs_error) AS v FROM pred WHERE mode = 2 GROUP BY ALL), b AS (SELECT dataset, role, subject, floor(target / 5)::int AS part, avg(abs_error) AS v FROM pred WHERE mode = 1 GROUP BY ALL)
+ SELECT dataset, role, subject, part, {R('a.v')} AS left_value, {R('b.v')} AS right_value, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side, {R('a.v - b.v')} AS difference FROM a FULL JOIN b USING (dataset, role, subject, part)""")
 def outer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = ["dataset", "role", "part"]
-    candidate, baseline = (x.withColumn("part", F.col("subject") % 10).groupBy(*keys).agg(F.avg("abs_error").alias("v")) for x in _modes(spark, sf_dir))
-    return rounded(compare.outer_compare(candidate.where("part < 7"), baseline.where("part > 2"), keys, "v"))
+    """Two modes compared by subject and five-bpm band: many bands have predictions of one mode alone."""
+    keys = ["dataset", "role", "subject", "part"]
+    candidate, baseline = (x.withColumn("part", F.floor(F.col("target") / 5).cast("int")).groupBy(*keys).agg(F.avg("abs_error").alias("v")) for x in _modes(spark, sf_dir))
+    return rounded(compare.outer_compare(candidate, baseline, keys, "v"))
 
 
 @registry.add(f"""WITH {PRED}, e AS (SELECT * FROM (VALUES ('A', 'F', 14000), ('N', 'F', 10), ('X', 'F', 3)) t(dataset, role, expected)), a AS (SELECT dataset, role, count(*) AS n FROM pred GROUP BY ALL)
@@ -201,11 +202,10 @@ def expected_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.expected_counts(expected, actual, ["dataset", "role"])
 
 
-@registry.add(f"""WITH {PRED}, k AS (SELECT dataset, role, subject FROM pred WHERE mode <= 3 GROUP BY ALL HAVING count(DISTINCT mode) = 3)
- SELECT mode, count(*) AS rows, {R('avg(abs_error)')} AS mae FROM pred SEMI JOIN k USING (dataset, role, subject) WHERE mode <= 3 GROUP BY mode""")
+@registry.add(f"""WITH {PRED}, k AS (SELECT dataset, role, subject FROM pred GROUP BY ALL HAVING count(DISTINCT mode) = (SELECT count(DISTINCT mode) FROM pred))
+ SELECT mode, count(*) AS rows, {R('avg(abs_error)')} AS mae FROM pred SEMI JOIN k USING (dataset, role, subject) GROUP BY mode""")
 def windows_common_to_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = predictions(spark, sf_dir).where("mode <= 3")
-    common = compare.common_windows(rows, ["dataset", "role", "subject"], "mode", 3)
+    common = compare.common_windows(predictions(spark, sf_dir), ["dataset", "role", "subject"], "mode")
     return rounded(common.groupBy("mode").agg(F.count(F.lit(1)).alias("rows"), F.avg("abs_error").alias("mae")))
 
 
@@ -224,7 +224,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list
 def blend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen, candidate, keys = _pairs(spark, sf_dir)
     blended = evaluate.with_errors(compare.blend(frozen, candidate, keys, BLENDS))
-    return rounded(blended.groupBy("role", "alpha").agg(F.count(F.lit(1)).alias("rows"), F.avg("abs_error").alias("mae"), F.avg("signed_error").alias("bias"), evaluate.quantile(F.col("abs_error"), 0.9).alias("p90")))
+    found = blended.groupBy("role", "alpha").agg(F.count(F.lit(1)).alias("rows"), F.avg("abs_error").alias("mae"), F.avg("signed_error").alias("bias"))
+    return rounded(with_quantiles(found, blended, ["role", "alpha"], {"p90": (F.col("abs_error"), 0.9)}))
 
 
 @registry.add(f"""WITH {PRED}, s AS (SELECT mode, avg(abs_error) FILTER (role = 'F') AS v, avg(abs_error) FILTER (role = 'O') AS t, avg(abs_error) FILTER (dataset = 'R') AS o, avg(abs_error) FILTER (high_hr) AS h, avg(severe_under::int::double) FILTER (high_hr) AS s, quantile_cont(abs_error, 0.9) FILTER (role = 'O') AS p, abs(avg(signed_error) FILTER (role = 'O')) AS b FROM pred GROUP BY mode),
@@ -236,8 +237,9 @@ def candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = lambda condition, column: F.avg(F.when(F.expr(condition), F.col(column)))
     summary = rows.groupBy("mode").agg(
         at("role = 'F'", "abs_error").alias("v"), at("role = 'O'", "abs_error").alias("t"), at("dataset = 'R'", "abs_error").alias("o"), at("high_hr", "abs_error").alias("h"),
-        F.avg(F.when(F.col("high_hr"), F.col("severe_under").cast("double"))).alias("s"), evaluate.quantile(F.when(F.col("role") == "O", F.col("abs_error")), 0.9).alias("p"), F.abs(at("role = 'O'", "signed_error")).alias("b"),
+        F.avg(F.when(F.col("high_hr"), F.col("severe_under").cast("double"))).alias("s"), F.abs(at("role = 'O'", "signed_error")).alias("b"),
     )
+    summary = with_quantiles(summary, rows, ["mode"], {"p": (F.when(F.col("role") == "O", F.col("abs_error")), 0.9)})
     base = F.broadcast(summary.where("mode = 1").select(*[F.col(c).alias(f"{c}0") for c in "vtohspb"]))
     d = {c: F.col(c) - F.col(f"{c}0") for c in "vtohspb"}
     status = summary.crossJoin(base).select(

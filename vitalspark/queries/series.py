@@ -153,11 +153,14 @@ def evenly_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.evenly(manifest(spark, sf_dir), ["subject"], ["recording"], 4).select("recording", "subject")
 
 
-@registry.add(f"""WITH {MANIFEST}, c AS (SELECT recording, n_frames, ceil((n_frames / 30.0::double) / 0.1::double)::int AS n FROM p WHERE recording % 5 = 0), t AS (SELECT recording, n_frames, unnest(generate_series(0, n - 1)) * 0.1::double AS t, n FROM c),
+SAMPLING_SQL = f"""WITH {MANIFEST}, c AS (SELECT recording, n_frames, ceil((n_frames / 30.0::double) / 0.1::double)::int AS n FROM p), t AS (SELECT recording, n_frames, unnest(generate_series(0, n - 1)) * 0.1::double AS t, n FROM c),
  a AS (SELECT recording, n_frames, t FROM t UNION ALL SELECT recording, n_frames, n_frames / 30.0::double - 1 / 30.0::double FROM c WHERE n < 2 OR (n - 1) * 0.1::double < n_frames / 30.0::double - 0.075::double)
- SELECT recording, count(DISTINCT f)::int AS frames, sum(DISTINCT f)::bigint AS total FROM (SELECT recording, greatest(0, least(round_even(t * 30, 0)::int, n_frames - 1)) AS f FROM a) GROUP BY recording""")
+ SELECT recording, count(DISTINCT f)::int AS frames, sum(DISTINCT f)::bigint AS total FROM (SELECT recording, greatest(0, least(round_even(t * 30, 0)::int, n_frames - 1)) AS f FROM a) GROUP BY recording"""
+
+
+@registry.add(SAMPLING_SQL)
 def simulated_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(manifest(spark, sf_dir).where("recording % 5 = 0"))
+    return sampled(manifest(spark, sf_dir))
 
 
 def sampled(rows: DataFrame) -> DataFrame:
@@ -167,9 +170,9 @@ def sampled(rows: DataFrame) -> DataFrame:
     return rows.select("recording", F.size("f").alias("frames"), F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
-@registry.add()
+@registry.add(SAMPLING_SQL)
 def simulated_sampling_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All of `orders`; simulated_sampling keeps to the fifth that its SQL reads."""
+    """The older name of the query over all of `orders`."""
     return sampled(manifest(spark, sf_dir))
 
 

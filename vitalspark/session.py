@@ -25,8 +25,17 @@ def build_session(name: str = "vitalspark", master: str | None = None, extra: di
     return session
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: long texts would fill far more memory by Spark's own default.
+BATCH_BYTES = 4 << 20
+
+
 def ship(session: SparkSession) -> None:
-    """Send this package to the executors, once a session, for clusters that don't have it installed."""
+    """Send this package to the executors, once a session, for clusters that don't have it installed.
+
+    Also sets Arrow batches to BATCH_BYTES where the session has Spark's own default.
+    """
+    if session.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", "64m") in ("67108864b", "64m"):
+        session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     context = session.sparkContext
     if getattr(context, "_vitalspark_shipped", False):
         return
