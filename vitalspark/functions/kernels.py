@@ -224,19 +224,27 @@ def top_peaks(power: np.ndarray, freqs: np.ndarray, low: float = LOW, high: floa
 
 
 def overlap_add_pos(rgb: np.ndarray, fps: float, seconds: float = 1.6, normalise: bool = True) -> np.ndarray:
-    """POS over overlapping windows of one recording's colour (frames by 3), added up; gaps are interpolated."""
+    """POS over overlapping windows of one recording's colour (frames by 3), added up; gaps are interpolated.
+
+    The last start is a window's length before the last frame; a window with a dark channel (mean 0,
+    or under it when windows are normalised) adds nothing.
+    """
     frames = len(rgb)
     rgb = np.stack([np.interp(np.arange(frames), np.flatnonzero(np.isfinite(c)), c[np.isfinite(c)]) if np.isfinite(c).any() else c for c in rgb.T], axis=1)
     size = int(seconds * fps)
-    out = np.zeros(frames)
-    if size < 2 or frames < size:
+    if size < 2 or frames <= size or not np.isfinite(rgb).all():
         return np.full(frames, np.nan)
-    for s in range(frames - size + 1):
-        part = rgb[s : s + size] / (rgb[s : s + size].mean(axis=0) + 1e-8)
-        a, b = part[:, 1] - part[:, 2], part[:, 1] + part[:, 2] - 2 * part[:, 0]
-        h = a + a.std() / (b.std() + 1e-8) * b
-        h = h - h.mean()
-        out[s : s + size] += h / (h.std() + 1e-8) if normalise else h
+    parts = np.lib.stride_tricks.sliding_window_view(rgb, size, axis=0)[: frames - size].transpose(0, 2, 1)
+    level = parts.mean(axis=1, keepdims=True)
+    lit = (level > 0 if normalise else level != 0).all(axis=(1, 2))
+    scaled = parts[lit] / level[lit]
+    first, second = scaled[..., 1] - scaled[..., 2], scaled[..., 1] + scaled[..., 2] - 2 * scaled[..., 0]
+    pulse = first + (first.std(axis=1) / (second.std(axis=1) + 1e-12))[:, None] * second
+    pulse -= pulse.mean(axis=1, keepdims=True)
+    if normalise:
+        pulse /= pulse.std(axis=1, keepdims=True) + 1e-12
+    out = np.zeros(frames)
+    np.add.at(out, np.flatnonzero(lit)[:, None] + np.arange(size), pulse)
     return out
 
 

@@ -218,3 +218,22 @@ def simulated_frames(start: Column, end: Column, fps: Column, rate: float) -> Co
     tail = (count < 2) | (last < b - 0.75 / rate)
     every = F.when(tail, F.concat(times, F.array(b - 1.0 / fps))).otherwise(times)
     return F.array_sort(F.array_distinct(F.transform(every, lambda t: F.greatest(start, F.least(F.bround(t * fps).cast("int"), end - 1)))))
+
+
+def summary(signal: Column, quality: Column) -> Column:
+    """Struct of a candidate signal: ok, n, mean, sd, low, high and its spectral rate and quality; under eight samples it is not ok."""
+    ok = F.coalesce(F.size(signal) >= 8, F.lit(False))
+    held = lambda c: F.when(ok, c)
+    sqi = quality["sqi"]
+    status = F.when(sqi.isNull() | F.isnan(sqi), "invalid").when(sqi >= 0.50, "good").when(sqi >= 0.30, "moderate").otherwise("poor")
+    return F.struct(
+        ok.alias("ok"), F.size(signal).alias("n"), held(mean(signal)).alias("mean"), held(deviation(signal)).alias("sd"), held(F.array_min(signal)).alias("low"), held(F.array_max(signal)).alias("high"),
+        held(quality["bpm"]).alias("bpm"), held(sqi).alias("sqi"), held(status).alias("status"),
+    )
+
+
+def best_of(values: dict[str, Column]) -> Column:
+    """The name of the greatest known value, the first of equals; null where none is known."""
+    known = {name: F.when(~F.isnan(v), v) for name, v in values.items()}
+    top = F.array_max(F.array(*known.values()))
+    return F.coalesce(*[F.when(v == top, F.lit(name)) for name, v in known.items()])

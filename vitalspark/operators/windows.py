@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import kernels as K
+from ..functions import signals as S
+
 
 def trailing(samples: DataFrame, keys: list[str], time: str, seconds: float) -> DataFrame:
     """Samples no older than the newest of their recording by more than `seconds`, the bound included."""
@@ -94,3 +97,49 @@ def label_stats(labels: DataFrame, keys: list[str], value: str) -> DataFrame:
     return labels.groupBy(*keys).agg(
         F.avg(value).alias("target_hr_mean"), F.median(value).alias("target_hr_median"), F.min(value).alias("target_hr_min"), F.max(value).alias("target_hr_max"), (F.max(value) - F.min(value)).alias("target_hr_range"), F.avg(F.col(value).isNull().cast("double")).alias("target_nan_frac")
     )
+
+
+def tumbled(signal: Column, size: int) -> Column:
+    """Whole windows of a signal, one after another; a shorter signal is one window of its own."""
+    whole = F.transform(F.sequence(F.lit(0), F.floor(F.size(signal) / size).cast("int") - 1), lambda k: F.slice(signal, k * size + 1, size))
+    return F.when(F.size(signal) >= size, whole).otherwise(F.array(signal))
+
+
+def last_part(signal: Column, size: int | Column) -> Column:
+    """The last `size` samples, or all of a shorter signal."""
+    n = F.least(F.lit(size) if isinstance(size, int) else size, F.size(signal))
+    return F.when(n > 0, F.slice(signal, F.size(signal) - n + 1, n)).otherwise(F.slice(signal, 1, 0))
+
+
+def end_aligned(frames: Column, length: Column) -> Column:
+    """Struct of the frames that a shorter row of labels goes with, by their ends, and of how many leading frames go."""
+    return F.struct(last_part(frames, length).alias("frames"), F.greatest(F.size(frames) - length, F.lit(0)).alias("dropped"))
+
+
+def hashed_share(key: Column, salt: str) -> Column:
+    """A share from 0 to 1 by the hash of a key: the same at any scale and in SQL."""
+    return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":" + salt))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+#: Slowest and fastest speed of a clip.
+SLOW, FAST = 0.7, 2.0
+
+
+def with_clip(rows: DataFrame, frames: Column, length: int, speed: Column | None = None, place: Column | None = None) -> DataFrame:
+    """Add source_length and first_frame of a clip of `length` samples: centred and at its own speed, unless shares choose."""
+    wanted = F.lit(length) if speed is None else F.bround(length * (SLOW + (FAST - SLOW) * speed)).cast("int")
+    rows = rows.withColumn("source_length", F.greatest(F.lit(length), F.least(wanted, frames)))
+    free = frames - F.col("source_length")
+    first = F.floor(free / 2) if place is None else F.floor(place * (free + 1))
+    return rows.withColumn("first_frame", F.greatest(first, F.lit(0)).cast("int"))
+
+
+def buffered(rows: DataFrame, colours: list[str], regions: int, buffer: int, window: int, fps: float) -> DataFrame:
+    """Channels of the last `window` frames, cut out after the last `buffer` frames were projected and filtered.
+
+    colours: arrays of regions, each an array of frames. Buffers too short for the filter give nulls.
+    """
+    cut = {c: F.flatten(F.transform(F.col(c), lambda x: last_part(x, buffer))) for c in colours}
+    made = rows.select("*", K.pulse_signals(*cut.values(), regions, K.training_signals, fps).alias("__p"))
+    names = ("green", "pos", "chrom")
+    return made.select(*[c for c in rows.columns if c not in colours], *[S.zscore(last_part(F.col(f"__p.{c}"), window)).alias(c) for c in names])
