@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -99,3 +99,81 @@ def top_changes(compared: DataFrame, delta: str, order: list[str], n: int) -> Da
     better = compared.orderBy(F.col(delta).asc(), *order).limit(n).withColumn("side", F.lit("improved"))
     worse = compared.orderBy(F.col(delta).desc(), *order).limit(n).withColumn("side", F.lit("harmed"))
     return better.unionByName(worse)
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """The left side with a value of the right one; repeated keys of either side, and keys that the right lacks, are errors when it is computed."""
+    found = assert_unique(right.select(*keys, F.col(value).alias(name), F.lit(True).alias("__found")), keys)
+    joined = assert_unique(left, keys).join(found, keys, "left")
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    checked = F.when(F.col("__found"), True).otherwise(F.raise_error(F.concat(F.lit("no counterpart: "), named)).cast("boolean"))
+    return joined.where(checked).drop("__found")
+
+
+def only_both(compared: DataFrame, keys: list[str]) -> DataFrame:
+    """An outer comparison in which every key has both sides; any other is an error when it is computed."""
+    named = F.concat_ws(", ", *[F.col(k).cast("string") for k in keys])
+    return compared.where(F.when(F.col("side") == "both", True).otherwise(F.raise_error(F.concat(F.lit("one side only: "), named)).cast("boolean")))
+
+
+def looked_up(summary: DataFrame, condition: Column, metric: str, name: str) -> DataFrame:
+    """One row of one metric; anything but exactly one matching row is an error when it is computed."""
+    found = summary.where(condition).agg(F.count(F.lit(1)).alias("n"), F.max(metric).alias(name))
+    wrong = F.raise_error(F.concat(F.lit("expected one row, found "), F.col("n").cast("string"))).cast("boolean")
+    return found.where(F.when(F.col("n") == 1, True).otherwise(wrong)).select(name)
+
+
+def worst_delta(deltas_of: DataFrame, keys: list[str], part: str, delta: str) -> DataFrame:
+    """Per key, the part (a dataset, say) that a candidate made worst, and by how much; ties go to the first name."""
+    order = F.struct(F.col(delta).alias("worst"), F.col(part).alias("part"))
+    top = deltas_of.where(F.col(delta).isNotNull()).groupBy(*keys).agg(F.max(delta).alias("worst"))
+    tied = deltas_of.join(top, keys).where(F.col(delta) == F.col("worst"))
+    return tied.groupBy(*keys).agg(F.min(F.struct(F.col(part).alias("part"), order["worst"].alias("worst"))).alias("w")).select(*keys, F.col("w.part").alias(f"worst_{part}"), F.col("w.worst").alias("worst"))
+
+
+#: Gains and penalties, in bpm, by which a candidate is looked at.
+GAIN_VAL, GAIN_TEST, OOD_PENALTY = 0.20, 0.10, 0.50
+
+
+def scoreboard(baseline: str, rows: DataFrame) -> DataFrame:
+    """Candidates with a row of zeros for the baseline, their mean gain, penalty and whether they may be adopted, best first by `place`.
+
+    rows: experiment, val_delta, test_delta, ood_delta.
+    """
+    base = rows.sparkSession.createDataFrame([(baseline, 0.0, 0.0, 0.0)], "experiment string, val_delta double, test_delta double, ood_delta double")
+    every = base.unionByName(rows.select(*base.columns)).withColumns({
+        "mean_gain": -(F.col("val_delta") + F.col("test_delta")) / 2,
+        "ood_penalty": F.greatest(F.col("ood_delta"), F.lit(0.0)),
+        "adoptable": (F.col("val_delta") <= -GAIN_VAL) & (F.col("test_delta") <= -GAIN_TEST) & (F.col("ood_delta") <= OOD_PENALTY),
+    })
+    return every.withColumn("place", F.row_number().over(Window.orderBy(F.desc("adoptable"), F.desc("mean_gain"), "experiment")))  # a row an experiment
+
+
+def transfer_profile(val: Column, test: Column, ood: Column, high: Column) -> Column:
+    """Profile of a transferred model from its deltas; fixed thresholds in bpm."""
+    useful = (val < 0) & (test < 0)
+    return F.when(useful & (ood <= 0.75) & ~(high > 0.50), "balanced_analysis_candidate").when(useful & (ood > 1.0), "performance_candidate_with_ood_penalty").when(useful, "weak_analysis_candidate").otherwise("reject")
+
+
+def scientific_label(kind: Column, adoptable: Column, status: Column) -> Column:
+    """Label of a run on the leaderboard."""
+    return F.when(kind == "smoke", "smoke_test_only").when(adoptable, "adoption_candidate_by_policy").when(status == "reject", "rejected_candidate").otherwise("analysis_only_weak_candidate")
+
+
+def absent(expected: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Expected keys that no row has."""
+    return expected.select(*keys).distinct().join(rows.select(*keys).distinct(), keys, "left_anti")
+
+
+def renamed(df: DataFrame, names: dict[str, str], prefixes: dict[str, str]) -> DataFrame:
+    """Columns renamed by name, else by their prefix."""
+    made = {c: names[c] if c in names else next((new + c[len(old) :] for old, new in prefixes.items() if c.startswith(old)), c) for c in df.columns}
+    return df.withColumnsRenamed({a: b for a, b in made.items() if a != b})
+
+
+def cache_health(rows: DataFrame, keys: list[str], signals: str, target: str, channels: int = 3, frames: int = 240) -> DataFrame:
+    """Per role of a cache of windows: rows, shapes and finite values that hold, and the extremes of the target."""
+    numbers = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    shaped = F.coalesce((F.size(signals) == channels) & F.forall(signals, lambda c: F.size(c) == frames), F.lit(False))
+    finite = F.coalesce(F.forall(signals, lambda c: F.forall(c, numbers)), F.lit(False))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.every(shaped).alias("shape_ok"), F.every(finite).alias("signals_finite"), F.every(F.coalesce(numbers(F.col(target).cast("double")), F.lit(False))).alias("target_finite"), F.min(target).alias("target_min"), F.max(target).alias("target_max"))

@@ -240,3 +240,41 @@ def permutation_test(rows: DataFrame, replicas: int, seed: int = 1) -> DataFrame
     return null.crossJoin(F.broadcast(real)).agg(
         F.first("r").alias("r"), F.avg("null_r").alias("null_mean"), F.stddev_pop("null_r").alias("null_sd"), ((F.count_if(F.abs("null_r") >= F.abs("r")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value")
     )
+
+
+def described(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Count, mean, deviation, extremes and quartiles of a value by group."""
+    v = F.col(value)
+    found = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("low"), F.max(v).alias("high"))
+    return with_quantiles(found, rows, keys, {"q25": (v, 0.25), "q50": (v, 0.5), "q75": (v, 0.75)})
+
+
+def crossed(rows: DataFrame, first: str, second: str, values: list) -> DataFrame:
+    """Counts of each value of `first` with each stated value of `second`, one column a value."""
+    return rows.groupBy(first).agg(*[F.count_if(F.col(second) == v).alias(f"{second}_{v}") for v in values])
+
+
+def linear_baseline(rows: DataFrame, keys: list[str], features: list[str], target: str, train: Column) -> DataFrame:
+    """Test MAE of least squares on a few features, fitted on the training rows of each group.
+
+    Only sums of products, a small matrix a group, are gathered for each fit; groups whose matrix
+    can't be solved fall back to the training mean.
+    """
+    import numpy as np
+
+    names = ["__one", *features]
+    design = rows.withColumn("__one", F.lit(1.0)).where(reduce(lambda a, c: a & F.col(c).isNotNull(), [*features, target], F.lit(True)))
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(names) for j, b in enumerate([*names, target])]
+    fits = []
+    for r in design.where(train).groupBy(*keys).agg(*sums).collect():  # a row a group
+        m = np.array([[r[f"{i}_{j}"] for j in range(len(names) + 1)] for i in range(len(names))], dtype=float)
+        try:
+            w = np.linalg.solve(m[:, :-1], m[:, -1])
+        except np.linalg.LinAlgError:
+            w = np.append(m[0, -1] / m[0, 0], np.zeros(len(features)))
+        fits.append((*[r[k] for k in keys], *map(float, w)))
+    ddl = ", ".join([f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys] + [f"__w{i} double" for i in range(len(names))])
+    weights = rows.sparkSession.createDataFrame(fits, ddl)
+    tested = design.where(~train).join(F.broadcast(weights), keys)
+    guess = reduce(lambda a, i: a + F.col(f"__w{i}") * F.col(names[i]), range(1, len(names)), F.col("__w0"))
+    return tested.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.avg(F.abs(guess - F.col(target))).alias("linear_mae"))

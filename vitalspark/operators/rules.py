@@ -104,3 +104,83 @@ def range_violations(df: DataFrame, keys: list[str], ranges: dict[str, tuple[flo
     """Long list of values outside the plausible range of their biomarker: keys, biomarker, value, low, high."""
     rows = F.explode(F.array(*[F.struct(F.lit(n).alias("biomarker"), F.col(n).cast("double").alias("value"), F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")) for n, (a, b) in ranges.items()]))
     return df.select(*keys, rows.alias("r")).select(*keys, "r.*").where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
+
+
+def training_gate(missing: Column, label: Column, channels: dict[str, Column], most_missing: float = 0.10, low: float = 40.0, high: float = 180.0) -> Column:
+    """Why a training window is left out, first failure first, or ok: labels missing or implausible, a channel with gaps or flat."""
+    checks = {"missing_labels": F.coalesce(missing > most_missing, F.lit(True)), "label_out_of_range": ~F.coalesce(label.between(low, high), F.lit(False))}
+    for name, signal in channels.items():
+        problem = S.validity(signal)
+        checks |= {f"{name}_gaps": problem.isin("missing", "nan"), f"{name}_flat": problem == "flat"}
+    return first_failure({k: F.coalesce(c, F.lit(False)) for k, c in checks.items()})
+
+
+def passes(checks: dict[str, Column]) -> dict[str, Column]:
+    """A column passes_<name> for every gate, and passes_all; an unknown value doesn't pass."""
+    made = {f"passes_{name}": F.coalesce(c, F.lit(False)) for name, c in checks.items()}
+    return made | {"passes_all": reduce(lambda a, b: a & b, made.values())}
+
+
+def region_rollup(statuses: Column) -> dict[str, Column]:
+    """Counts of a frame's regions by status and the status of all: a warning as soon as one region isn't ok."""
+    number = lambda status: F.size(F.filter(statuses, lambda x: x == status))
+    counts = {s: number(s) for s in ("ok", "warning", "reject")}
+    return {f"{s}_regions": n for s, n in counts.items()} | {"overall": F.when((counts["warning"] > 0) | (counts["reject"] > 0), "warning").otherwise("ok")}
+
+
+def trainable(df: DataFrame, least_quality: float = 0.05, clip: int = 160) -> DataFrame:
+    """Recordings of a training index: usable, of some quality, at least a clip long; an unstated flag counts as usable."""
+    return df.where(F.coalesce("usable", F.lit(True)) & (F.coalesce("cardiac_sqi", F.lit(0.0)) >= least_quality) & (F.col("n_frames") >= clip))
+
+
+def valid_targets(ranges: dict[str, tuple[float, float]]) -> Column:
+    """Are all targets numbers inside their ranges?"""
+    inside = [F.coalesce(S.finite(F.col(c)).between(a, b), F.lit(False)) for c, (a, b) in ranges.items()]
+    return reduce(lambda a, b: a & b, inside)
+
+
+def evaluation_rows(df: DataFrame, mode: str, datasets: list[str] | None = None) -> DataFrame:
+    """Rows of one preprocessing mode that went well and have both values; datasets: those to keep, or all."""
+    kept = df.where((F.col("preprocessing_status") == "ok") & (F.col("preprocessing_mode") == mode) & S.finite(F.col("model_hr")).isNotNull() & S.finite(F.col("target_hr_mean")).isNotNull())
+    return kept if datasets is None else kept.where(F.col("dataset").isin(datasets))
+
+
+def detection_agreement(difference: Column) -> Column:
+    """How well a detected rate agrees with a device's: good under 5 bpm, moderate under 10."""
+    return F.when(difference.isNull(), "unknown").when(F.abs(difference) < 5, "good").when(F.abs(difference) < 10, "moderate").otherwise("large")
+
+
+def region_box(face: dict[str, Column], x: tuple[float, float], y: tuple[float, float], width: Column, height: Column) -> dict[str, Column]:
+    """Pixel box of a region given by shares of the face's box, rounded half to even and kept inside the image."""
+    place = lambda start, size, share, least, most: F.greatest(F.lit(least), F.least(face[start] + F.bround(face[size] * share).cast("int"), most))
+    x0, x1 = place("x_min", "width", x[0], 0, width - 1), place("x_min", "width", x[1], 0, width)
+    y0, y1 = place("y_min", "height", y[0], 0, height - 1), place("y_min", "height", y[1], 0, height)
+    w, h = F.greatest(F.lit(0), x1 - x0), F.greatest(F.lit(0), y1 - y0)
+    return {"x_min": x0, "x_max": x1, "y_min": y0, "y_max": y1, "width": w, "height": h, "area_fraction": F.try_divide((w * h).cast("double"), (width * height).cast("double"))}
+
+
+#: Shares of the face's box that each region takes, across and down.
+REGION_SHARES = {"forehead": ((0.30, 0.70), (0.06, 0.22)), "image_left_cheek": ((0.10, 0.34), (0.40, 0.62)), "image_right_cheek": ((0.66, 0.90), (0.40, 0.62))}
+
+
+def landmark_box(landmarks: DataFrame, keys: list[str], width: int, height: int) -> DataFrame:
+    """Pixel box around landmarks given as shares x and y of the image, one row a key."""
+    ends = {f"{axis}_{end}": F.greatest(F.lit(0.0), F.least(f(F.col(axis) * size), F.lit(size - 1.0))) for axis, size in (("x", width), ("y", height)) for end, f in (("min", F.min), ("max", F.max))}
+    found = landmarks.groupBy(*keys).agg(F.count(F.lit(1)).alias("landmarks"), *[c.alias(k) for k, c in ends.items()])
+    size = lambda axis: F.greatest(F.lit(0.0), F.col(f"{axis}_max") - F.col(f"{axis}_min"))
+    whole = lambda c: F.bround(c).cast("int")
+    return found.select(*keys, "landmarks", *[whole(F.col(k)).alias(k) for k in ends], whole(size("x")).alias("width"), whole(size("y")).alias("height"), (size("x") * size("y") / (width * height)).alias("area_fraction"))
+
+
+def frame_statistics(pixels: DataFrame, keys: list[str], box: Column | None = None) -> DataFrame:
+    """Means, deviations and extremes of r, g and b over a frame's pixels, those inside `box` if it is given; their mean is the brightness."""
+    inside = pixels if box is None else pixels.where(box)
+    found = [f(c).alias(f"{c}_{name}") for c in "rgb" for name, f in (("mean", F.avg), ("sd", F.stddev_pop), ("min", F.min), ("max", F.max))]
+    summed = inside.groupBy(*keys).agg(F.count(F.lit(1)).alias("pixels"), *found)
+    return summed.withColumn("brightness", (F.col("r_mean") + F.col("g_mean") + F.col("b_mean")) / 3)
+
+
+def centre_box(x: Column, y: Column, width: int, height: int, share: float = 0.3) -> Column:
+    """Is a pixel in the central part of the frame?"""
+    low, high = 0.5 - share / 2, 0.5 + share / 2
+    return (x >= int(width * low)) & (x < int(width * high)) & (y >= int(height * low)) & (y < int(height * high))

@@ -58,15 +58,54 @@ def seeded_sample(rows: DataFrame, groups: list[str], key: list[str], n: int, se
     return rows.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= n).drop("__k")
 
 
-def weighted_sample(rows: DataFrame, weight: str, key: str, draws: int, seed: int = 42) -> DataFrame:
-    """Draws with replacement in proportion to weights: every row is drawn a Poisson number of times.
+def checked_weights(rows: DataFrame, weight: str) -> DataFrame:
+    """The table itself; a weight that is no positive number is an error when it is computed."""
+    good = F.coalesce((F.col(weight) > 0) & ~F.isnan(weight) & (F.col(weight) < float("inf")), F.lit(False))
+    return rows.where(F.when(good, True).otherwise(F.raise_error(F.lit(f"{weight} has to be a positive number")).cast("boolean")))
 
-    The number of draws has the asked mean; a seeded hash of the key drives each row's number, so
-    rows are independent and no cumulative sum over all of them is needed.
+
+def weighted_sample(rows: DataFrame, weight: str, key: str, draws: int, seed: int = 42, buckets: int = 1024) -> DataFrame:
+    """Exactly `draws` draws with replacement in proportion to weights: rows that are drawn, with `times`.
+
+    Rows lie on a line, each as long as its weight, in the order of hashed buckets and keys; a draw
+    is a hashed point of it. Points and rows meet by sorting within their bucket, whose place on
+    the line is known from the buckets' sums alone.
     """
-    total = rows.agg(F.sum(weight)).first()[0] or 1.0
-    rate = F.col(weight) * (draws / total)
-    uniform = (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    # Inverse of the Poisson distribution by its first terms.
-    terms = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("c"), F.lit(0).alias("k")), lambda s, i: F.struct((s["p"] * rate / i).alias("p"), (s["c"] + s["p"] * rate / i).alias("c"), (s["k"] + (s["c"] < uniform).cast("int")).alias("k")), lambda s: s["k"])
-    return rows.withColumn("times", terms).where("times > 0")
+    share = lambda text: F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    bucket = F.pmod(F.conv(F.substring(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("bigint"), F.lit(buckets)).cast("int")
+    placed = checked_weights(rows, weight).withColumn("__b", bucket)
+    sums = placed.groupBy("__b").agg(F.sum(F.col(weight).cast("double")).alias("__s"))
+    edges = sums.withColumn("__from", F.sum("__s").over(Window.orderBy("__b")) - F.col("__s"))  # at most `buckets` rows
+    line = F.broadcast(edges.agg(F.array_sort(F.collect_list(F.struct("__from", "__b"))).alias("__line"), F.sum("__s").alias("__total")))
+    points = rows.sparkSession.range(draws).crossJoin(line).withColumn("__at", share(F.concat(F.col("id").cast("string"), F.lit(f":draw:{seed}"))) * F.col("__total"))
+    hit = F.element_at("__line", F.greatest(F.lit(1), F.size(F.filter("__line", lambda e: e["__from"] <= F.col("__at")))))
+    points = points.select(hit["__b"].alias("__b"), F.col("__at"), F.lit(1).alias("__side"))
+    upto = F.sum(F.col(weight).cast("double")).over(Window.partitionBy("__b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    starts = placed.join(F.broadcast(edges.drop("__s")), "__b").select("__b", (F.col("__from") + upto - F.col(weight)).alias("__at"), F.lit(0).alias("__side"), F.col(key).alias("__key"))
+    order = Window.partitionBy("__b").orderBy("__at", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(points, allowMissingColumns=True).withColumn("__key", F.last("__key", ignorenulls=True).over(order)).where("__side = 1")
+    times = met.groupBy("__key").agg(F.count(F.lit(1)).alias("times"))
+    return rows.join(times, rows[key] == times["__key"]).drop("__key")
+
+
+def assigned_roles(rows: DataFrame, subject: str, roles: DataFrame) -> DataFrame:
+    """Rows with the role of their subject (roles: subject, role); a subject without one is an error when it is computed."""
+    joined = rows.join(roles, subject, "left")
+    wrong = F.raise_error(F.concat(F.lit("no role for subject "), F.coalesce(F.col(subject).cast("string"), F.lit("null")))).cast("string")
+    return joined.withColumn("role", F.when(F.col("role").isNotNull(), F.col("role")).otherwise(wrong))
+
+
+def counted_roles(subjects: DataFrame, subject: str, counts: dict[str, int], seed: int = 42) -> DataFrame:
+    """subject and role: the stated numbers of subjects for each role, in the order of a seeded hash; the rest have none."""
+    hashed = subjects.select(subject).distinct().withColumn("__h", F.md5(F.concat(F.col(subject).cast("string"), F.lit(f":{seed}"))))
+    # The first digits of the hash are buckets in its own order: places are sizes of buckets before, and numbers within.
+    spread = hashed.withColumn("__b", F.substring("__h", 1, 3))
+    sizes = spread.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__before"))  # 4096 rows at most
+    within = F.row_number().over(Window.partitionBy("__b").orderBy("__h", subject))
+    placed = spread.withColumn("__k", within).join(F.broadcast(before), "__b").withColumn("__k", F.col("__k") + F.col("__before"))
+    upto, role = 0, None
+    for name, n in counts.items():
+        upto += n
+        role = F.when(F.col("__k") <= upto, name) if role is None else role.when(F.col("__k") <= upto, name)
+    return placed.select(subject, role.alias("role"))

@@ -143,3 +143,9 @@ def buffered(rows: DataFrame, colours: list[str], regions: int, buffer: int, win
     made = rows.select("*", K.pulse_signals(*cut.values(), regions, K.training_signals, fps).alias("__p"))
     names = ("green", "pos", "chrom")
     return made.select(*[c for c in rows.columns if c not in colours], *[S.zscore(last_part(F.col(f"__p.{c}"), window)).alias(c) for c in names])
+
+
+def effective_rate(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
+    """n and (n - 1) over the time that the samples take; null for one sample or no time."""
+    found = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(time) - F.min(time)).alias("d"))
+    return found.select(*keys, "n", F.when((F.col("n") >= 2) & (F.col("d") > 0), (F.col("n") - 1) / F.col("d")).alias("rate"))

@@ -144,8 +144,11 @@ def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluate.permutation_test(means.withColumn("id", F.col("subject") * 10 + F.col("mode")), 100))
 
 
-@registry.add()
+@registry.add(f"""WITH {MANIFEST}, m AS (SELECT dataset, count(*) AS m FROM p GROUP BY dataset), w AS (SELECT recording, p.dataset, power((SELECT count(*) FROM p) / m::double, 0.5::double) * CASE WHEN hr >= 100 THEN 2.0::double ELSE 1.0::double END * CASE WHEN hr >= 120 THEN 1.5::double ELSE 1.0::double END * CASE WHEN p.dataset = 'F' THEN 1.2::double ELSE 1.0::double END AS w,
+ ('0x' || substr(md5(recording::varchar || ':42'), 1, 8))::bigint % 1024 AS b FROM p JOIN m ON m.dataset = p.dataset), c AS (SELECT *, sum(w) OVER (ORDER BY b, recording) - w AS start FROM w),
+ u AS (SELECT k, ('0x' || substr(md5(k::varchar || ':draw:42'), 1, 8))::bigint::double / 4294967296 * (SELECT sum(w) FROM w) AS spot FROM range(1000) t(k)), d AS (SELECT c.recording, c.dataset FROM u ASOF JOIN c ON u.spot >= c.start)
+ SELECT recording, dataset, count(*) AS times FROM d GROUP BY recording, dataset""")
 def weighted_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws with replacement by sampling weight; the numbers come from hashes, so no SQL."""
+    """Exactly a thousand draws with replacement by sampling weight."""
     rows = splits.with_sampling_weights(manifest(spark, sf_dir), "dataset", F.col("hr"), 0.5, 2.0, 1.5, F.col("dataset") == "F", 1.2)
-    return splits.weighted_sample(rows.withColumn("weight", F.coalesce("weight", F.lit(0.0))), "weight", "recording", 1000).select("recording", "dataset", "times")
+    return splits.weighted_sample(rows, "weight", "recording", 1000).select("recording", "dataset", "times")
