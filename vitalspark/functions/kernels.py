@@ -282,6 +282,11 @@ def _z(x: np.ndarray) -> np.ndarray:
     return np.where(d < 1e-8, 0.0, (x - x.mean(axis=1, keepdims=True)) / np.where(d < 1e-8, 1.0, d))
 
 
+def model_ready(x: np.ndarray, length: int) -> np.ndarray:
+    """Rows resampled to a length and scaled."""
+    return _z(fourier_resample(x, length))
+
+
 def _projections(rgb: np.ndarray, pad: float) -> tuple[np.ndarray, np.ndarray]:
     """POS and CHROM of colour (rows, frames, 3) normalised by its means; pad is added to the divisor of alpha."""
     c = rgb / (rgb.mean(axis=1, keepdims=True) + 1e-8)
@@ -309,6 +314,12 @@ def training_signals(rois: np.ndarray, fps: float, order: int = 4) -> dict[str,
     return {name: _z(bandpass(x, fps, order=order)) for name, x in raw.items()}
 
 
+def buffered_channels(rois: np.ndarray, fps: float, window: int, length: int) -> dict[str, np.ndarray]:
+    """Training-style channels of a buffer, their last `window` frames resampled and scaled; NaN for a shorter buffer."""
+    short = rois.shape[2] < window
+    return {name: np.full((len(x), length), np.nan) if short else model_ready(x[:, -window:], length) for name, x in training_signals(rois, fps).items()}
+
+
 # Arrow functions.
 def pulse_signals(r: Column, g: Column, b: Column, regions: int, kernel=live_signals, *options) -> Column:
     """Struct of green, pos and chrom arrays from colours, each the frames of all regions one after another."""

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import signals as S
 from ..operators import evaluate, rules
+from ..operators import windows as W
 from ..sources import readers
 
 #: The regions of a face and the channels in the order that models take them.
@@ -56,20 +57,128 @@ def gated(signals: DataFrame, keys: list[str], rate: str) -> DataFrame:
     return found.withColumns(gate).withColumns({f"{c}_{m}": F.col(f"q_{c}.{m}") for c in CHANNELS for m in ("bpm", "sqi")}).drop(*[f"q_{c}" for c in CHANNELS])
 
 
+def rated(signals: pd.Series, rates: pd.Series):
+    """Rows of one rate and length at a time: (rate, row numbers, matrix)."""
+    known = rates.to_numpy(dtype=float)
+    for own in np.unique(known[np.isfinite(known)]):
+        for rows, x in K._matrices(signals.where(pd.Series(known == own, index=signals.index), None)):
+            yield float(own), rows, x
+
+
 def rated_quality(signal: Column, rate: Column) -> Column:
     """Spectral quality at a rate of each row's own: rows of one rate and length go together."""
+
     @F.pandas_udf("bpm double, sqi double")
     def run(signals: pd.Series, rates: pd.Series) -> pd.DataFrame:
         out = np.full((len(signals), 2), np.nan)
-        for i, (x, r) in enumerate(zip(signals, rates, strict=True)):
-            if x is not None and r is not None and r > 2 * K.HIGH:
-                bpm, sqi, _ = K.spectral_quality(np.asarray(x, dtype=float)[None, :], float(r))
-                out[i] = bpm[0], sqi[0]
+        for own, rows, x in rated(signals, rates):
+            if own > 2 * K.HIGH:
+                bpm, sqi, _ = K.spectral_quality(x, own)
+                out[rows, 0], out[rows, 1] = bpm, sqi
         return pd.DataFrame(out, columns=["bpm", "sqi"])
 
     return run(signal, rate)
 
 
+def rated_channels(r: Column, g: Column, b: Column, rate: Column) -> Column:
+    """Training-style channels of each row at its own rate; nulls where the rate or length allows no band-pass."""
+
+    @F.pandas_udf("green array<double>, pos array<double>, chrom array<double>")
+    def run(red: pd.Series, green: pd.Series, blue: pd.Series, rates: pd.Series) -> pd.DataFrame:
+        out = {c: [None] * len(red) for c in ("green", "pos", "chrom")}
+        for own, rows, x in rated(red, rates):
+            cube = np.stack([p.reshape(len(rows), len(REGIONS), -1) for p in (x, *(np.stack(c.iloc[rows].to_numpy()).astype(float) for c in (green, blue)))], axis=-1)
+            for name, made in K.training_signals(cube, own).items():
+                for k, row in zip(rows, made, strict=True):
+                    out[name][k] = None if np.isnan(row).any() else row.tolist()
+        return pd.DataFrame(out)
+
+    return run(r, g, b, rate)
+
+
+def buffered(samples: DataFrame, keys: list[str], seconds: float = 8.0, buffer_seconds: float = 12.0, frames: int = 240) -> DataFrame:
+    """Model-ready channels of every session: a longer buffer is filtered, then its last `seconds` are cut out, resampled and scaled.
+
+    status is ok or error, with a message; sessions in error have null channels.
+    """
+    rows = series(samples, keys, max(seconds, buffer_seconds))
+    # Samples keep the order of their times, so the window is the buffer's tail.
+    made = rows.withColumns({"p": rated_channels(F.col("r"), F.col("g"), F.col("b"), F.col("fps")), "window_n": F.least(F.col("n"), F.floor(seconds * F.col("fps") + 1e-9).cast("int") + 1)})
+    message = F.when(F.col("fps").isNull(), "no sampling rate").when(F.col("p.pos").isNull(), "the buffer can't be filtered").when(F.col("window_n") < 8, "too few samples in the window")
+    ready = lambda c: K.mapped(K.model_ready, frames)(F.when(message.isNull(), W.last_part(F.col(f"p.{c}"), F.col("window_n"))))
+    return made.select(*keys, "n", "fps", "window_n", F.when(message.isNull(), "ok").otherwise("error").alias("status"), message.alias("message"), *[ready(c).alias(c) for c in CHANNELS])
+
+
+def candidates(rows: DataFrame, keys: list[str], fps: float, seconds: float, buffer_seconds: float, rates: list[float], frames: int = 240) -> DataFrame:
+    """Every way to get a window's channels, one row each: stored, source_buffer, and simulated at each rate; a way that fails says so.
+
+    rows: keys, stored (struct of pos, chrom and green of the window) and r, g, b, arrays of regions,
+    each an array of the recording's frames up to the window's end.
+    """
+    ready = K.mapped(K.model_ready, frames)
+    ways = [rows.select(*keys, F.lit("stored").alias("mode"), F.lit(None).cast("double").alias("simulated_fps"), F.size("stored.pos").alias("samples"), *[ready(F.col(f"stored.{c}")).alias(c) for c in CHANNELS])]
+    for rate in (None, *rates):
+        own = fps if rate is None else rate
+        n = F.size(F.get("r", F.lit(0)))
+        first = F.greatest(F.lit(0), F.bround(n - buffer_seconds * fps).cast("int"))
+        seen = F.sequence(first, n - 1) if rate is None else S.simulated_frames(first, n, F.lit(float(fps)), float(rate))
+        cut = rows.withColumn("__f", seen)
+        region = lambda c, k: F.transform("__f", lambda i: F.get(F.get(c, F.lit(k)), i))
+        colours = [F.concat(*[region(c, k) for k in range(len(REGIONS))]) for c in "rgb"]
+        window = int(round(seconds * own))
+        made = cut.select(*keys, F.size("__f").alias("samples"), K.pulse_signals(*colours, len(REGIONS), K.buffered_channels, own, window, frames).alias("p"))
+        ways.append(made.select(*keys, F.lit("source_buffer" if rate is None else "simulated_buffer").alias("mode"), F.lit(rate).cast("double").alias("simulated_fps"), "samples", *[F.col(f"p.{c}").alias(c) for c in CHANNELS]))
+    every = ways[0]
+    for w in ways[1:]:
+        every = every.unionByName(w)
+    return every.withColumn("status", F.when(F.col("pos").isNotNull() & F.col("chrom").isNotNull() & F.col("green").isNotNull(), "ok").otherwise("failed"))
+
+
+def region_samples(pixels: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean colour and image quality of every region of a frame: pixels x, y, r, g, b inside boxes region, x_min, x_max, y_min, y_max.
+
+    A region without pixels is rejected.
+    """
+    inside = (F.col("x") >= F.col("x_min")) & (F.col("x") < F.col("x_max")) & (F.col("y") >= F.col("y_min")) & (F.col("y") < F.col("y_max"))
+    share = lambda c: F.avg(c.cast("double"))
+    any_of = lambda f: f(F.col("r")) | f(F.col("g")) | f(F.col("b"))
+    bright, dark = (lambda c: c >= 250), (lambda c: c <= 10)
+    found = boxes.join(pixels, keys).where(inside).groupBy(*keys, "region").agg(
+        F.count(F.lit(1)).alias("pixels"), *[F.avg(c).alias(c) for c in "rgb"], share(any_of(bright)).alias("saturated"), share(bright(F.col("r"))).alias("red_saturated"), share(bright(F.col("g"))).alias("green_saturated"), share(any_of(dark)).alias("dark")
+    )
+    every = boxes.select(*keys, "region").join(found, [*keys, "region"], "left")
+    spread = F.greatest("r", "g", "b") - F.least("r", "g", "b")
+    quality = rules.image_quality(F.col("saturated"), F.col("red_saturated"), F.col("green_saturated"), F.col("dark"), F.col("g"), spread)
+    empty = F.col("pixels").isNull()
+    return every.withColumns({"status": F.when(empty, "reject").otherwise(quality["status"]), "reasons": F.when(empty, "empty").otherwise(quality["reasons"])})
+
+
+def tone_errors(spark: SparkSession, rates: list[float], lengths: list[float], fps: float) -> DataFrame:
+    """Mean and largest error of the dominant rate of synthetic tones by channel, for each window length."""
+    every = None
+    for seconds in lengths:
+        made = readers.tones(spark, rates, seconds, fps)
+        rows = made.select("bpm", F.lit(float(seconds)).alias("seconds"), F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), K.quality(F.col(c), fps)["bpm"].alias("found")) for c in CHANNELS])).alias("q"))
+        every = rows if every is None else every.unionByName(rows)
+    error = F.abs(F.col("q.found") - F.col("bpm"))
+    return every.groupBy("seconds", F.col("q.channel").alias("channel")).agg(F.count(F.lit(1)).alias("tones"), F.avg(error).alias("mean_error"), F.max(error).alias("max_error"))
+
+
+def scored(signal: Column, kernel: Callable[[np.ndarray], np.ndarray], rows: int = 128) -> Column:
+    """A score of every signal by a kernel over matrices of at most `rows` rows, made ready once a task; null for unusable rows."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = np.full(len(batch), np.nan)
+            for own, x in K._matrices(batch):
+                for at in range(0, len(own), rows):
+                    out[own[at : at + rows]] = kernel(x[at : at + rows])
+            yield pd.Series(out, index=batch.index).where(np.isfinite(out), None)
+
+    return run(signal)
+
+
 #: Scorers by name: a column of a rate in bpm from the three channels, or null where they have none.
 SCORERS: dict[str, Callable[[DataFrame], Column]] = {"spectral": lambda df: F.col("median_bpm"), "unavailable": lambda df: F.lit(None).cast("double")}
 

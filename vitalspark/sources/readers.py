@@ -15,7 +15,7 @@ def _numbers(line: Column) -> Column:
 
 def csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
     """CSV with a header and a stated schema; cells that don't parse are null."""
-    return spark.read.schema(ddl).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(ddl).option("header", True).option("mode", "PERMISSIVE").option("escape", "\"").csv(path)
 
 
 def processing_log(spark: SparkSession, path: str, ddl: str) -> DataFrame:
@@ -103,3 +103,112 @@ def tones(spark: SparkSession, rates: list[float], seconds: float, fps: float, n
     made = rows.select("bpm", "i", wave(0, 1.0, 0.0).alias("pos"), wave(1, 0.85, 0.15).alias("chrom"), wave(2, 0.70, -0.10).alias("green"))
     packed = made.groupBy("bpm").agg(F.array_sort(F.collect_list(F.struct("i", "pos", "chrom", "green"))).alias("w"))
     return packed.select("bpm", *[F.col(f"w.{c}").alias(c) for c in ("pos", "chrom", "green")])
+
+
+def roi_samples(spark: SparkSession, rates: list[float], regions: list[str], seconds: float = 8.0, fps: float = 30.0) -> DataFrame:
+    """Synthetic colour samples of a pulse at each rate: bpm, t_s and a map of regions, each a little brighter than the one before."""
+    wave = F.sin(2 * F.pi() * F.col("bpm") / 60 * F.col("t_s"))
+    rows = spark.createDataFrame([(float(r),) for r in rates], "bpm double").withColumn("t_s", F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(seconds * fps) - 1)), lambda i: i / fps)))
+    colour = lambda k, base, size: base + 0.25 * k + size * wave
+    parts = [x for k, name in enumerate(regions) for x in (F.lit(name), F.struct(colour(k, 100.0, 1.8).alias("r"), colour(k, 105.0, 3.0).alias("g"), colour(k, 95.0, 1.2).alias("b"), F.lit("ok").alias("quality_status")))]
+    return rows.select("bpm", "t_s", F.create_map(*parts).alias("rois"))
+
+
+def dropped_samples(samples: DataFrame, keys: list[str], regions: list[str]) -> DataFrame:
+    """Per key, how many samples came and how many were incomplete."""
+    whole = complete_samples(samples, regions).groupBy(*keys).agg(F.count(F.lit(1)).alias("complete"))
+    came = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("samples"))
+    return came.join(whole, keys, "left").select(*keys, "samples", (F.col("samples") - F.coalesce("complete", F.lit(0))).alias("dropped"))
+
+
+#: What stands for a missing number in stored recordings.
+MISSING = (-1.0, -999.0)
+
+
+def recordings(spark: SparkSession, path: str) -> DataFrame:
+    """The Parquet form of a corpus: recordings that have colours, numbers that stand for missing ones as null."""
+    rows = spark.read.schema(schemas.RECORDING).parquet(path).where(F.size("roi_rgb") > 0)
+    return rows.withColumns({name: S.from_sentinel(F.col(name), *MISSING) for name, kind in rows.dtypes if kind == "double"})
+
+
+def channel_json(spark: SparkSession, path: str) -> DataFrame:
+    """path, device_hr and channels (a map of name to values) of files whose first recording is a table with a heading row.
+
+    device_hr is the median of the plausible rates of the second device; null where it has none.
+    """
+    kind = "scenarios array<struct<recordings:struct<BIO:array<array<string>>,CMS:array<array<string>>>>>"
+    first = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.get(F.from_json("value", kind)["scenarios"], F.lit(0))["recordings"].alias("r"))
+    body = lambda rows: F.filter(rows, lambda x, i: i > 0)
+    column = lambda rows, at: F.transform(body(rows), lambda x: F.get(x, at).try_cast("double"))
+    names = F.get("r.BIO", F.lit(0))
+    table = F.map_from_arrays(names, F.transform(names, lambda n, i: column(F.col("r.BIO"), i)))
+    place = F.array_position(F.get("r.CMS", F.lit(0)), "hr").cast("int") - 1
+    rates = F.array_sort(F.filter(column(F.col("r.CMS"), place), lambda v: (v > 30) & (v < 220)))
+    n = F.size(rates)
+    middle = F.when(n > 0, (F.try_element_at(rates, F.floor((n - 1) / 2).cast("int") + 1) + F.try_element_at(rates, F.floor(n / 2).cast("int") + 1)) / 2)
+    return first.where("r is not null").select("path", middle.alias("device_hr"), table.alias("channels"))
+
+
+def patient_table(spark: SparkSession, path: str, camera: str, steps: list[str], names: dict[str, str], biomarkers: list[str]) -> DataFrame:
+    """Rows of one camera and some steps, columns renamed, biomarkers as numbers where they are numbers and as text beside."""
+    rows = spark.read.option("header", True).csv(path).where((F.col("camera") == camera) & F.col("step").isin(steps))
+    rows = rows.withColumnsRenamed({a: b for a, b in names.items() if a in rows.columns})
+    held = [b for b in biomarkers if b in rows.columns]
+    return rows.withColumns({f"{b}_text": F.when(F.col(b).try_cast("double").isNull(), F.col(b)) for b in held} | {b: F.col(b).try_cast("double") for b in held})
+
+
+def frame_clock(spark: SparkSession, path: str) -> DataFrame:
+    """path, t (ms since 1970) and value of lines without heading; lines whose time is no number are left out."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split("value", ",").alias("c"))
+    made = rows.select("path", F.get("c", F.lit(0)).try_cast("double").alias("t"), F.get("c", F.lit(1)).try_cast("double").alias("value"))
+    return made.where("t is not null")
+
+
+def frame_rates(stamps: DataFrame, keys: list[str], time: str, fallback: float, least: int = 10) -> DataFrame:
+    """Frames a second from the median step of a recording's time stamps in seconds; the fallback for few stamps or no steps."""
+    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
+    found = stamps.withColumn("step", step).groupBy(*keys).agg(F.count(time).alias("n"), F.median("step").alias("middle"))
+    return found.select(*keys, F.when((F.col("n") > least) & (F.col("middle") > 0), 1 / F.col("middle")).otherwise(fallback).alias("fps"))
+
+
+def subject_info(spark: SparkSession, path: str) -> DataFrame:
+    """path, gender, scenario, date and time by the lines of small text files; `?` for lines that are absent."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.filter(F.transform(F.split("value", r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "").alias("l"))
+    line = lambda k, c=lambda x: x: F.coalesce(c(F.get("l", F.lit(k))), F.lit("?"))
+    return files.select("path", line(1, F.lower).alias("gender"), line(2, F.lower).alias("scenario"), line(3).alias("date"), line(4).alias("time"))
+
+
+#: What the rows and columns of a matrix of self-reported scores are.
+SCORES, WHEN = ("cognitive", "somatic", "confidence"), ("pre", "post")
+
+
+def score_matrix(spark: SparkSession, path: str) -> DataFrame:
+    """path and a column for each score before and after, from files of three lines of two numbers; -1 for files of another shape."""
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.filter(F.split("value", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    cells = F.transform("l", lambda x: F.transform(F.split(x, ","), lambda v: v.try_cast("double")))
+    shaped = F.coalesce((F.size("m") == 3) & F.forall("m", lambda r: (F.size(r) == 2) & F.forall(r, lambda v: v.isNotNull())), F.lit(False))
+    made = files.select("path", cells.alias("m"))
+    return made.select("path", *[F.when(shaped, F.get(F.get("m", F.lit(i)), F.lit(j))).otherwise(-1.0).alias(f"{s}_{w}") for i, s in enumerate(SCORES) for j, w in enumerate(WHEN)])
+
+
+def trials(spark: SparkSession, path: str) -> DataFrame:
+    """Trials of a search: study, number, state, value and params as a map, from a CSV export with its params as JSON."""
+    rows = csv(spark, path, "study string, number int, state string, value double, params string")
+    return rows.withColumn("params", F.from_json("params", "map<string,string>"))
+
+
+def best_trials(rows: DataFrame, n: int = 1) -> DataFrame:
+    """The n best completed trials of each study, the earlier of equals first, and how many were completed."""
+    done = rows.where("state = 'COMPLETE' and value is not null")
+    order = Window.partitionBy("study").orderBy("value", "number")
+    counts = rows.groupBy(F.col("study").alias("s")).agg(F.count(F.lit(1)).alias("trials"), F.count_if(F.col("state") == "COMPLETE").alias("completed"))
+    best = done.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    return best.join(counts, F.col("study") == F.col("s")).drop("s")
+
+
+def only_file(spark: SparkSession, roots: list[str], name: str) -> str:
+    """The path of the one file of a name under some folders; none or several are an error."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(roots).select("path").distinct().limit(2).collect()
+    if len(found) != 1:
+        raise FileNotFoundError(f"{name}: {'none' if not found else 'several'} under {roots}")
+    return found[0]["path"]

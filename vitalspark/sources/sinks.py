@@ -55,3 +55,38 @@ def _safe(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.MapType):
         return F.transform_values(value, lambda k, v: _safe(v, kind.valueType))
     return value
+
+
+def write_report(df: DataFrame, path: str) -> None:
+    """Rows as lines of JSON without NaN; an empty table is an error."""
+    if df.isEmpty():
+        raise ValueError(f"no rows for {path}")
+    df.select(json_safe(df).alias("value")).write.mode("overwrite").text(path)
+
+
+def run_batches(inventory: DataFrame, keys: list[str], work, out: str, log: str, batch: int, stop: str | None = None) -> int:
+    """Work through an inventory, `batch` keys at a time in their order; returns how many keys were done.
+
+    work: from a batch's rows to a table with the keys and `status`. Results are appended, then their
+    keys to the log, so that a run that broke off goes on after the last logged batch and adds no key
+    twice. A file named `stop` ends the run between two batches.
+    """
+    spark, total = inventory.sparkSession, 0
+    while not (stop and _exists(spark, stop)):
+        known = spark.read.parquet(log).select(*keys) if _exists(spark, log) else None
+        pending = inventory if known is None else inventory.join(known, keys, "left_anti")
+        rows = pending.orderBy(*keys).limit(batch).persist()
+        try:
+            if rows.isEmpty():
+                return total
+            made = work(rows)
+            append_new(made, out, keys)
+            total += append_new(spark.read.parquet(out).select(*keys, "status").join(rows.select(*keys), keys, "left_semi"), log, keys)
+        finally:
+            rows.unpersist()
+    return total
+
+
+def _exists(spark, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
