@@ -21,7 +21,7 @@ def test_skip_reason_order(spark):
 
 def test_flags_of_missing_measures(spark):
     df = spark.createDataFrame([(1, 60.0, 100.0, 0.5, [60.0, 90.0]), (2, None, None, None, None)], "id int, s double, b double, q double, r array<double>")
-    flags = recordings.usable_flags(F.col("s"), F.col("b"), F.col("q"), F.col("r"), 10.0, 20.0, 235.0, 0.1, 20.0)
+    flags = recordings.usable_flags(F.col("s"), F.col("b"), F.col("q"), F.size("r"), F.array_max("r") - F.array_min("r"), 10.0, 20.0, 235.0, 0.1, 20.0)
     got = {r["id"]: r for r in df.select("id", *[v.alias(k) for k, v in flags.items()]).collect()}
     assert got[1]["usable"] and got[1]["hr_nonstationary"] and not got[1]["ref_complete"]
     assert not got[2]["usable"] and not got[2]["frame_ok"] and got[2]["hr_drift"] is None

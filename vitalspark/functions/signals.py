@@ -237,3 +237,29 @@ def best_of(values: dict[str, Column]) -> Column:
     known = {name: F.when(~F.isnan(v), v) for name, v in values.items()}
     top = F.array_max(F.array(*known.values()))
     return F.coalesce(*[F.when(v == top, F.lit(name)) for name, v in known.items()])
+
+
+def band_power(signal: Column, first: int, last: int) -> Column:
+    """Powers of the bins first to last of a demeaned, Hann-windowed signal, as one array: a DFT within the row."""
+
+    def powers(x: Column, m: Column, n: Column) -> Column:
+        tapered = F.transform(x, lambda v, i: (v - m) * (0.5 - 0.5 * F.cos(2 * F.pi() * i / (n - 1))))
+
+        def bins(v: Column, n: Column) -> Column:
+            part = lambda k, f: total(F.transform(v, lambda y, i: y * f(2 * F.pi() * k * i / n)))
+            return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: F.pow(part(k, F.cos), F.lit(2.0)) + F.pow(part(k, F.sin), F.lit(2.0)))
+
+        return let(bins, v=tapered, n=n)
+
+    return let(lambda x: let(powers, x=x, m=mean(x), n=F.size(x)), x=signal)
+
+
+def lag_curve(a: Column, b: Column, most: int) -> Column:
+    """Correlations of a with b moved by every lag from -most to most, in that order: nulls where either part is flat."""
+
+    def curve(x: Column, y: Column) -> Column:
+        n = F.size(x)
+        at = lambda lag: correlation(F.slice(x, F.greatest(F.lit(0), -lag) + 1, n - F.abs(lag)), F.slice(y, F.greatest(F.lit(0), lag) + 1, n - F.abs(lag)))
+        return F.transform(F.sequence(F.lit(-most), F.lit(most)), at)
+
+    return let(curve, x=a, y=b)

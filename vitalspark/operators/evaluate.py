@@ -179,9 +179,9 @@ def bin_counts(rows: DataFrame, keys: list[str], label: Column, labels: list[str
 def with_mean_rank(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """Add a value's rank within its group, ties sharing their mean rank: found by distinct value, then joined back."""
     ranks = mean_ranks(rows, keys, value, name)
-    named = ranks.select(*[F.col(k).alias(f"__{k}") for k in keys], "v", name)
-    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(value).cast("double") == F.col("v")]
-    return rows.join(named, on, "left").drop(*[f"__{k}" for k in keys], "v")
+    named = ranks.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("v").alias("__rank_of"), name)
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys] + [F.col(value).cast("double") == F.col("__rank_of")]
+    return rows.join(named, on, "left").drop(*[f"__{k}" for k in keys], "__rank_of")
 
 
 def agreement(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -39,14 +39,14 @@ def skip_reason(ecg_seconds: Column, ecg_range: Column, ecg_hr: Column, ecg_qual
     )
 
 
-def usable_flags(seconds: Column, brightness: Column, quality: Column, rates: Column, least_seconds: float, dark: float, bright: float, least_quality: float, drift: float) -> dict[str, Column]:
-    """frame_ok, hr_drift, hr_nonstationary, ref_complete and usable; rates is the array of a recording's reference rates."""
-    moved = F.when(F.size(rates) > 1, F.array_max(rates) - F.array_min(rates))
+def usable_flags(seconds: Column, brightness: Column, quality: Column, rates: Column, spread: Column, least_seconds: float, dark: float, bright: float, least_quality: float, drift: float) -> dict[str, Column]:
+    """frame_ok, hr_drift, hr_nonstationary, ref_complete and usable; rates and spread: how many reference rates a recording has, and their range."""
+    moved = F.when(rates > 1, spread)
     frame_ok = F.coalesce(brightness.between(dark, bright), F.lit(False))
     return {
         "hr_drift": moved,
         "hr_nonstationary": F.coalesce(moved > drift, F.lit(False)),
-        "ref_complete": F.size(rates) >= seconds * 0.9,
+        "ref_complete": rates >= seconds * 0.9,
         "frame_ok": frame_ok,
         "usable": F.coalesce((seconds >= least_seconds) & frame_ok & (quality >= least_quality), F.lit(False)),
     }

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import signals as S
+from .quantiles import joined
 
 
 def trailing(samples: DataFrame, keys: list[str], time: str, seconds: float) -> DataFrame:
     """Samples no older than the newest of their recording by more than `seconds`, the bound included."""
-    return samples.withColumn("newest", F.max(time).over(Window.partitionBy(*keys))).where(F.col(time) >= F.col("newest") - seconds).drop("newest")
+    newest = samples.groupBy(*keys).agg(F.max(time).alias("newest"))
+    return joined(samples, newest, keys).where(F.col(time) >= F.col("newest") - seconds).drop("newest")
 
 
 def sampling_rate(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
@@ -78,9 +80,9 @@ def steadiness(value: Column) -> Column:
 def crop(samples: DataFrame, clock: DataFrame, keys: list[str], time: str, least_seconds: float) -> DataFrame:
     """Samples between the first and last tick of their recording's clock, recordings of under least_seconds left out."""
     span = clock.groupBy(*keys).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
-    inside = samples.join(span, keys).where((F.col(time) >= F.col("t0")) & (F.col(time) <= F.col("t1")))
-    length = F.max(time).over(Window.partitionBy(*keys)) - F.min(time).over(Window.partitionBy(*keys))
-    return inside.withColumn("__l", length).where(F.col("__l") >= least_seconds).drop("__l", "t0", "t1")
+    inside = samples.join(span, keys).where((F.col(time) >= F.col("t0")) & (F.col(time) <= F.col("t1"))).drop("t0", "t1")
+    long = inside.groupBy(*keys).agg((F.max(time) - F.min(time)).alias("__l")).where(F.col("__l") >= least_seconds)
+    return inside.join(long, keys, "left_semi")
 
 
 def as_of(rows: DataFrame, events: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:

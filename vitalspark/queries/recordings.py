@@ -43,8 +43,8 @@ def skip_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT rec, {R('CASE WHEN n > 1 THEN drift END')} AS hr_drift, n > 1 AND drift > 250 AS hr_nonstationary, n >= seconds / 40000 * 0.9::double AS ref_complete, b BETWEEN 40 AND 55 AS frame_ok, seconds / 40000 >= 60 AND b BETWEEN 40 AND 55 AND q >= 0.02::double AS usable FROM r""")
 def recording_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     steady = F.lit(1.0) - F.least(F.stddev_pop("x") / F.abs(F.avg("x")), F.lit(1.0))
-    rows = samples(spark, sf_dir).groupBy("rec").agg(F.collect_list("x").alias("rates"), F.avg("x").alias("b"), steady.alias("q"), (F.max("t") / 40000).alias("seconds"))
-    flags = recordings.usable_flags(F.col("seconds"), F.col("b"), F.col("q"), F.col("rates"), 60.0, 40.0, 55.0, 0.02, 250.0)
+    rows = samples(spark, sf_dir).groupBy("rec").agg(F.count("x").alias("rates"), (F.max("x") - F.min("x")).alias("spread"), F.avg("x").alias("b"), steady.alias("q"), (F.max("t") / 40000).alias("seconds"))
+    flags = recordings.usable_flags(F.col("seconds"), F.col("b"), F.col("q"), F.col("rates"), F.col("spread"), 60.0, 40.0, 55.0, 0.02, 250.0)
     return rounded(rows.select("rec", *[v.alias(k) for k, v in flags.items()]))
 
 

@@ -19,7 +19,8 @@ SAMPLES = "e AS (SELECT user_id::bigint AS rec, event_id::bigint AS event_id, (e
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = table(spark, sf_dir, "events").select(F.col("user_id").cast("bigint").alias("rec"), F.col("event_id").cast("bigint").alias("event_id"), us.alias("us"), F.col("event_type").alias("channel"), F.col("value").cast("double").alias("x"), "props")
-    return rows.withColumn("t", (F.col("us") - F.min("us").over(Window.partitionBy("rec"))).cast("double") / 1000000).drop("us")
+    first = rows.groupBy("rec").agg(F.min("us").alias("first"))
+    return rows.join(first, "rec").withColumn("t", (F.col("us") - F.col("first")).cast("double") / 1000000).drop("us", "first")
 
 
 @registry.add(f"""WITH {SAMPLES}, d AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS d FROM e)

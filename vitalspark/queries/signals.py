@@ -128,15 +128,11 @@ def fourier_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"""WITH {LONG}, {spectrum_sql('s', 'vec_id', window=True)}, f AS (SELECT vec_id, (6 + vec_id % 23)::int AS t FROM embeddings)
  SELECT vec_id, {R('sum(pw) FILTER (bin = t) / sum(pw) FILTER (bin BETWEEN 6 AND 28)')} AS share, {R("10 * log10(sum(pw) FILTER (abs(bin - t) <= 1 AND bin BETWEEN 6 AND 28) / sum(pw) FILTER (abs(bin - t) > 1 AND bin BETWEEN 6 AND 28))", 4)} AS snr_db FROM w JOIN f USING (vec_id) GROUP BY vec_id""")
 def target_power(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of band power at a target frequency and its signal-to-noise ratio, by DFT in column expressions."""
-    x = F.col("x")
-    demeaned = windows(spark, sf_dir).withColumn("m", S.mean(x))
-    tapered = demeaned.select("vec_id", F.transform(x, lambda v, i: (v - F.col("m")) * (0.5 - 0.5 * F.cos(2 * F.pi() * i / 63))).alias("v"))
-    rows = tapered.select("vec_id", "v", F.explode(F.sequence(F.lit(6), F.lit(28))).alias("bin"))
-    part = lambda f: S.total(F.transform(F.col("v"), lambda v, i: v * f(2 * F.pi() * F.col("bin") * i / 64)))
-    power = rows.select("vec_id", "bin", (F.pow(part(F.cos), F.lit(2.0)) + F.pow(part(F.sin), F.lit(2.0))).alias("pw"), (F.col("vec_id") % 23 + 6).alias("t"))
-    near = F.abs(F.col("bin") - F.col("t")) <= 1
-    found = power.groupBy("vec_id").agg((F.sum(F.when(F.col("bin") == F.col("t"), F.col("pw"))) / F.sum("pw")).alias("share"), (10 * F.log10(F.sum(F.when(near, F.col("pw"))) / F.sum(F.when(~near, F.col("pw"))))).alias("snr_db"))
+    """Share of band power at a target frequency and its signal-to-noise ratio, by a DFT within the row."""
+    made = windows(spark, sf_dir).select("vec_id", S.band_power(F.col("x"), 6, 28).alias("pw"), (F.col("vec_id") % 23).cast("int").alias("t"))
+    near = F.filter("pw", lambda p, i: F.abs(i - F.col("t")) <= 1)
+    noise = F.filter("pw", lambda p, i: F.abs(i - F.col("t")) > 1)
+    found = made.select("vec_id", (F.get("pw", F.col("t")) / S.total(F.col("pw"))).alias("share"), (10 * F.log10(S.total(near) / S.total(noise))).alias("snr_db"))
     return found.select("vec_id", (F.round("share", 6) + 0.0).alias("share"), (F.round("snr_db", 4) + 0.0).alias("snr_db"))
 
 
@@ -165,12 +161,10 @@ def max_jump_score(spark: SparkSession, sf_dir: str) -> DataFrame:
  c AS (SELECT s.vec_id, l::int AS lag, corr(s.x, o.y) AS r FROM s, range(-8, 9) t(l), o WHERE o.vec_id = s.vec_id AND o.i = s.i + l GROUP BY ALL)
  SELECT vec_id, {R('max(r)')} AS best_r, arg_max(lag, r) AS best_lag, {R('max(r) - max(r) FILTER (abs(lag - b) > 3)')} AS margin FROM (SELECT *, arg_max(lag, r) OVER (PARTITION BY vec_id) AS b FROM c) GROUP BY vec_id""")
 def lag_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = long(windows(spark, sf_dir).withColumn("y", S.rotated(F.col("x"), 3)), ["vec_id"], ["x", "y"])
-    left = both.select("vec_id", "x", F.explode(F.sequence(F.lit(-8), F.lit(8))).alias("lag"), "i").withColumn("k", F.col("i") + F.col("lag"))
-    curve = left.join(both.select("vec_id", F.col("i").alias("k"), "y"), ["vec_id", "k"]).groupBy("vec_id", "lag").agg(F.corr("x", "y").alias("r"))
-    best = curve.groupBy("vec_id").agg(F.max_by("lag", "r").alias("best_lag"), F.max("r").alias("best_r"))
-    outside = curve.join(best, "vec_id").where(F.abs(F.col("lag") - F.col("best_lag")) > 3).groupBy("vec_id").agg(F.max("r").alias("next"))
-    return rounded(best.join(outside, "vec_id").select("vec_id", "best_r", "best_lag", (F.col("best_r") - F.col("next")).alias("margin")))
+    made = windows(spark, sf_dir).select("vec_id", S.lag_curve(F.col("x"), S.rotated(F.col("x"), 3), 8).alias("r"))
+    found = made.withColumn("best_r", F.array_max("r")).withColumn("k", F.array_position("r", F.col("best_r")).cast("int") - 1)
+    outside = F.array_max(F.filter("r", lambda v, i: F.abs(i - F.col("k")) > 3))
+    return rounded(found.select("vec_id", "best_r", (F.col("k") - 8).alias("best_lag"), (F.col("best_r") - outside).alias("margin")))
 
 
 VARIANTS = ["pos+chrom+green", "pos", "chrom", "green", "pos+chrom", "pos+green", "chrom+green"]
