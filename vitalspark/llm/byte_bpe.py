@@ -171,11 +171,27 @@ class Codec:
         return b"".join([self.cache.get(x) or self.piece(x) for x in self.pieces(text)])
 
     def decode(self, ids: list[int]) -> bytes:
-        """Bytes of a row of ids, concatenated up the tree of its halves."""
-        if len(ids) <= 4096:
-            return b"".join(map(self.tokens.__getitem__, ids))
-        middle = len(ids) // 2
-        return self.decode(ids[:middle]) + self.decode(ids[middle:])
+        return decoded(self.tokens, ids)
+
+
+def decoded(tokens: dict[int, bytes], ids: list[int]) -> bytes:
+    """Bytes of a row of ids, concatenated up the tree of its halves."""
+    if len(ids) <= 4096:
+        return b"".join(map(tokens.__getitem__, ids))
+    middle = len(ids) // 2
+    return decoded(tokens, ids[:middle]) + decoded(tokens, ids[middle:])
+
+
+_LAST: dict[tuple[int, str], Codec] = {}
+
+
+def codec_of(data: bytes, pattern: str) -> Codec:
+    """The codec of a vocabulary file; a worker keeps the last one from task to task, with its bounded caches."""
+    key = (hash(data), pattern)
+    if key not in _LAST:
+        _LAST.clear()
+        _LAST[key] = Codec(read_ranks(data), pattern)
+    return _LAST[key]
 
 
 def _vocabulary(spark: SparkSession, path: str):
@@ -194,7 +210,7 @@ def encode_documents(df: DataFrame, ranks_path: str, pattern: str, text: str = "
     data = _vocabulary(df.sparkSession, ranks_path)
 
     def start():
-        codec = Codec(read_ranks(data.value), pattern)
+        codec = codec_of(data.value, pattern)
 
         def kernel(texts):
             ids = [codec.encode(x) for x in texts]
@@ -210,18 +226,37 @@ def decode_documents(df: DataFrame, ranks_path: str, ids: str = "ids", drop: tup
     data = _vocabulary(df.sparkSession, ranks_path)
 
     def start():
-        codec = Codec(read_ranks(data.value), ".")
+        tokens = {rank: token for token, rank in read_ranks(data.value).items()}
 
         def kernel(rows):
-            return [[codec.decode(array("I", x or b"").tolist()) for x in rows]]
+            return [[decoded(tokens, array("I", x or b"").tolist()) for x in rows]]
 
         return kernel
 
     return append_columns(df, ids, [T.StructField("decoded", T.BinaryType())], start, drop)
 
 
+def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", drop: tuple[str, ...] = ()) -> DataFrame:
+    """Add `n_tokens`, `ids` and `decoded`, the bytes that the ids stand for, with one codec for both ways.
+
+    Nulls, empty texts, repeated rows and clashing columns are treated as by encode_documents.
+    """
+    data = _vocabulary(df.sparkSession, ranks_path)
+
+    def start():
+        codec = codec_of(data.value, pattern)
+
+        def kernel(texts):
+            ids = [codec.encode(x) for x in texts]
+            return [[len(x) // 4 for x in ids], ids, [codec.decode(array("I", x).tolist()) for x in ids]]
+
+        return kernel
+
+    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    return append_columns(df, text, fields, start, drop)
+
+
 def digests(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    encoded = encode_documents(docs.select("doc_id", "text"), ranks_path, pattern, drop=("text",))
-    decoded = decode_documents(encoded, ranks_path)
-    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    made = round_trip(docs.select("doc_id", "text"), ranks_path, pattern, drop=("text",))
+    return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
