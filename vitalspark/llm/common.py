@@ -7,12 +7,13 @@ import uuid
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bytes of text that an Arrow kernel holds at a time.
-SLICE_BYTES = 1 << 20
+#: Bytes of text that an Arrow kernel holds at a time; rows of narrow tables that go to a file.
+SLICE_BYTES, FILE_ROWS = 1 << 20, 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,6 +41,14 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep on the executors' disks what is read more than once; what a lost executor held is made again.
+
+    For tables a short way from their source. Cached tables go with spark.catalog.clearCache().
+    """
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
     for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
@@ -112,8 +121,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     link nothing; a table without edges gives no rows.
     """
     kind = edges.schema["a"].dataType
+    files = lambda n: max(1, -(-n // FILE_ROWS))
     current = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct(), "edges")
-    signature = None
+    signature, size = None, current.count()
     for _ in range(rounds):
         # Large star: the neighbours above u, and u itself, go to the smallest of all neighbours.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -124,10 +134,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small star: the neighbours below u, and u itself, go to the smallest of them.
         low = starred.groupBy("a").agg(F.min("b").alias("m"))
         small = starred.join(low, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        step = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        step = materialise(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct().coalesce(files(size)), "edges")
         found = step.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         discard(edges.sparkSession, current)
-        current = step
+        current, size = step, found[0]
         if found == signature:
             break
         signature = found

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, materialise, texts_of
+from .common import append_columns, held, materialise, texts_of
 
 #: Labelled rows and languages that fitting reads at most; trigrams that a text counts for at most; table size.
 SAMPLE, LANGUAGES, EVIDENCE, BUCKETS = 8_000, 64, 40, 1 << 16
@@ -207,7 +207,7 @@ def identify_pages(pages: DataFrame, model: TextModel) -> DataFrame:
     Null or empty pages have no text evidence and are judged by their address and declaration,
     or by the prior alone. Repeated rows stay; an empty table gives an empty one.
     """
-    evidence = materialise(page_evidence(pages, model), "evidence")
+    evidence = held(page_evidence(pages, model))
     fused = fuse(evidence, prior_tables(evidence, model.languages), model.languages)
     names = F.array(*map(F.lit, model.languages))
     by_text = F.element_at(names, F.array_position("evidence", F.array_max("evidence")).cast("int"))
@@ -226,7 +226,7 @@ def filter_documents(docs: DataFrame, model: TextModel, text: str = "text", decl
         F.struct(*columns).alias("row"), F.lower(F.col(declared)).alias("declared"), F.col(host).alias("host"), nothing.alias("domain"), nothing.alias("suffix")
     )
     light = packed.select("declared", "host", "domain", "suffix", F.col(f"row.{text}").alias("body"))
-    tables = prior_tables(materialise(with_text_evidence(light, model, "body", drop=("body",)), "evidence"), model.languages)
+    tables = prior_tables(held(with_text_evidence(light, model, "body", drop=("body",))), model.languages)
     fused = fuse(with_text_evidence(packed, model, f"row.{text}"), tables, model.languages)
     names = F.array(*map(F.lit, model.languages))
     place = F.array_position(names, F.col("declared")).cast("int")
