@@ -22,7 +22,10 @@ def stability(range_bpm: Column) -> Column:
 
 
 def window_policy(dataset: Column, split: Column, target: Column, missing: Column, signal_problem: Column, training: list[str], reserved: list[str]) -> Column:
-    """Struct of role, include_in_finetune, include_in_eval and reason of a window; the first rule that applies decides."""
+    """Struct of role, include_in_finetune, include_in_eval and reason of a window; the first rule that applies decides.
+
+    Roles, reasons, bounds of the rate and the share of missing labels are fixed values.
+    """
 
     def say(role: str, finetune: bool, evaluate: bool, reason: Column | str) -> Column:
         why = F.lit(reason) if isinstance(reason, str) else reason
@@ -44,8 +47,9 @@ def window_policy(dataset: Column, split: Column, target: Column, missing: Colum
 def quality_gate(bpm: dict[str, Column], sqi: dict[str, Column], least: int = 2, spread: float = 20.0) -> dict[str, Column]:
     """Acceptance of a window by its channels: enough moderate channels whose rates agree.
 
-    Columns: n_good, n_moderate, spread, accepted, confidence, reasons, and the three consensus
-    rates: mean and median of all finite channels and median of the supported ones.
+    The bounds of good and moderate quality, 0.50 and 0.30, are fixed values. Columns: n_good,
+    n_moderate, spread, accepted, confidence, reasons, and the three consensus rates: mean and
+    median of all finite channels and median of the supported ones.
     """
     good = sum((F.coalesce((s >= 0.50).cast("int"), F.lit(0)) for s in sqi.values()), F.lit(0))
     moderate = sum((F.coalesce((s >= 0.30).cast("int"), F.lit(0)) for s in sqi.values()), F.lit(0))
