@@ -257,6 +257,6 @@ def round_trip(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
 
 
 def digests(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document; null texts count as empty, an empty table gives an empty one."""
     made = round_trip(docs.select("doc_id", "text"), ranks_path, pattern, drop=("text",))
     return made.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -22,6 +22,7 @@ def bucket(key: str = "doc_id"):
 
 
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated rows and null keys too; null texts count as empty and have an end alone; a null key has no fold and is learnt from. An empty table gives an empty one."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(bucket() == 1, F.lit(False))
     pieces = lattice.vocabulary(public_tokenizers.path("piece_bpe_32k.model"))
@@ -30,6 +31,7 @@ def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated rows and null keys too; null and empty texts get the model's bias; without labels every score is alike, below one half."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(bucket() != 0))
     scored = toxicity.score(docs.select("doc_id", "text"), model, drop=("text",))
@@ -37,16 +39,19 @@ def op2_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_language_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page, repeated rows and null keys too; null or empty pages are judged by address and declaration, or by the prior alone."""
     model = langid.fit_text(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
     return langid.identify_pages(table(spark, sf_dir, "pages"), model)
 
 
 def op3_byte_bpe_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated rows and null keys too; null texts count as empty: no ids, and the digests of nothing."""
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(spark, table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 def op7_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document in the order of null keys, then keys; repeated keys follow each other; null texts count as empty and hold the end id. An empty table gives an empty one."""
     folder = shared_path(spark, "shards")
     docs = table(spark, sf_dir, "documents")
     sstable.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), folder).write.format("noop").mode("overwrite").save()
@@ -54,17 +59,20 @@ def op7_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated rows and null keys too; null and wordless texts have fingerprint 0 and link like any other; a null key names no component but one of null keys alone."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document and item that it holds, again for each repeated row; null texts hold nothing, null items and items of under four words aren't searched for."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
 def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a document, repeated rows and null keys too; null texts count no bytes, null metadata as the least; under 40 rows some shards are empty."""
     docs = table(spark, sf_dir, "documents")
     bytes_of = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     rows = docs.select("doc_id", (bytes_of + 16).alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), "lang", "source", "n_chars")
@@ -74,10 +82,12 @@ def op4_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a conversation, participant and turn; nulls, ties and repeated turns as chat.rotate says."""
     return chat.rotate(table(spark, sf_dir, "conversations"))
 
 
 def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a vector, repeated rows and null keys too; what can't be compared links with nothing and is kept."""
     return spherical.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 

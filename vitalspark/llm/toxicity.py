@@ -146,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     """Fit on at most `sample` rows of labels (key, label), chosen by the hash of the key.
 
     Rows whose key or label is null teach nothing; null texts count as empty; of the rows of a
-    repeated key the least (label, text) teaches. Without labels the model has no weights and scores every text alike, below one half.
+    repeated key the least (label, text) teaches. Without labels the model has no weights and
+    scores every text alike, below one half.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull()).select(key, F.col(label).cast("int").alias("y"))
     smallest = [F.xxhash64(F.col(key), F.lit(0)), F.col(key), F.col("y")]
@@ -200,6 +201,6 @@ def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score"
 
 
 def reject(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The documents that score below the threshold, as they were."""
+    """The documents that score below the threshold, as they were; null and empty texts have the model's bias, repeated rows stay."""
     rows = score(docs.select(F.struct(*docs.columns).alias("row")), model, f"row.{text}")
     return rows.where(F.col("score") < threshold).select("row.*")
