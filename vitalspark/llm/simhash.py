@@ -2,8 +2,9 @@
 
 The trie is walked as pairs of nodes at the same depth: a pair carries the bits in which its
 prefixes differ, and goes no further once they exceed the budget. Two fingerprints at most four
-bits apart differ in two bits at most in one of their halves, so the walk is made twice, with
-either half first, and allows two bits within the first 32 levels and four in all.
+bits apart differ in one bit at most in one of their thirds, so the walk is made three times, with
+each third first, and allows one bit within the first 21 levels and four in all. So a node of the
+upper levels meets as many others as it has levels, and not their square.
 
 The upper levels are walked as DataFrame joins on prefixes, the subtrees below them as vectors
 inside a task. A crowded node is split into parts of bounded size, and its pairs into pairs of
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, components, materialise
+from .common import append_columns, components, held, materialise
 
 #: Differing bits that link, fingerprints of a subtree, fingerprints of a part of a crowded node.
 BUDGET, SUBTREE, PART = 4, 2048, 4096
-#: Candidate pairs compared at a time.
-STEP = 1 << 20
+#: Candidate pairs compared at a time; turns of a fingerprint, levels of the part that each brings to the top.
+STEP, TURNS, FIRST = 1 << 20, 3, 21
 
 
 def hashes(text: str, width: int, seed: int) -> list[int]:
@@ -116,7 +117,7 @@ def walk(a: np.ndarray, b: np.ndarray, depth: int, spent: int, budget: int, firs
             (mid_a, hi_a, lo_b, mid_b, acc + 1, ~twin),
         ]
         depth += 1
-        allowed = first_budget if depth <= 32 else budget
+        allowed = first_budget if depth <= FIRST else budget
         kept = []
         for la, ha, lb, hb, c, mask in parts:
             ok = (ha > la) & (hb > lb) & (c <= allowed)
@@ -170,7 +171,7 @@ def subtree_links(a: bytes, b: bytes, depth: int, spent: int, same: bool, budget
     right = left if same else np.sort(np.frombuffer(b, dtype=">u8").astype(np.uint64))
     offset = 0 if same else len(left)
     forest = Forest(len(left) + (0 if same else len(right)))
-    for i, j in walk(left, right, depth, spent, budget, budget // 2, same):
+    for i, j in walk(left, right, depth, spent, budget, budget // TURNS, same):
         forest.join(i, j + offset)
     words = left if same else np.concatenate((left, right))
     moved = np.flatnonzero(forest.label != np.arange(len(words)))
@@ -178,15 +179,15 @@ def subtree_links(a: bytes, b: bytes, depth: int, spent: int, same: bool, budget
 
 
 def trie_links(words: DataFrame, column: str = "fingerprint", budget: int = BUDGET, subtree: int = SUBTREE) -> DataFrame:
-    """Links (a, b) that connect all distinct words at most `budget` (even) bits apart.
+    """Links (a, b) that connect all distinct words at most `budget` bits apart.
 
-    words: distinct longs in `column`. Every two words within the budget end up in one component;
+    words: distinct longs in `column`, without nulls. Every two words within the budget end up in one component;
     words beyond it are never linked themselves. Empty tables and single words give no rows.
     """
     n = words.count()
-    depth = max(0, min(30, int(np.ceil(np.log2(max(1, n / subtree))))))
-    half = F.expr("(raw << 32) | shiftrightunsigned(raw, 32)")
-    turned = words.select(F.col(column).alias("raw")).select(F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("raw").alias("word")), F.struct(F.lit(1).alias("turn"), half.alias("word")))).alias("x")).select("x.*")
+    depth = max(0, min(FIRST, int(np.ceil(np.log2(max(1, n / subtree))))))
+    rotated = lambda by: F.shiftleft("raw", by).bitwiseOR(F.shiftrightunsigned("raw", 64 - by)) if by else F.col("raw")
+    turned = words.select(F.col(column).alias("raw")).select(F.explode(F.array(*[F.struct(F.lit(k).alias("turn"), rotated(FIRST * k).alias("word")) for k in range(TURNS)])).alias("x")).select("x.*")
     prefix = F.shiftrightunsigned("word", 64 - depth).cast("int") if depth else F.lit(0)
     turned = turned.withColumn("node", prefix)
     counts = turned.groupBy("turn", "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
@@ -197,8 +198,8 @@ def trie_links(words: DataFrame, column: str = "fingerprint", budget: int = BUDG
         .agg(F.unhex(F.array_join(F.collect_list(F.lpad(F.hex("word"), 16, "0")), "")).alias("words"))
     )
     packed = materialise(packed, "subtrees")
-    # Node pairs of the upper levels: prefixes that differ in two bits at most.
-    masks = [sum(1 << i for i in bits) for k in range(budget // 2 + 1) for bits in combinations(range(depth), k)]
+    # Node pairs of the upper levels: prefixes that differ in a third of the budget at most.
+    masks = [sum(1 << i for i in bits) for k in range(budget // TURNS + 1) for bits in combinations(range(depth), k)]
     nodes = packed.groupBy("turn", "node").agg(F.max("part").alias("top"))
     near = nodes.select("turn", F.col("node").alias("p"), F.col("top").alias("top_p"), F.explode(F.array(*map(F.lit, masks))).alias("mask")).withColumn("q", F.col("p").bitwiseXOR(F.col("mask"))).where("p <= q")
     other = nodes.select("turn", F.col("node").alias("q"), F.col("top").alias("top_q"))
@@ -221,7 +222,8 @@ def trie_links(words: DataFrame, column: str = "fingerprint", budget: int = BUDG
                 a, b = (batch.column(k)[row].as_buffer() for k in (4, 5))
                 x, y = subtree_links(a, b, depth, spent, same, budget)
                 if turn:
-                    x, y = (v << np.uint64(32) | v >> np.uint64(32) for v in (x, y))
+                    by = np.uint64(FIRST * turn)
+                    x, y = (v >> by | v << np.uint64(64) - by for v in (x, y))
                 yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"])
 
     return blocks.mapInArrow(run, "a long, b long")
@@ -234,7 +236,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", widt
     rows and repeated keys stay; a null key never is a component's name unless all its keys are
     null. An empty table gives an empty one.
     """
-    marked = materialise(fingerprints(df.select(F.col(key), F.col(text)), text, width, seed, "fingerprint", drop=(text,)), "fingerprints")
+    marked = held(fingerprints(df.select(F.col(key), F.col(text)), text, width, seed, "fingerprint", drop=(text,)))
     return marked.join(_names(marked, key, budget), "fingerprint", "left").select(key, "fingerprint", "component_id")
 
 
@@ -254,7 +256,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     of one key, of which any one stays.
     """
     light = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("body"))
-    marked = materialise(fingerprints(light, "body", width, seed, "fingerprint", drop=("body",)), "fingerprints")
+    marked = held(fingerprints(light, "body", width, seed, "fingerprint", drop=("body",)))
     named = marked.join(_names(marked, "key", budget), "fingerprint")
     order = F.struct(F.col("key").isNull().alias("last"), "key", "tie")
     first = named.groupBy("component").agg(F.min(order).alias("first")).select("first.*")
