@@ -142,3 +142,13 @@ def test_checks_fail_where_they_should(spark):
     parts = named.select(*[c.alias(k) for k, c in labels.drive_name(F.col("s"), F.col("g"), {"S": "stationary", "T": "talking"}).items()]).collect()
     assert tuple(parts[0]) == ("A", "F", "H", "A", "talking") and tuple(parts[1]) == ("B", "M", "N", "C", "X")
     assert windows.effective_rate(spark.createDataFrame([(1, 0.0), (1, 2.0), (2, 5.0)], "k int, t double"), ["k"], "t").orderBy("k").collect()[0]["rate"] == 0.5
+
+
+def test_intervals_in_either_unit(spark):
+    rows = [(unit, i, v * (1000 if unit == "ms" else 1)) for unit in ("ms", "s") for i, v in enumerate([0.8, 1.0, -1.0, float("nan"), 0.9, 1.1])]
+    made = windows.tachogram(spark.createDataFrame(rows, "unit string, i int, rr double"), ["unit"], "rr", ["i"]).collect()
+    by = {u: [(r["k"], r["rr"] / (1000 if u == "ms" else 1)) for r in sorted(made, key=lambda r: r["k"]) if r["unit"] == u] for u in ("ms", "s")}
+    at, rr = np.cumsum([0.8, 1.0, 0.9, 1.1]), [0.8, 1.0, 0.9, 1.1]
+    assert [k for k, _ in by["ms"]] == [k for k, _ in by["s"]] == list(range(4, 16))
+    for unit in by:
+        assert [v for _, v in by[unit]] == pytest.approx([np.interp(k / 4, at, rr) for k, _ in by[unit]])

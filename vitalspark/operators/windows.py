@@ -151,3 +151,25 @@ def effective_rate(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
     """n and (n - 1) over the time that the samples take; null for one sample or no time."""
     found = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(time) - F.min(time)).alias("d"))
     return found.select(*keys, "n", F.when((F.col("n") >= 2) & (F.col("d") > 0), (F.col("n") - 1) / F.col("d")).alias("rate"))
+
+
+#: Fixed value: intervals whose median is above it are in milliseconds, else in seconds.
+MS_FROM = 20.0
+
+
+def tachogram(beats: DataFrame, keys: list[str], rr: str, order: list[str], rate: float = 4.0) -> DataFrame:
+    """keys, k and `rr`: intervals between beats on an even grid, k over the rate being seconds, in the unit that they came in.
+
+    Intervals that are no positive numbers are left out. Each pair of beats fills the grid between
+    them by a line, without a range join. A recording's median is of its own intervals alone.
+    """
+    known = beats.where((F.col(rr) > 0) & ~F.isnan(rr) & (F.col(rr) < float("inf")))
+    timed = joined(known, known.groupBy(*keys).agg(F.median(rr).alias("__middle")), keys)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    seconds = F.col(rr) / F.when(F.col("__middle") > MS_FROM, 1000.0).otherwise(1.0)
+    timed = timed.withColumn("__s", seconds).withColumn("at", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    pairs = timed.withColumns({"r0": F.lag(rr).over(w), "a0": F.lag("at").over(w)}).where("a0 is not null")
+    low, high = F.ceil(F.col("a0") * rate), F.ceil(F.col("at") * rate) - 1
+    grid = pairs.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))
+    value = F.col("r0") + (F.col(rr) - F.col("r0")) * (F.col("k") / rate - F.col("a0")) / (F.col("at") - F.col("a0"))
+    return grid.select(*keys, "k", value.alias("rr"))

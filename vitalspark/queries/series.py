@@ -106,15 +106,9 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
  g AS (SELECT rec, b0, beat, r0, rr, unnest(generate_series(ceil(b0 * 4)::bigint, ceil(beat * 4)::bigint - 1)) AS k FROM b WHERE b0 IS NOT NULL)
  SELECT rec, k, {R('r0 + (rr - r0) * (k / 4.0::double - b0) / (beat - b0)', 7)} AS rr FROM g""")
 def rsa_tachogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Beat intervals on an even grid of 4 Hz: each pair of beats fills the grid between them, without a range join."""
-    w = Window.partitionBy("rec").orderBy("t", "event_id")
+    """Beat intervals on an even grid of 4 Hz."""
     beats = samples(spark, sf_dir).withColumn("rr", F.col("x") * 4)
-    beats = beats.withColumn("at", F.sum("rr").over(w.rowsBetween(Window.unboundedPreceding, 0)) / 1000)
-    pairs = beats.withColumns({"r0": F.lag("rr").over(w), "a0": F.lag("at").over(w)}).where("a0 is not null")
-    low, high = F.ceil(F.col("a0") * 4), F.ceil(F.col("at") * 4) - 1
-    grid = pairs.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))
-    value = F.col("r0") + (F.col("rr") - F.col("r0")) * (F.col("k") / 4.0 - F.col("a0")) / (F.col("at") - F.col("a0"))
-    return rounded(grid.select("rec", "k", value.alias("rr")), 7)
+    return rounded(windows.tachogram(beats, ["rec"], "rr", ["t", "event_id"]), 7)
 
 
 # Manifest rows from orders.
