@@ -54,3 +54,14 @@ def test_a_table_of_three_documents(spark):
     docs, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, passage)], "item_id long, text string")
     assert leaks_of(docs, items) == [(2, 9)]
     assert [r["doc_id"] for r in decontaminate.clean(docs, items).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_a_benchmark_of_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK", 4)
+    monkeypatch.setattr(decontaminate, "BLOCKS", 2)
+    rnd = random.Random(11)
+    items = [(i, words(rnd, 30)) for i in range(20)]
+    rows = [(d, f"{words(rnd, 60)} {items[d % 20][1]} {words(rnd, 40)}" if d < 30 else words(rnd, 120)) for d in range(60)]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert leaks_of(docs, table) == sorted((d, d % 20) for d in range(30))
+    assert sorted(r["doc_id"] for r in decontaminate.clean(docs, table).collect()) == list(range(30, 60))

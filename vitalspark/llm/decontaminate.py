@@ -19,6 +19,7 @@ common subsequence of that length implies.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -159,6 +160,8 @@ def latent_basis(block: DataFrame, idf: np.ndarray, rank: int = BLOCK, oversampl
             yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.list_(pa.float64()))], names=["at", "y"])
 
     made = sorted(block.mapInArrow(sketch, "at long, y array<double>").collect())  # BLOCK rows at most
+    if not made:  # the hash dealt no passage to this block
+        return Basis([], np.full(1 << BITS, -1, dtype=np.int32), np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.float32))
     places = {r["at"]: i for i, r in enumerate(made)}
     u, s, _ = np.linalg.svd(np.array([r["y"] for r in made]), full_matrices=False)
     q = u[:, s > 1e-9 * max(s.max(initial=0.0), 1e-300)]
@@ -323,8 +326,8 @@ def answered(answer: list[bytes], words: list[bytes]) -> bool:
     return any(wanted <= set(words[i : i + width]) for i in range(max(1, len(words) - width + 1)))
 
 
-def bases_of(benchmark: DataFrame, idf: np.ndarray, item: str = "item_id", text: str = "text") -> list[list[Basis]]:
-    """Latent bases of the benchmark, in groups for one reading of the corpus each."""
+def bases_of(benchmark: DataFrame, idf: np.ndarray, item: str = "item_id", text: str = "text") -> tuple[int, Iterator[list[Basis]]]:
+    """Number of groups of latent bases, each for one reading of the corpus, and the groups, made one at a time."""
 
     def cut(batches):
         for batch in batches:
@@ -340,8 +343,8 @@ def bases_of(benchmark: DataFrame, idf: np.ndarray, item: str = "item_id", text:
     n = hashed.count()
     blocks = max(1, -(-n // (BLOCK * 3 // 4)))
     dealt = hashed.withColumn("block", F.pmod(F.xxhash64("at", F.lit(1)), F.lit(blocks)).cast("int"))
-    made = [latent_basis(dealt.where(F.col("block") == b), idf) for b in range(blocks)] if n else []
-    return [made[i : i + BLOCKS] for i in range(0, len(made), BLOCKS)]
+    starts = range(0, blocks, BLOCKS) if n else range(0)
+    return len(starts), ([latent_basis(dealt.where(F.col("block") == b), idf) for b in range(i, min(i + BLOCKS, blocks))] for i in starts)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine: float = COSINE, least: float = LEAST, sure: float = SURE, keep: bool = False) -> DataFrame:
@@ -359,7 +362,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
     uncommon = (frequency > 0) & (idf > 0)
     energy = float((frequency[uncommon] * idf[uncommon] ** 2).sum() / frequency[uncommon].sum()) if uncommon.any() else np.inf
     plain = (PLAIN * cosine) ** 2 * 2 * HALF * energy
-    groups = bases_of(benchmark, idf) or [[]]
+    count, groups = bases_of(benchmark, idf)
+    if not count:
+        count, groups = 1, iter([[]])
     kind = "array<struct<item_id:bigint,share:double,cosine:double>>"
     out = docs
     for g, group in enumerate(groups):
@@ -374,7 +379,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
 
             return kernel
 
-        last = g == len(groups) - 1
+        last = g == count - 1
         out = append_columns(out, text, [T.StructField("leaks" if g == 0 else "more", T._parse_datatype_string(kind))], start, drop=() if keep or not last else (text,))
         if g:
             out = out.withColumn("leaks", F.concat("leaks", "more")).drop("more")
