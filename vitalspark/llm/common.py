@@ -69,9 +69,9 @@ def cut(batch: pa.RecordBatch, column: pa.Array, most: int = SLICE_BYTES):
         yield batch.slice(start), column.slice(start)
 
 
-def slices(batch: pa.RecordBatch, text: str):
+def slices(batch: pa.RecordBatch, text: str, most: int = SLICE_BYTES):
     """Pieces of a record batch of a bounded number of bytes of text."""
-    for piece, _ in cut(batch, batch.column(batch.schema.get_field_index(text))):
+    for piece, _ in cut(batch, batch.column(batch.schema.get_field_index(text)), most):
         yield piece
 
 
@@ -80,11 +80,11 @@ def texts_of(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(name)).to_pylist()]
 
 
-def append_columns(df: DataFrame, text: str, fields: list[T.StructField], start, drop: tuple[str, ...] = ()) -> DataFrame:
+def append_columns(df: DataFrame, text: str, fields: list[T.StructField], start, drop: tuple[str, ...] = (), most: int = SLICE_BYTES) -> DataFrame:
     """Add columns computed from one text column, in Arrow batches; text may be a field, as in row.text.
 
-    start() gives, once a task, a function from texts to one list or array a field. An existing
-    column named as a new one is replaced; columns in `drop` stay behind.
+    start() gives, once a task, a function from texts, about `most` bytes of them, to one list or
+    array a field. An existing column named as a new one is replaced; columns in `drop` stay behind.
     """
     new = {f.name for f in fields}
     keep = [c for c in df.columns if c not in new and c not in drop]
@@ -103,7 +103,7 @@ def append_columns(df: DataFrame, text: str, fields: list[T.StructField], start,
         for batch in batches:
             column = batch.column(place)
             column = pc.struct_field(column, inner) if inner else column
-            for part, texts in cut(batch, column):
+            for part, texts in cut(batch, column, most):
                 made = kernel([x or "" for x in texts.to_pylist()])
                 columns = [part.column(i) for i in range(len(keep))]
                 columns += [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(keep) + i).type) for i, x in enumerate(made)]

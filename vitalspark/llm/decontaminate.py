@@ -30,6 +30,8 @@ from pyspark.sql import types as T
 
 from .common import append_columns, materialise, slices, texts_of
 
+#: Bytes of text that a kernel holds at a time: its arrays take some forty bytes for each.
+PIECE = 1 << 19
 #: Bits of a hashed term; words of a half window; passages of a block; blocks of one reading of the corpus.
 BITS, HALF, BLOCK, BLOCKS = 18, 32, 256, 8
 #: Least cosine of a candidate; least and sure share of a passage in the common subsequence.
@@ -67,7 +69,7 @@ class Tokens:
         data = b"\n".join(parts).lower() + b"\n"
         raw = np.frombuffer(data, dtype=np.uint8)
         if len(raw) >= len(self.up):
-            self.up, self.down = _powers(len(raw) * 2)
+            self.up, self.down = _powers(len(raw) + len(raw) // 8)
         space = _SPACE[raw]
         edges = np.diff(space.view(np.int8), prepend=np.int8(1))
         starts, ends = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
@@ -91,7 +93,7 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
         tokens = Tokens()
         total, rows = np.zeros(1 << BITS, dtype=np.int64), 0
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", PIECE):
                 texts = texts_of(part, "text")
                 terms, owner, *_ = tokens(texts)
                 total += np.bincount(np.unique(owner << BITS | terms) & ((1 << BITS) - 1), minlength=1 << BITS)
@@ -380,7 +382,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", cosine
             return kernel
 
         last = g == count - 1
-        out = append_columns(out, text, [T.StructField("leaks" if g == 0 else "more", T._parse_datatype_string(kind))], start, drop=() if keep or not last else (text,))
+        out = append_columns(out, text, [T.StructField("leaks" if g == 0 else "more", T._parse_datatype_string(kind))], start, drop=() if keep or not last else (text,), most=PIECE)
         if g:
             out = out.withColumn("leaks", F.concat("leaks", "more")).drop("more")
     return out
