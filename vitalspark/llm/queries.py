@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, decontaminate, hilbert, langid, lattice, simhash, spherical, sstable, toxicity
+from . import byte_bpe, chat, decontaminate, hamerly, hilbert, langid, lattice, simhash, spherical, sql, sstable, toxicity, url_tree, vector_codes
 from .common import shared_path
 
 
@@ -91,6 +91,34 @@ def op10_spherical_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_hamerly_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a usable vector, repeated rows and null keys too; others have no row; as hamerly.cluster says."""
+    return hamerly.cluster(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
+def op12_delta_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a usable vector, repeated rows and null keys too; others have no row; as vector_codes.encode says."""
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
+
+
+#: Rules of addresses; whether they allow, host, start of the path.
+RULES = [(True, "com", "/"), (False, "example.com", "/en/"), (True, "www.example.com", "/en/"), (False, "net", "/es/"), (False, "net", "/fr/")]
+
+
+def op13_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a page, repeated rows and null keys too; null addresses have an empty host and path.
+
+    Labels are of documents; a page shows the document whose number is the last in its path, and is
+    bad if that is of quality 0 or toxic. A document labelled twice is bad if one label says so.
+    """
+    pages, labels = table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels")
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).when(F.col("quality").isNotNull() | F.col("toxic").isNotNull(), 0)
+    told = labels.groupBy(F.col("doc_id").alias("doc")).agg(F.max(bad).alias("bad"))
+    numbered = pages.select("url", F.regexp_extract(url_tree.path_of(F.col("url")), "([0-9]+)[^0-9]*$", 1).try_cast("long").alias("doc")).where("doc is not null")
+    judged = url_tree.judge(pages, "page_id", "url", numbered.join(told, "doc").select("url", "bad"), RULES)
+    return judged.withColumn("bad_share", F.round("bad_share", 6))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lattice_likelihood": op1_lattice_likelihood,
     "op2_counterfactual_toxicity": op2_counterfactual_toxicity,
@@ -102,6 +130,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_sstable_shards": op7_sstable_shards,
     "op10_spherical_caps": op10_spherical_caps,
     "op8_latent_decontamination": op8_latent_decontamination,
+    "op11_hamerly_clusters": op11_hamerly_clusters,
+    "op12_delta_codes": op12_delta_codes,
+    "op13_url_templates": op13_url_templates,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -121,4 +152,7 @@ WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddi
  roots AS (SELECT x, min(y) AS y FROM reached GROUP BY x),
  named AS (SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id FROM embeddings LEFT JOIN degrees ON vec_id = degrees.x LEFT JOIN roots ON vec_id = roots.x)
 SELECT vec_id, n_links, component_id, vec_id = component_id AS kept FROM named""",
+    "op11_hamerly_clusters": sql.clusters(),
+    "op12_delta_codes": sql.codes(),
+    "op13_url_templates": sql.url_verdicts(RULES, url_tree.LEVELS, url_tree.MANY, url_tree.APART, url_tree.DEVIATIONS, url_tree.WEIGHT, url_tree.PRIOR, url_tree.REJECT),
 }
