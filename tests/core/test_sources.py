@@ -146,7 +146,7 @@ def test_checks_fail_where_they_should(spark):
 
 def test_intervals_in_either_unit(spark):
     rows = [(unit, i, v * (1000 if unit == "ms" else 1)) for unit in ("ms", "s") for i, v in enumerate([0.8, 1.0, -1.0, float("nan"), 0.9, 1.1])]
-    made = windows.tachogram(spark.createDataFrame(rows, "unit string, i int, rr double"), ["unit"], "rr", ["i"]).collect()
+    made = windows.tachogram(spark.createDataFrame(rows, "unit string, i int, rr double"), ["unit"], "rr", ["i"], 7.0).collect()
     by = {u: [(r["k"], r["rr"] / (1000 if u == "ms" else 1)) for r in sorted(made, key=lambda r: r["k"]) if r["unit"] == u] for u in ("ms", "s")}
     at, rr = np.cumsum([0.8, 1.0, 0.9, 1.1]), [0.8, 1.0, 0.9, 1.1]
     assert [k for k, _ in by["ms"]] == [k for k, _ in by["s"]] == list(range(4, 16))

@@ -1,9 +1,10 @@
 """Exact quantiles and ranks of groups of any size.
 
-`percentile` keeps a group's distinct values in one task. Here approximate quantiles cut each group
-into `CELLS` ranges of values, the ranges are counted, and only those that hold a wanted rank are
-looked at value by value, each by itself. Running sums are over ranges of a group, or over values
-of a range, so no task holds a whole group.
+`percentile` keeps a group's distinct values in one task. Here approximate quantiles of all rows cut
+the numbers into `CELLS` ranges, the same for every group, so that no range holds more than its share of all rows
+but for repeats of one value. Values are counted once within their range; the counts of the
+ranges tell which of them hold a wanted rank, and only these are looked at value by value. Windows are over the ranges of a
+group, or the values of a range. Several measures go through the same passes.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that a group's values are cut into.
-CELLS = 64
+#: Ranges that the values are cut into, a square number.
+CELLS = 1024
 
 
 def same(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -31,56 +32,71 @@ def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner
     return left.join(named, on, how).drop(*[f"__{k}" for k in keys])
 
 
-def celled(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
-    """keys, v, and cell: which of the group's ranges a known value is in; n, the group's known values."""
-    known = rows.select(*keys, value.cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+def counted(rows: DataFrame, keys: list[str], values: list[Column]) -> DataFrame:
+    """g (struct of keys and __m, the number of a measure), cell, v, times: how often each known value comes; rows may have a `__times` of their own."""
+    weight = F.col("__times") if "__times" in rows.columns else F.lit(1).cast("long")
+    given = rows.select(*keys, weight.alias("__times"), *[v.cast("double").alias(f"__v{i}") for i, v in enumerate(values)])
     shares = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
-    cuts = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", shares, 4 * CELLS).alias("cuts"))
-    return joined(known, cuts, keys).select(*keys, "v", "n", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("cell"))
-
-
-def cells_of(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, cell, before: the values of the group in the ranges below."""
-    sizes = placed.groupBy(*keys, "cell").agg(F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
-    below = F.sum("size").over(Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
-    return sizes.withColumn("before", below)
+    known = lambda i: F.when(~F.isnan(f"__v{i}"), F.col(f"__v{i}") + 0.0)
+    cuts = given.agg(*[F.coalesce(F.percentile_approx(known(i), shares, 4 * CELLS), F.array().cast("array<double>")).alias(f"__c{i}") for i in range(len(values))])
+    side = int(CELLS**0.5)
+    # A place among the cuts by those that begin each row of a square, then within the row.
+    coarse = lambda c: F.transform(F.sequence(F.lit(side), F.lit(CELLS - 1), F.lit(side)), lambda k: F.get(c, k - 1))
+    tops = cuts.select(*[F.struct(coarse(F.col(f"__c{i}")).alias("top"), F.col(f"__c{i}").alias("all")).alias(f"__c{i}") for i in range(len(values))])
+    below = lambda cut, v: F.size(F.filter(cut, lambda c: c < v))
+    measured = given.crossJoin(F.broadcast(tops)).select(*keys, "__times", F.inline(F.array(*[F.struct(F.lit(i).alias("__m"), known(i).alias("__v"), below(F.col(f"__c{i}.top"), known(i)).alias("__top"), F.col(f"__c{i}.all").alias("__all")) for i in range(len(values))])))
+    placed = measured.where("__v is not null").withColumn("__cell", F.col("__top") * side + below(F.slice("__all", F.col("__top") * side + 1, side), F.col("__v")))
+    return placed.groupBy(F.struct(*keys, "__m").alias("g"), F.col("__cell").alias("cell"), F.col("__v").alias("v")).agg(F.sum("__times").alias("times"))
+
+
+def cells_of(values: DataFrame) -> DataFrame:
+    """g, cell, size, before (the values of the group in the ranges below), n (of the group)."""
+    sizes = values.groupBy("g", "cell").agg(F.sum("times").alias("size"))
+    whole = Window.partitionBy("g")
+    below = F.sum("size").over(whole.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    return sizes.withColumns({"before": below, "n": F.sum("size").over(whole)})
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: Column, wanted: dict[str, float]) -> DataFrame:
     """keys and one column for each wanted share: exact quantiles with linear interpolation; nulls and NaN don't count.
 
-    Groups without known values are left out.
+    Groups without known values are left out. A column `__times` of the rows says how often each counts.
     """
-    placed = celled(rows, keys, value)
-    names = list(wanted)
-    place = lambda name: F.lit(wanted[name]) * (F.col("n") - 1)
-    ranks = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), end(place(name)).cast("long").alias("rank"), F.lit(k).alias("upper")) for name in names for k, end in enumerate((F.floor, F.ceil))]))
-    asked = cells_of(placed, keys).withColumn("r", ranks).select(*keys, "cell", "before", "size", "n", "r.*").where("rank >= before and rank < before + size")
-    held = joined(placed.drop("n"), asked.select(*keys, "cell").distinct(), [*keys, "cell"])
-    counted = held.groupBy(*keys, "cell", "v").agg(F.count(F.lit(1)).alias("times"))
-    upto = F.sum("times").over(Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    found = joined(counted.withColumn("upto", upto), asked, [*keys, "cell"])
-    found = found.where((F.col("rank") < F.col("before") + F.col("upto")) & (F.col("rank") >= F.col("before") + F.col("upto") - F.col("times")))
-    pick = lambda name, upper: F.max(F.when((F.col("name") == name) & (F.col("upper") == upper), F.col("v")))
-    both = found.groupBy(*keys).agg(F.max("n").alias("n"), *[pick(name, k).alias(f"{name}__{k}") for name in names for k in (0, 1)])
-    line = lambda name: F.col(f"{name}__0") + (F.col(f"{name}__1") - F.col(f"{name}__0")) * (place(name) - F.floor(place(name)))
-    return both.select(*keys, *[line(name).alias(name) for name in names])
+    return _quantiles(rows, keys, [value], {name: (0, share) for name, share in wanted.items()})
+
+
+def _quantiles(rows: DataFrame, keys: list[str], values: list[Column], wanted: dict[str, tuple[int, float]]) -> DataFrame:
+    found = counted(rows, keys, values)
+    place = lambda name: F.lit(wanted[name][1]) * (F.col("n") - 1)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), end(place(name)).cast("long").alias("rank"), F.lit(k).alias("upper")) for name, (m, _) in wanted.items() for k, end in enumerate((F.floor, F.ceil))])
+    here = lambda r: (r["m"] == F.col("g.__m")) & (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("size"))
+    asked = cells_of(found).withColumn("ranks", F.filter(ranks, here)).where(F.size("ranks") > 0).select("g", "cell", "before", "n", "ranks")
+    held = found.join(asked, ["g", "cell"])
+    upto = F.col("before") + F.sum("times").over(Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    met = held.withColumn("upto", upto).select("g", "n", "v", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("times")))).alias("r"))
+    pick = lambda name, upper: F.max(F.when((F.col("r.name") == name) & (F.col("r.upper") == upper), F.col("v")))
+    number = lambda m: F.max(F.when(F.col("g.__m") == m, F.col("n")))
+    group = F.struct(*[F.col(f"g.{k}") for k in keys]) if keys else F.lit(0)
+    measures = sorted({m for m, _ in wanted.values()})
+    both = met.groupBy(group.alias("k")).agg(*[number(m).alias(f"__n{m}") for m in measures], *[pick(name, k).alias(f"{name}__{k}") for name in wanted for k in (0, 1)])
+    part = lambda name: F.lit(wanted[name][1]) * (F.col(f"__n{wanted[name][0]}") - 1)
+    line = lambda name: F.col(f"{name}__0") + (F.col(f"{name}__1") - F.col(f"{name}__0")) * (part(name) - F.floor(part(name)))
+    return both.select(*[F.col(f"k.{k}").alias(k) for k in keys], *[line(name).alias(name) for name in wanted])
 
 
 def with_quantiles(summary: DataFrame, rows: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]]) -> DataFrame:
-    """A summary by keys with quantile columns (value, share) of its rows; columns of one value are found together."""
-    by_value: dict[str, tuple[Column, dict[str, float]]] = {}
-    for name, (value, share) in wanted.items():
-        by_value.setdefault(str(value), (value, {}))[1][name] = share
-    for value, shares in by_value.values():
-        summary = joined(summary, quantiles(rows, keys, value, shares), keys, "left")
-    return summary
+    """A summary by keys with quantile columns (value, share) of its rows, all found together."""
+    values: dict[str, Column] = {}
+    for value, _ in wanted.values():
+        values.setdefault(str(value), value)
+    numbers = {text: i for i, text in enumerate(values)}
+    found = _quantiles(rows, keys, list(values.values()), {name: (numbers[str(value)], share) for name, (value, share) in wanted.items()})
+    return joined(summary, found, keys, "left")
 
 
 def mean_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     """keys, v and `name`: the rank of each distinct value in its group, ties sharing their mean rank."""
-    placed = celled(rows, keys, F.col(value))
-    counted = placed.groupBy(*keys, "cell", "v").agg(F.count(F.lit(1)).alias("times"))
-    inside = F.sum("times").over(Window.partitionBy(*keys, "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = joined(counted.withColumn("inside", inside), cells_of(placed, keys).select(*keys, "cell", "before"), [*keys, "cell"])
-    return ranked.select(*keys, "v", (F.col("before") + F.col("inside") - (F.col("times") - 1) / 2).alias(name))
+    found = counted(rows, keys, [F.col(value)])
+    inside = F.sum("times").over(Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = found.join(cells_of(found).select("g", "cell", "before"), ["g", "cell"]).withColumn("inside", inside)
+    return ranked.select(*[F.col(f"g.{k}").alias(k) for k in keys], "v", (F.col("before") + F.col("inside") - (F.col("times") - 1) / 2).alias(name))

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions import signals as S
-from .quantiles import joined
+from . import scans
+from .quantiles import joined, quantiles, with_quantiles
 
 
 def trailing(samples: DataFrame, keys: list[str], time: str, seconds: float) -> DataFrame:
@@ -16,12 +17,11 @@ def trailing(samples: DataFrame, keys: list[str], time: str, seconds: float) ->
     return joined(samples, newest, keys).where(F.col(time) >= F.col("newest") - seconds).drop("newest")
 
 
-def sampling_rate(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
-    """Rate from the median of the positive steps, null under three samples; and (n - 1) / duration."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    found = samples.withColumn("step", step).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.median(F.when(F.col("step") > 0, F.col("step"))).alias("middle"), (F.max(time) - F.min(time)).alias("duration")
-    )
+def sampling_rate(samples: DataFrame, keys: list[str], time: str, width: float) -> DataFrame:
+    """Rate from the median of the positive steps, null under three samples; and (n - 1) / duration. Scanned in buckets of `width`."""
+    step = scans.scan(samples, keys, [time], width, {"__before": scans.previous(F.col(time))}).withColumn("step", F.col(time) - F.col("__before"))
+    found = step.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.max(time) - F.min(time)).alias("duration"))
+    found = with_quantiles(found, step, keys, {"middle": (F.when(F.col("step") > 0, F.col("step")), 0.5)})
     return found.select(*keys, "n", F.when((F.col("n") >= 3) & (F.col("middle") > 0), 1 / F.col("middle")).alias("rate"), F.when((F.col("n") >= 2) & (F.col("duration") > 0), (F.col("n") - 1) / F.col("duration")).alias("effective_rate"))
 
 
@@ -43,35 +43,40 @@ def evenly(rows: DataFrame, keys: list[str], order: list[str], most: int) -> Dat
     return numbered.where((F.col("__n") <= most) | F.array_contains(places, F.col("__k").cast("bigint"))).drop("__k", "__n")
 
 
-def filled(value: Column, keys: list[str], order: str) -> Column:
-    """The last known value, or for the head the first."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    past = F.last(value, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return F.coalesce(past, F.first(value, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+def filled(rows: DataFrame, keys: list[str], time: str, value: str, width: float) -> DataFrame:
+    """Rows whose unknown values are the last known one, or for the head the first; scanned in buckets of `width`."""
+    found = scans.scan(rows, keys, [time], width, {"__past": scans.last(F.col(value)), "__next": scans.following(F.col(value))})
+    return found.withColumn(value, F.coalesce("__past", "__next")).drop("__past", "__next")
 
 
-def interpolated(value: Column, time: str, keys: list[str]) -> Column:
-    """Gaps by a line between the neighbours in time; the ends by the nearest value."""
-    w = Window.partitionBy(*keys).orderBy(time)
-    before, after = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
-    t = F.when(value.isNotNull(), F.col(time))
-    v0, v1 = F.last(value, True).over(before), F.first(value, True).over(after)
-    t0, t1 = F.last(t, True).over(before), F.first(t, True).over(after)
+def interpolated(rows: DataFrame, keys: list[str], time: str, value: str, width: float) -> DataFrame:
+    """Rows whose gaps are filled by a line between the neighbours in time; the ends by the nearest value; scanned in buckets of `width`."""
+    known = F.when(F.col(value).isNotNull(), F.struct(F.col(time).alias("t"), F.col(value).alias("v")))
+    found = scans.scan(rows, keys, [time], width, {"__p": scans.last(known), "__n": scans.following(known)})
+    v0, v1, t0, t1 = F.col("__p.v"), F.col("__n.v"), F.col("__p.t"), F.col("__n.t")
     line = F.when(t1 > t0, v0 + (v1 - v0) * (F.col(time) - t0) / (t1 - t0)).otherwise(v0)
-    return F.coalesce(value, line, v0, v1)
+    return found.withColumn(value, F.coalesce(F.col(value), line, v0, v1)).drop("__p", "__n")
 
 
-def heart_rate_variability(beats: DataFrame, keys: list[str], rr: str, order: list[str]) -> DataFrame:
-    """Mean, SDNN, RMSSD, pNN50 and rates of the plausible intervals; differences are taken after the others are gone."""
+def heart_rate_variability(beats: DataFrame, keys: list[str], rr: str, order: list[str], width: float) -> DataFrame:
+    """Mean, SDNN, RMSSD, pNN50 and rates of the plausible intervals; differences are taken after the others are gone. Scanned in buckets of `width` of order[0]."""
     good = beats.where((F.col(rr) > 300) & (F.col(rr) < 2000))
-    step = F.abs(F.col(rr) - F.lag(rr).over(Window.partitionBy(*keys).orderBy(*order)))
-    found = good.withColumn("step", step).groupBy(*keys).agg(
+    before = scans.scan(good, keys, order, width, {"__before": scans.previous(F.col(rr))})
+    found = before.withColumn("step", F.abs(F.col(rr) - F.col("__before"))).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(rr).alias("mean_rr"), F.stddev_pop(rr).alias("sdnn"), F.sqrt(F.avg(F.col("step") * F.col("step"))).alias("rmssd"), (F.avg((F.col("step") > 50).cast("double")) * 100).alias("pnn50"),
         F.avg(60000 / F.col(rr)).alias("hr_mean"), F.min(60000 / F.col(rr)).alias("hr_min"), F.max(60000 / F.col(rr)).alias("hr_max"),
     )
     return found.withColumns({c: F.when(F.col("n") >= 3, F.col(c)) for c in ("mean_rr", "sdnn", "rmssd", "pnn50", "hr_mean", "hr_min", "hr_max")})
 
 
+def changes(rows: DataFrame, keys: list[str], time: str, value: str, width: float) -> DataFrame:
+    """Rows with step (from the row before), running (sum so far), share (of the recording's sum) and least_so_far; scanned in buckets of `width`."""
+    x = F.col(value)
+    found = scans.scan(rows, keys, [time], width, {"__before": scans.previous(F.struct(x.alias("v"))), "running": scans.running_sum(x), "least_so_far": scans.running_least(x)})
+    whole = rows.groupBy(*keys).agg(F.sum(value).alias("__whole"))
+    return joined(found, whole, keys).withColumns({"step": x - F.col("__before.v"), "share": F.try_divide(x, F.col("__whole"))}).drop("__before", "__whole")
+
+
 def steadiness(value: Column) -> Column:
     """1 less the coefficient of variation, at least 0: the quality index of a reference signal."""
     return 1 - F.least(F.try_divide(F.stddev_pop(value), F.abs(F.avg(value))), F.lit(1.0))
@@ -85,13 +90,12 @@ def crop(samples: DataFrame, clock: DataFrame, keys: list[str], time: str, least
     return inside.join(long, keys, "left_semi")
 
 
-def as_of(rows: DataFrame, events: DataFrame, keys: list[str], time: str, value: str) -> DataFrame:
-    """Rows with the value of the latest event at or before them: one ordered pass over both, no range join."""
-    left = rows.withColumns({"__side": F.lit(1), "__v": F.lit(None).cast(events.schema[value].dataType)})
-    right = events.select(*keys, time, F.lit(0).alias("__side"), F.col(value).alias("__v"))
-    w = Window.partitionBy(*keys).orderBy(time, "__side").rowsBetween(Window.unboundedPreceding, 0)
+def as_of(rows: DataFrame, events: DataFrame, keys: list[str], time: str, value: str, width: float) -> DataFrame:
+    """Rows with the value of the latest event at or before them: one scan over both in buckets of `width`, no range join."""
+    left = rows.withColumns({"__which": F.lit(1), "__v": F.lit(None).cast(events.schema[value].dataType)})
+    right = events.select(*keys, time, F.lit(0).alias("__which"), F.col(value).alias("__v"))
     both = left.unionByName(right, allowMissingColumns=True)
-    return both.withColumn(value, F.last("__v", ignorenulls=True).over(w)).where("__side = 1").drop("__side", "__v")
+    return scans.scan(both, keys, [time, "__which"], width, {value: scans.last(F.col("__v"))}).where("__which = 1").drop("__which", "__v")
 
 
 def label_stats(labels: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -157,19 +161,21 @@ def effective_rate(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
 MS_FROM = 20.0
 
 
-def tachogram(beats: DataFrame, keys: list[str], rr: str, order: list[str], rate: float = 4.0) -> DataFrame:
+def tachogram(beats: DataFrame, keys: list[str], rr: str, order: list[str], width: float, rate: float = 4.0) -> DataFrame:
     """keys, k and `rr`: intervals between beats on an even grid, k over the rate being seconds, in the unit that they came in.
 
     Intervals that are no positive numbers are left out. Each pair of beats fills the grid between
-    them by a line, without a range join. A recording's median is of its own intervals alone.
+    them by a line, without a range join. A recording's median is of its own intervals alone. Beats
+    are scanned in buckets of `width` of order[0].
     """
     known = beats.where((F.col(rr) > 0) & ~F.isnan(rr) & (F.col(rr) < float("inf")))
-    timed = joined(known, known.groupBy(*keys).agg(F.median(rr).alias("__middle")), keys)
-    w = Window.partitionBy(*keys).orderBy(*order)
-    seconds = F.col(rr) / F.when(F.col("__middle") > MS_FROM, 1000.0).otherwise(1.0)
-    timed = timed.withColumn("__s", seconds).withColumn("at", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    pairs = timed.withColumns({"r0": F.lag(rr).over(w), "a0": F.lag("at").over(w)}).where("a0 is not null")
-    low, high = F.ceil(F.col("a0") * rate), F.ceil(F.col("at") * rate) - 1
+    timed = joined(known, quantiles(known, keys, F.col(rr), {"__middle": 0.5}), keys)
+    timed = timed.withColumn("__s", F.col(rr) / F.when(F.col("__middle") > MS_FROM, 1000.0).otherwise(1.0))
+    timed = scans.scan(timed, keys, order, width, {"at": scans.running_sum(F.col("__s"))})
+    # The beat before is carried as it is, so that neighbouring pairs meet at the very same number.
+    pairs = scans.scan(timed, keys, order, width, {"__p": scans.previous(F.struct(F.col(rr).alias("r"), F.col("at").alias("a")))}).where("__p is not null")
+    r0, a0 = F.col("__p.r"), F.col("__p.a")
+    low, high = F.ceil(a0 * rate), F.ceil(F.col("at") * rate) - 1
     grid = pairs.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))
-    value = F.col("r0") + (F.col(rr) - F.col("r0")) * (F.col("k") / rate - F.col("a0")) / (F.col("at") - F.col("a0"))
+    value = r0 + (F.col(rr) - r0) * (F.col("k") / rate - a0) / (F.col("at") - a0)
     return grid.select(*keys, "k", value.alias("rr"))

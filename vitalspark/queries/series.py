@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import signals as S
@@ -13,6 +13,8 @@ registry = Registry()
 R = lambda x, n=6: f"round({x}, {n}) + 0.0"
 
 SAMPLES = "e AS (SELECT user_id::bigint AS rec, event_id::bigint AS event_id, (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id))::double / 1000000 AS t, event_type AS channel, value::double AS x, props FROM events)"
+#: Seconds of a recording that one task scans.
+DAY = 86400.0
 #: Events as samples; a recording is a user, values times four are beat intervals in ms.
 
 
@@ -26,7 +28,7 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registry.add(f"""WITH {SAMPLES}, d AS (SELECT rec, t, t - lag(t) OVER (PARTITION BY rec ORDER BY t) AS d FROM e)
  SELECT rec, count(*) AS n, CASE WHEN count(*) >= 3 THEN {R('1 / median(d) FILTER (d > 0)')} END AS rate, {R('(count(*) - 1) / (max(t) - min(t))')} AS effective_rate FROM d GROUP BY rec""")
 def sampling_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(windows.sampling_rate(samples(spark, sf_dir), ["rec"], "t"))
+    return rounded(windows.sampling_rate(samples(spark, sf_dir), ["rec"], "t", DAY))
 
 
 @registry.add(f"""WITH {SAMPLES}, l AS (SELECT *, max(t) OVER (PARTITION BY rec) AS m FROM e) SELECT rec, count(*) AS n, {R('min(t)', 3)} AS first_t, {R('max(t)', 3)} AS last_t, {R('avg(x)', 9)} AS mean_x FROM l WHERE t >= m - 86400 GROUP BY rec""")
@@ -40,7 +42,7 @@ def trailing_window(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT rec, count(*) AS n, {', '.join(f'CASE WHEN count(*) >= 3 THEN {R(x)} END AS {n}' for x, n in (('avg(rr)', 'mean_rr'), ('stddev_pop(rr)', 'sdnn'), ('sqrt(avg(d * d))', 'rmssd'), ('avg((d > 50)::int::double) * 100', 'pnn50'), ('avg(60000 / rr)', 'hr_mean'), ('min(60000 / rr)', 'hr_min'), ('max(60000 / rr)', 'hr_max')))} FROM d GROUP BY rec""")
 def heart_rate_variability(spark: SparkSession, sf_dir: str) -> DataFrame:
     beats = samples(spark, sf_dir).withColumn("rr", F.col("x") * 4)
-    return rounded(windows.heart_rate_variability(beats, ["rec"], "rr", ["t", "event_id"]))
+    return rounded(windows.heart_rate_variability(beats, ["rec"], "rr", ["t", "event_id"], DAY))
 
 
 @registry.add(f"""WITH {SAMPLES} SELECT rec, channel, count(*) AS n, {R('1 - least(stddev_pop(x) / abs(avg(x)), 1.0::double)')} AS steadiness FROM e GROUP BY rec, channel""")
@@ -52,23 +54,20 @@ def reference_steadiness(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT rec, event_id, {R('coalesce(last_value(v IGNORE NULLS) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(v IGNORE NULLS) OVER (PARTITION BY rec ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))')} AS hr FROM v""")
 def cleaned_heart_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     valid = F.when(F.col("x").between(40, 200), F.col("x"))
-    return rounded(samples(spark, sf_dir).select("rec", "event_id", "t", valid.alias("v")).select("rec", "event_id", windows.filled(F.col("v"), ["rec"], "t").alias("hr")))
+    return rounded(windows.filled(samples(spark, sf_dir).select("rec", "event_id", "t", valid.alias("hr")), ["rec"], "t", "hr", DAY).select("rec", "event_id", "hr"))
 
 
 @registry.add(f"""WITH {SAMPLES}, v AS (SELECT rec, event_id, t, CASE WHEN event_id % 3 <> 0 THEN x END AS v FROM e), f AS (SELECT *, CASE WHEN v IS NOT NULL THEN t END AS k FROM v),
  w AS (SELECT *, last_value(v IGNORE NULLS) OVER a AS v0, first_value(v IGNORE NULLS) OVER b AS v1, last_value(k IGNORE NULLS) OVER a AS t0, first_value(k IGNORE NULLS) OVER b AS t1 FROM f WINDOW a AS (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING), b AS (PARTITION BY rec ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
  SELECT rec, event_id, {R('coalesce(v, CASE WHEN t1 > t0 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) ELSE v0 END, v0, v1)')} AS x FROM w""")
 def interpolated_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gaps = samples(spark, sf_dir).withColumn("v", F.when(F.col("event_id") % 3 != 0, F.col("x")))
-    return rounded(gaps.select("rec", "event_id", windows.interpolated(F.col("v"), "t", ["rec"]).alias("x")))
+    gaps = samples(spark, sf_dir).select("rec", "event_id", "t", F.when(F.col("event_id") % 3 != 0, F.col("x")).alias("x"))
+    return rounded(windows.interpolated(gaps, ["rec"], "t", "x", DAY).select("rec", "event_id", "x"))
 
 
 @registry.add(f"""WITH {SAMPLES} SELECT rec, event_id, {R('x - lag(x) OVER w', 5)} AS step, {R('sum(x) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING)', 4)} AS running, {R('x / sum(x) OVER (PARTITION BY rec)')} AS share, {R('min(x) OVER (PARTITION BY rec ORDER BY t ROWS UNBOUNDED PRECEDING)')} AS least_so_far FROM e WINDOW w AS (PARTITION BY rec ORDER BY t)""")
 def differences_and_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("rec").orderBy("t")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
-    x = F.col("x")
-    made = samples(spark, sf_dir).select("rec", "event_id", (x - F.lag("x").over(w)).alias("step"), F.sum("x").over(past).alias("running"), (x / F.sum("x").over(Window.partitionBy("rec"))).alias("share"), F.min("x").over(past).alias("least_so_far"))
+    made = windows.changes(samples(spark, sf_dir).select("rec", "event_id", "t", "x"), ["rec"], "t", "x", DAY).select("rec", "event_id", "step", "running", "share", "least_so_far")
     digits = {"step": 5, "running": 4, "share": 6, "least_so_far": 6}
     return made.withColumns({c: F.round(c, n) + 0.0 for c, n in digits.items()})
 
@@ -86,7 +85,7 @@ def cropped_to_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
     beats = rows.where("channel = 'purchase'").select("rec", "t", F.col("x").alias("hr"))
-    return rounded(windows.as_of(rows.where("channel <> 'purchase'").select("rec", "event_id", "t"), beats, ["rec"], "t", "hr").select("rec", "event_id", "hr"))
+    return rounded(windows.as_of(rows.where("channel <> 'purchase'").select("rec", "event_id", "t"), beats, ["rec"], "t", "hr", DAY).select("rec", "event_id", "hr"))
 
 
 @registry.add(f"""WITH {SAMPLES} SELECT rec, floor(t / 900)::bigint AS measurement, count(*) AS n, count(*) >= 2 AS usable, {R('avg(x)', 9)} AS mean_x FROM e GROUP BY ALL""")
@@ -108,7 +107,7 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rsa_tachogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beat intervals on an even grid of 4 Hz."""
     beats = samples(spark, sf_dir).withColumn("rr", F.col("x") * 4)
-    return rounded(windows.tachogram(beats, ["rec"], "rr", ["t", "event_id"]), 7)
+    return rounded(windows.tachogram(beats, ["rec"], "rr", ["t", "event_id"], DAY), 7)
 
 
 # Manifest rows from orders.

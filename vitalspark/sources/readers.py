@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import signals as S
+from ..operators.quantiles import with_quantiles
+from ..operators.scans import previous, scan
 
 
 def _numbers(line: Column) -> Column:
@@ -53,7 +55,8 @@ def amplitude_text(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.split(F.trim("value"), r"\s+").alias("c"))
     stamp = F.try_to_timestamp(F.concat_ws(" ", F.try_element_at("c", F.lit(2)), F.try_element_at("c", F.lit(3))))
     at = rows.select("path", F.try_element_at("c", F.lit(1)).try_cast("double").alias("value"), (F.unix_micros(stamp) / 1e6).alias("s")).where("value is not null and s is not null")
-    return at.select("path", (F.col("s") - F.min("s").over(Window.partitionBy("path"))).alias("t"), "value")
+    first = at.groupBy("path").agg(F.min("s").alias("first"))
+    return at.join(first, "path").select("path", (F.col("s") - F.col("first")).alias("t"), "value")
 
 
 def device_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -164,10 +167,10 @@ def frame_clock(spark: SparkSession, path: str) -> DataFrame:
     return made.where("t is not null")
 
 
-def frame_rates(stamps: DataFrame, keys: list[str], time: str, fallback: float, least: int = 10) -> DataFrame:
-    """Frames a second from the median step of a recording's time stamps in seconds; the fallback for few stamps or no steps."""
-    step = F.col(time) - F.lag(time).over(Window.partitionBy(*keys).orderBy(time))
-    found = stamps.withColumn("step", step).groupBy(*keys).agg(F.count(time).alias("n"), F.median("step").alias("middle"))
+def frame_rates(stamps: DataFrame, keys: list[str], time: str, fallback: float, least: int = 10, width: float = 600.0) -> DataFrame:
+    """Frames a second from the median step of a recording's time stamps in seconds; the fallback for few stamps or no steps. Scanned in buckets of `width` seconds."""
+    step = scan(stamps, keys, [time], width, {"__before": previous(F.struct(F.col(time).alias("t")))}).withColumn("step", F.col(time) - F.col("__before.t"))
+    found = with_quantiles(stamps.groupBy(*keys).agg(F.count(time).alias("n")), step, keys, {"middle": (F.col("step"), 0.5)})
     return found.select(*keys, F.when((F.col("n") > least) & (F.col("middle") > 0), 1 / F.col("middle")).otherwise(fallback).alias("fps"))
 
 
