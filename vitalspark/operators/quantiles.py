@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that the values are cut into, a square number.
+#: Ranges that the values are cut into, a power of two.
 CELLS = 1024
 
 
@@ -39,13 +39,13 @@ def counted(rows: DataFrame, keys: list[str], values: list[Column]) -> DataFrame
     shares = F.array(*[F.lit(i / CELLS) for i in range(1, CELLS)])
     known = lambda i: F.when(~F.isnan(f"__v{i}"), F.col(f"__v{i}") + 0.0)
     cuts = given.agg(*[F.coalesce(F.percentile_approx(known(i), shares, 4 * CELLS), F.array().cast("array<double>")).alias(f"__c{i}") for i in range(len(values))])
-    side = int(CELLS**0.5)
-    # A place among the cuts by those that begin each row of a square, then within the row.
-    coarse = lambda c: F.transform(F.sequence(F.lit(side), F.lit(CELLS - 1), F.lit(side)), lambda k: F.get(c, k - 1))
-    tops = cuts.select(*[F.struct(coarse(F.col(f"__c{i}")).alias("top"), F.col(f"__c{i}").alias("all")).alias(f"__c{i}") for i in range(len(values))])
-    below = lambda cut, v: F.size(F.filter(cut, lambda c: c < v))
-    measured = given.crossJoin(F.broadcast(tops)).select(*keys, "__times", F.inline(F.array(*[F.struct(F.lit(i).alias("__m"), known(i).alias("__v"), below(F.col(f"__c{i}.top"), known(i)).alias("__top"), F.col(f"__c{i}.all").alias("__all")) for i in range(len(values))])))
-    placed = measured.where("__v is not null").withColumn("__cell", F.col("__top") * side + below(F.slice("__all", F.col("__top") * side + 1, side), F.col("__v")))
+    both = given.crossJoin(F.broadcast(cuts)).withColumns({f"__p{i}": F.lit(0) for i in range(len(values))} | {f"__v{i}": known(i) for i in range(len(values))})
+    step = CELLS // 2
+    while step:  # a binary search, its steps as columns
+        both = both.withColumns({f"__p{i}": F.col(f"__p{i}") + F.when(F.get(f"__c{i}", F.col(f"__p{i}") + (step - 1)) < F.col(f"__v{i}"), step).otherwise(0) for i in range(len(values))})
+        step //= 2
+    measured = both.select(*keys, "__times", F.inline(F.array(*[F.struct(F.lit(i).alias("__m"), F.col(f"__v{i}").alias("__v"), F.col(f"__p{i}").alias("__cell")) for i in range(len(values))])))
+    placed = measured.where("__v is not null")
     return placed.groupBy(F.struct(*keys, "__m").alias("g"), F.col("__cell").alias("cell"), F.col("__v").alias("v")).agg(F.sum("__times").alias("times"))
 
 

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Buckets whose summaries are scanned together; above that, a recording's groups of buckets are an array.
 GROUP = 1024
@@ -106,17 +107,17 @@ def _before(buckets: DataFrame, keys: list[str], kinds: dict[str, str]) -> DataF
     listed = groups.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__c", *kinds))).alias("__l"))
     each = listed.select(*keys, "__l", F.posexplode("__l").alias("__i", "__g"))
     past = lambda m: F.slice(F.col("__l")[m], 1, F.col("__i"))
-    heads = each.select(*keys, F.col("__g.__c").alias("__c"), F.lit(0).alias("__side"), *[_folded(k, past(m)).alias(m) for m, k in kinds.items()])
+    heads = each.select(*keys, F.col("__g.__c").alias("__c"), F.lit(0).alias("__side"), *[_folded(k, past(m), buckets.schema[m].dataType).alias(m) for m, k in kinds.items()])
     both = grouped.withColumn("__side", F.lit(1)).unionByName(heads, allowMissingColumns=True)
     up = Window.partitionBy(*keys, "__c").orderBy("__side", "__b")
     return both.select(*keys, "__b", "__side", *[_over(k, F.col(m), up, -1).alias(m) for m, k in kinds.items()]).where("__side = 1").drop("__side")
 
 
-def _folded(kind: str, values: Column) -> Column:
+def _folded(kind: str, values: Column, of: T.DataType) -> Column:
     """What an array of summaries comes to; null for none."""
     known = F.filter(values, lambda x: x.isNotNull())
     if kind == "sum":
-        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast("double"), lambda a, x: a + x))
+        return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0).cast(of), lambda a, x: (a + x).cast(of)))
     if kind == "least":
         return F.array_min(known)
     return F.try_element_at(known, F.lit(-1))

@@ -169,12 +169,16 @@ def tachogram(beats: DataFrame, keys: list[str], rr: str, order: list[str], widt
     are scanned in buckets of `width` of order[0].
     """
     known = beats.where((F.col(rr) > 0) & ~F.isnan(rr) & (F.col(rr) < float("inf")))
-    timed = joined(known, quantiles(known, keys, F.col(rr), {"__middle": 0.5}), keys)
-    timed = timed.withColumn("__s", F.col(rr) / F.when(F.col("__middle") > MS_FROM, 1000.0).otherwise(1.0))
-    timed = scans.scan(timed, keys, order, width, {"at": scans.running_sum(F.col("__s"))})
-    # The beat before is carried as it is, so that neighbouring pairs meet at the very same number.
-    pairs = scans.scan(timed, keys, order, width, {"__p": scans.previous(F.struct(F.col(rr).alias("r"), F.col("at").alias("a")))}).where("__p is not null")
-    r0, a0 = F.col("__p.r"), F.col("__p.a")
+    # Whether the median is above the bound needs counts alone, and for a tie the two values next to the bound.
+    v = F.col(rr)
+    sides = known.groupBy(*keys).agg(F.count_if(v <= MS_FROM).alias("__low"), F.count_if(v > MS_FROM).alias("__high"), ((F.max(F.when(v <= MS_FROM, v)) + F.min(F.when(v > MS_FROM, v))) / 2).alias("__middle"))
+    large = (F.col("__high") > F.col("__low")) | ((F.col("__high") == F.col("__low")) & (F.col("__middle") > MS_FROM))
+    timed = joined(known, sides.select(*keys, large.alias("__large")), keys)
+    # Decimals, whose sum is the same in whatever order parts of it are added, so that neighbouring pairs meet at the very same number.
+    timed = timed.withColumn("__s", (v / F.when(F.col("__large"), 1000.0).otherwise(1.0)).try_cast("decimal(38,15)")).drop("__large")
+    pairs = scans.scan(timed, keys, order, width, {"__at": scans.running_sum(F.col("__s")), "__r": scans.previous(v)}).where("__r is not null")
+    pairs = pairs.withColumns({"at": F.col("__at").cast("double"), "__a": (F.col("__at") - F.col("__s")).cast("double")})
+    r0, a0 = F.col("__r"), F.col("__a")
     low, high = F.ceil(a0 * rate), F.ceil(F.col("at") * rate) - 1
     grid = pairs.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))
     value = r0 + (F.col(rr) - r0) * (F.col("k") / rate - a0) / (F.col("at") - a0)
