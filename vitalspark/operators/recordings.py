@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import full_evaluation, rate
-from .quantiles import quantiles, with_quantiles
+from .quantiles import joined, quantiles, with_quantiles
 from .rules import first_failure
 
 #: Gates of a recording. Seconds, signal ranges, quality, bpm, percent of frames without a face.
@@ -100,28 +100,60 @@ def acquisition(samples: DataFrame, keys: list[str], timings: list[str], status:
     return each.join(means, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]).drop(*[f"__{k}" for k in keys])
 
 
+#: Parts of a split by their shares, in order.
+PARTS = ("train", "val", "test")
+
+
+def target_histogram(rows: DataFrame, subject: str) -> DataFrame:
+    """subject, target, __times: how often each subject has each target. Made once for all candidates; null targets are kept."""
+    return rows.groupBy(F.col(subject).alias("subject"), F.col("target").cast("double").alias("target")).agg(F.count(F.lit(1)).alias("__times"))
+
+
+def dealt_subjects(subjects: DataFrame, candidates: int, shares: tuple[float, float]) -> DataFrame:
+    """subject, candidate, role: each candidate deals every subject by the hash of its name and the candidate's number."""
+    every = subjects.withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(candidates))))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("subject").cast("string"), F.col("candidate").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return every.select("subject", "candidate", F.when(u < shares[0], PARTS[0]).when(u < shares[1], PARTS[1]).otherwise(PARTS[2]).alias("role"))
+
+
 def split_balance(rows: DataFrame, subject: str, candidates: int, wanted: tuple[int, int], shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
     """Score of every random split of the subjects, least first: how far validation and test stand from training.
 
-    rows: subject, target. A candidate deals each subject by the hash of its name and the
-    candidate's number. wanted: subjects of validation and of test.
+    rows: subject, target. wanted: subjects of validation and of test. Rows are read once, into each
+    subject's histogram of targets: candidates multiply subjects and their distinct targets, not
+    rows. The sums of a subject are merged by (candidate, role), and so are the histograms, for the
+    exact p90. A null subject is a subject; null targets count as rows alone.
     """
-    spread = rows.withColumn("candidate", F.explode(F.sequence(F.lit(1), F.lit(candidates))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(subject).cast("string"), F.col("candidate").cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
-    role = F.when(u < shares[0], "train").when(u < shares[1], "val").otherwise("test")
-    t = F.col("target")
-    dealt = spread.withColumn("role", role)
-    parts = dealt.groupBy("candidate", "role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(subject).alias("subjects"), F.avg(t).alias("mean"), rate(t >= 100).alias("high"), rate(t >= 120).alias("tachy"))
-    parts = with_quantiles(parts, dealt, ["candidate", "role"], {"p90": (t, 0.9)})
+    histogram = target_histogram(rows, subject)
+    t, n = F.col("target"), F.col("__times")
+    some = F.when(t.isNotNull(), n).otherwise(0)
+    of = lambda c: F.sum(F.when(c, n).otherwise(0))
+    totals = histogram.groupBy("subject").agg(F.sum(n).alias("rows"), F.sum(some).alias("known"), F.sum(t * n).alias("whole"), of(t >= 100).alias("high"), of(t >= 120).alias("tachy"))
+    dealt = dealt_subjects(totals, candidates, shares)
+    merged = joined(dealt, totals, ["subject"]).groupBy("candidate", "role").agg(F.count("rows").alias("subjects"), *[F.sum(c).alias(c) for c in ("rows", "known", "whole", "high", "tachy")])
+    parts = merged.select("candidate", "role", "rows", "subjects", *[F.try_divide(c, F.col("known")).alias(m) for c, m in ((F.col("whole"), "mean"), (F.col("high"), "high"), (F.col("tachy"), "tachy"))])
+    spread = joined(histogram, dealt, ["subject"]).groupBy("candidate", "role", "target").agg(F.sum("__times").alias("__times"))
+    parts = with_quantiles(parts, spread, ["candidate", "role"], {"p90": (t, 0.9)})
     measures = ["rows", "subjects", "mean", "p90", "high", "tachy"]
-    wide = parts.groupBy("candidate").agg(*[F.max(F.when(F.col("role") == r, F.col(m))).alias(f"{r}_{m}") for r in ("train", "val", "test") for m in measures])
+    wide = parts.groupBy("candidate").agg(*[F.max(F.when(F.col("role") == r, F.col(m))).alias(f"{r}_{m}") for r in PARTS for m in measures])
     gap = lambda r, m: F.abs(F.col(f"{r}_{m}") - F.col(f"train_{m}"))
     score = F.abs(F.col("val_rows") - F.col("test_rows")) / ROW_SCALE
-    for r, n in zip(("val", "test"), wanted, strict=True):
-        score = score + gap(r, "high") * HIGH_WEIGHT + gap(r, "tachy") * TACHY_WEIGHT + (gap(r, "p90") + gap(r, "mean")) / BPM_SCALE + F.abs(F.col(f"{r}_subjects") - n) * SUBJECT_WEIGHT
+    for r, k in zip(PARTS[1:], wanted, strict=True):
+        score = score + gap(r, "high") * HIGH_WEIGHT + gap(r, "tachy") * TACHY_WEIGHT + (gap(r, "p90") + gap(r, "mean")) / BPM_SCALE + F.abs(F.col(f"{r}_subjects") - k) * SUBJECT_WEIGHT
     return wide.select("candidate", "train_subjects", "val_subjects", "test_subjects", score.alias("score"))
 
 
+def best_split(rows: DataFrame, subject: str, candidates: int, wanted: tuple[int, int], shares: tuple[float, float] = (0.70, 0.85)) -> DataFrame:
+    """subject, role, candidate and score of the best of the random splits, the lower number of equals; candidates that leave a part empty don't count.
+
+    Two steps: scores by candidate, of which one row is taken; then the subjects dealt by it.
+    """
+    scores = split_balance(rows, subject, candidates, wanted, shares).where("score is not null")
+    best = scores.orderBy("score", "candidate").limit(1).select("candidate", "score")
+    dealt = dealt_subjects(rows.select(F.col(subject).alias("subject")).distinct(), candidates, shares)
+    return dealt.join(F.broadcast(best), "candidate").select("subject", "role", "candidate", "score")
+
+
 def baseline_report(rows: DataFrame, keys: list[str], train: Column) -> DataFrame:
     """Test MAE of predictions and of always saying the training mean, per target."""
     means = rows.where(train).groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.avg("target").alias("train_mean"))

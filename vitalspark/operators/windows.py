@@ -122,6 +122,28 @@ def end_aligned(frames: Column, length: Column) -> Column:
     return F.struct(last_part(frames, length).alias("frames"), F.greatest(F.size(frames) - length, F.lit(0)).alias("dropped"))
 
 
+def sampling_counts(rows: DataFrame, keys: list[str], start: Column, end: Column, fps: Column, rate: float) -> DataFrame:
+    """keys, frames and total: how many frames sampling at a lower rate would see of each row's part of a recording, and the sum of their numbers.
+
+    keys tell rows apart. The frame of each time, and of the one before, follow from the place
+    alone; frames rise with time where the rate isn't above that of the recording, so a frame is new
+    when it isn't that of the time before. Nothing is sorted or kept as an array.
+    """
+    step = 1.0 / rate
+    count = F.ceil((end / fps - start / fps) / step).cast("int")
+    given = rows.select(*keys, start.alias("__a"), end.alias("__b"), fps.alias("__f"), F.greatest(count, F.lit(1)).alias("__n"), (count < 2).alias("__few"))
+    a, b, f, n, k = (F.col(c) for c in ("__a", "__b", "__f", "__n", "__k"))
+    held = lambda t: F.greatest(a, F.least(F.rint(t * f).cast("int"), b - 1))
+    at = lambda place: held(a / f + place * step)
+    tail = F.col("__few") | (a / f + (n - 1) * step < b / f - 0.75 / rate)
+    # One place more for the tail: the last frame's own time.
+    placed = given.withColumn("__k", F.explode(F.sequence(F.lit(0), n))).where((k < n) | tail)
+    frame = F.when(k < n, at(k)).otherwise(held(b / f - 1.0 / f))
+    seen = placed.select(*keys, frame.alias("__x"), F.when(k > 0, at(k - 1)).alias("__y"))
+    new = F.col("__y").isNull() | (F.col("__x") > F.col("__y"))
+    return seen.groupBy(*keys).agg(F.count_if(new).cast("int").alias("frames"), F.sum(F.when(new, F.col("__x")).otherwise(0)).alias("total"))
+
+
 def hashed_share(key: Column, salt: str) -> Column:
     """A share from 0 to 1 by the hash of a key: the same at any scale and in SQL."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(":" + salt))), 1, 8), 16, 10).cast("double") / float(1 << 32)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import signals as S
 from ..operators import rules, splits, windows
 from . import Registry, rounded, table
 
@@ -154,20 +153,14 @@ SAMPLING_SQL = f"""WITH {MANIFEST}, c AS (SELECT recording, n_frames, ceil((n_fr
 
 @registry.add(SAMPLING_SQL)
 def simulated_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampled(manifest(spark, sf_dir))
-
-
-def sampled(rows: DataFrame) -> DataFrame:
     """Number and sum of the frames that sampling at 10 a second would see of each recording."""
-    frames = S.simulated_frames(F.lit(0), F.col("n_frames"), F.lit(30.0), 10.0)
-    rows = rows.select("recording", frames.alias("f"))
-    return rows.select("recording", F.size("f").alias("frames"), F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    return windows.sampling_counts(manifest(spark, sf_dir), ["recording"], F.lit(0), F.col("n_frames"), F.lit(30.0), 10.0)
 
 
 @registry.add(SAMPLING_SQL)
 def simulated_sampling_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The older name of the query over all of `orders`."""
-    return sampled(manifest(spark, sf_dir))
+    return simulated_sampling(spark, sf_dir)
 
 
 @registry.add(f"""WITH {MANIFEST} SELECT dataset, split, count(*) AS rows, count(DISTINCT subject) AS subjects, {R('avg(hr)')} AS mean_hr, count(*) FILTER (hr IS NULL) AS unlabelled FROM p GROUP BY ALL""")
