@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,21 +10,13 @@ from ..functions import rates
 from ..functions import signals as S
 from ..operators import windows
 from . import Registry, rounded
+from .filters import filtered_sql
 from .signals import FPS, LONG, ROI, R, STATUS, channels, long, spectrum_sql
 from .signals import windows as signals_of
 
 registry = Registry()
 
 
-def matrix_sql(n: int, name: str, kernel) -> str:
-    """A linear kernel over n samples as a table (i, j, w): its answers to unit impulses, by which SQL states the same sums."""
-    rows = ", ".join(f"({i}, {j}, {w!r})" for j, row in enumerate(kernel(np.eye(n)).tolist()) for i, w in enumerate(row))
-    return f"{name}(i, j, w) AS (SELECT i, j, w::double FROM (VALUES {rows}) t(i, j, w))"
-
-
-BAND = matrix_sql(64, "band", lambda x: K.bandpass(x, FPS))
-
-
 @registry.add(f"""WITH {LONG}, {spectrum_sql('s', 'vec_id', refine=False)} SELECT vec_id, {R('bpm', 4)} AS bpm, {R('sqi')} AS sqi FROM quality""")
 def cardiac_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = signals_of(spark, sf_dir).select("vec_id", rates.measured(rates.cardiac, "bpm double, sqi double", FPS)(F.col("x")).alias("m"))
@@ -93,13 +84,14 @@ def overlapped_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long(made, ["vec_id"], ["plain", "scaled"]))
 
 
-#: Each region projected by itself, averaged, band-passed by the kernel's own answers to impulses, and scaled.
-TRAINING = """e AS (SELECT vec_id, i::int AS i, j::int AS j, 120 + 10 * embedding[(i + 7 * j) % 64 + 1]::double AS r, 110 + 10 * embedding[(i + 7 * j + 21) % 64 + 1]::double AS g, 100 + 10 * embedding[(i + 7 * j + 42) % 64 + 1]::double AS b FROM embeddings, range(64) t(i), range(3) u(j)),
+#: Each region projected by itself, averaged, and band-passed by the recursion.
+TRAINING = f"""e AS (SELECT vec_id, i::int AS i, j::int AS j, 120 + 10 * embedding[(i + 7 * j) % 64 + 1]::double AS r, 110 + 10 * embedding[(i + 7 * j + 21) % 64 + 1]::double AS g, 100 + 10 * embedding[(i + 7 * j + 42) % 64 + 1]::double AS b FROM embeddings, range(64) t(i), range(3) u(j)),
  n AS (SELECT vec_id, i, j, r / (avg(r) OVER w + 1e-8::double) AS r, g / (avg(g) OVER w + 1e-8::double) AS g, b / (avg(b) OVER w + 1e-8::double) AS b FROM e WINDOW w AS (PARTITION BY vec_id, j)),
  p AS (SELECT vec_id, i, j, g, g - b AS p1, g + b - 2 * r AS p2, 3 * r - 2 * g AS c1, 1.5::double * r + g - 1.5::double * b AS c2 FROM n),
  q AS (SELECT vec_id, i, j, g, p1 + stddev_pop(p1) OVER w / (stddev_pop(p2) OVER w + 1e-8::double) * p2 AS pos, c1 - stddev_pop(c1) OVER w / (stddev_pop(c2) OVER w + 1e-8::double) * c2 AS chrom FROM p WINDOW w AS (PARTITION BY vec_id, j)),
  m AS (SELECT vec_id, i, avg(g) AS green, avg(pos) AS pos, avg(chrom) AS chrom FROM q GROUP BY vec_id, i),
- f AS (SELECT vec_id, band.i AS i, sum(w * green) AS green, sum(w * pos) AS pos, sum(w * chrom) AS chrom FROM m JOIN band ON band.j = m.i GROUP BY vec_id, band.i)"""
+ sig AS MATERIALIZED (SELECT vec_id, 64 AS n, i, ch, x FROM (UNPIVOT (SELECT vec_id, i, green, pos, chrom FROM m) ON green, pos, chrom INTO NAME ch VALUE x)), {filtered_sql('sig', 'vec_id, ch')},
+ f AS (SELECT vec_id, i, max(x) FILTER (ch = 'green') AS green, max(x) FILTER (ch = 'pos') AS pos, max(x) FILTER (ch = 'chrom') AS chrom FROM filtered GROUP BY vec_id, i)"""
 
 
 def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,12 +100,12 @@ def trained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return colours.select("vec_id", K.pulse_signals(F.col("r"), F.col("g"), F.col("b"), 3, K.training_signals, FPS).alias("p")).select("vec_id", "p.*")
 
 
-@registry.add(f"""WITH {BAND}, {TRAINING} SELECT vec_id, i, {', '.join(f'{R(f"({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w", 5)} AS {c}' for c in ('green', 'pos', 'chrom'))} FROM f WINDOW w AS (PARTITION BY vec_id)""")
+@registry.add(f"""WITH RECURSIVE {TRAINING} SELECT vec_id, i, {', '.join(f'{R(f"({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w", 5)} AS {c}' for c in ('green', 'pos', 'chrom'))} FROM f WINDOW w AS (PARTITION BY vec_id)""")
 def training_style_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(long(trained(spark, sf_dir), ["vec_id"], ["green", "pos", "chrom"]), 5)
 
 
-@registry.add(f"""WITH {BAND}, {TRAINING}, z AS (SELECT vec_id, i, {', '.join(f'({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w AS {c}' for c in ('green', 'pos', 'chrom'))} FROM f WINDOW w AS (PARTITION BY vec_id)), k AS (SELECT * FROM z WHERE i >= 24)
+@registry.add(f"""WITH RECURSIVE {TRAINING}, z AS (SELECT vec_id, i, {', '.join(f'({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w AS {c}' for c in ('green', 'pos', 'chrom'))} FROM f WINDOW w AS (PARTITION BY vec_id)), k AS (SELECT * FROM z WHERE i >= 24)
  SELECT vec_id, i - 24 AS i, {', '.join(f'{R(f"({c} - avg({c}) OVER w) / stddev_pop({c}) OVER w", 5)} AS {c}' for c in ('green', 'pos', 'chrom'))} FROM k WINDOW w AS (PARTITION BY vec_id)""")
 def buffered_window_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five seconds of an eight-second buffer, cut out after filtering and scaled again."""
