@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -46,3 +47,14 @@ def ship(session: SparkSession) -> None:
         for source in sorted(root.rglob("*.py")):
             archive.write(source, source.relative_to(root.parent))
     context.addPyFile(str(target))
+
+
+def shared_path(session: SparkSession, name: str) -> str:
+    """A fresh path in the folder that the cluster shares, spark.checkpoint.dir; where it is unset, in a temporary one, but in local mode alone."""
+    folder = session.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not session.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="vitalspark-")
+        session.conf.set("spark.checkpoint.dir", folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
