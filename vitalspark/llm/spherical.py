@@ -1,16 +1,19 @@
 """Near-duplicate embeddings by spherical-cap filters.
 
-Filters are caps around the codewords of a random product code: the space is cut into blocks
-after a fixed random rotation, each block has its own random unit codewords, and a filter is one
-codeword a block. A vector passes a filter when its inner product with the filter's direction is
-at least a threshold. Since the product is a sum over blocks, the exceeding filters are listed
-without looking at the others: blocks are taken one after another, and a partial sum is dropped
-when even the best codewords of the blocks to come cannot lift it over the threshold.
-
-Vectors of one label that pass a common filter are candidates; their cosine is then computed in
-double precision. Equal vectors of a label are one class, compared once. Filters carry each vector
-in a byte a component, with the length of the rounding error, so that candidates surely below the
-bound end where they meet, and only the rest are looked up for the exact cosine.
+Filters are caps around the codewords of random product codes: after a fixed random rotation the
+space is cut into blocks, each block has its own random unit codewords, and a filter is one
+codeword a block. A vector passes the filters that exceed a threshold of its own, lowered until it
+passes PASSED of them, in each of ROTATIONS codes. Since the product with a filter's direction is a sum over blocks,
+these are listed best first from the ranked codewords of the blocks, without looking at the others:
+a pair of ranks (i, j) can be among the best L only if (i + 1) (j + 1) <= L.
+
+Vectors of a label that share a mean would crowd into the caps around it, so filters are laid around
+what is left of a vector without its label's mean, but for vectors so near to the mean that they
+link with it. Vectors of one label that pass a common filter are candidates; the cosine of the
+vectors themselves decides. Equal vectors of a label are one class, compared once. Filters carry each vector
+in a byte a component, with the length of the rounding error: candidates surely below the bound end
+where they meet, those surely above it are links at once, and only the rest are looked up for the
+exact cosine in double precision.
 """
 
 from __future__ import annotations
@@ -25,74 +28,102 @@ from pyspark.sql import functions as F
 
 from .common import components, materialise
 
-#: Blocks of the product code; filters that a vector passes on average; members of a filter compared in one task.
-BLOCKS, PASSED, PART = 2, 32, 256
-#: Vectors of a filter aimed at; least and greatest share of filters that a vector passes.
-MEMBERS, MOST_SHARE, LEAST_SHARE = 16, 0.05, 1e-7
+#: Blocks of a product code; codes; filters that a vector passes in each; members of a filter compared in one task.
+BLOCKS, ROTATIONS, PASSED, PART = 2, 2, 20, 256
+#: Vectors of a filter aimed at; cosine, without the means, of pairs that caps have to be wide enough for.
+MEMBERS, REACH = 16, 0.79
+#: Distance of a unit vector from its label's mean under which it goes by itself.
+NEAR = 0.5
 #: Numbers that the listing of filters holds at a time.
 STEP = 1 << 22
 
 
+def cap_share(dimensions: int, cosine: float) -> float:
+    """Share of a sphere that is within an angle of a point."""
+    if dimensions < 2:
+        return 0.5
+    angle = np.linspace(0, math.pi, 20_001)
+    density = np.sin(angle) ** (dimensions - 2) if dimensions > 2 else np.ones_like(angle)
+    return float(density[angle <= math.acos(cosine)].sum() / density.sum())
+
+
 @dataclass
 class Code:
-    """Rotation, codewords of each block and the threshold."""
+    """Rotations, and for each the codewords of its blocks."""
 
-    rotation: np.ndarray
-    words: list[np.ndarray]
-    threshold: float
+    rotations: list[np.ndarray]
+    words: list[list[np.ndarray]]
 
     @staticmethod
     def of(dimensions: int, n: int, seed: int = 11) -> Code:
-        """A code for n vectors: about MEMBERS a filter, about PASSED filters a vector.
+        """Codes for n vectors: about MEMBERS a filter where they are spread evenly, so codewords grow with the root of n.
 
-        The threshold is a quantile of the products of random unit vectors, and the number of
-        codewords follows from how many filters are to be passed: it grows with the root of n.
+        In a few dimensions there are at most so many filters that the best of a vector reach as far
+        as a pair may lie apart.
         """
         rng = np.random.default_rng(seed)
-        rotation = np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0]
-        # In a few dimensions blocks of codewords would leave gaps: one block of wide caps instead.
+        # In a few dimensions blocks of codewords would leave gaps: one block instead.
         blocks = BLOCKS if dimensions >= 8 * BLOCKS else 1
-        share = MOST_SHARE if blocks == 1 else min(MOST_SHARE, max(LEAST_SHARE, MEMBERS / max(1, n)))
-        each = max(2, math.ceil((PASSED / share) ** (1 / blocks)))
-        words = []
-        for part in np.array_split(np.arange(dimensions), blocks):
-            w = rng.standard_normal((each, len(part)))
-            words.append(w / np.linalg.norm(w, axis=1, keepdims=True) * math.sqrt(1 / blocks))
-        if dimensions < 4:
-            trial = np.concatenate([w[rng.integers(0, each, 256)] for w in words], axis=1)
-            threshold = np.quantile(unit(rng.standard_normal((4096, dimensions))) @ trial.T, 1 - share)
-        else:  # a product of unit vectors has the density (1 - x^2)^((d - 3) / 2)
-            x = np.linspace(-1, 1, 400_001)
-            tail = np.cumsum(((1 - x * x) ** ((dimensions - 3) / 2))[::-1])[::-1]
-            threshold = x[np.searchsorted(-tail, -share * tail[0])]
-        return Code(rotation, words, float(threshold) - 1e-12)
+        wanted = min(PASSED * max(1, n) / MEMBERS, PASSED / max(cap_share(dimensions, REACH), 1e-12))
+        each = max(2, math.ceil(wanted ** (1 / blocks)))
+        made = Code([], [])
+        for _ in range(ROTATIONS):
+            made.rotations.append(np.linalg.qr(rng.standard_normal((dimensions, dimensions)))[0])
+            words = []
+            for part in np.array_split(np.arange(dimensions), blocks):
+                w = rng.standard_normal((each, len(part)))
+                words.append(w / np.linalg.norm(w, axis=1, keepdims=True))
+            made.words.append(words)
+        return made
 
     def passed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row numbers and filter numbers of all filters that unit vectors exceed."""
-        most = max(w.shape[0] for w in self.words)
-        step = max(1, STEP // most)
-        made = [self._passed(vectors[at : at + step]) for at in range(0, len(vectors), step)]
-        rows = [r + i * step for i, (r, _) in enumerate(made)]
-        return (np.concatenate(rows), np.concatenate([f for _, f in made])) if made else (np.zeros(0, dtype=np.int64),) * 2
-
-    def _passed(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        turned = vectors @ self.rotation
-        cuts = np.cumsum([0] + [w.shape[1] for w in self.words])
-        products = [turned[:, a:b] @ w.T for a, b, w in zip(cuts[:-1], cuts[1:], self.words, strict=True)]
-        ahead = np.zeros((len(vectors), len(products) + 1))
-        for k in range(len(products) - 1, -1, -1):
-            ahead[:, k] = ahead[:, k + 1] + products[k].max(axis=1)
-        rows, filters, sums = np.arange(len(vectors)), np.zeros(len(vectors), dtype=np.int64), np.zeros(len(vectors))
-        for k, product in enumerate(products):
-            kept = []
-            step = max(1, STEP // product.shape[1])
-            for at in range(0, len(rows), step):
-                r, before = rows[at : at + step], sums[at : at + step]
-                found = before[:, None] + product[r]
-                keep, word = np.nonzero(found + ahead[r, k + 1][:, None] >= self.threshold)
-                kept.append((r[keep], filters[at : at + step][keep] * product.shape[1] + word, found[keep, word]))
-            rows, filters, sums = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (rows, filters, sums)
-        return rows, filters
+        """Row numbers and filter numbers of the filters that unit vectors pass: the best PASSED of each code."""
+        if not len(vectors):
+            return (np.zeros(0, dtype=np.int64),) * 2
+        step = max(1, STEP // max(w.shape[0] for words in self.words for w in words))
+        rows, filters = [], []
+        for at in range(0, len(vectors), step):
+            part = vectors[at : at + step]
+            for k, (rotation, words) in enumerate(zip(self.rotations, self.words, strict=True)):
+                found = _best(part @ rotation, words) * len(self.words) + k
+                rows.append(np.repeat(np.arange(at, at + len(part)), found.shape[1]))
+                filters.append(found.ravel())
+        return np.concatenate(rows), np.concatenate(filters)
+
+
+def _best(turned: np.ndarray, words: list[np.ndarray]) -> np.ndarray:
+    """Numbers of the filters with the largest products, PASSED a row or all if there are fewer."""
+    cuts = np.cumsum([0] + [w.shape[1] for w in words])
+    ranked = []
+    for a, b, w in zip(cuts[:-1], cuts[1:], words, strict=True):
+        product = turned[:, a:b] @ w.T
+        top = min(PASSED, product.shape[1])
+        some = np.argpartition(-product, top - 1, axis=1)[:, :top]
+        values = np.take_along_axis(product, some, axis=1)
+        order = np.argsort(-values, axis=1)
+        ranked.append((np.take_along_axis(some, order, axis=1), np.take_along_axis(values, order, axis=1)))
+    numbers, sums = ranked[0]
+    for (more, values), w in zip(ranked[1:], words[1:], strict=True):
+        i, j = np.nonzero(np.outer(np.arange(1, numbers.shape[1] + 1), np.arange(1, more.shape[1] + 1)) <= PASSED)
+        every = sums[:, i] + values[:, j]
+        top = min(PASSED, every.shape[1])
+        kept = np.argsort(-every, axis=1, kind="stable")[:, :top]
+        numbers = numbers[np.arange(len(every))[:, None], i[kept]] * w.shape[0] + more[np.arange(len(every))[:, None], j[kept]]
+        sums = np.take_along_axis(every, kept, axis=1)
+    return numbers
+
+
+def directions(units: np.ndarray, means: np.ndarray, least_cosine: float) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and directions of the vectors in two sets of filters: without their means, and as they are.
+
+    Vectors nearer than NEAR to their mean go by themselves, as little is left of them and that points anywhere;
+    those further than NEAR less the longest distance of a linked pair go by what is left. Two linked
+    vectors are both in the one set or both in the other.
+    """
+    rest = units - means
+    length = np.linalg.norm(rest, axis=1)
+    far, near = np.flatnonzero(length > NEAR - math.sqrt(2 - 2 * least_cosine) - 1e-9), np.flatnonzero(length < NEAR)
+    return [(far, rest[far] / np.maximum(length[far], 1e-12)[:, None]), (near, units[near])]
 
 
 def classes(vectors: DataFrame, key: str, embedding: str, label: str) -> DataFrame:
@@ -130,8 +161,33 @@ def restored(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(data[:, 8:]).view(np.int8).astype(np.float32) * head[:, :1], head[:, 1].astype(float)
 
 
-def filtered(rows: DataFrame, codes: dict[int, Code]) -> DataFrame:
-    """(label, filter, class, rough) of every filter that a class passes, by the code of its level. rows: label, class, vector, level."""
+def label_means(rows: DataFrame, width: int) -> DataFrame:
+    """l, n and mean of each label: how many classes it has and the mean of their unit vectors. rows: label, vector, of one width."""
+    kind = rows.schema["label"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
+                matrix, (labels, which) = unit(np.array(part.column(1).to_pylist())), _numbered(part.column(0))
+                total = np.zeros((len(labels), width))
+                np.add.at(total, which, matrix)
+                counts = np.bincount(which, minlength=len(labels))
+                yield pa.RecordBatch.from_arrays([labels, pa.array(counts), pa.array(list(total), pa.list_(pa.float64()))], names=["label", "n", "total"])
+
+    sums = rows.select("label", "vector").mapInArrow(run, f"label {kind}, n long, total array<double>")
+    found = sums.groupBy(F.col("label").alias("l")).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("total")[i]) for i in range(width)]).alias("total"))
+    return found.select("l", "n", F.transform("total", lambda x: x / F.col("n")).alias("mean"))
+
+
+def _numbered(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Distinct values of a column and each row's place among them."""
+    coded = column.dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+
+
+def filtered(rows: DataFrame, codes: dict[int, Code], least_cosine: float) -> DataFrame:
+    """(label, filter, class, rough) of every filter that a class passes, by the code of its level. rows: label, class, vector, level, mean."""
     shared = rows.sparkSession.sparkContext.broadcast(codes)  # codewords: the root of a label's vectors, a code a level
     kind = rows.schema["label"].dataType.simpleString()
 
@@ -142,24 +198,27 @@ def filtered(rows: DataFrame, codes: dict[int, Code]) -> DataFrame:
                 part = batch.slice(at, 1024)
                 matrix, levels = unit(np.array(part.column(2).to_pylist())), part.column(3).to_numpy()
                 roughs = pa.array(rounded(matrix), pa.binary())
-                for level in np.unique(levels).tolist():
-                    some = np.flatnonzero(levels == level)
-                    which, filters = own[level].passed(matrix[some])
-                    take = pa.array(some[which])
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(filters), part.column(1).take(take), roughs.take(take)], names=["label", "filter", "class", "rough"])
+                for kind_of, (rows_of, ways) in enumerate(directions(matrix, np.array(part.column(4).to_pylist()), least_cosine)):
+                    for level in np.unique(levels[rows_of]).tolist():
+                        some = np.flatnonzero(levels[rows_of] == level)
+                        which, filters = own[level].passed(ways[some])
+                        take = pa.array(rows_of[some][which])
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(take), pa.array(filters * 2 + kind_of), part.column(1).take(take), roughs.take(take)], names=["label", "filter", "class", "rough"])
 
-    return rows.select("label", "class", "vector", "level").mapInArrow(run, f"label {kind}, filter long, class long, rough binary")
+    return rows.select("label", "class", "vector", "level", "mean").mapInArrow(run, f"label {kind}, filter long, class long, rough binary")
 
 
-def meetings(a: list[int], rough_a: list[bytes], b: list[int], rough_b: list[bytes], bound: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of two parts whose cosine may reach the bound, smaller class first."""
+def meetings(a: list[int], rough_a: list[bytes], b: list[int], rough_b: list[bytes], bound: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of two parts whose cosine may reach the bound, smaller class first, and whether it surely does."""
     (u, eu), (v, ev) = restored(rough_a), restored(rough_b)
     slack = (1 + eu)[:, None] * ev[None, :] + eu[:, None] * (1 + ev)[None, :] + eu[:, None] * ev[None, :] + 1e-5
-    i, j = np.nonzero(u @ v.T >= bound - slack)
+    products = u @ v.T
+    i, j = np.nonzero(products >= bound - slack)
     x, y = np.array(a, dtype=np.int64)[i], np.array(b, dtype=np.int64)[j]
+    sure = products[i, j] >= bound + slack[i, j]
     x, y = np.minimum(x, y), np.maximum(x, y)
-    pairs = np.unique(np.stack([x, y], axis=1)[x < y], axis=0)
-    return pairs[:, 0], pairs[:, 1]
+    pairs, first = np.unique(np.stack([x, y], axis=1)[x < y], axis=0, return_index=True)
+    return pairs[:, 0], pairs[:, 1], sure[x < y][first]
 
 
 def verified(rows: DataFrame, members: DataFrame, least_cosine: float) -> DataFrame:
@@ -180,14 +239,14 @@ def verified(rows: DataFrame, members: DataFrame, least_cosine: float) -> DataFr
     def meet(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                x, y = meetings(*(batch.column(c)[k].as_py() for c in range(4)), least_cosine)
+                x, y, sure = meetings(*(batch.column(c)[k].as_py() for c in range(4)), least_cosine)
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(sure)], names=["x", "y", "sure"])
 
-    pairs = blocks.mapInArrow(meet, "x long, y long").distinct()
+    pairs = materialise(blocks.mapInArrow(meet, "x long, y long, sure boolean").groupBy("x", "y").agg(F.max("sure").alias("sure")), "pairs")
     one = rows.select(F.col("class").alias("x"), F.col("vector").alias("u"))
     other = rows.select(F.col("class").alias("y"), F.col("vector").alias("v"))
-    joined = pairs.join(one, "x").join(other, "y")
+    joined = pairs.where(~F.col("sure")).select("x", "y").join(one, "x").join(other, "y")
 
     def run(batches):
         for batch in batches:
@@ -197,7 +256,8 @@ def verified(rows: DataFrame, members: DataFrame, least_cosine: float) -> DataFr
                 near = pa.array(cosines(u, v) >= least_cosine)
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(near), part.column(1).filter(near)], names=["a", "b"])
 
-    return joined.select("x", "y", "u", "v").mapInArrow(run, "a long, b long")
+    exact = joined.select("x", "y", "u", "v").mapInArrow(run, "a long, b long")
+    return pairs.where("sure").select(F.col("x").alias("a"), F.col("y").alias("b")).unionByName(exact)
 
 
 def cosines(u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -218,25 +278,25 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = 0.93, key: str = "
     # Classes are numbered, not named by a key, which repeated keys would share.
     found = classes(vectors, key, embedding, label).withColumns({"class": F.monotonically_increasing_id(), "width": F.size("vector")})
     found = materialise(found, "classes")
-    # A label's code depends on how many classes it has, by powers of four.
-    sizes = found.groupBy(F.col("label").alias("l"), F.col("width").alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    # A label's code depends on how many classes it has, by powers of four; a row a width.
     level = F.floor(F.log2(F.col("n").cast("double")) / 2).cast("int")
-    numbered = found.join(sizes.select("l", "w", level.alias("level")), (F.col("label") == F.col("l")) & (F.col("width") == F.col("w"))).drop("l", "w")
-    levels = sizes.groupBy("w", level.alias("level")).agg(F.count(F.lit(1))).collect()  # a row a width and power of four
     links = None
-    for width in sorted({r["w"] for r in levels}):
-        rows = numbered.where(F.col("width") == width)
-        members = materialise(filtered(rows, {r["level"]: Code.of(width, 4 ** r["level"] * 2) for r in levels if r["w"] == width}), "filters")
-        own = verified(rows, members, least_cosine)
+    for width in sorted(r["width"] for r in found.select("width").distinct().collect()):
+        own = found.where(F.col("width") == width)
+        labels = materialise(label_means(own, width).withColumn("level", level), "labels")
+        levels = [r["level"] for r in labels.select("level").distinct().collect()]  # a row a power of four
+        placed = own.join(labels.select("l", "level", "mean"), F.col("label") == F.col("l")).drop("l")
+        members = materialise(filtered(placed, {k: Code.of(width, 4**k * 2) for k in levels}, least_cosine), "filters")
+        own = verified(own, members, least_cosine)
         links = own if links is None else links.unionByName(own)
     if links is None:
         links = vectors.sparkSession.createDataFrame([], "a long, b long")
     links = materialise(links, "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = numbered.select(F.col("class").alias("b"), "size")
+    sizes = found.select(F.col("class").alias("b"), "size")
     linked = both.join(sizes, "b").groupBy("a").agg(F.sum("size").alias("others"))
     parts = components(links).select(F.col("node").alias("class"), "component")
-    named = numbered.join(linked, numbered["class"] == linked["a"], "left").join(parts, "class", "left")
+    named = found.join(linked, found["class"] == linked["a"], "left").join(parts, "class", "left")
     named = named.select("label", "vector", "least", "component", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("root"))
     roots = named.groupBy("root").agg(F.min("least").alias("component_id"))
     table = materialise(named.join(roots, "root").select(F.col("label").alias("l"), F.col("vector").alias("v"), "n_links", "component_id"), "named")
