@@ -23,16 +23,17 @@ def _ordered(conversations: DataFrame) -> DataFrame:
     """Add `tie` and the block of each row: rows of a conversation in order of (block, turn, tie).
 
     A block is BLOCK turn numbers; a block of more than CROWD rows (one turn number repeated over
-    and over) is split further by turn number and by the first bits of the tie.
+    and over) is split further by turn number and by the first digits of the tie.
     """
-    tie = F.xxhash64("role", "text")
+    # Of what is left of nulls; a digest that SQL has too, so that ties have one order anywhere.
+    tie = F.md5(F.concat("role", F.lit("\0"), "text").cast("binary"))
     number = F.coalesce(F.col("turn"), F.lit(-(1 << 62)))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumns({"tie": tie, "number": number, "wide": F.floor(number / BLOCK)})
     sizes = rows.groupBy("conv_id", "wide").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > CROWD)
     marked = rows.join(sizes.select(F.col("conv_id").alias("c"), F.col("wide").alias("w"), "size"), F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("wide") == F.col("w")), "left").drop("c", "w")
     fine = F.col("size").isNotNull()
-    top = F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 64 - SPLIT.bit_length() + 1)
+    top = F.floor(F.conv(F.substring("tie", 1, 2), 16, 10).cast("int") * SPLIT / 256)
     return marked.withColumns({"near": F.when(fine, F.col("number")), "part": F.when(fine, top)}).drop("size")
 
 
@@ -49,7 +50,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
     System turns belong to nobody: they are rendered as such for every participant, and a
     conversation of system turns alone has no participant and no rows. Null roles are the
     participant "unknown", null texts are empty turns, null turn numbers come first, ties are in
-    the order of a hash of role and text, repeated rows are turns of their own, and a null conv_id
+    the order of the md5 of role and text, repeated rows are turns of their own, and a null conv_id
     is a conversation. An empty table gives an empty one.
     """
     rows = _ordered(conversations)

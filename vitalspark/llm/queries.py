@@ -141,7 +141,7 @@ WITH t AS (SELECT conv_id::BIGINT AS conv_id, turn, coalesce(role, 'unknown') AS
  people AS (SELECT DISTINCT conv_id, role AS participant FROM t WHERE role <> 'system'),
  seen AS (SELECT t.conv_id, participant, turn, role AS speaker, text AS content, CASE WHEN role = 'system' THEN 'system' WHEN role = participant THEN 'assistant' ELSE 'user' END AS chat_role FROM t JOIN people ON t.conv_id IS NOT DISTINCT FROM people.conv_id),
  made AS (SELECT *, '<|im_start|>' || CASE WHEN chat_role = 'user' THEN 'user name=' || speaker ELSE chat_role END || chr(10) || content || '<|im_end|>' || chr(10) AS rendered FROM seen),
- placed AS (SELECT *, row_number() OVER w - 1 AS place, sum(length(rendered)) OVER w AS upto FROM made WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn, speaker, content ROWS UNBOUNDED PRECEDING))
+ placed AS (SELECT *, row_number() OVER w - 1 AS place, sum(length(rendered)) OVER w AS upto FROM made WINDOW w AS (PARTITION BY conv_id, participant ORDER BY turn NULLS FIRST, md5(speaker || chr(0) || content), speaker, content ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, participant, place::BIGINT AS "position", turn, speaker, chat_role, CASE WHEN chat_role = 'user' THEN speaker END AS name, content, rendered, (upto - length(rendered))::BIGINT AS "start", upto::BIGINT AS "end", (chat_role = 'assistant')::INT AS learn FROM placed""",
     "op10_spherical_caps": """
 WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
