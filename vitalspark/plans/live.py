@@ -41,7 +41,11 @@ def analyse(samples: DataFrame, keys: list[str], seconds: float = 8.0, fps: floa
     Signals are put on an even grid of `fps` before their spectra are taken; sessions of under
     eight samples have no channels and are rejected.
     """
-    rows = series(samples, keys, seconds)
+    return analysed(series(samples, keys, seconds), keys, seconds, fps)
+
+
+def analysed(rows: DataFrame, keys: list[str], seconds: float = 8.0, fps: float = 30.0) -> DataFrame:
+    """The same of windows that are put together already: keys, n, fps, and r, g, b as `series` has them; of a table or of a stream."""
     made = rows.withColumn("p", F.when(F.col("n") >= 8, K.pulse_signals(F.col("r"), F.col("g"), F.col("b"), len(REGIONS))))
     length = int(seconds * fps)
     made = made.select(*keys, "n", "fps", *[K.mapped(K.fourier_resample, length)(F.col(f"p.{c}")).alias(c) for c in CHANNELS])
