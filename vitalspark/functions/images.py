@@ -166,7 +166,10 @@ def summary(pixels: np.ndarray) -> dict[str, dict[str, float]]:
 def region_summary(pixels: np.ndarray, box: dict) -> dict:
     """The same of the pixels inside a box, with the shares of pixels that are bright or dark; without pixels all but the name is null."""
     edges = [box[k] for k in ("y_min", "y_max", "x_min", "x_max")]
-    part = pixels[0:0] if None in edges else pixels[max(0, edges[0]) : max(0, edges[1]), max(0, edges[2]) : max(0, edges[3])].reshape(-1, 3)
+    if any(e is None or e != e for e in edges):  # pandas has NaN for a null among numbers
+        return {"region": box["region"], "pixels": 0}
+    y0, y1, x0, x1 = (max(0, int(e)) for e in edges)
+    part = pixels[y0:y1, x0:x1].reshape(-1, 3)
     if not part.size:
         return {"region": box["region"], "pixels": 0}
     bright, dark = part >= BRIGHT, part <= DARK

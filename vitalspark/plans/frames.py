@@ -51,5 +51,5 @@ def roi_samples(frames: DataFrame, keys: list[str], url: str = "image_data_url",
         overall(F.transform("l", lambda x: x["status"])).alias("quality_summary"), F.col("l").alias("rois"),
     )
     seen = F.filter("l", lambda x: x["mean_rgb"].isNotNull())
-    colours = F.transform(seen, lambda x: F.struct(x["mean_rgb.r"].alias("r"), x["mean_rgb.g"].alias("g"), x["mean_rgb.b"].alias("b"), x["status"].alias("quality_status")))
+    colours = F.transform(seen, lambda x: F.struct(x["mean_rgb"]["r"].alias("r"), x["mean_rgb"]["g"].alias("g"), x["mean_rgb"]["b"].alias("b"), x["status"].alias("quality_status")))
     return made.select(*keys, F.when(F.col("status") == "received", "processed").otherwise(F.col("status")).alias("status"), "message", debug.alias("debug"), F.map_from_arrays(F.transform(seen, lambda x: x["name"]), colours).alias("rois"))
