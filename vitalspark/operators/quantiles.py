@@ -65,15 +65,28 @@ def quantiles(rows: DataFrame, keys: list[str], value: Column, wanted: dict[str,
     return _quantiles(rows, keys, [value], {name: (0, share) for name, share in wanted.items()})
 
 
-def _quantiles(rows: DataFrame, keys: list[str], values: list[Column], wanted: dict[str, tuple[int, float]]) -> DataFrame:
-    found = counted(rows, keys, values)
-    place = lambda name: F.lit(wanted[name][1]) * (F.col("n") - 1)
-    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), end(place(name)).cast("long").alias("rank"), F.lit(k).alias("upper")) for name, (m, _) in wanted.items() for k, end in enumerate((F.floor, F.ceil))])
+def _met(found: DataFrame, ranks: Column) -> DataFrame:
+    """g, n, v and r: the value at each wanted rank. ranks: an array of structs with m (a measure's number) and rank, made from n."""
     here = lambda r: (r["m"] == F.col("g.__m")) & (r["rank"] >= F.col("before")) & (r["rank"] < F.col("before") + F.col("size"))
     asked = cells_of(found).withColumn("ranks", F.filter(ranks, here)).where(F.size("ranks") > 0).select("g", "cell", "before", "n", "ranks")
     held = found.join(asked, ["g", "cell"])
     upto = F.col("before") + F.sum("times").over(Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    met = held.withColumn("upto", upto).select("g", "n", "v", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("times")))).alias("r"))
+    return held.withColumn("upto", upto).select("g", "n", "v", F.explode(F.filter("ranks", lambda r: (r["rank"] < F.col("upto")) & (r["rank"] >= F.col("upto") - F.col("times")))).alias("r"))
+
+
+def at_shares(rows: DataFrame, value: Column, shares: dict[int, float]) -> DataFrame:
+    """draw, v: the value whose place in the order of all rows is floor(share * n), for each numbered share from 0 to under 1.
+
+    A row by its place without numbering the rows: only the ranges of values that hold a wanted place are looked at.
+    """
+    ranks = F.array(*[F.struct(F.lit(k).alias("draw"), F.lit(0).alias("m"), F.floor(F.lit(u) * F.col("n")).alias("rank")) for k, u in shares.items()])
+    return _met(counted(rows, [], [value]), ranks).select(F.col("r.draw").alias("draw"), "v")
+
+
+def _quantiles(rows: DataFrame, keys: list[str], values: list[Column], wanted: dict[str, tuple[int, float]]) -> DataFrame:
+    place = lambda name: F.lit(wanted[name][1]) * (F.col("n") - 1)
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(m).alias("m"), end(place(name)).cast("long").alias("rank"), F.lit(k).alias("upper")) for name, (m, _) in wanted.items() for k, end in enumerate((F.floor, F.ceil))])
+    met = _met(counted(rows, keys, values), ranks)
     pick = lambda name, upper: F.max(F.when((F.col("r.name") == name) & (F.col("r.upper") == upper), F.col("v")))
     number = lambda m: F.max(F.when(F.col("g.__m") == m, F.col("n")))
     group = F.struct(*[F.col(f"g.{k}") for k in keys]) if keys else F.lit(0)

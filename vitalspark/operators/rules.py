@@ -110,6 +110,32 @@ def range_violations(df: DataFrame, keys: list[str], ranges: dict[str, tuple[flo
     return df.select(*keys, rows.alias("r")).select(*keys, "r.*").where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")))
 
 
+def biomarker_map(values: dict[str, Column], tiers: dict[str, int]) -> Column:
+    """A map from name to value and tier; a biomarker without a tier has none."""
+    return F.create_map(*[x for n, v in values.items() for x in (F.lit(n), F.struct(v.cast("double").alias("value"), F.lit(tiers.get(n)).cast("int").alias("tier")))])
+
+
+def flagged(biomarkers: Column, ranges: dict[str, tuple[float, float]]) -> Column:
+    """The map with `valid` beside value and tier: inside the range of its name, both ends included.
+
+    A null or non-finite value isn't valid, nor is a name without a range; a null entry stays null, and so does a null map.
+    """
+    bounds = F.create_map(*[x for n, (a, b) in ranges.items() for x in (F.lit(n), F.struct(F.lit(float(a)).alias("low"), F.lit(float(b)).alias("high")))])
+    inside = lambda n, v: F.coalesce((v["value"] >= bounds[n]["low"]) & (v["value"] <= bounds[n]["high"]) & ~F.isnan(v["value"]), F.lit(False))
+    return F.transform_values(biomarkers, lambda n, v: F.when(v.isNotNull(), F.struct(v["value"].alias("value"), v["tier"].alias("tier"), inside(n, v).alias("valid"))))
+
+
+def flags_long(df: DataFrame, keys: list[str], biomarkers: str) -> DataFrame:
+    """A row a key and biomarker of flagged maps: biomarker, value, tier, valid; empty and null maps give none."""
+    return df.select(*keys, F.explode(biomarkers).alias("biomarker", "b")).select(*keys, "biomarker", "b.value", "b.tier", "b.valid")
+
+
+def flags_wide(df: DataFrame, keys: list[str], biomarkers: str, names: list[str]) -> DataFrame:
+    """A row a key: the value of each name and its flag <name>_valid, false where the map lacks it."""
+    held = lambda n: F.try_element_at(F.col(biomarkers), F.lit(n))
+    return df.select(*keys, *[c for n in names for c in (held(n)["value"].alias(n), F.coalesce(held(n)["valid"], F.lit(False)).alias(f"{n}_valid"))])
+
+
 def training_gate(missing: Column, label: Column, channels: dict[str, Column], most_missing: float = 0.10, low: float = 40.0, high: float = 180.0) -> Column:
     """Why a training window is left out, first failure first, or ok: labels missing or implausible, a channel with gaps or flat."""
     checks = {"missing_labels": F.coalesce(missing > most_missing, F.lit(True)), "label_out_of_range": ~F.coalesce(label.between(low, high), F.lit(False))}

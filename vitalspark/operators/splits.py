@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import at_shares
+
 #: Subjects that a seeded shuffle on the driver takes; beyond it only the hash split scales.
 DRIVER_SUBJECTS = 100_000
 
@@ -109,3 +112,20 @@ def counted_roles(subjects: DataFrame, subject: str, counts: dict[str, int], see
         upto += n
         role = F.when(F.col("__k") <= upto, name) if role is None else role.when(F.col("__k") <= upto, name)
     return placed.select(subject, role.alias("role"))
+
+
+def drawn_shares(draws: int, seed: int) -> dict[int, float]:
+    """Shares from 0 to under 1 by the md5 of seed and number: the same anywhere."""
+    return {i: int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:8], 16) / float(1 << 32) for i in range(draws)}
+
+
+def random_spread(rows: DataFrame, order: str, value: str, draws: int, seed: int = 0) -> DataFrame:
+    """One row: how many of `draws` rows, drawn at random with replacement, have a finite value, and its least, median and most.
+
+    A draw is a place in the order of a unique number; the row is found by its place, and one that is drawn again
+    counts again. Rows without that number are never drawn. Without rows nothing is known.
+    """
+    found = at_shares(rows, F.col(order), drawn_shares(draws, seed)).groupBy("v").agg(F.count(F.lit(1)).alias("__times"))
+    met = rows.select(F.col(order).cast("double").alias("v"), F.col(value).cast("double").alias("x")).join(found, "v").where(~F.isnan("x") & (F.abs("x") < float("inf")))
+    summary = met.agg(F.coalesce(F.sum("__times"), F.lit(0)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    return summary.crossJoin(F.broadcast(met.agg(F.percentile("x", F.lit(0.5), F.col("__times")).alias("median"))))  # of `draws` numbers at most

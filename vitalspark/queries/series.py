@@ -229,3 +229,22 @@ def biomarker_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     rows = table(spark, sf_dir, "part").select(k.cast("bigint").alias("id"), (k % 100 + 60).cast("double").alias("systolic"), (k % 12 + 90).cast("double").alias("saturation"), (k % 15 + 5).cast("double").alias("hemoglobin"))
     return rules.range_violations(rows, ["id"], RANGES)
+
+
+TIERS = {"systolic": 1, "saturation": 2, "mood": 3}
+
+
+@registry.add("WITH b AS (SELECT p_partkey::bigint AS id, CASE WHEN p_partkey % 7 <> 0 THEN (p_partkey % 100 + 60)::double END AS systolic, (p_partkey % 12 + 90)::double AS saturation, (p_partkey % 15 + 5)::double AS hemoglobin, (p_partkey % 9)::double AS mood FROM part) " + " UNION ALL ".join(f"SELECT id, '{n}' AS biomarker, {n} AS value, {TIERS.get(n, 'NULL')}::int AS tier, {f'coalesce({n} BETWEEN {RANGES[n][0]} AND {RANGES[n][1]}, false)' if n in RANGES else 'false'} AS valid FROM b" for n in ("systolic", "saturation", "hemoglobin", "mood")))
+def biomarker_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flags inside the biomarkers' map, one row each; one of them has no range, one no tier."""
+    k = F.col("p_partkey")
+    values = {"systolic": F.when(k % 7 != 0, k % 100 + 60), "saturation": k % 12 + 90, "hemoglobin": k % 15 + 5, "mood": k % 9}
+    made = table(spark, sf_dir, "part").select(k.cast("bigint").alias("id"), rules.flagged(rules.biomarker_map(values, TIERS), RANGES).alias("biomarkers"))
+    return rules.flags_long(made, ["id"], "biomarkers")
+
+
+@registry.add(f"""WITH {MANIFEST}, k AS (SELECT hr, row_number() OVER (ORDER BY recording) - 1 AS place, count(*) OVER () AS n FROM p), d AS (SELECT floor(('0x' || substr(md5('0:' || i), 1, 8))::bigint::double / 4294967296 * (SELECT count(*) FROM p)) AS place FROM range(200) t(i))
+ SELECT count(hr) AS n, min(hr)::double AS low, max(hr)::double AS high, median(hr)::double AS median FROM d JOIN k USING (place)""")
+def random_index_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of the targets of 200 recordings drawn by random places."""
+    return splits.random_spread(manifest(spark, sf_dir), "recording", "hr", 200)
