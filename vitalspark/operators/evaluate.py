@@ -215,10 +215,11 @@ def validation_score(errors: DataFrame, reference_p90: float, reference_rate: fl
 def shuffled_rank(rows: DataFrame, seed: int, name: str = "k") -> DataFrame:
     """A random place, 1 to n, of every row within its replica: rows with replica and id get `name`.
 
-    Rows are dealt to buckets by a seeded hash; a place is the sizes of the buckets before plus the
+    The order is that of the md5 of id, replica and seed. Rows are dealt to buckets by its first digits; a place is the sizes of the buckets before plus the
     row number within the bucket, so that no replica has to be sorted in one task.
     """
-    spread = rows.withColumn("__h", F.xxhash64("id", "replica", F.lit(seed))).withColumn("__b", F.pmod("__h", F.lit(RANK_BUCKETS)))
+    text = F.concat_ws(":", F.col("id").cast("string"), F.col("replica").cast("string"), F.lit(str(seed)))
+    spread = rows.withColumn("__h", F.md5(text)).withColumn("__b", F.floor(F.conv(F.substring("__h", 1, 4), 16, 10).cast("int") * RANK_BUCKETS / 65536))
     sizes = spread.groupBy("replica", "__b").agg(F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.partitionBy("replica").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("replica", "__b", F.coalesce(before, F.lit(0)).alias("__before"))

@@ -74,7 +74,7 @@ def welch_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registry.add(f"""WITH c AS (SELECT vec_id, i::int AS i, 120 + 10 * embedding[i + 1]::double AS r, 110 + 10 * embedding[(i + 21) % 64 + 1]::double AS g, 100 + 10 * embedding[(i + 42) % 64 + 1]::double AS b FROM embeddings, range(64) t(i)),
- p AS (SELECT vec_id, s::int AS s, i, r / avg(r) OVER w AS r, g / avg(g) OVER w AS g, b / avg(b) OVER w AS b FROM c, range(52) u(s) WHERE i >= s AND i < s + 12 WINDOW w AS (PARTITION BY vec_id, s)),
+ p AS (SELECT vec_id, s, i, r / avg(r) OVER w AS r, g / avg(g) OVER w AS g, b / avg(b) OVER w AS b FROM (SELECT *, unnest(range(greatest(0, i - 11), least(51, i) + 1)) AS s FROM c) WINDOW w AS (PARTITION BY vec_id, s)),
  a AS (SELECT vec_id, s, i, g - b AS a, g + b - 2 * r AS c FROM p), h AS (SELECT vec_id, s, i, a + stddev_pop(a) OVER w / (stddev_pop(c) OVER w + 1e-12::double) * c AS h FROM a WINDOW w AS (PARTITION BY vec_id, s)),
  k AS (SELECT vec_id, i, h - avg(h) OVER w AS plain, (h - avg(h) OVER w) / (stddev_pop(h) OVER w + 1e-12::double) AS scaled FROM h WINDOW w AS (PARTITION BY vec_id, s))
  SELECT c.vec_id, c.i, {R('coalesce(plain, 0)')} AS plain, {R('coalesce(scaled, 0)')} AS scaled FROM c LEFT JOIN (SELECT vec_id, i, sum(plain) AS plain, sum(scaled) AS scaled FROM k GROUP BY vec_id, i) o ON o.vec_id = c.vec_id AND o.i = c.i""")

@@ -137,9 +137,12 @@ def training_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({"pearson_loss": F.round("pearson_loss", 5) + 0.0, "frequency_loss": F.round("frequency_loss", 6) + 0.0})
 
 
-@registry.add()
+@registry.add(f"""WITH {PRED}, m AS MATERIALIZED (SELECT subject * 10 + mode AS id, avg(target) AS target, avg(pred) AS pred FROM pred GROUP BY subject, mode),
+ a AS (SELECT r, target, row_number() OVER (PARTITION BY r ORDER BY md5(id || ':' || r || ':1'), id) AS k FROM m, range(100) t(r)), b AS (SELECT r, pred, row_number() OVER (PARTITION BY r ORDER BY md5(id || ':' || r || ':2'), id) AS k FROM m, range(100) t(r)),
+ n AS (SELECT r, corr(pred, target) AS null_r FROM a JOIN b USING (r, k) GROUP BY r), o AS (SELECT corr(pred, target) AS own FROM m)
+ SELECT {R('any_value(own)')} AS r, {R('avg(null_r)')} AS null_mean, {R('stddev_pop(null_r)')} AS null_sd, {R('(count(*) FILTER (abs(null_r) >= abs(own)) + 1) / (count(*) + 1)')} AS p_value FROM n, o""")
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions by subject and mode against shuffled ones; the orders come from hashes, so no SQL."""
+    """Predictions by subject and mode against shuffled ones, in the orders of hashes."""
     means = predictions(spark, sf_dir).groupBy("subject", "mode").agg(F.avg("target").alias("target"), F.avg("pred").alias("pred"))
     return rounded(evaluate.permutation_test(means.withColumn("id", F.col("subject") * 10 + F.col("mode")), 100))
 

@@ -203,10 +203,10 @@ def parsed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(key.cast("bigint").alias("c_custkey"), *[c.alias(k) for k, c in parts.items()], S.total(numbers).alias("total"), F.size(numbers).alias("numbers"))
 
 
-@registry.add(f"""WITH {SAMPLES}, l AS (SELECT *, max(t) OVER (PARTITION BY rec) AS m FROM e WHERE event_id % 6 <> 0) SELECT rec, count(*) AS n, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN {R('(count(*) - 1) / (max(t) - min(t))', 9)} END AS rate FROM l WHERE t >= m - 43200 GROUP BY rec""")
+@registry.add(f"""WITH {SAMPLES}, l AS (SELECT *, max(t) OVER (PARTITION BY rec) AS m FROM e) SELECT rec, count(*) AS n, CASE WHEN count(*) >= 2 AND max(t) > min(t) THEN {R('(count(*) - 1) / (max(t) - min(t))', 9)} END AS rate FROM l WHERE t >= m - 43200 GROUP BY rec""")
 def trailing_effective_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Effective rate of the complete samples of each recording's last half day."""
-    kept = windows.trailing(samples(spark, sf_dir).where("event_id % 6 <> 0"), ["rec"], "t", 43200.0)
+    """Effective rate of each recording's last half day."""
+    kept = windows.trailing(samples(spark, sf_dir), ["rec"], "t", 43200.0)
     return rounded(windows.effective_rate(kept, ["rec"], "t"), 9)
 
 
