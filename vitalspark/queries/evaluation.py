@@ -171,27 +171,29 @@ def best_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(best)
 
 
-# Comparisons. The candidate is mode 2, the baseline mode 1.
-def _modes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = predictions(spark, sf_dir)
-    return rows.where("mode = 2"), rows.where("mode = 1")
+# Comparisons. The baseline is the first mode, every other one a candidate.
+def against_first(made: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A summary by mode and other keys parted into the candidates' rows and, once for each candidate mode, those of the first mode."""
+    candidate, first = made.where("mode <> 1"), made.where("mode = 1").drop("mode")
+    modes = candidate.agg(F.collect_set("mode").alias("modes"))  # one row of as many numbers as there are modes
+    return candidate, first.crossJoin(F.broadcast(modes)).withColumn("mode", F.explode("modes")).drop("modes")
 
 
 @registry.add(f"""WITH {PRED}, s AS (SELECT mode, dataset, role, avg(abs_error) AS mae, quantile_cont(abs_error, 0.9) AS mae_p90 FROM pred GROUP BY ALL)
- SELECT dataset, role, {R('c.mae')} AS mae_candidate, {R('c.mae_p90')} AS mae_p90_candidate, {R('b.mae')} AS mae_baseline, {R('b.mae_p90')} AS mae_p90_baseline, {R('c.mae - b.mae')} AS mae_delta, {R('c.mae_p90 - b.mae_p90')} AS mae_p90_delta
- FROM s c JOIN s b USING (dataset, role) WHERE c.mode = 2 AND b.mode = 1""")
+ SELECT c.mode AS mode, dataset, role, {R('c.mae')} AS mae_candidate, {R('c.mae_p90')} AS mae_p90_candidate, {R('b.mae')} AS mae_baseline, {R('b.mae_p90')} AS mae_p90_baseline, {R('c.mae - b.mae')} AS mae_delta, {R('c.mae_p90 - b.mae_p90')} AS mae_p90_delta
+ FROM s c JOIN s b USING (dataset, role) WHERE c.mode <> 1 AND b.mode = 1""")
 def summary_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidate, baseline = (evaluate.error_summary(x, ["dataset", "role"]) for x in _modes(spark, sf_dir))
-    return rounded(compare.deltas(candidate, baseline, ["dataset", "role"], ["mae", "mae_p90"]))
+    candidate, baseline = against_first(evaluate.error_summary(predictions(spark, sf_dir), ["mode", "dataset", "role"]))
+    return rounded(compare.deltas(candidate, baseline, ["mode", "dataset", "role"], ["mae", "mae_p90"]))
 
 
-@registry.add(f"""WITH {PRED}, a AS (SELECT dataset, role, subject, floor(target / 5)::int AS part, avg(abs_error) AS v FROM pred WHERE mode = 2 GROUP BY ALL), b AS (SELECT dataset, role, subject, floor(target / 5)::int AS part, avg(abs_error) AS v FROM pred WHERE mode = 1 GROUP BY ALL)
- SELECT dataset, role, subject, part, {R('a.v')} AS left_value, {R('b.v')} AS right_value, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side, {R('a.v - b.v')} AS difference FROM a FULL JOIN b USING (dataset, role, subject, part)""")
+@registry.add(f"""WITH {PRED}, s AS (SELECT mode, dataset, role, subject, floor(target / 5)::int AS part, avg(abs_error) AS v FROM pred GROUP BY ALL), a AS (SELECT * FROM s WHERE mode <> 1), b AS (SELECT m.mode, dataset, role, subject, part, v FROM s, (SELECT DISTINCT mode FROM a) m WHERE s.mode = 1)
+ SELECT mode, dataset, role, subject, part, {R('a.v')} AS left_value, {R('b.v')} AS right_value, CASE WHEN a.v IS NOT NULL AND b.v IS NOT NULL THEN 'both' WHEN a.v IS NOT NULL THEN 'left_only' ELSE 'right_only' END AS side, {R('a.v - b.v')} AS difference FROM a FULL JOIN b USING (mode, dataset, role, subject, part)""")
 def outer_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two modes compared by subject and five-bpm band: many bands have predictions of one mode alone."""
-    keys = ["dataset", "role", "subject", "part"]
-    candidate, baseline = (x.withColumn("part", F.floor(F.col("target") / 5).cast("int")).groupBy(*keys).agg(F.avg("abs_error").alias("v")) for x in _modes(spark, sf_dir))
-    return rounded(compare.outer_compare(candidate, baseline, keys, "v"))
+    """Every mode against the first by subject and five-bpm band: many bands have predictions of one mode alone."""
+    keys = ["mode", "dataset", "role", "subject", "part"]
+    made = predictions(spark, sf_dir).withColumn("part", F.floor(F.col("target") / 5).cast("int")).groupBy(*keys).agg(F.avg("abs_error").alias("v"))
+    return rounded(compare.outer_compare(*against_first(made), keys, "v"))
 
 
 @registry.add(f"""WITH {PRED}, e AS (SELECT * FROM (VALUES ('A', 'F', 14000), ('N', 'F', 10), ('X', 'F', 3)) t(dataset, role, expected)), a AS (SELECT dataset, role, count(*) AS n FROM pred GROUP BY ALL)
@@ -210,22 +212,22 @@ def windows_common_to_all_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 BLENDS = [0.0, 0.1, 0.25, 0.5, 1.0]
-PAIRS = "p AS (SELECT dataset, role, subject, avg(target) FILTER (mode = 1) AS target, avg(pred) FILTER (mode = 1) AS f, avg(pred) FILTER (mode = 2) AS c FROM pred WHERE mode <= 2 GROUP BY ALL HAVING count(*) FILTER (mode = 1) > 0 AND count(*) FILTER (mode = 2) > 0)"
+PAIRS = "means AS (SELECT mode, dataset, role, subject, avg(target) AS t, avg(pred) AS p FROM pred GROUP BY ALL), p AS (SELECT c.mode, dataset, role, subject, b.t AS target, b.p AS f, c.p AS c FROM means c JOIN means b USING (dataset, role, subject) WHERE c.mode <> 1 AND b.mode = 1)"
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    keys = ["dataset", "role", "subject"]
-    candidate, frozen = (x.groupBy(*keys).agg(F.avg("target").alias("target"), F.avg("pred").alias("pred")) for x in _modes(spark, sf_dir))
+    keys = ["mode", "dataset", "role", "subject"]
+    candidate, frozen = against_first(predictions(spark, sf_dir).groupBy(*keys).agg(F.avg("target").alias("target"), F.avg("pred").alias("pred")))
     return frozen, candidate, keys
 
 
-@registry.add(f"""WITH {PRED}, {PAIRS}, b AS (SELECT role, target, alpha, (1 - alpha) * f + alpha * c AS pred FROM p, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 1.0]::double[]) AS alpha))
- SELECT role, alpha, count(*) AS rows, {R('avg(abs(pred - target))')} AS mae, {R('avg(pred - target)')} AS bias, {R('quantile_cont(abs(pred - target), 0.9)')} AS p90 FROM b GROUP BY role, alpha""")
+@registry.add(f"""WITH {PRED}, {PAIRS}, b AS (SELECT mode, role, target, alpha, (1 - alpha) * f + alpha * c AS pred FROM p, (SELECT unnest([0.0, 0.1, 0.25, 0.5, 1.0]::double[]) AS alpha))
+ SELECT mode, role, alpha, count(*) AS rows, {R('avg(abs(pred - target))')} AS mae, {R('avg(pred - target)')} AS bias, {R('quantile_cont(abs(pred - target), 0.9)')} AS p90 FROM b GROUP BY mode, role, alpha""")
 def blend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen, candidate, keys = _pairs(spark, sf_dir)
     blended = evaluate.with_errors(compare.blend(frozen, candidate, keys, BLENDS))
-    found = blended.groupBy("role", "alpha").agg(F.count(F.lit(1)).alias("rows"), F.avg("abs_error").alias("mae"), F.avg("signed_error").alias("bias"))
-    return rounded(with_quantiles(found, blended, ["role", "alpha"], {"p90": (F.col("abs_error"), 0.9)}))
+    found = blended.groupBy("mode", "role", "alpha").agg(F.count(F.lit(1)).alias("rows"), F.avg("abs_error").alias("mae"), F.avg("signed_error").alias("bias"))
+    return rounded(with_quantiles(found, blended, ["mode", "role", "alpha"], {"p90": (F.col("abs_error"), 0.9)}))
 
 
 @registry.add(f"""WITH {PRED}, s AS (SELECT mode, avg(abs_error) FILTER (role = 'F') AS v, avg(abs_error) FILTER (role = 'O') AS t, avg(abs_error) FILTER (dataset = 'R') AS o, avg(abs_error) FILTER (high_hr) AS h, avg(severe_under::int::double) FILTER (high_hr) AS s, quantile_cont(abs_error, 0.9) FILTER (role = 'O') AS p, abs(avg(signed_error) FILTER (role = 'O')) AS b FROM pred GROUP BY mode),
@@ -248,9 +250,9 @@ def candidate_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(status)
 
 
-@registry.add(f"""WITH {PRED}, {PAIRS}, d AS (SELECT dataset, role, subject, {R('abs(c - target) - abs(f - target)')} AS delta FROM p),
- w AS (SELECT *, row_number() OVER (ORDER BY delta, dataset, role, subject) AS up, row_number() OVER (ORDER BY delta DESC, dataset, role, subject) AS down FROM d)
- SELECT dataset, role, subject, delta, 'improved' AS side FROM w WHERE up <= 20 UNION ALL SELECT dataset, role, subject, delta, 'harmed' FROM w WHERE down <= 20""")
+@registry.add(f"""WITH {PRED}, {PAIRS}, d AS (SELECT mode, dataset, role, subject, {R('abs(c - target) - abs(f - target)')} AS delta FROM p),
+ w AS (SELECT *, row_number() OVER (ORDER BY delta, mode, dataset, role, subject) AS up, row_number() OVER (ORDER BY delta DESC, mode, dataset, role, subject) AS down FROM d)
+ SELECT mode, dataset, role, subject, delta, 'improved' AS side FROM w WHERE up <= 20 UNION ALL SELECT mode, dataset, role, subject, delta, 'harmed' FROM w WHERE down <= 20""")
 def top_error_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     frozen, candidate, keys = _pairs(spark, sf_dir)
     both = frozen.join(candidate.select(*keys, F.col("pred").alias("other")), keys)

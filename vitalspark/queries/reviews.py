@@ -9,7 +9,7 @@ from ..functions import labels
 from ..functions import signals as S
 from ..operators import compare, evaluate, rules, splits, windows
 from . import Registry, rounded, table
-from .evaluation import PRED, predictions
+from .evaluation import PRED, against_first, predictions
 from .series import MANIFEST, SAMPLES, R, manifest, samples
 
 registry = Registry()
@@ -71,13 +71,11 @@ def looked_up_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(compare.looked_up(summary, F.col("mode") == 3, "mae", "mae_of_mode_three"))
 
 
-@registry.add(f"""WITH {PRED}, k AS (SELECT dataset, role, subject, avg(abs_error) FILTER (mode = 1) AS a, avg(abs_error) FILTER (mode = 2) AS b FROM pred WHERE mode <= 2 GROUP BY ALL HAVING count(*) FILTER (mode = 1) > 0 AND count(*) FILTER (mode = 2) > 0)
- SELECT dataset, role, subject, {R('b')} AS mae, {R('a')} AS baseline_mae FROM k""")
+@registry.add(f"""WITH {PRED}, s AS (SELECT mode, dataset, role, subject, avg(abs_error) AS v FROM pred GROUP BY ALL) SELECT c.mode AS mode, dataset, role, subject, {R('c.v')} AS mae, {R('b.v')} AS baseline_mae FROM s c JOIN s b USING (dataset, role, subject) WHERE c.mode <> 1 AND b.mode = 1""")
 def one_to_one_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate and baseline joined key by key, once every key is known to be there once on both sides."""
-    keys = ["dataset", "role", "subject"]
-    by_mode = lambda m: predictions(spark, sf_dir).where(F.col("mode") == m).groupBy(*keys).agg(F.avg("abs_error").alias("mae"))
-    candidate, baseline = by_mode(2), by_mode(1)
+    """Every mode and the first joined key by key, once every key is known to be there once on both sides."""
+    keys = ["mode", "dataset", "role", "subject"]
+    candidate, baseline = against_first(predictions(spark, sf_dir).groupBy(*keys).agg(F.avg("abs_error").alias("mae")))
     return rounded(compare.one_to_one(candidate.join(baseline.select(*keys), keys, "left_semi"), baseline, keys, "mae", "baseline_mae"))
 
 
