@@ -80,3 +80,13 @@ def test_tensors_of_buffers(spark, tables, tmp_path):
 def test_an_empty_manifest(spark, tables, tmp_path):
     manifest, recordings, _, _ = tables
     assert tensors.build(manifest.where("false"), recordings, ["finetune_train"], str(tmp_path / "f"), FRAMES).count() == 0
+
+
+def test_tables_by_role(spark, tmp_path):
+    from vitalspark.sources import sinks
+
+    rows = spark.createDataFrame([("a", 1), ("b", 2), (None, 3)], "window_role string, x int")
+    for _ in range(2):
+        sinks.write_by_role(rows, str(tmp_path / "r"))
+    found = {(r["window_role"], r["x"]) for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert found == {("a", 1), ("b", 2), (None, 3)}

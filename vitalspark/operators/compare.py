@@ -70,6 +70,7 @@ def misaligned(left: DataFrame, right: DataFrame, keys: list[str], value: str) -
     return left.join(right.select(*keys, F.col(value).alias("other")), keys, "left").where(F.col("other").isNull() | (F.col("other") != F.col(value)))
 
 
+# The words and thresholds of the statuses, profiles and labels below.
 def research_status(val: Column, test: Column, ood: Column, high: Column, severe: Column) -> Column:
     """Status of a candidate from its deltas; fixed thresholds in bpm and shares."""
     good = (val <= -0.20) & (test <= -0.10) & (ood <= 0.50) & (high <= 0.25) & (severe <= 0.02)
@@ -149,6 +150,7 @@ def scoreboard(baseline: str, rows: DataFrame) -> DataFrame:
     return every.withColumn("place", F.row_number().over(Window.orderBy(F.desc("adoptable"), F.desc("mean_gain"), "experiment")))  # a row an experiment
 
 
+# The words and thresholds of profiles and labels.
 def transfer_profile(val: Column, test: Column, ood: Column, high: Column) -> Column:
     """Profile of a transferred model from its deltas; fixed thresholds in bpm."""
     useful = (val < 0) & (test < 0)

@@ -36,7 +36,7 @@ def three_row_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def column_values(spark: SparkSession, path: str, column: int = -1) -> DataFrame:
-    """path, line and value of a delimited file without header: its last column, or the one asked for."""
+    """path, line and value of a delimited file without header: its last column, or the one asked for. line rises within a file but has gaps."""
     rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("line"), F.split("value", ",").alias("c"))
     place = F.size("c") if column < 0 else F.lit(column + 1)
     return rows.select("path", "line", F.try_element_at("c", place).try_cast("double").alias("value"))

@@ -16,11 +16,15 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 
 def write_by_role(df: DataFrame, path: str, role: str = "window_role") -> None:
+    """Parquet parted by role, in place of what was there; a null role has a part of its own."""
     df.write.mode("overwrite").partitionBy(role).parquet(path)
 
 
 def append_new(df: DataFrame, path: str, keys: list[str], partition: str | None = None) -> int:
-    """Append the rows whose keys the target lacks, each key once; returns how many there were. Running it again adds nothing."""
+    """Append the rows whose keys the target lacks, each key once; returns how many there were. Running it again adds nothing.
+
+    For one writer at a time: two at once may both add a key.
+    """
     new = df.dropDuplicates(keys)
     try:
         known = df.sparkSession.read.parquet(path).select(*keys)
