@@ -86,3 +86,23 @@ def test_one_recording_of_a_million_rows(spark):
     found = tacho.agg(F.count("k").alias("n"), F.count_distinct("k").alias("d"), F.min("rr").alias("low"), F.max("rr").alias("high")).first()
     seconds = 100_000 * 0.8 + 100_000 * 0.9
     assert found["n"] == found["d"] == pytest.approx(seconds * 4, abs=8) and 800 <= found["low"] and found["high"] <= 900
+
+
+@pytest.fixture
+def dealt(spark):
+    """Rows that come dealt by recording: what follows would be joined, summed up and sorted in the same tasks, all in memory at once."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    rows = spark.range(1000).select((F.col("id") % 7).alias("rec"), F.col("id").cast("double").alias("t"), F.col("id").alias("x"))
+    yield rows.join(rows.groupBy("rec").agg(F.min("t").alias("first")), "rec")
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def dealt_by(df, keys):
+    """How often a plan deals rows anew by keys."""
+    plan = re.sub(r"#\d+L?", "", df._jdf.queryExecution().executedPlan().toString())
+    return len(re.findall(rf"Exchange hashpartitioning\({keys}, \d+\), REPARTITION_BY_COL", plan))
+
+
+def test_a_scan_is_not_made_where_a_recording_is_dealt(dealt):
+    found = scans.scan(dealt, ["rec"], ["t"], 10.0, {"past": scans.last(F.col("x")), "coming": scans.following(F.col("x"))})
+    assert dealt_by(found, "rec, __b") >= 3  # the rows, and the summaries before and after

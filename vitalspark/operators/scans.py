@@ -64,7 +64,8 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], width: float, found
     ordered = [F.struct(*[F.col(c) for c in order], F.col(marks[n]).alias("__v")) for n in found]
     known = [F.when(F.col(marks[n]).isNotNull(), s) for n, s in zip(found, ordered, strict=True)]
     sums = [_summary(c.kind, F.col(marks[n]), s).alias(marks[n]) for (n, c), s in zip(found.items(), known, strict=True)]
-    buckets = given.groupBy(*keys, "__b").agg(*sums)
+    # Dealt anew by bucket, here and below: else rows that come dealt by recording are joined, summed up and sorted both ways in the same tasks, all of it in their memory at once.
+    buckets = given.repartition(*keys, "__b").groupBy(*keys, "__b").agg(*sums)
     kinds = {marks[n]: c.kind for n, c in found.items()}
     ahead = {m: k for m, k in kinds.items() if k != "next"}
     behind = {m: k for m, k in kinds.items() if k == "next"}
@@ -78,7 +79,7 @@ def scan(rows: DataFrame, keys: list[str], order: list[str], width: float, found
     down = Window.partitionBy(*keys, "__b").orderBy(F.desc("__side"), *[F.desc(c) for c in order])
     made = [_over(k, F.col(m), down if k == "next" else up, -1 if k == "previous" else 0).alias(n) for n, (m, k) in zip(found, kinds.items(), strict=True)]
     kept = [c for c in rows.columns if c not in found]
-    return every.select(*kept, "__side", *made).where("__side = 1").drop("__side")
+    return every.repartition(*keys, "__b").select(*kept, "__side", *made).where("__side = 1").drop("__side")
 
 
 def _summary(kind: str, value: Column, known: Column) -> Column:
