@@ -106,3 +106,12 @@ def dealt_by(df, keys):
 def test_a_scan_is_not_made_where_a_recording_is_dealt(dealt):
     found = scans.scan(dealt, ["rec"], ["t"], 10.0, {"past": scans.last(F.col("x")), "coming": scans.following(F.col("x"))})
     assert dealt_by(found, "rec, __b") >= 3  # the rows, and the summaries before and after
+
+
+def test_a_crop_finds_spans_elsewhere_than_it_joins_them(dealt):
+    found = windows.crop(dealt.where("x % 2 = 0"), dealt.where("x % 2 = 1"), ["rec"], "t", 5.0)
+    assert dealt_by(found, "rec, t") >= 2
+    rows = dealt.toPandas()
+    clock = rows[rows.x % 2 == 1].groupby("rec").t
+    want = [x for r, t, x in rows[rows.x % 2 == 0][["rec", "t", "x"]].itertuples(index=False) if clock.min()[r] <= t <= clock.max()[r]]
+    assert sorted(r["x"] for r in found.collect()) == sorted(want)

@@ -84,9 +84,10 @@ def steadiness(value: Column) -> Column:
 
 def crop(samples: DataFrame, clock: DataFrame, keys: list[str], time: str, least_seconds: float) -> DataFrame:
     """Samples between the first and last tick of their recording's clock, recordings of under least_seconds left out."""
-    span = clock.groupBy(*keys).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
+    # Dealt by time for spans and lengths: else rows that come dealt by recording are read for these in the tasks that join them, three passes in their memory at once.
+    span = clock.repartition(*keys, time).groupBy(*keys).agg(F.min(time).alias("t0"), F.max(time).alias("t1"))
     inside = samples.join(span, keys).where((F.col(time) >= F.col("t0")) & (F.col(time) <= F.col("t1"))).drop("t0", "t1")
-    long = inside.groupBy(*keys).agg((F.max(time) - F.min(time)).alias("__l")).where(F.col("__l") >= least_seconds)
+    long = inside.repartition(*keys, time).groupBy(*keys).agg((F.max(time) - F.min(time)).alias("__l")).where(F.col("__l") >= least_seconds)
     return inside.join(long, keys, "left_semi")
 
 
