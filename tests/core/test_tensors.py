@@ -1,6 +1,7 @@
 """Tensors from a manifest and recordings: order, values, failures, and readers that notice other tables."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,29 @@ def test_tables_by_role(spark, tmp_path):
         sinks.write_by_role(rows, str(tmp_path / "r"))
     found = {(r["window_role"], r["x"]) for r in spark.read.parquet(str(tmp_path / "r")).collect()}
     assert found == {("a", 1), ("b", 2), (None, 3)}
+
+
+def test_rows_are_numbered_by_the_place_that_they_were_written_at(spark, tables, tmp_path):
+    manifest, _, rows, _ = tables
+    found = tensors.numbered(tensors.chosen(manifest, ["finetune_train", "finetune_val"]), str(tmp_path / "n")).collect()
+    assert "__at" in spark.read.parquet(str(tmp_path / "n" / "ranges")).columns  # no range is shuffled and sorted again
+    for role in ("finetune_train", "finetune_val"):
+        own = sorted((r for r in found if r["window_role"] == role), key=lambda r: r["row_index"])
+        assert [r["row_index"] for r in own] == list(range(len(own))) and len(own) > 10
+        assert own == sorted(own, key=lambda r: (r["dataset"] is not None, r["dataset"], r["subject_id"], r["recording_id"], r["start_frame"]))
+
+
+def test_kernels_give_their_rows_as_they_are(spark):
+    rng = np.random.default_rng(1)
+    x = [rng.normal(size=20), None, rng.normal(size=30), np.full(20, np.nan), rng.normal(size=4)]
+    made = K.mapped(K.model_ready, 10).func(pd.Series(x, dtype=object))
+    assert [v is None for v in made] == [False, True, False, True, True]
+    assert isinstance(made[0], np.ndarray)  # lists of Python numbers take most of the time of short windows
+    np.testing.assert_array_equal(made[2], K.model_ready(x[2][None], 10)[0])
+
+
+@pytest.mark.parametrize("odd", [None, float("nan"), float("inf"), float("-inf")])
+def test_a_tensor_with_an_odd_number_fails(spark, odd):
+    x = [0.0] * (3 * FRAMES - 1)
+    rows = spark.createDataFrame([("r", 0, 1.0, False, False, [*x, 1.0]), ("r", 1, 1.0, False, False, [*x, odd]), ("r", 2, 1.0, False, False, x), ("r", 3, 1.0, False, False, None)], "window_role string, row_index long, y float, absent boolean, outside boolean, x array<float>")
+    assert [r["failure"] for r in tensors._judged(rows, FRAMES).orderBy("row_index").collect()] == [None, *["no finite signal"] * 3]

@@ -393,12 +393,13 @@ def mapped(kernel, *options) -> object:
 
     @F.pandas_udf("array<double>")
     def run(signals: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(signals), dtype=object)
+        out = np.full(len(signals), None, dtype=object)
         for rows, x in _matrices(signals):
             made = kernel(x, *options)
-            for k, row in zip(rows, made, strict=True):
-                out.iloc[k] = None if np.isnan(row).any() else row.tolist()
-        return out
+            whole = ~np.isnan(made).any(axis=1)
+            for k, row in zip(rows[whole], made[whole], strict=True):
+                out[k] = row
+        return pd.Series(out)
 
     return run
 

@@ -42,15 +42,14 @@ def numbered(rows: DataFrame, folder: str) -> DataFrame:
     others = [f.name for f in rows.schema.fields if f.name not in ("window_role", *ORDER) and f.dataType.typeName() in ("string", "integer", "long", "double", "float", "boolean")]
     order = ["window_role", *ORDER, *others]
     spark = rows.sparkSession
-    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()).write.parquet(f"{folder}/ranges")
-    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__part", T.IntegerType())])).parquet(f"{folder}/ranges")
+    # The number of a range and a row's place in it are the upper and lower bits of Spark's increasing id, so no range is sorted again.
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()).write.parquet(f"{folder}/ranges")
+    dealt = spark.read.schema(T.StructType([*rows.schema.fields, T.StructField("__at", T.LongType())])).parquet(f"{folder}/ranges").withColumn("__part", F.shiftright("__at", 33))
     # As many rows as there are ranges and roles.
-    sizes = dealt.groupBy("window_role", "__part").agg(F.count(F.lit(1)).alias("__n"))
+    sizes = dealt.groupBy("window_role", "__part").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
     before = F.sum("__n").over(Window.partitionBy("window_role").orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    place = F.row_number().over(Window.partitionBy("window_role", "__part").orderBy(*order[1:])) - 1
-    offsets = sizes.select("window_role", "__part", before.alias("__before"))
-    made = dealt.withColumn("__place", place).join(F.broadcast(offsets), ["window_role", "__part"]).withColumn("row_index", F.col("__before") + F.col("__place"))
-    made = made.drop("__part", "__place", "__before")
+    offsets = sizes.select("window_role", "__part", (before - F.col("__first")).alias("__shift"))
+    made = dealt.join(F.broadcast(offsets), ["window_role", "__part"]).withColumn("row_index", F.col("__at") + F.col("__shift")).drop("__part", "__at", "__shift")
     made.write.partitionBy("window_role").parquet(f"{folder}/rows")
     return spark.read.schema(made.schema).parquet(f"{folder}/rows")
 
@@ -62,7 +61,7 @@ def _gathered(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _stacked(channels: dict[str, Column]) -> Column:
-    return F.transform(F.concat(*[channels[c] for c in CHANNELS]), lambda v: v.cast("float"))
+    return F.concat(*[channels[c] for c in CHANNELS]).cast("array<float>")
 
 
 def stored_tensors(rows: DataFrame, recordings: DataFrame, frames: int) -> DataFrame:
@@ -102,7 +101,9 @@ def buffered_tensors(rows: DataFrame, recordings: DataFrame, fps: float, buffer_
 
 
 def _judged(made: DataFrame, frames: int) -> DataFrame:
-    whole = F.coalesce((F.size("x") == len(CHANNELS) * frames) & F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))), F.lit(False))
+    # Null for a null among the numbers; NaN is the greatest.
+    known = ~F.array_contains("x", F.lit(float("inf")).cast("float"))
+    whole = F.coalesce((F.size("x") == len(CHANNELS) * frames) & known & (F.array_max("x") < float("inf")) & (F.array_min("x") > float("-inf")), F.lit(False))
     failure = F.when(F.col("absent"), "no recording").when(F.col("outside"), "outside the recording").when(~whole, "no finite signal").when(S.finite(F.col("y")).isNull(), "no finite target")
     return made.select("window_role", "row_index", "y", F.when(failure.isNull(), F.col("x")).alias("x"), failure.alias("failure"))
 
