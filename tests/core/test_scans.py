@@ -115,3 +115,9 @@ def test_a_crop_finds_spans_elsewhere_than_it_joins_them(dealt):
     clock = rows[rows.x % 2 == 1].groupby("rec").t
     want = [x for r, t, x in rows[rows.x % 2 == 0][["rec", "t", "x"]].itertuples(index=False) if clock.min()[r] <= t <= clock.max()[r]]
     assert sorted(r["x"] for r in found.collect()) == sorted(want)
+
+
+def test_a_tachogram_of_a_known_unit_takes_every_interval(spark):
+    rows = [("a", 0, 800.0), ("a", 1, 0.0), ("a", 2, 1000.0), ("b", 0, None), ("b", 1, 500.0), ("b", 2, None), ("b", 3, 500.0), ("c", 0, 10.0), ("c", 1, 12.0)]
+    made = windows.tachogram(spark.createDataFrame(rows, "rec string, i int, rr double").repartition(3), ["rec"], "rr", ["i"], 2.0, per_second=1000.0)
+    assert sorted((r["rec"], r["k"], r["rr"] and round(r["rr"], 9)) for r in made.collect()) == [("a", 4, 200.0), ("a", 5, 450.0), ("a", 6, 700.0), ("a", 7, 950.0), ("b", 2, None), ("b", 3, None)]

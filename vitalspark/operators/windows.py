@@ -184,23 +184,29 @@ def effective_rate(samples: DataFrame, keys: list[str], time: str) -> DataFrame:
 MS_FROM = 20.0
 
 
-def tachogram(beats: DataFrame, keys: list[str], rr: str, order: list[str], width: float, rate: float = 4.0) -> DataFrame:
+def tachogram(beats: DataFrame, keys: list[str], rr: str, order: list[str], width: float, rate: float = 4.0, per_second: float | None = None) -> DataFrame:
     """keys, k and `rr`: intervals between beats on an even grid, k over the rate being seconds, in the unit that they came in.
 
     Intervals that are no positive numbers are left out. Each pair of beats fills the grid between
-    them by a line, without a range join. A recording's median is of its own intervals alone. Beats
-    are scanned in buckets of `width` of order[0].
+    them by a line, without a range join. A recording's median, which tells its unit, is of its own
+    intervals alone. With `per_second` the unit is known and all intervals are taken as they are: a
+    zero one is a beat at the place of the one before, an unknown one has no length and gives unknown
+    values after it. Beats are scanned in buckets of `width` of order[0].
     """
-    known = beats.where((F.col(rr) > 0) & ~F.isnan(rr) & (F.col(rr) < float("inf")))
-    # Whether the median is above the bound needs counts alone, and for a tie the two values next to the bound.
-    v = F.col(rr)
-    sides = known.groupBy(*keys).agg(F.count_if(v <= MS_FROM).alias("__low"), F.count_if(v > MS_FROM).alias("__high"), ((F.max(F.when(v <= MS_FROM, v)) + F.min(F.when(v > MS_FROM, v))) / 2).alias("__middle"))
-    large = (F.col("__high") > F.col("__low")) | ((F.col("__high") == F.col("__low")) & (F.col("__middle") > MS_FROM))
-    timed = joined(known, sides.select(*keys, large.alias("__large")), keys)
+    v, exact = F.col(rr), "decimal(38,15)"
     # Decimals, whose sum is the same in whatever order parts of it are added, so that neighbouring pairs meet at the very same number.
-    timed = timed.withColumn("__s", (v / F.when(F.col("__large"), 1000.0).otherwise(1.0)).try_cast("decimal(38,15)")).drop("__large")
-    pairs = scans.scan(timed, keys, order, width, {"__at": scans.running_sum(F.col("__s")), "__r": scans.previous(v)}).where("__r is not null")
-    pairs = pairs.withColumns({"at": F.col("__at").cast("double"), "__a": (F.col("__at") - F.col("__s")).cast("double")})
+    if per_second is None:
+        known = beats.where((v > 0) & ~F.isnan(rr) & (v < float("inf")))
+        # Whether the median is above the bound needs counts alone, and for a tie the two values next to the bound.
+        sides = known.groupBy(*keys).agg(F.count_if(v <= MS_FROM).alias("__low"), F.count_if(v > MS_FROM).alias("__high"), ((F.max(F.when(v <= MS_FROM, v)) + F.min(F.when(v > MS_FROM, v))) / 2).alias("__middle"))
+        large = (F.col("__high") > F.col("__low")) | ((F.col("__high") == F.col("__low")) & (F.col("__middle") > MS_FROM))
+        timed = joined(known, sides.select(*keys, large.alias("__large")), keys)
+        timed = timed.withColumn("__s", (v / F.when(F.col("__large"), 1000.0).otherwise(1.0)).try_cast(exact)).drop("__large")
+    else:
+        timed = beats.withColumn("__s", (v / per_second).try_cast(exact))
+    length = F.col("__s")
+    pairs = scans.scan(timed, keys, order, width, {"__at": scans.running_sum(length), "__since": scans.previous(length), "__before": scans.previous(F.struct(v.alias("v")))}).where("__since is not null")
+    pairs = pairs.withColumns({"at": F.col("__at").cast("double"), "__a": (F.col("__at") - F.coalesce(length, F.lit(0))).cast("double"), "__r": F.col("__before.v")})
     r0, a0 = F.col("__r"), F.col("__a")
     low, high = F.ceil(a0 * rate), F.ceil(F.col("at") * rate) - 1
     grid = pairs.where(high >= low).withColumn("k", F.explode(F.sequence(low, high)))

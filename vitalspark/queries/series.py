@@ -106,7 +106,7 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rsa_tachogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beat intervals on an even grid of 4 Hz."""
     beats = samples(spark, sf_dir).withColumn("rr", F.col("x") * 4)
-    return rounded(windows.tachogram(beats, ["rec"], "rr", ["t", "event_id"], DAY), 7)
+    return rounded(windows.tachogram(beats, ["rec"], "rr", ["t", "event_id"], DAY, per_second=1000.0), 7)
 
 
 # Manifest rows from orders.
