@@ -27,7 +27,7 @@ def language_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicate_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near copies: five-word Jaccard of 0.8 or more."""
+    """Keep one document of each group of near copies: found in SimHash tries, five-word Jaccard of 0.8 or more."""
     ship(spark)
     return shingles.keep_one(docs)
 

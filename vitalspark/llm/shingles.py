@@ -1,19 +1,15 @@
-"""Near copies by shingles: MinHash bands give candidates, exact Jaccard decides.
-
-A 64-bit SimHash can't do this: at a Jaccard of 0.8 about ten bits differ, with a deviation of
-three, so a budget that misses few pairs prunes nothing in the trie. Here texts of equal shingle
-sets are one node. Nodes that agree in one of `BANDS` bands of `ROWS` minima are candidates: two
-at 0.8 share none with a probability of (1 - 0.8^5)^24 < 0.0001.
-
-A large family of distant copies would meet in all its pairs. Two bounds, both exact, keep them
-apart. A shingle that no other candidate node has is in no intersection, so the `shared` shingles
-of a node bound its Jaccard with every other. And shingles of `RARE` nodes at most lead to their
-own few nodes: two nodes that share none of those have only `common` shingles in their intersection.
-
-What stays isn't compared pair by pair either: in each of `ROUNDS` rounds every node is compared
-with one leader of its bands, the one with the most in common, and what agrees becomes one
-component. At last the pairs of different components are compared that share a rare shingle, and
-those that share a band and may agree by their common shingles, so no candidate is left out.
+"""Near copies by shingles: SimHash tries give candidates, exact Jaccard decides.
+
+Texts of equal shingle sets are one node. Nodes that `tries` finds near each other are candidates;
+one trie of 64 bits can't give them: at a Jaccard of 0.8 about ten bits differ, with a deviation of
+three, and a budget that misses few pairs prunes nothing.
+
+A large family of near copies would meet in all its pairs. So every node is compared with two of
+its neighbours at first, and what agrees becomes one component; then the pairs of different
+components are compared, and none is left out. Two bounds, both exact, keep distant copies apart.
+A shingle that no other candidate node has is in no intersection, so the `shared` shingles of a
+node bound its Jaccard with every other. And two nodes that have no shingle of `RARE` nodes at most
+in common have only `common` shingles in their intersection.
 """
 
 from __future__ import annotations
@@ -25,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import tries
 from .common import append_columns, components, held, materialise
 from .simhash import hashes
 
 #: Words of a shingle, least Jaccard of near copies.
 WIDTH, LEAST = 5, 0.8
-#: Bands, minima of a band, rounds of leaders, nodes of a rare shingle at most.
-BANDS, ROWS, ROUNDS, RARE = 24, 5, 2, 16
+#: Nodes of a rare shingle at most.
+RARE = 16
+#: Bands and minima of a band of a MinHash sketch.
+BANDS, ROWS = 24, 5
 #: Shingles hashed at a time.
 STEP = 4096
 
@@ -54,24 +53,18 @@ def minima(found: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, text: str, width: int = WIDTH, seed: int = 42, drop: tuple[str, ...] = ()) -> DataFrame:
-    """Add node, a digest of the shingle set, size, and bands; null and wordless texts are one node."""
+    """Add node, a digest of the shingle set, its size, and the words of its fingerprints; null and wordless texts are one node."""
 
     def start():
         def kernel(texts):
-            node, size, bands = [], [], []
-            for x in texts:
-                found = shingle_set(x, width, seed)
-                values = minima(found).astype("<u8")
-                node.append(xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), 1))
-                size.append(len(found))
-                bands.append([xxhash.xxh64_intdigest(values[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)])
-            signed = lambda x: np.array(x, dtype=np.uint64).view(np.int64)
-            flat = pa.array(signed(bands).ravel())
-            return [pa.array(signed(node)), pa.array(size, pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), flat)]
+            sets = [shingle_set(x, width, seed) for x in texts]
+            node = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), 1) for x in sets], dtype=np.uint64).view(np.int64)
+            flat = pa.array(tries.words_of(sets).view(np.int64).ravel())
+            return [pa.array(node), pa.array([len(x) for x in sets], pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * tries.WORDS, pa.int32()), flat)]
 
         return kernel
 
-    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    fields = [T.StructField("node", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))]
     return append_columns(df, text, fields, start, drop)
 
 
@@ -91,58 +84,33 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").where(both >= least * (F.size("as") + F.size("bs") - both)).select("a", "b")
 
 
-def _reaches(least: float, common, size, other):
-    """May sets of two sizes with at most so many common shingles have a Jaccard of `least`? A little is left for rounding."""
-    return common >= least * (size + other - common) - 1e-6
-
-
-def narrowed(bands: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """band, node, size, shared and common of the nodes that may have a near copy in a band; node and shingle of rare ones."""
+def bounds(sets: DataFrame, least: float) -> DataFrame:
+    """node, size, shared, common and rare, a bit for each of its rare shingles by its hash, of the nodes that may have a near copy."""
     of = sets.select("node", F.explode("shingles").alias("shingle"))
     few = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where((F.col("n") <= RARE) & F.col("first").isNotNull())
     # Of shingles that one node alone has, the greatest part, only their number is kept.
     own = few.where("n = 1").groupBy(F.col("first").alias("node")).agg(F.count(F.lit(1)).alias("own")).select("node", F.lit(None).cast("long").alias("shingle"), "own")
     some = of.join(few.where("n > 1").select("shingle"), "shingle").select("node", "shingle", F.lit(0).cast("long").alias("own"))
-    held = materialise(own.unionByName(some), "rare")
-    counts = held.groupBy("node").agg(F.sum("own").alias("own"), F.count("shingle").alias("some"))
+    bit = F.expr("shiftleft(1L, cast(pmod(shingle, 64) as int))")
+    counts = own.unionByName(some).groupBy("node").agg(F.sum("own").alias("own"), F.count("shingle").alias("some"), F.bit_or(bit).alias("rare"))
     left = lambda c: (F.col("size") - F.coalesce(c, F.lit(0))).cast("int")
-    known = sets.select("node", F.size("shingles").alias("size")).join(counts, "node", "left").select("node", "size", left(F.col("own")).alias("shared"), left(F.col("own") + F.col("some")).alias("common"))
-    placed = materialise(bands.select("band", "node").join(known.where(F.col("shared") >= least * F.col("size") - 1e-6), "node"), "placed")
-    lows = placed.groupBy("band").agg(F.min("size").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "low")
-    reach = _reaches(least, F.col("shared"), F.col("size"), F.greatest("low", "shared"))
-    return materialise(placed.join(lows, "band").where(reach).drop("low"), "bands"), held.where("shingle is not null").select("node", "shingle")
-
-
-SIZES = ("size", "shared", "common")
-
-
-def _links(placed: DataFrame, rare: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """node and component of all nodes that have a near copy; placed and rare as `narrowed` gives them."""
-    other = lambda rows: rows.select(*[F.col(c).alias(f"other_{c}") for c in rows.columns])
-    may = lambda kind: _reaches(least, F.least(kind, f"other_{kind}"), F.col("size"), F.col("other_size"))
-    apart = (F.col("component") < F.col("other_component")) & may("shared")
-    pair = (F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
-    labels = None
-    for turn in range(ROUNDS + 1):
-        at = placed.withColumn("component", F.col("node")) if labels is None else placed.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        at = materialise(at, "placed")
-        mixed = lambda rows, key: rows.groupBy(key).agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(key)
-        if turn < ROUNDS:
-            order = F.struct((F.col("size") - F.col("common")).alias("rare"), F.xxhash64("node", F.lit(turn)).alias("h"), "node", *SIZES, "component")
-            lead = at.join(mixed(at, "band"), "band").groupBy("band").agg(F.min(order).alias("lead"))
-            met = at.join(lead, "band").where(F.col("component") != F.col("lead.component"))
-            # One leader a node: of those in its bands the one with the most in common, in later rounds another.
-            best = met.groupBy("node").agg(*[F.first(c).alias(c) for c in SIZES], (F.min if turn == 0 else F.max)("lead").alias("lead"))
-            found = best.select("node", *SIZES, *[F.col(f"lead.{c}").alias(f"other_{c}") for c in ("node", *SIZES)]).where(may("shared")).select(*pair).distinct()
-        else:
-            here = at.join(mixed(at, "band"), "band", "left_semi")
-            by_band = here.join(other(here), (F.col("band") == F.col("other_band")) & apart & may("common")).select(*pair)
-            held = rare.join(at.select("node", *SIZES, "component").distinct(), "node")
-            some = held.join(mixed(held, "shingle"), "shingle", "left_semi")
-            by_rare = some.join(other(some), (F.col("shingle") == F.col("other_shingle")) & apart).select(*pair)
-            found = by_band.unionByName(by_rare).distinct()
-        labels = _joined_labels(labels, materialise(_verified(found, sets, least), "links"))
-    return labels
+    known = sets.select("node", F.size("shingles").alias("size")).join(counts, "node", "left")
+    known = known.select("node", "size", left(F.col("own")).alias("shared"), left(F.col("own") + F.col("some")).alias("common"), F.coalesce("rare", F.lit(0).cast("long")).alias("rare"))
+    return known.where(tries.reaches(least, F.col("shared"), F.col("size"), F.col("shared")))
+
+
+def _links(nodes: DataFrame, leads: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """node and component of all nodes that have a near copy; nodes: words and bounds, leads: nodes and neighbours (a, b)."""
+    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    end = lambda x: nodes.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("shared").alias(f"shared_{x}"))
+    may = tries.reaches(least, F.least("shared_a", "shared_b"), F.col("size_a"), F.col("size_b"))
+    first = leads.select(*pair("a", "b")).distinct().join(end("a"), "a").join(end("b"), "b").where(may).select("a", "b")
+    labels = _joined_labels(None, materialise(_verified(first, sets, least), "links"))
+    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    kernel = lambda a, b, depth, spent, same: tries.apart(a, b, depth, spent, same, least)
+    found = tries.joined(materialise(named, "named"), ["node", "component", "rare", "size", "shared", "common"], kernel, "a long, b long")
+    rest = materialise(found.select(*pair("a", "b")).distinct(), "pairs")
+    return _joined_labels(labels, materialise(_verified(rest, sets, least), "links"))
 
 
 def _joined_labels(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -165,13 +133,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     light = docs.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("tie"), F.col(text).alias("body"))
     marked = held(sketches(light, "body", width, seed, ("body",)))
     order = F.struct(F.col("key").isNull().alias("last"), "key", "tie")
-    nodes = materialise(marked.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("bands").alias("bands")), "nodes")
-    bands = nodes.select(F.explode("bands").alias("band"), "node", "size")
-    placed = materialise(bands.join(bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band"), "band").select("band", "node"), "bands")
-    wanted = nodes.join(placed.select("node").distinct(), "node").select("node", F.col("first.key").alias("k"), F.col("first.tie").alias("t"))
+    nodes = materialise(marked.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("words").alias("words")), "nodes")
+    met = materialise(tries.joined(nodes.select("node", "words"), ["node"], tries.led, "node long, leader long"), "met")
+    leads = met.groupBy("node").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).select(F.col("node").alias("a"), F.explode(F.array("least", "most")).alias("b"))
+    placed = met.select("node").unionByName(met.select(F.col("leader").alias("node"))).distinct()
+    wanted = nodes.join(placed, "node").select("node", F.col("first.key").alias("k"), F.col("first.tie").alias("t"))
     texts = light.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).select("node", "body")
     sets = materialise(shingle_rows(texts, "body", width, seed).dropDuplicates(["node"]), "shingles")
-    labels = _links(*narrowed(placed, sets, least), sets, least)
+    known = materialise(bounds(sets, least).join(nodes.select("node", "words"), "node"), "known")
+    labels = _links(known, leads, sets, least)
     named = nodes.join(labels, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
     times = marked.groupBy("key", "tie").agg(F.count(F.lit(1)).alias("times"))
