@@ -4,7 +4,7 @@ Texts of equal shingle sets are one node. Nodes that `tries` finds near each oth
 one trie of 64 bits can't give them: at a Jaccard of 0.8 about ten bits differ, with a deviation of
 three, and a budget that misses few pairs prunes nothing.
 
-A large family of near copies would meet in all its pairs. So every node is compared with two of
+A large family of near copies would meet in all its pairs. So every node is compared with up to three of
 its neighbours at first, and what agrees becomes one component; then the pairs of different
 components are compared, and none is left out. Two bounds, both exact, keep distant copies apart.
 A shingle that no other candidate node has is in no intersection, so the `shared` shingles of a
@@ -135,12 +135,15 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", width: in
     order = F.struct(F.col("key").isNull().alias("last"), "key", "tie")
     nodes = materialise(marked.groupBy("node").agg(F.min(order).alias("first"), F.first("size").alias("size"), F.first("words").alias("words")), "nodes")
     met = materialise(tries.joined(nodes.select("node", "words"), ["node"], tries.led, "node long, leader long"), "met")
-    leads = met.groupBy("node").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).select(F.col("node").alias("a"), F.explode(F.array("least", "most")).alias("b"))
     placed = met.select("node").unionByName(met.select(F.col("leader").alias("node"))).distinct()
     wanted = nodes.join(placed, "node").select("node", F.col("first.key").alias("k"), F.col("first.tie").alias("t"))
     texts = light.join(wanted, F.col("key").eqNullSafe(F.col("k")) & (F.col("tie") == F.col("t"))).select("node", "body")
     sets = materialise(shingle_rows(texts, "body", width, seed).dropDuplicates(["node"]), "shingles")
     known = materialise(bounds(sets, least).join(nodes.select("node", "words"), "node"), "known")
+    # Of the neighbours of a node those with the fewest rare shingles, as the origin of a family has, and one more.
+    rank = F.struct((F.col("size") - F.col("common")).alias("few"), F.xxhash64("leader").alias("h"), "leader")
+    ranked = met.join(known.select(F.col("node").alias("leader"), "size", "common"), "leader").groupBy("node").agg(F.min(rank)["leader"].alias("best"), F.max("leader").alias("most"), F.min("leader").alias("least"))
+    leads = ranked.select(F.col("node").alias("a"), F.explode(F.array("best", "most", "least")).alias("b"))
     labels = _links(known, leads, sets, least)
     named = nodes.join(labels, "node", "left").select("first", F.coalesce("component", "node").alias("component"))
     first = named.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
