@@ -5,11 +5,12 @@ one trie of 64 bits can't give them: at a Jaccard of 0.8 about ten bits differ,
 three, and a budget that misses few pairs prunes nothing.
 
 A large family of near copies would meet in all its pairs. So every node is compared with up to three of
-its neighbours at first, and what agrees becomes one component; then the pairs of different
-components are compared, and none is left out. Two bounds, both exact, keep distant copies apart.
-A shingle that no other candidate node has is in no intersection, so the `shared` shingles of a
-node bound its Jaccard with every other. And two nodes that have no shingle of `RARE` nodes at most
-in common have only `common` shingles in their intersection.
+its neighbours at first, and what agrees becomes one component; then the closest pair of every two
+components is compared, and last all pairs of those that are still apart, so none is left out. Three
+bounds, all exact, keep distant copies apart. A shingle that no other candidate node has is in no
+intersection, so the `shared` shingles of a node bound its Jaccard with every other. Two nodes that
+have no shingle of `RARE` nodes at most in common have only `common` shingles in their intersection.
+And each bit in which the parities of two sets differ is a shingle that one of them alone has.
 """
 
 from __future__ import annotations
@@ -69,12 +70,16 @@ def sketches(df: DataFrame, text: str, width: int = WIDTH, seed: int = 42, drop:
 
 
 def shingle_rows(df: DataFrame, text: str, width: int = WIDTH, seed: int = 42) -> DataFrame:
-    """Replace the text by its shingle set."""
+    """Replace the text by its shingle set and the parity of that."""
 
     def start():
-        return lambda texts: [[shingle_set(x, width, seed).view(np.int64) for x in texts]]
+        def kernel(texts):
+            sets = [shingle_set(x, width, seed) for x in texts]
+            return [[x.view(np.int64) for x in sets], [tries.parity_of(x) for x in sets]]
+
+        return kernel
 
-    return append_columns(df, text, [T.StructField("shingles", T.ArrayType(T.LongType()))], start, (text,))
+    return append_columns(df, text, [T.StructField("shingles", T.ArrayType(T.LongType())), T.StructField("parity", T.BinaryType())], start, (text,))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -85,7 +90,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def bounds(sets: DataFrame, least: float) -> DataFrame:
-    """node, size, shared, common and rare, a bit for each of its rare shingles by its hash, of the nodes that may have a near copy."""
+    """node, parity, size, shared, common and rare, a bit for each of its rare shingles by its hash, of the nodes that may have a near copy."""
     of = sets.select("node", F.explode("shingles").alias("shingle"))
     few = of.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).where((F.col("n") <= RARE) & F.col("first").isNotNull())
     # Of shingles that one node alone has, the greatest part, only their number is kept.
@@ -94,8 +99,8 @@ def bounds(sets: DataFrame, least: float) -> DataFrame:
     bit = F.expr("shiftleft(1L, cast(pmod(shingle, 64) as int))")
     counts = own.unionByName(some).groupBy("node").agg(F.sum("own").alias("own"), F.count("shingle").alias("some"), F.bit_or(bit).alias("rare"))
     left = lambda c: (F.col("size") - F.coalesce(c, F.lit(0))).cast("int")
-    known = sets.select("node", F.size("shingles").alias("size")).join(counts, "node", "left")
-    known = known.select("node", "size", left(F.col("own")).alias("shared"), left(F.col("own") + F.col("some")).alias("common"), F.coalesce("rare", F.lit(0).cast("long")).alias("rare"))
+    known = sets.select("node", "parity", F.size("shingles").alias("size")).join(counts, "node", "left")
+    known = known.select("node", "parity", "size", left(F.col("own")).alias("shared"), left(F.col("own") + F.col("some")).alias("common"), F.coalesce("rare", F.lit(0).cast("long")).alias("rare"))
     return known.where(tries.reaches(least, F.col("shared"), F.col("size"), F.col("shared")))
 
 
@@ -106,10 +111,20 @@ def _links(nodes: DataFrame, leads: DataFrame, sets: DataFrame, least: float) ->
     may = tries.reaches(least, F.least("shared_a", "shared_b"), F.col("size_a"), F.col("size_b"))
     first = leads.select(*pair("a", "b")).distinct().join(end("a"), "a").join(end("b"), "b").where(may).select("a", "b")
     labels = _joined_labels(None, materialise(_verified(first, sets, least), "links"))
-    named = nodes.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    kernel = lambda a, b, depth, spent, same: tries.apart(a, b, depth, spent, same, least)
-    found = tries.joined(materialise(named, "named"), ["node", "component", "rare", "size", "shared", "common"], kernel, "a long, b long")
-    rest = materialise(found.select(*pair("a", "b")).distinct(), "pairs")
+    name = lambda some, labels: materialise(some.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "named")
+    fields = ["node", "component", "rare", "size", "shared", "common", "parity"]
+    # The closest pair of every two components, and all pairs of those that it leaves apart.
+    named = name(nodes, labels)
+    found = tries.joined(named, fields, lambda a, b, depth, spent, same: tries.closest(a, b, depth, spent, same, least), "a long, b long, ca long, cb long, excess long")
+    tried = materialise(found.groupBy("ca", "cb").agg(F.min(F.struct("excess", *pair("a", "b"))).alias("x")).select("ca", "cb", "x.a", "x.b"), "closest")
+    links = materialise(_verified(tried.select("a", "b"), sets, least), "links")
+    labels = _joined_labels(labels, links)
+    now = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"now_{x}"))
+    left = tried.join(links, ["a", "b"], "left_anti").join(now("a"), "a", "left").join(now("b"), "b", "left").where(F.coalesce("now_a", "a") != F.coalesce("now_b", "b"))
+    left = materialise(left.select(F.explode(F.array("ca", "cb")).alias("component")).distinct(), "left")
+    some = materialise(named.join(left, "component").drop("component"), "some")
+    found = tries.joined(name(some, labels), fields, lambda a, b, depth, spent, same: tries.apart(a, b, depth, spent, same, least), "a long, b long")
+    rest = materialise(found.select(*pair("a", "b")).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     return _joined_labels(labels, materialise(_verified(rest, sets, least), "links"))
 
 

@@ -24,12 +24,14 @@ from .simhash import majority
 WORDS, TURNS, FIRST, FIRST_BUDGET, BUDGET = 7, 4, 16, 1, 32
 #: Levels that are joined as DataFrames, records of a subtree before there are more, of a part of a crowded node.
 DEPTH, SUBTREE, PART = 4, 1 << 18, 1 << 19
+#: Bytes of a record that those two numbers are meant for, bits of a parity.
+WIDTH, PARITY = 64, 1024
 #: Candidate pairs compared at a time, of two nodes that are not walked further, members of a component held apart.
 STEP, SMALL, LARGE = 1 << 18, 64, 256
 
 _SEEDS = np.random.default_rng(42).integers(0, 1 << 63, WORDS, dtype=np.uint64)
-#: Fields of a record after word and tail, by their Spark types.
-_KINDS = {"bigint": (16, ">i8"), "int": (8, ">i4")}
+#: Fields of a record after word and tail, by their Spark types; binary is a parity.
+_KINDS = {"bigint": (16, (">i8", ())), "int": (8, (">i4", ())), "binary": (PARITY // 4, (">u8", (PARITY // 64,)))}
 
 
 def words_of(sets: list[np.ndarray]) -> np.ndarray:
@@ -47,6 +49,12 @@ def words_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def parity_of(found: np.ndarray) -> bytes:
+    """For each residue of the hashes of a set, whether it has an odd number of members there."""
+    counts = np.bincount((found % np.uint64(PARITY)).astype(np.int64), minlength=PARITY)
+    return np.packbits((counts & 1).astype(np.uint8)).tobytes()
+
+
 def _ranges(a: np.ndarray, b: np.ndarray, depth: int, spent: int, same: bool):
     """Pairs of nodes of two sorted subtrees whose prefixes differ in few bits, walked to the leaves or to few words."""
     lo_a, hi_a = np.array([0]), np.array([len(a)])
@@ -127,8 +135,20 @@ def reaches(least: float, common, size, other):
     return common >= least * (size + other - common) - 1e-6
 
 
-def apart(a: np.ndarray, b: np.ndarray, depth: int, spent: int, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """All neighbours of different components between two subtrees that may have a Jaccard of `least`.
+def _excess(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
+    """Bits in which two parities differ, less what a Jaccard of `least` allows: above zero it is not reached.
+
+    Every such bit is a member that one set alone has. Records without parities have none.
+    """
+    apart = -(x["size"][i].astype(np.int64) + y["size"][j]) * (1 - least) / (1 + least)
+    if "parity" in x.dtype.names:
+        for k in range(PARITY // 64):
+            apart += np.bitwise_count(x["parity"][i, k] ^ y["parity"][j, k])
+    return apart
+
+
+def _different(a: np.ndarray, b: np.ndarray, depth: int, spent: int, same: bool, least: float):
+    """Neighbours of different components between two subtrees that may have a Jaccard of `least`: nodes, their components, excess.
 
     Members of a large component are not compared with each other. `shared` bounds what two sets
     have in common, `common` what two have that share no rare member, as `rare` tells.
@@ -144,26 +164,47 @@ def apart(a: np.ndarray, b: np.ndarray, depth: int, spent: int, same: bool, leas
     else:
         walks.append((a[~np.isin(a["component"], large)], b, False))
         walks += [(a[a["component"] == name], b[b["component"] != name], False) for name in large]
-    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
     for x, y, twin in walks:
         for ranges in _ranges(x["word"], y["word"], depth, spent, twin):
             for i, j in _near(x, y, *ranges, twin):
-                p, q = x[i], y[j]
-                may = lambda kind, p=p, q=q: reaches(least, np.minimum(p[kind], q[kind]), p["size"], q["size"])
-                kept = (p["component"] != q["component"]) & may("shared") & (may("common") | (p["rare"] & q["rare"] != 0))
-                found.append((p["node"][kept], q["node"][kept]))
+                may = lambda kind, i=i, j=j, x=x, y=y: reaches(least, np.minimum(x[kind][i], y[kind][j]), x["size"][i], y["size"][j])
+                kept = (x["component"][i] != y["component"][j]) & may("shared") & (may("common") | (x["rare"][i] & y["rare"][j] != 0))
+                i, j = i[kept], j[kept]
+                excess = _excess(x, y, i, j, least)
+                i, j, excess = (v[excess <= 1e-6] for v in (i, j, excess))
+                yield x["node"][i], y["node"][j], x["component"][i], y["component"][j], np.floor(excess).astype(np.int64)
+
+
+def apart(a: np.ndarray, b: np.ndarray, depth: int, spent: int, same: bool, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """All neighbours of different components between two subtrees that may have a Jaccard of `least`."""
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64)), *(x[:2] for x in _different(a, b, depth, spent, same, least))]
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
+def closest(a: np.ndarray, b: np.ndarray, depth: int, spent: int, same: bool, least: float) -> tuple[np.ndarray, ...]:
+    """Of what `apart` finds, the pair of least excess for every two components: nodes, components in order, excess."""
+    best = (np.empty(0, np.int64),) * 5
+    for p, q, of_p, of_q, excess in _different(a, b, depth, spent, same, least):
+        both = zip(best, (p, q, np.minimum(of_p, of_q), np.maximum(of_p, of_q), excess), strict=True)
+        best = [np.concatenate(x) for x in both]
+        order = np.lexsort((best[4], best[3], best[2]))
+        best = [x[order] for x in best]
+        new = np.ones(len(order), bool)
+        new[1:] = (best[2][1:] != best[2][:-1]) | (best[3][1:] != best[3][:-1])
+        best = [x[new] for x in best]
+    return tuple(best)
+
+
 def joined(nodes: DataFrame, fields: list[str], kernel, schema: str) -> DataFrame:
     """The tries of `nodes` (words and fields, without nulls) joined with themselves: what kernel gives for each pair of subtrees.
 
     kernel(a, b, depth, spent, same) takes sorted records with word, tail and fields, and returns a pair of arrays.
     """
     n = nodes.count()
-    depth = max(0, min(max(DEPTH, int(np.ceil(np.log2(max(1, n / SUBTREE))))), int(np.log2(max(1, n / 64))), FIRST))
     kinds = dict(nodes.dtypes)
-    record = np.dtype([("word", ">u8"), ("tail", ">u8"), *((f, _KINDS[kinds[f]][1]) for f in fields)])
+    record = np.dtype([("word", ">u8"), ("tail", ">u8"), *((f, *_KINDS[kinds[f]][1]) for f in fields)])
+    times = -(-record.itemsize // WIDTH)
+    depth = max(0, min(max(DEPTH, int(np.ceil(np.log2(max(1, n * times / SUBTREE))))), int(np.log2(max(1, n / 64))), FIRST))
     quarter = 64 // TURNS
     turned = lambda word, by: F.shiftleft(word, by).bitwiseOR(F.shiftrightunsigned(word, 64 - by)) if by else word
     word = lambda k: F.col("words")[k % WORDS]
@@ -172,7 +213,7 @@ def joined(nodes: DataFrame, fields: list[str], kernel, schema: str) -> DataFram
     prefix: Column = F.shiftrightunsigned("word", 64 - depth).cast("int") if depth else F.lit(0)
     rows = nodes.select(F.explode(F.array(*heads)).alias("x"), F.concat(*[text(F.col(f), _KINDS[kinds[f]][0]) for f in fields]).alias("rest"))
     rows = rows.select("x.*", "rest").select("turn", prefix.alias("p"), "word", F.concat(text(F.col("word"), 16), text(F.col("tail"), 16), "rest").alias("record"))
-    counts = rows.groupBy("turn", "p").agg(F.ceil(F.count(F.lit(1)) / F.lit(PART)).cast("int").alias("parts"))
+    counts = rows.groupBy("turn", "p").agg(F.ceil(F.count(F.lit(1)) / F.lit(-(-PART // times))).cast("int").alias("parts"))
     packed = rows.join(counts, ["turn", "p"]).withColumn("i", F.pmod(F.xxhash64("record"), F.col("parts")).cast("int"))
     packed = materialise(packed.groupBy("turn", "p", "i").agg(F.unhex(F.array_join(F.collect_list("record"), "")).alias("a"), F.max("parts").alias("parts")), "subtrees")
     # Pairs of nodes whose prefixes differ in one bit at most, and of the parts of one node.
